@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import simhash
+from barloom.llm import decontaminate, packing, simhash, spans, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -16,5 +16,29 @@ def op7_simhash(spark, sf_dir):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op7_simhash": op7_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op3_sentence_spans(spark, sf_dir):
+    out = spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars"), "text")
+
+
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op3_sentence_spans": op3_sentence_spans,
+    "op6_toxicity": op6_toxicity,
+    "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
+    "op10_decontamination": op10_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {"op8_packing": packing.oracle_sql()}
