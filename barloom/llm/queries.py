@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, packing, simhash, spans, toxicity
+from barloom.llm import decontaminate, lm, packing, simhash, spans, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -30,6 +30,10 @@ def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_language_model": op9_language_model,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op8_packing": packing.oracle_sql()}
