@@ -30,6 +30,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, rows: int, total: int, *cols: str) -> DataFrame:
+    """About ``rows`` of the ``total`` rows of ``df``, chosen by a hash of ``cols``: unlike an ordered
+    limit, no task sends more than its share."""
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 

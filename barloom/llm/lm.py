@@ -6,7 +6,7 @@ vocabulary may grow without bound. The recurrent model (``gru``) has a class-fac
 frequent tokens; for any other token its probability of "outside the vocabulary" is multiplied with that
 token's smoothed share of the outside mass, which makes it a distribution over all texts.
 
-Training: a start on the driver from at most ``start_rows`` training documents of at most ``start_chars``
+Training: a start on the driver from about ``start_rows`` training documents of at most ``start_chars``
 characters, then one pass of all tasks over all training documents, each text's windows learned from evenly
 (one in ``every``) with the state carried through all of them; the tasks' parameters are averaged, weighted
 by tokens, in two levels of at most 256 rows each. Float sums may differ in the last digits between runs.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import gru
-from barloom.llm.common import materialize
+from barloom.llm.common import hash_sample, materialize
 
 #: The end of a text as a token; no word holds white space.
 END = "\n"
@@ -122,7 +122,9 @@ def _average(parts: DataFrame) -> DataFrame:
 def train(docs: DataFrame, head: Head, id_col: str, text_col: str, hidden: int, classes: int, every: int, start_rows: int, start_chars: int) -> dict:
     source = docs.select(id_col, text_col)
     model = gru.init(head.slot_counts, hidden, classes)
-    start = source.where(F.col(id_col).isNotNull() & (F.length(text_col) <= start_chars)).orderBy(F.xxhash64(id_col, text_col)).limit(start_rows).collect()
+    texts_at_all = int(head.counts[head.index[END.encode()]]) if END.encode() in head.index else 0
+    start = hash_sample(source.where(F.length(text_col) <= start_chars), start_rows, texts_at_all, id_col, text_col).collect()
+    start.sort(key=lambda r: (str(r[0]), r[1] or ""))
     texts = [head.slots(head.ids(tokens((t or "").encode()))) for i, t in start if not held_out(i)]
     if not texts:
         return model

@@ -5,8 +5,7 @@ flag only, so toxic training rows are graded by how many distinct indicative wor
 terciles of the toxic rows. P(y <= k) = sigmoid(theta_k - w.x) with one weight vector shared across the
 ordered thresholds; the output is the expected severity and the grade probabilities.
 
-Fitting uses at most ``max_rows`` labelled documents (a documented bound, those with the lowest hash of
-the id); scoring covers every document and its whole text.
+Fitting uses about ``max_rows`` labelled documents (a documented bound, chosen by a hash of the id); scoring covers every document and its whole text.
 
 Cases: null or empty texts have no features and get the intercept-only probabilities; labels that are null
 or whose document is missing are not used; repeated rows are scored one by one; with no labels at all, or
@@ -23,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.llm.common import hash_sample
+
 GRADES = 4
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -114,9 +115,9 @@ def fit(texts: list[set[bytes]], toxic: np.ndarray, max_features: int = 400, ste
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features: int = 400, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fit on at most ``max_rows`` labelled documents. Executors reduce texts to their distinct words."""
+    """Fit on about ``max_rows`` labelled documents. Executors reduce texts to their distinct words."""
     sample = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "toxic")
-    sample = sample.orderBy(F.xxhash64(id_col), "toxic").limit(max_rows)
+    sample = hash_sample(sample, max_rows, sample.count(), id_col)
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, F.col("toxic").cast("int").alias("toxic"))
 
     def run(batches):
