@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, lm, packing, simhash, spans, toxicity
+from barloom.llm import decontaminate, embeddings, lm, packing, simhash, spans, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -16,6 +16,11 @@ def op7_simhash(spark, sf_dir):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_embedding_near_dedup(spark, sf_dir):
+    out = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op3_sentence_spans(spark, sf_dir):
     out = spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return out.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars"), "text")
@@ -39,6 +44,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_sentence_spans": op3_sentence_spans,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
