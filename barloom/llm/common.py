@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = materialize(small, "cc")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def regroup(batches):
+    """Re-cut sorted batches so that no value of the first column spans two of them."""
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        ids = np.array(b.column(0))
+        last = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
+        if last:
+            yield b.slice(0, last)
+        held = b.slice(last)
+    if held is not None and len(held):
+        yield held

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, embeddings, lm, packing, simhash, spans, toxicity
+from barloom.llm import decontaminate, embeddings, lm, packing, simhash, spans, suffixes, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -26,6 +26,10 @@ def op3_sentence_spans(spark, sf_dir):
     return out.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars"), "text")
 
 
+def op5_suffix_array(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -46,6 +50,7 @@ def op10_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_sentence_spans": op3_sentence_spans,
+    "op5_suffix_array": op5_suffix_array,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
