@@ -40,6 +40,12 @@ def hash_sample(df: DataFrame, rows: int, total: int, *cols: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
 
 
+def small_side(keys: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A table of keys (a few numbers a row) for a join: broadcast if it has at most ``most_rows`` rows,
+    which is counted, and otherwise left to the optimizer, which shuffles it."""
+    return F.broadcast(keys) if keys.limit(most_rows + 1).count() <= most_rows else keys
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, embeddings, lm, packing, simhash, spans, suffixes, toxicity
+from barloom.llm.common import shared_dir
+from barloom.llm import decontaminate, embeddings, html_text, lm, packing, sharding, simhash, spans, suffixes, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -21,6 +24,25 @@ def op1_embedding_near_dedup(spark, sf_dir):
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op2_sharding(spark, sf_dir, arrivals: int = 4):
+    """The table arrives in batches, is compacted, and is read back from the last manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    for i in range(arrivals):
+        store.append(docs.where(F.coalesce(F.pmod("doc_id", F.lit(arrivals)), F.lit(0)) == i))
+    store.compact()
+    store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", "lang", "source", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
+OP2_SQL = """SELECT doc_id, lang, source, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents"""
+
+
+def op4_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_sentence_spans(spark, sf_dir):
     out = spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return out.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars"), "text")
@@ -49,7 +71,9 @@ def op10_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_sharding": op2_sharding,
     "op3_sentence_spans": op3_sentence_spans,
+    "op4_html_text": op4_html_text,
     "op5_suffix_array": op5_suffix_array,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
@@ -57,4 +81,4 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op8_packing": packing.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op8_packing": packing.oracle_sql()}
