@@ -1,4 +1,225 @@
 """Registered queries of the engine and their DuckDB counterparts."""
 
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import functions as F
+
+from barloom.functions import calendar
+from barloom.functions.indicators import EMA_LENGTHS, INDICATOR_COLUMNS, indicator_table, with_indicators
+from barloom.operators import normalize, pullback, screen, similarity, structure, validate, windows
+from barloom.plans import oracle as sql
+from barloom.sources import bars, store, vendor
+from barloom.streaming.bars import stream_bars
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+NOW = "1998-06-10 15:00:00"
+PIVOT_CHAIN = (sql.PIVOTS,)
+EVENT_CHAIN = (sql.PIVOTS, sql.ZIGZAG, sql.EVENTS)
+LEARN_CHAIN = (*EVENT_CHAIN, sql.ANCHOR, sql.OUTCOME)
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+#: Averages of prices in cents end in exact halves of the last kept digit; both sides round them up.
+HALF = 1e-7
+
+
+def _rounded(df, columns, plain=("symbol", "ts")):
+    return df.select(*plain, *[F.round(F.col(c) + HALF, 4).alias(c) for c in columns])
+
+
+def _rounded_sql(source: str, columns, plain="symbol, ts", where="TRUE") -> str:
+    return f"SELECT {plain}, {', '.join(f'round({c} + 1e-7, 4) AS {c}' for c in columns)} FROM {source} WHERE {where}"
+
+
+# Bars
+
+query("ohlcv_daily", sql.DAILY)(bars.daily)
+query("ohlcv_hourly", sql.HOURLY)(bars.hourly)
+for _name, _unit in (("weekly", "week"), ("monthly", "month"), ("quarterly", "quarter")):
+    query(f"resample_{_name}", sql.resample(_unit))(lambda s, d, u=_unit: bars.resample(bars.daily(s, d), u))
+
+
+@query("stream_bars", sql.HOURLY)
+def _stream_bars(spark, sf_dir):
+    events = bars.table(spark, sf_dir, "events")
+    ticks = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("seq"))
+    return stream_bars(ticks).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# Indicators
+
+SINGLE = {
+    **{f"ema_{n}": (f"ema_{n}",) for n in EMA_LENGTHS}, "volume_ema": ("volume_ema_20",), "rel_volume": ("relative_volume_20",), "rsi": ("rsi_14",), "atr": ("atr_14",), "atr_pct": ("atr_percent_14",),
+    "macd": ("macd_12_26", "macd_signal_9", "macd_histogram"), "adx_di": ("adx_14", "plus_di_14", "minus_di_14"), "bands": ("band_upper_20_2", "band_middle_20", "band_lower_20_2", "band_width_20_2"), "roc": ("roc_20",), "obv": ("obv",),
+    "trailing_365d": ("trailing_365d_high", "trailing_365d_low"), "dist_high": ("distance_from_365d_high_percent",),
+}
+for _name, _columns in SINGLE.items():
+    query(_name, sql.chain() + _rounded_sql("ind", _columns, where=f"{_columns[0]} IS NOT NULL"))(
+        lambda s, d, c=_columns: _rounded(with_indicators(bars.daily(s, d)).where(F.col(c[0]).isNotNull()), c)
+    )
+_GATE = "ts >= (SELECT min(x.ts) FROM d x WHERE x.symbol = ind.symbol) + INTERVAL 365 DAY AND ema_200 IS NOT NULL"
+query("indicators_full", sql.chain() + _rounded_sql("ind", INDICATOR_COLUMNS, where=_GATE))(lambda s, d: _rounded(indicator_table(bars.daily(s, d)), INDICATOR_COLUMNS))
+query("prices_with_indicators", sql.chain() + _rounded_sql("ind", INDICATOR_COLUMNS, "symbol, ts, open, high, low, close, volume", _GATE))(
+    lambda s, d: _rounded(store.prices_with_indicators(bars.daily(s, d), indicator_table(bars.daily(s, d))), INDICATOR_COLUMNS, ("symbol", "ts", "open", "high", "low", "close", "volume"))
+)
+query("load_indicators", sql.chain() + _rounded_sql("ind", ("rsi_14",), where=_GATE + " AND symbol IN ('BUILDING', 'MACHINERY') AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-12-31'"))(
+    lambda s, d: _rounded(indicator_table(bars.daily(s, d)).where(F.col("symbol").isin("BUILDING", "MACHINERY") & F.col("ts").between(F.lit("1998-01-01").cast("timestamp_ntz"), F.lit("1998-12-31").cast("timestamp_ntz"))), ("rsi_14",))
+)
+query("history_gate", f"SELECT symbol, max(ts) >= min(ts) + INTERVAL 365 DAY AS has_year FROM ({sql.DAILY} UNION ALL {sql.HOURLY}) GROUP BY symbol")(
+    lambda s, d: bars.daily(s, d).unionByName(bars.hourly(s, d)).groupBy("symbol").agg((F.max("ts") >= F.min("ts") + F.expr("INTERVAL 365 DAYS")).alias("has_year"))
+)
+
+# Calendar
+
+_COMPLETE = {
+    "intraday": ("1h", "ts + INTERVAL 60 MINUTE <= n"), "multi_day": ("5d", "ts + INTERVAL 7200 MINUTE <= n"), "daily": ("1d", "CAST(ts AS DATE) < CAST(n AS DATE) OR (CAST(ts AS DATE) = CAST(n AS DATE) AND hour(n) >= 16)"),
+    "weekly": ("1wk", "isoyear(ts) <> isoyear(n) OR week(ts) <> week(n)"), "monthly": ("1mo", "year(ts) <> year(n) OR month(ts) <> month(n)"), "quarterly": ("3mo", "year(ts) <> year(n) OR quarter(ts) <> quarter(n)"),
+}
+for _name, (_interval, _rule) in _COMPLETE.items():
+    query(f"completed_{_name}", f"SELECT symbol, ts FROM (SELECT symbol, ts, TIMESTAMP '{NOW}' AS n FROM ({sql.DAILY})) WHERE {_rule}")(
+        lambda s, d, i=_interval: bars.daily(s, d).where(calendar.is_complete(i, F.col("ts"), F.lit(NOW).cast("timestamp_ntz"))).select("symbol", "ts")
+    )
+query("latest_completed_date", "SELECT event_id, CASE WHEN hour(ts) >= 16 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d') END AS day FROM events")(
+    lambda s, d: bars.table(s, d, "events").select("event_id", calendar.latest_completed_date(F.col("ts")).cast("string").alias("day"))
+)
+query("next_request_start", f"SELECT symbol, max(ts) + INTERVAL 60 MINUTE AS start_ts FROM ({sql.HOURLY}) GROUP BY symbol")(
+    lambda s, d: bars.hourly(s, d).groupBy("symbol").agg(F.max("ts").alias("t")).select("symbol", calendar.next_request_start("1h", F.col("t")).alias("start_ts"))
+)
+query("local_time", "SELECT event_id, ts + INTERVAL 330 MINUTE AS local_ts FROM events")(lambda s, d: bars.table(s, d, "events").select("event_id", calendar.to_local(F.col("ts")).alias("local_ts")))
+
+# Normalization, deduplication, validation, change detection
+
+query("dedup_keep_last", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")(
+    lambda s, d: normalize.keep_last(bars.table(s, d, "events").select("user_id", "event_type", "event_id", "value"), ("user_id", "event_type"), "event_id")
+)
+query("dedup_keep_first", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")(
+    lambda s, d: normalize.keep_first_rows(bars.table(s, d, "events").select("user_id", "event_type", "event_id"), "event_id")
+)
+
+
+def _raw(spark, sf_dir):
+    """Hourly bars with whole rows and, for one symbol, single values taken out, and a row sequence."""
+    b = bars.hourly(spark, sf_dir).withColumn("seq", F.hour("ts"))
+    gone = (F.hour("ts") == 3) | ((F.col("symbol") == "click") & (F.hour("ts") == 5))
+    values = {c: F.when(~gone, F.col(c)) for c in normalize.OHLCV[:4]}
+    return b.withColumns(values | {"volume": F.when(F.hour("ts") != 3, F.col("volume"))})
+
+
+_RAW_SQL = f"(SELECT * FROM ({sql.HOURLY}) WHERE hour(ts) <> 3 AND ts + INTERVAL 60 MINUTE <= TIMESTAMP '2024-01-20 12:30:00' AND symbol <> 'click')"
+query("drop_empty", f"SELECT symbol, CAST(count(*) AS BIGINT) AS n FROM ({sql.HOURLY}) WHERE hour(ts) <> 3 GROUP BY symbol")(lambda s, d: normalize.drop_empty(_raw(s, d)).groupBy("symbol").agg(F.count("*").alias("n")))
+query("normalized", f"SELECT symbol, ts, open, high, low, close, volume FROM {_RAW_SQL}")(lambda s, d: normalize.normalize(_raw(s, d), "1h", F.lit("2024-01-20 12:30:00").cast("timestamp_ntz"))[0])
+query("rejected", f"SELECT DISTINCT event_type AS symbol, 'candles are partially missing' AS error FROM events WHERE event_type = 'click'")(
+    lambda s, d: normalize.normalize(_raw(s, d), "1h", F.lit("2024-01-20 12:30:00").cast("timestamp_ntz"))[1]
+)
+query("validate_summary", f"SELECT symbol, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE close IS NULL) AS BIGINT) AS n_nulls, CAST(count(DISTINCT ts) AS BIGINT) AS n_keys FROM ({sql.DAILY}) GROUP BY symbol")(
+    lambda s, d: validate.summary(bars.daily(s, d), tuple(validate.PRICE_COLUMNS), "symbol").select("symbol", "n_rows", "n_nulls", "n_keys")
+)
+query("anti_missing", "SELECT c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(
+    lambda s, d: vendor.missing_symbols(bars.table(s, d, "customer").select(F.col("c_custkey").alias("symbol")), bars.table(s, d, "orders").select(F.col("o_custkey").alias("symbol")))
+)
+query("request_chunks", "SELECT CAST(c_custkey // 50 AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1")(
+    lambda s, d: bars.table(s, d, "customer").groupBy(F.expr("c_custkey div 50").alias("chunk")).agg(F.count("*").alias("n"))
+)
+
+
+@query("fingerprint_changed", "SELECT DISTINCT c_mktsegment AS symbol, c_mktsegment = 'BUILDING' AS changed FROM customer JOIN orders ON o_custkey = c_custkey")
+def _fingerprint_changed(spark, sf_dir):
+    b = bars.daily(spark, sf_dir)
+    moved = b.withColumn("close", F.when(F.col("symbol") == "BUILDING", F.col("close") + 1).otherwise(F.col("close")))
+    return store.changed_symbols(store.fingerprints(moved), store.fingerprints(b))
+
+
+query("status_counts", "SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")(
+    lambda s, d: bars.table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+)
+query("limit_scan", "SELECT event_id, ts, value FROM events ORDER BY event_id LIMIT 100")(lambda s, d: bars.table(s, d, "events").select("event_id", "ts", "value").orderBy("event_id").limit(100))
+
+# Windows
+
+query("window_lists", f"SELECT symbol, ts, array_to_string(list(volume) OVER w, ',') AS vols FROM ({sql.DAILY}) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 10")(
+    lambda s, d: windows.rolling_list(bars.daily(s, d), "volume").where("values IS NOT NULL").select("symbol", "ts", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("vols"))
+)
+query(
+    "forward_returns",
+    f"SELECT symbol, ts, {', '.join(f'round((lead(close, {h}) OVER w / close - 1) * 100 + 1e-7, 4) AS return_{h}' for h in (5, 10, 20, 30))} FROM ({sql.DAILY}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)",
+)(lambda s, d: _rounded(windows.forward_returns(bars.daily(s, d)), [f"return_{h}" for h in (5, 10, 20, 30)]))
+query("latest_rows", f"SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS close FROM ({sql.DAILY}) GROUP BY symbol")(lambda s, d: windows.latest(bars.daily(s, d)).select("symbol", "ts", "close"))
+
+
+@query(
+    "nonoverlap",
+    sql.chain(*EVENT_CHAIN)
+    + """, q AS (SELECT symbol, high_idx, low_idx, row_number() OVER (PARTITION BY symbol ORDER BY high_idx) AS k FROM ev),
+g AS (SELECT symbol, k, high_idx, low_idx, TRUE AS taken, low_idx AS upto FROM q WHERE k = 1
+ UNION ALL SELECT q.symbol, q.k, q.high_idx, q.low_idx, q.high_idx > g.upto, CASE WHEN q.high_idx > g.upto THEN q.low_idx ELSE g.upto END FROM g JOIN q ON q.symbol = g.symbol AND q.k = g.k + 1)
+SELECT symbol, high_idx, low_idx FROM g WHERE taken""",
+)
+def _nonoverlap(spark, sf_dir):
+    events = pullback.pullback_events(_zigzag(spark, sf_dir)).withColumn("rank", F.col("high_idx"))
+    return windows.greedy_windows(events, "rank", "high_idx", "low_idx", most=1_000_000).select("symbol", F.col("high_idx").cast("long").alias("high_idx"), F.col("low_idx").cast("long").alias("low_idx"))
+
+
+# Pullbacks
+
+
+def _indicators(spark, sf_dir):
+    """Kept on the executors' disks, as pullback plans read it several times; lost parts are computed anew."""
+    return with_indicators(bars.daily(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
+
+
+def _zigzag(spark, sf_dir):
+    return pullback.zigzag(pullback.fractal_pivots(_indicators(spark, sf_dir)))
+
+
+def _events(spark, sf_dir):
+    ind = _indicators(spark, sf_dir)
+    events = pullback.pullback_events(pullback.zigzag(pullback.fractal_pivots(ind)))
+    return pullback.with_outcome(pullback.with_anchor(events, ind), ind).persist(StorageLevel.DISK_ONLY), ind
+
+
+def _state(spark, sf_dir):
+    events, ind = _events(spark, sf_dir)
+    zz = pullback.zigzag(pullback.fractal_pivots(ind))
+    return pullback.current_state(ind, zz, pullback.signature(events), pullback.turn_trigger(events, ind)), events
+
+
+def _tiers(spark, sf_dir):
+    state, events = _state(spark, sf_dir)
+    rows = state.join(pullback.learned_horizon(events), "symbol", "left").withColumn("recovery", pullback.recovery_class(F.col("horizon_bars")))
+    return pullback.tier(rows)
+
+
+_longs = lambda df, *c: df.withColumns({x: F.col(x).cast("long") for x in c})
+query("fractal_pivots", sql.chain(*PIVOT_CHAIN) + "SELECT * FROM piv")(lambda s, d: _longs(pullback.fractal_pivots(_indicators(s, d)), "idx"))
+query("zigzag", sql.chain(*EVENT_CHAIN[:2]) + "SELECT * FROM zz")(lambda s, d: _longs(_zigzag(s, d), "idx"))
+query("pullback_events", sql.chain(*EVENT_CHAIN) + "SELECT symbol, high_idx, high, low_idx, low_ts, low, round(depth_pct + 1e-7, 4) AS depth_pct FROM ev")(
+    lambda s, d: _longs(pullback.pullback_events(_zigzag(s, d)), "high_idx", "low_idx").withColumn("depth_pct", F.round(F.col("depth_pct") + HALF, 4))
+)
+query("outcomes", sql.chain(*LEARN_CHAIN) + "SELECT symbol, low_idx, anchor, success, bars_to_win FROM evs")(lambda s, d: _longs(_events(s, d)[0].select("symbol", "low_idx", "anchor", "success", "bars_to_win"), "low_idx", "bars_to_win"))
+query("signature_iqr", sql.chain(*LEARN_CHAIN, sql.SIGNATURE) + _rounded_sql("sig", ("band_lo", "band_hi", "success_rate"), "symbol, n_events, confidence, anchor"))(
+    lambda s, d: _rounded(pullback.signature(_events(s, d)[0]), ("band_lo", "band_hi", "success_rate"), ("symbol", "n_events", "confidence", "anchor"))
+)
+query("turn_trigger", sql.chain(*LEARN_CHAIN, sql.TRIGGER) + _rounded_sql("trg", ("lift", "lag"), "symbol, n_winners, reclaim"))(
+    lambda s, d: _rounded(pullback.turn_trigger(*_events(s, d)), ("lift", "lag"), ("symbol", "n_winners", "reclaim"))
+)
+query("current_state")(lambda s, d: _state(s, d)[0])
+query("tiers")(_tiers)
+query("screen_lines")(lambda s, d: screen.lines(_tiers(s, d)))
+query("tier_counts")(lambda s, d: screen.tier_counts(_tiers(s, d)))
+query("learned_horizon")(lambda s, d: pullback.learned_horizon(_events(s, d)[0]))
+
+# Similarity and structure
+
+query("similarity_topk")(lambda s, d: similarity.matches(_indicators(s, d)))
+query("chart_structure")(lambda s, d: structure.analyze(_indicators(s, d), _zigzag(s, d)))
