@@ -141,46 +141,32 @@ def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
     return source.mapInArrow(run, schema)
 
 
-def _wide_postings(wide: DataFrame, id_col: str, lists: int) -> DataFrame:
-    """``key, id``: ``lists`` postings per fingerprint, each keyed by three of its positional bytes."""
-    picks = np.array([np.random.default_rng(i).permutation(32)[:3] for i in range(lists)])
+def _wide_postings(wide: DataFrame, lists: range) -> DataFrame:
+    """``key, id, root``: a posting per list for each row of ``wide`` (``id, f0..f3, root``), keyed by three
+    positional bytes of the fingerprint."""
+    numbers = np.array(lists)
+    picks = np.array([np.random.default_rng(i).permutation(32)[:3] for i in lists])
 
     def run(batches):
         for b in batches:
             for s in range(0, len(b), 4096):
                 part = b.slice(s, 4096)
                 octets = np.stack([np.array(part.column(i + 1)) for i in range(4)], 1).view(np.uint8).reshape(-1, 32).astype(np.int64)
-                keys = (octets[:, picks[:, 0]] << 16) | (octets[:, picks[:, 1]] << 8) | octets[:, picks[:, 2]] | (np.arange(lists) << 24)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(len(part)), lists)))], names=["key", "id"])
+                keys = (octets[:, picks[:, 0]] << 16) | (octets[:, picks[:, 1]] << 8) | octets[:, picks[:, 2]] | (numbers << 24)
+                take = pa.array(np.repeat(np.arange(len(part)), len(numbers)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(take), part.column(5).take(take)], names=["key", "id", "root"])
 
-    return wide.mapInArrow(run, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", wide.schema[id_col].dataType)]))
+    kind = wide.schema["id"].dataType
+    return wide.select("id", "f0", "f1", "f2", "f3", "root").mapInArrow(run, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("root", kind)]))
 
 
-def near_duplicate_ids(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, feature: int = 2, lists: int = 80, least_shared: int = 4, most_bits: int = 72
-) -> DataFrame:
-    """``id``: the documents that are a copy, or share ``similarity`` of their ``shingle``-word shingles (as
-    sets) with another one of their group, except for the smallest id of each group.
-
-    Equal texts are one class. Fingerprints of 256 bits, taken over ``feature``-word shingles, have 32
-    positional bytes; a posting is keyed by three of them. Short features change less than the compared
-    shingles do when single words are edited. Texts of similarity 0.8 keep about a quarter to a half of
-    their bytes, so no number of shared bytes is certain for them; with 80 posting lists, pairs of
-    similarity 0.9 meet with over 99.7 % probability, those of 0.84 with 93 % (a block added) to 99.9 %
-    (single words edited). A posting links its members to its smallest id, never all pairs. Candidates that
-    share fewer than ``least_shared`` positional bytes or differ in more than ``most_bits`` bits are dropped
-    and the rest verified exactly on their shingles.
-
-    A null id is in no group; texts without words have no shingles and group only with equal texts."""
-    key = [F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), text_col).alias("k2")]
-    keyed = materialize(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *key, (F.trim(F.coalesce(text_col, F.lit(""))) != "").alias("full")), "near")
-    classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.max("full").alias("full"))
-    copies = keyed.join(classes, ["k1", "k2"]).where("id <> node").select("id")
-    wide = materialize(_wide(docs, id_col, text_col, feature).withColumnRenamed(id_col, "id"), "near")
-    nodes = materialize(wide.join(classes.where("full").select(F.col("node").alias("id")), "id").dropDuplicates(["id"]), "near")
-    posts = _wide_postings(nodes, "id", lists)
-    ends = posts.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("hi")).where("u < hi").drop("hi")
-    met = posts.join(ends, "key").where("u < id").select("u", F.col("id").alias("v")).distinct()
+def _verified(docs: DataFrame, nodes: DataFrame, lists: range, id_col: str, text_col: str, shingle: int, similarity: float, least_shared: int, most_bits: int) -> DataFrame:
+    """``u, v``: verified pairs of different roots that meet in one of ``lists``. In each posting the smallest
+    id stands for all; postings whose members have one root have nothing to add."""
+    posts = _wide_postings(nodes, lists)
+    ends = posts.groupBy("key").agg(F.min(F.struct("id", "root")).alias("lo"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    ends = ends.select("key", F.col("lo.id").alias("u"), F.col("lo.root").alias("u_root"))
+    met = posts.join(ends, (posts["key"] == ends["key"]) & (F.col("root") != F.col("u_root"))).select("u", F.col("id").alias("v")).distinct()
     a, b = (nodes.select(F.col("id").alias(n), *[F.col(f"f{i}").alias(f"{n}{i}") for i in range(4)]) for n in "uv")
     tally = sum(shared_bytes(F.col(f"u{i}"), F.col(f"v{i}")) for i in range(4))
     apart = sum(F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(4))
@@ -206,7 +192,37 @@ def near_duplicate_ids(
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(held.select(F.col("id").alias("u"), F.col("h").alias("hu")), "u").join(held.select(F.col("id").alias("v"), F.col("h").alias("hv")), "v").select("u", "v", "hu", "hv")
-    links = both.mapInArrow(verify, T.StructType([pairs.schema["u"], pairs.schema["v"]]))
+    return materialize(both.mapInArrow(verify, T.StructType([pairs.schema["u"], pairs.schema["v"]])), "near")
+
+
+def near_duplicate_ids(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, feature: int = 2, lists: int = 72, first_lists: int = 8, least_shared: int = 4, most_bits: int = 72
+) -> DataFrame:
+    """``id``: the documents that are a copy, or share ``similarity`` of their ``shingle``-word shingles (as
+    sets) with another one of their group, except for the smallest id of each group.
+
+    Equal texts are one class. Fingerprints of 256 bits, taken over ``feature``-word shingles, have 32
+    positional bytes; a posting is keyed by three of them. Short features change less than the compared
+    shingles do when single words are edited. Texts of similarity 0.8 keep about a quarter to a half of
+    their bytes, so no number of shared bytes is certain for them; with 72 posting lists, pairs of
+    similarity 0.9 meet with over 99 % probability, those of 0.84 with 91 % (a block added) to 99.9 %
+    (single words edited). A posting links its members to its smallest id, never all pairs. The first lists
+    join most members of a large group; the others only add links between groups. Candidates that
+    share fewer than ``least_shared`` positional bytes or differ in more than ``most_bits`` bits are dropped
+    and the rest verified exactly on their shingles.
+
+    A null id is in no group; texts without words have no shingles and group only with equal texts."""
+    key = [F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), text_col).alias("k2")]
+    keyed = materialize(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *key, (F.trim(F.coalesce(text_col, F.lit(""))) != "").alias("full")), "near")
+    classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.max("full").alias("full"))
+    copies = keyed.join(classes, ["k1", "k2"]).where("id <> node").select("id")
+    wide = materialize(_wide(docs, id_col, text_col, feature).withColumnRenamed(id_col, "id"), "near")
+    nodes = materialize(wide.join(classes.where("full").select(F.col("node").alias("id")), "id").dropDuplicates(["id"]), "near")
+    find = (id_col, text_col, shingle, similarity, least_shared, most_bits)
+    links = _verified(docs, nodes.withColumn("root", F.col("id")), range(first_lists), *find)
+    roots = materialize(connected_components(links), "near")
+    rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "id").alias("root"))
+    links = links.unionByName(_verified(docs, materialize(rooted, "near"), range(first_lists, lists), *find))
     roots = connected_components(links)
     return materialize(copies.union(roots.where("node <> root").select(F.col("node").alias("id"))).distinct(), "near")
 
