@@ -113,7 +113,7 @@ def current_state(bars: DataFrame, zz: DataFrame, sig: DataFrame, trigger: DataF
     depth = (high - close) / high * 100
     uptrend = F.coalesce((close > F.col("now.ema_50")) & (F.col("now.ema_50") > F.col("now.__e50")), F.lit(False))
     pick = lambda side: reduce(lambda rest, n: F.when(F.col("reclaim") == f"ema_{n}", F.col(f"{side}.ema_{n}")).otherwise(rest), EMA_LENGTHS, F.lit(None).cast("double"))
-    s = s.withColumns({"__then": pick("dip"), "__line": pick("now"), "__lift": (close - F.col("dip.low")) / F.col("dip.atr_14")})
+    s = s.withColumns({"__then": pick("dip"), "__line": pick("now"), "__lift": F.try_divide(close - F.col("dip.low"), F.col("dip.atr_14"))})
     can = F.col("lift").isNotNull() & F.col("dip.low").isNotNull() & (F.col("dip.atr_14") > 0)
     by_lift = F.col("__lift") >= F.col("lift")
     by_line = F.coalesce((F.col("dip.low") < F.col("__then")) & (close > F.col("__line")), F.lit(False))

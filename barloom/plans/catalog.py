@@ -213,13 +213,25 @@ query("signature_iqr", sql.chain(*LEARN_CHAIN, sql.SIGNATURE) + _rounded_sql("si
 query("turn_trigger", sql.chain(*LEARN_CHAIN, sql.TRIGGER) + _rounded_sql("trg", ("lift", "lag"), "symbol, n_winners, reclaim"))(
     lambda s, d: _rounded(pullback.turn_trigger(*_events(s, d)), ("lift", "lag"), ("symbol", "n_winners", "reclaim"))
 )
-query("current_state")(lambda s, d: _state(s, d)[0])
-query("tiers")(_tiers)
-query("screen_lines")(lambda s, d: screen.lines(_tiers(s, d)))
-query("tier_counts")(lambda s, d: screen.tier_counts(_tiers(s, d)))
-query("learned_horizon")(lambda s, d: pullback.learned_horizon(_events(s, d)[0]))
+STATE_CHAIN = (*LEARN_CHAIN, sql.SIGNATURE, sql.TRIGGER, sql.STATE)
+TIER_CHAIN = (*STATE_CHAIN, sql.HORIZON, sql.TIERS)
+STATE_VALUES = ("now_off_high", "live_low_dip", "band_lo", "band_hi", "success_rate", "buy_trigger_price")
+STATE_PLAIN = ("symbol", "ts", "close", "live_high", "live_low", "live_low_ts", "floor_price", "uptrend", "turn_confirmed", "turn_path", "state")
+TIER_PLAIN = (*STATE_PLAIN, "horizon_bars", "recovery", "tier")
+query("current_state", sql.chain(*STATE_CHAIN) + _rounded_sql("st", STATE_VALUES, ", ".join(STATE_PLAIN)))(lambda s, d: _rounded(_state(s, d)[0], STATE_VALUES, STATE_PLAIN))
+query("tiers", sql.chain(*TIER_CHAIN) + _rounded_sql("tiered", STATE_VALUES, ", ".join(TIER_PLAIN)))(lambda s, d: _rounded(_tiers(s, d), STATE_VALUES, TIER_PLAIN))
+query("screen_lines", sql.chain(*TIER_CHAIN) + sql.SCREEN_LINES)(lambda s, d: _rounded(screen.lines(_tiers(s, d)), ("success_rate",), ("tier_ord", "symbol", "line")))
+query("tier_counts", sql.chain(*TIER_CHAIN) + sql.TIER_COUNTS)(lambda s, d: screen.tier_counts(_tiers(s, d)))
+query("learned_horizon", sql.chain(*LEARN_CHAIN, sql.HORIZON) + "SELECT symbol, horizon_bars FROM hz")(lambda s, d: pullback.learned_horizon(_events(s, d)[0]))
 
 # Similarity and structure
 
 query("similarity_topk")(lambda s, d: similarity.matches(_indicators(s, d)))
-query("chart_structure")(lambda s, d: structure.analyze(_indicators(s, d), _zigzag(s, d)))
+
+
+@query("chart_structure", sql.chain(*EVENT_CHAIN[:2], sql.STRUCTURE))
+def _chart_structure(spark, sf_dir):
+    """One row per formation found; symbols without one have nulls there."""
+    found = structure.analyze(_indicators(spark, sf_dir), _zigzag(spark, sf_dir))
+    plain = ("symbol", "trend", "swing_sequence", "formation", "breakout_state")
+    return _rounded(found.select(*plain, F.inline_outer("patterns")), ("confirmation_level", "invalidation_level"), (*plain, "name", "status"))

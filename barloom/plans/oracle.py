@@ -74,6 +74,59 @@ trg AS (SELECT symbol, CAST(count(*) AS BIGINT) AS n_winners, CASE WHEN count(*)
 SIGNATURE = """g0 AS (SELECT symbol, anchor FROM (SELECT symbol, anchor, count(*) AS c, min(low_idx) AS f FROM evs GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY c DESC, f) = 1),
 sig AS (SELECT symbol, CAST(count(*) AS BIGINT) AS n_events, quantile_cont(depth_pct, 0.25) AS band_lo, quantile_cont(depth_pct, 0.75) AS band_hi, avg(CAST(success AS INTEGER)) AS success_rate, CASE WHEN count(*) >= 5 THEN 'ok' ELSE 'low' END AS confidence, any_value(g0.anchor) AS anchor FROM evs JOIN g0 USING (symbol) GROUP BY symbol)"""
 
+HORIZON = """hz AS (SELECT symbol, CAST(CASE WHEN count(*) >= 5 THEN least(greatest(ceil(quantile_cont(bars_to_win, 0.75)), 4), 70) ELSE 15 END AS INTEGER) AS horizon_bars FROM evs WHERE success GROUP BY symbol)"""
+_AVERAGE = "CASE trg.reclaim WHEN 'ema_10' THEN {0}.ema_10 WHEN 'ema_20' THEN {0}.ema_20 WHEN 'ema_50' THEN {0}.ema_50 WHEN 'ema_100' THEN {0}.ema_100 WHEN 'ema_200' THEN {0}.ema_200 END"
+STATE = f"""s_top AS (SELECT symbol, idx, price, run FROM zz WHERE kind = 'H' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY run DESC) = 1),
+s_floor AS (SELECT zz.symbol, zz.price AS floor_price FROM zz JOIN s_top t ON t.symbol = zz.symbol AND zz.run < t.run WHERE zz.kind = 'L' QUALIFY row_number() OVER (PARTITION BY zz.symbol ORDER BY zz.run DESC) = 1),
+s_now AS (SELECT * FROM (SELECT *, lag(ema_50, 19) OVER (PARTITION BY symbol ORDER BY idx) AS before50 FROM ind) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1),
+s_dip AS (SELECT ind.* FROM ind JOIN s_top t ON t.symbol = ind.symbol AND ind.idx > t.idx QUALIFY row_number() OVER (PARTITION BY ind.symbol ORDER BY ind.low, ind.idx) = 1),
+s_all AS (SELECT n.symbol, n.ts, n.close, t.price AS live_high, (t.price - n.close) / t.price * 100 AS now_off_high, dip.low AS live_low, dip.ts AS live_low_ts, (t.price - dip.low) / t.price * 100 AS live_low_dip,
+ floor_price, band_lo, band_hi, success_rate, confidence, trg.lift, dip.atr_14 AS dip_atr, coalesce(n.close > n.ema_50 AND n.ema_50 > n.before50, FALSE) AS uptrend, {_AVERAGE.format("dip")} AS line_then, {_AVERAGE.format("n")} AS line_now
+ FROM s_now n JOIN s_top t USING (symbol) LEFT JOIN s_dip dip ON dip.symbol = n.symbol LEFT JOIN s_floor f ON f.symbol = n.symbol LEFT JOIN sig ON sig.symbol = n.symbol LEFT JOIN trg ON trg.symbol = n.symbol),
+s_turn AS (SELECT *, CASE WHEN lift IS NOT NULL AND dip_atr > 0 THEN (close - live_low) / dip_atr >= lift END AS lifted, coalesce(live_low < line_then AND close > line_now, FALSE) AS reclaimed FROM s_all),
+st AS (SELECT symbol, ts, close, live_high, now_off_high, live_low, live_low_ts, live_low_dip, floor_price, band_lo, band_hi, success_rate, uptrend, CASE WHEN lifted IS NOT NULL THEN lifted OR reclaimed END AS turn_confirmed,
+ CASE WHEN lifted THEN 'lift' WHEN lifted IS NOT NULL AND reclaimed THEN 'reclaim' END AS turn_path,
+ CASE WHEN confidence = 'ok' AND uptrend THEN CASE WHEN now_off_high BETWEEN band_lo AND band_hi THEN CASE WHEN lifted IS NULL THEN 'buyable-dip-now/turn-unconfirmable' WHEN lifted OR reclaimed THEN 'buy-the-dip-turned' ELSE 'wait-not-turned' END
+  WHEN now_off_high < band_lo THEN 'pullback-coming/wait' ELSE 'no-match' END ELSE 'no-match' END AS state,
+ CASE WHEN NOT lifted AND NOT reclaimed THEN least(live_low + lift * dip_atr, CASE WHEN live_low < line_then THEN line_now END) END AS buy_trigger_price FROM s_turn)"""
+TIERS = """tr0 AS (SELECT st.*, hz.horizon_bars, CASE WHEN horizon_bars <= 21 THEN 'fast' WHEN horizon_bars <= 35 THEN 'medium' ELSE 'slow' END AS recovery FROM st LEFT JOIN hz USING (symbol)),
+tiered AS (SELECT *, CASE WHEN greatest(now_off_high, live_low_dip) > 1.5 * band_hi THEN 'AVOID' WHEN live_low < floor_price THEN 'CAUTION' WHEN now_off_high <= 0 OR now_off_high < band_lo THEN 'WATCH' WHEN turn_confirmed IS NULL THEN 'SPEC'
+ WHEN NOT turn_confirmed THEN 'WAIT' WHEN success_rate < 0.5 THEN 'SPEC' WHEN recovery = 'slow' THEN 'PATIENT' ELSE 'BUY' END AS tier FROM tr0),
+tier_order AS (SELECT tier, CAST(ord AS INTEGER) AS ord FROM (VALUES ('BUY', 0), ('PATIENT', 1), ('SPEC', 2), ('WAIT', 3), ('WATCH', 4), ('CAUTION', 5), ('AVOID', 6)) v(tier, ord))"""
+TIER_COUNTS = "SELECT o.tier, CAST(count(t.tier) AS BIGINT) AS n, o.ord FROM tier_order o LEFT JOIN tiered t ON t.tier = o.tier GROUP BY o.tier, o.ord"
+_CELL = "coalesce(format('{{:,.2f}}', {0}), '')"
+SCREEN_LINES = f"""SELECT CAST(o.ord + 1 AS BIGINT) AS tier_ord, round(success_rate + 1e-7, 4) AS success_rate, symbol, '| ' || symbol || ' | ' || tier || ' | ' || {_CELL.format("now_off_high")} || ' | ' || {_CELL.format("live_low_dip")} || ' | ' || {_CELL.format("success_rate")} || ' | ' ||
+ CASE WHEN turn_confirmed THEN '✓(' || turn_path || ')' WHEN NOT turn_confirmed THEN coalesce('— ' || format('{{:,.2f}}', buy_trigger_price), '—') ELSE 'n/a' END || ' | ' || {_CELL.format("buy_trigger_price")} || ' |' AS line FROM tiered JOIN tier_order o USING (tier)"""
+
+#: Formations from the last seven pivots: name, test, upward, confirmation level, invalidation level.
+_FORMATIONS = (
+    ("double-bottom", "flat_l AND h1 < h2 - tol AND last_kind = 'L'", True, "h1", "least(l1, l2) - tol"),
+    ("double-top", "flat_h AND l1 > l2 + tol AND last_kind = 'H'", False, "l1", "greatest(h1, h2) + tol"),
+    ("head-and-shoulders", "abs(h1 - h3) <= tol AND h2 > greatest(h1, h3) + tol", False, "least(l1, l2)", "h2"),
+    ("inverse-head-and-shoulders", "abs(l1 - l3) <= tol AND l2 < least(l1, l3) - tol", True, "greatest(h1, h2)", "l2"),
+    ("ascending-triangle", "flat_h AND l1 > l2 + tol / 2", True, "greatest(h1, h2)", "l1"),
+    ("descending-triangle", "flat_l AND h1 < h2 - tol / 2", False, "least(l1, l2)", "h1"),
+    ("symmetrical-triangle", "h1 < h2 - tol / 2 AND l1 > l2 + tol / 2", True, "h1", "l1"),
+    ("ascending-channel", "rising", True, "h1", "l1"),
+    ("descending-channel", "falling", False, "l1", "h1"),
+    ("horizontal-range", "flat_h AND flat_l AND h2 - greatest(l1, l2) > 3 * tol", True, "greatest(h1, h2)", "least(l1, l2)"),
+)
+
+
+def _formation(k: int, name: str, test: str, up: bool, confirm: str, fail: str) -> str:
+    over, under = (">", "<") if up else ("<", ">")
+    status = f"CASE WHEN close {over} {confirm} THEN 'confirmed' WHEN close {under} {fail} THEN 'invalidated' ELSE 'developing' END"
+    return f"SELECT symbol, {k} AS k, '{name}' AS name, {status} AS status, {confirm} AS confirmation_level, {fail} AS invalidation_level FROM c2 WHERE {test}"
+
+
+STRUCTURE = f"""c0 AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY run DESC) AS nth FROM (SELECT * FROM zz QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY run DESC) <= 7)),
+c1 AS (SELECT symbol, {", ".join(f"max(price) FILTER (WHERE kind = '{k}' AND nth = {i}) AS {k.lower()}{i}" for k in "HL" for i in (1, 2, 3))}, max(price) FILTER (WHERE kind = 'H') AS top, min(price) FILTER (WHERE kind = 'L') AS bottom, arg_max(kind, run) AS last_kind FROM c0 GROUP BY symbol),
+c2 AS (SELECT *, abs(h1 - h2) <= tol AS flat_h, abs(l1 - l2) <= tol AS flat_l, h1 - h2 > tol AND l1 - l2 > tol AS rising, h2 - h1 > tol AND l2 - l1 > tol AS falling FROM (SELECT *, 0.12 * (top - bottom) AS tol FROM c1) JOIN (SELECT symbol, arg_max(close, ts) AS close FROM ind GROUP BY symbol) USING (symbol)),
+c3 AS ({" UNION ALL ".join(_formation(k, *x) for k, x in enumerate(_FORMATIONS))})
+SELECT c2.symbol, CASE WHEN rising THEN 'bullish' WHEN falling THEN 'bearish' ELSE 'sideways' END AS trend, CASE WHEN rising THEN 'higher-highs-higher-lows' WHEN falling THEN 'lower-highs-lower-lows' ELSE 'mixed' END AS swing_sequence,
+ coalesce(last_value(c3.name) OVER (PARTITION BY c2.symbol ORDER BY c3.k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 'none') AS formation, CASE WHEN close > top OR close < bottom THEN 'breakout' ELSE 'inside' END AS breakout_state,
+ c3.name, c3.status, round(confirmation_level + 1e-7, 4) AS confirmation_level, round(invalidation_level + 1e-7, 4) AS invalidation_level FROM c2 LEFT JOIN c3 ON c3.symbol = c2.symbol"""
+
 
 def chain(*parts: str) -> str:
     return "WITH " + ",\n".join((INDICATORS, *parts)) + "\n"
