@@ -226,7 +226,10 @@ query("learned_horizon", sql.chain(*LEARN_CHAIN, sql.HORIZON) + "SELECT symbol,
 
 # Similarity and structure
 
-query("similarity_topk")(lambda s, d: similarity.matches(_indicators(s, d)))
+SIMILAR_VALUES = ("combined_distance", "chart_shape_distance", *[f"return_{h}" for h in similarity.FUTURE_PERIODS])
+query("similarity_topk", sql.chain(sql.SIMILAR) + _rounded_sql("alike", SIMILAR_VALUES, "symbol, CAST(position AS BIGINT) AS position, first_idx, idx, ts"))(
+    lambda s, d: _longs(_rounded(similarity.matches(_indicators(s, d)), SIMILAR_VALUES, ("symbol", "position", "first_idx", "idx", "ts")), "position", "first_idx", "idx")
+)
 
 
 @query("chart_structure", sql.chain(*EVENT_CHAIN[:2], sql.STRUCTURE))

@@ -127,6 +127,24 @@ SELECT c2.symbol, CASE WHEN rising THEN 'bullish' WHEN falling THEN 'bearish' EL
  coalesce(last_value(c3.name) OVER (PARTITION BY c2.symbol ORDER BY c3.k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 'none') AS formation, CASE WHEN close > top OR close < bottom THEN 'breakout' ELSE 'inside' END AS breakout_state,
  c3.name, c3.status, round(confirmation_level + 1e-7, 4) AS confirmation_level, round(invalidation_level + 1e-7, 4) AS invalidation_level FROM c2 LEFT JOIN c3 ON c3.symbol = c2.symbol"""
 
+_LISTS = {"shape": ("open", "high", "low", "close", "ema_20"), "vol": ("rv", "va", "flow"), "candle": ("body", "up", "down", "span"), "mom": ("rsi_14", "roc_20"), "strength": ("adx_14", "plus_di_14", "minus_di_14"), "yearly": ("distance_from_365d_high_percent",)}
+_CALLS = {name: "flatten([" + ", ".join(f"list({c}) OVER v" for c in columns) + "])" for name, columns in _LISTS.items()}
+_REGIMES = ("direction", "side_50", "side_200", "volatility", "yearly_regime")
+#: Windows of ten bars with their context and six vectors, distances to the latest, then greedy choice.
+SIMILAR = f"""m0 AS (SELECT *, coalesce(relative_volume_20, 0) AS rv, coalesce(volume_ema_20 / lag(volume_ema_20) OVER w, 1) AS va, sign(close - lag(close) OVER w) * coalesce(relative_volume_20, 0) AS flow, (close - open) / atr_14 AS body,
+ (high - greatest(open, close)) / atr_14 AS up, (least(open, close) - low) / atr_14 AS down, (high - low) / atr_14 AS span, {", ".join(f"(lead(close, {h}) OVER w / close - 1) * 100 AS return_{h}" for h in (5, 10, 20, 30))} FROM ind WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
+m1 AS (SELECT *, min(idx) OVER v AS first_idx, count(*) OVER v AS n, {", ".join(f"{x} AS {n}" for n, x in _CALLS.items())} FROM m0 WINDOW v AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+m2 AS (SELECT m1.symbol, idx, first_idx, ts, return_5, return_10, return_20, return_30, list_transform(shape, lambda x: x / close - 1) AS shape, vol, list_append(candle, atr_percent_14) AS candle, list_transform(mom, lambda x: x / 100) AS mom, list_transform(strength, lambda x: x / 100) AS strength,
+ list_transform(yearly, lambda x: x / 100) AS yearly, CASE WHEN plus_di_14 > minus_di_14 THEN 'up' ELSE 'down' END AS direction, close > ema_50 AS side_50, close > ema_200 AS side_200, CASE WHEN atr_percent_14 <= lo THEN 'low' WHEN atr_percent_14 <= hi THEN 'middle' ELSE 'high' END AS volatility,
+ CASE WHEN distance_from_365d_high_percent >= -10 THEN 'near-high' WHEN distance_from_365d_high_percent >= -30 THEN 'middle' ELSE 'far' END AS yearly_regime
+ FROM m1 JOIN (SELECT symbol, quantile_cont(atr_percent_14, 1 / 3.0) AS lo, quantile_cont(atr_percent_14, 2 / 3.0) AS hi FROM ind GROUP BY symbol) c ON c.symbol = m1.symbol WHERE n = 10 AND ema_200 IS NOT NULL),
+m3 AS (SELECT a.*, {", ".join(f"list_distance(a.{n}, z.{n}) / sqrt(len(a.{n})) AS d_{n}" for n in _LISTS)} FROM m2 a JOIN (SELECT * FROM m2 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1) z
+ ON z.symbol = a.symbol AND a.idx < z.first_idx AND {" AND ".join(f"a.{r} = z.{r}" for r in _REGIMES)}),
+m4 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY combined_distance, first_idx, idx) AS k FROM (SELECT *, ({" + ".join(f"d_{n}" for n in _LISTS)}) / 6 AS combined_distance FROM m3)),
+m5 AS (SELECT symbol, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, FALSE AS hit FROM (SELECT DISTINCT symbol FROM m4)
+ UNION ALL SELECT symbol, k, CASE WHEN free THEN list_append(taken, idx) ELSE taken END, free FROM (SELECT m4.symbol, m4.k, m4.idx, m5.taken, len(list_filter(m5.taken, lambda t: abs(t - m4.idx) < 10)) = 0 AND len(m5.taken) < 200 AS free FROM m5 JOIN m4 ON m4.symbol = m5.symbol AND m4.k = m5.k + 1)),
+alike AS (SELECT m4.symbol, len(m5.taken) AS position, first_idx, idx, ts, combined_distance, d_shape AS chart_shape_distance, return_5, return_10, return_20, return_30 FROM m4 JOIN m5 ON m5.symbol = m4.symbol AND m5.k = m4.k WHERE m5.hit)"""
+
 
 def chain(*parts: str) -> str:
     return "WITH " + ",\n".join((INDICATORS, *parts)) + "\n"

@@ -24,13 +24,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.ORACLE_SQL])
+@pytest.mark.parametrize("name", catalog.QUERIES)
 def test_matches_sql(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["tiers", "similarity_topk", "chart_structure"])
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert catalog.QUERIES.keys() == catalog.ORACLE_SQL.keys()
