@@ -39,6 +39,14 @@ def op2_sharding(spark, sf_dir, arrivals: int = 4):
 OP2_SQL = """SELECT doc_id, lang, source, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents"""
 
 
+OP1_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 ELSE FALSE END),
+r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.w, r.root FROM r JOIN l ON l.u = r.node WHERE r.root < l.w),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node), k AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, coalesce(c.root, vec_id) AS component_id, vec_id = coalesce(c.root, vec_id) AS kept FROM embeddings LEFT JOIN c ON c.node = vec_id LEFT JOIN k ON k.u = vec_id"""
+
+
 def op4_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -81,4 +89,4 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op8_packing": packing.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op8_packing": packing.oracle_sql()}
