@@ -155,6 +155,29 @@ def tier(row: DataFrame) -> DataFrame:
     return row.withColumn("tier", rule)
 
 
+def choppiness(bars: DataFrame, n: int = 14) -> DataFrame:
+    """``symbol, choppiness, k`` at the last bar: 100 log10(sum of true ranges / range of ``n`` bars) / log10(n),
+    and the pivot half-width we take for it: 4 in a trend, 8 in a choppy series, 6 between the usual bounds."""
+    last = F.lag("close").over(_series())
+    span = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last))
+    w = _series().rowsBetween(1 - n, 0)
+    b = bars.withColumn("__tr", span).withColumns({"__sum": F.sum("__tr").over(w), "__range": F.max("high").over(w) - F.min("low").over(w), "__n": F.count("*").over(w)})
+    ends = b.where(F.col("__n") == n).groupBy("symbol").agg(F.max_by(F.struct("__sum", "__range"), "idx").alias("e"))
+    value = F.log10(F.try_divide("e.__sum", "e.__range")) * 100 / F.log10(F.lit(float(n)))
+    ends = ends.select("symbol", value.alias("choppiness"))
+    return ends.withColumn("k", F.when(F.col("choppiness") < 38.2, 4).when(F.col("choppiness") > 61.8, 8).otherwise(6).cast("long"))
+
+
+def shortlists(bars: DataFrame, windows: tuple[int, ...] = (60, 120, 240), least: float = 3.0) -> DataFrame:
+    """``w, symbol``: symbols whose last close lies ``least`` percent or more under the highest high of the last
+    ``w`` bars and above their longest average."""
+    w = lambda n: F.max("high").over(_series().rowsBetween(1 - n, 0)).alias("high")
+    tops = F.array(*[F.struct(F.lit(n).cast("long").alias("w"), w(n)) for n in windows])
+    ends = bars.select("symbol", "idx", "close", "ema_200", tops.alias("tops")).groupBy("symbol").agg(F.max_by(F.struct("close", "ema_200", "tops"), "idx").alias("e"))
+    e = ends.select("symbol", "e.close", "e.ema_200", F.inline("e.tops"))
+    return e.where((F.try_divide(F.col("high") - F.col("close"), F.col("high")) * 100 >= least) & (F.col("close") > F.col("ema_200"))).select("w", "symbol")
+
+
 def shortlist_overlap(lists: DataFrame, window: str = "w", symbol: str = "symbol") -> DataFrame:
     """Jaccard overlap of the symbol lists of each two windows."""
     sets = lists.groupBy(window).agg(F.collect_set(symbol).alias("s"))

@@ -12,6 +12,12 @@ SUBGROUPS = ("chart_shape", "volume", "candle_volatility", "momentum", "trend_st
 CONTEXT = ("direction_regime", "ema_50_side", "ema_200_side", "volatility_regime", "yearly_position_regime")
 
 
+def validate_symbol(symbol: str) -> str:
+    if not symbol.strip():
+        raise ValueError("a symbol is required")
+    return symbol.strip()
+
+
 def features(bars: DataFrame) -> DataFrame:
     """One row per bar with its context, the six vectors of its window, and the window's first index.
 

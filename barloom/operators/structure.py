@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-PERIODS, LEAST_PERIODS = 120, 30
+from barloom.operators.windows import forward_returns, greedy_windows
+
+PERIODS, LEAST_PERIODS, PIVOTS_READ, HISTORY_HORIZONS = 120, 30, 7, (5, 10, 20)
 
 
 def validate_request(symbol: str, periods: int = PERIODS) -> None:
@@ -19,6 +22,11 @@ def validate_request(symbol: str, periods: int = PERIODS) -> None:
         raise ValueError(f"periods must be at least {LEAST_PERIODS}")
 
 
+def with_tolerance(bars: DataFrame, factor: float = 0.5) -> DataFrame:
+    """``bars`` with ``tolerance``, a share of the average true range; bars without a positive one go."""
+    return bars.where(F.col("atr_14") > 0).withColumn("tolerance", F.col("atr_14") * factor)
+
+
 def _near(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.col("tol")
 
@@ -28,11 +36,34 @@ def analyze(bars: DataFrame, pivots: DataFrame) -> DataFrame:
 
     ``pivots`` alternate (``symbol, run, kind, price``); the last seven are read, newest last."""
     p = pivots.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("run", "kind", "price"))).alias("p"))
-    p = p.withColumn("p", F.slice("p", F.greatest(F.size("p") - 6, F.lit(1)), 7))
+    p = p.withColumn("p", F.slice("p", F.greatest(F.size("p") - (PIVOTS_READ - 1), F.lit(1)), PIVOTS_READ))
+    return _read(p.join(bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("close")), "symbol"), ("symbol",))
+
+
+def historical(bars: DataFrame, pivots: DataFrame, horizons: tuple[int, ...] = HISTORY_HORIZONS) -> DataFrame:
+    """Earlier occurrences of each symbol's present formation and the percent change of the close after them.
+
+    Every window of seven pivots (a bar may be two of them) is read like the last one, at the close of its last. Occurrences end
+    before the present window starts and do not overlap: earlier ones win, an end lies before the next start."""
+    w = Window.partitionBy("symbol").orderBy("run").rowsBetween(1 - PIVOTS_READ, 0)
+    p = pivots.select("symbol", "run", "idx", F.collect_list(F.struct("run", "kind", "price")).over(w).alias("p"), F.min("idx").over(w).alias("window_start_index"), F.count("*").over(w).alias("n")).where(F.col("n") == PIVOTS_READ)
+    after = forward_returns(bars, horizons).select("symbol", "idx", "close", *[f"return_{h}" for h in horizons])
+    keys = ("symbol", "window_start_index", "idx")
+    past = _read(p.join(after.select("symbol", "idx", "close"), ["symbol", "idx"]), keys)
+    newest = pivots.groupBy("symbol").agg(F.max("run").alias("last_run"))
+    start = pivots.join(newest, "symbol").where(F.col("run") > F.col("last_run") - PIVOTS_READ).groupBy("symbol").agg(F.min("idx").alias("now_start"))
+    now = analyze(bars, pivots).where("formation <> 'none'").select("symbol", "formation").join(start, "symbol")
+    same = past.drop("formation").join(now, "symbol").where(F.exists("patterns", lambda x: x["name"] == F.col("formation")) & (F.col("idx") < F.col("now_start")))
+    found = same.select("symbol", "formation", F.col("window_start_index").alias("rank"), "window_start_index", F.col("idx").alias("window_end_index"))
+    kept = greedy_windows(found, "rank", "window_start_index", "window_end_index", most=1_000_000).drop("rank")
+    after = after.drop("close").withColumnRenamed("idx", "window_end_index")
+    return kept.join(now.select("symbol", "formation"), "symbol").join(after, ["symbol", "window_end_index"])
+
+
+def _read(p: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """What the pivots ``p`` say at the price ``close``; one row per row, named by ``keys``."""
     prices = lambda kind: F.transform(F.filter("p", lambda x: x["kind"] == kind), lambda x: x["price"])
     p = p.withColumns({"H": prices("H"), "L": prices("L")})
-    ends = bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("close"))
-    p = p.join(ends, "symbol")
     at = lambda side, i: F.try_element_at(F.col(side), F.lit(-i))  # noqa: E731  i-th from the end
     h1, h2, h3, l1, l2, l3 = (at(s, i) for s in "HL" for i in (1, 2, 3))
     top, low = F.array_max("H"), F.array_min("L")
@@ -63,7 +94,7 @@ def analyze(bars: DataFrame, pivots: DataFrame) -> DataFrame:
     p = p.withColumn("patterns", F.filter(made, lambda x: x.isNotNull()))
     trend = F.when(rising, "bullish").when(falling, "bearish").otherwise("sideways")
     return p.select(
-        "symbol", trend.alias("trend"), F.when(rising, "higher-highs-higher-lows").when(falling, "lower-highs-lower-lows").otherwise("mixed").alias("swing_sequence"),
+        *keys, trend.alias("trend"), F.when(rising, "higher-highs-higher-lows").when(falling, "lower-highs-lower-lows").otherwise("mixed").alias("swing_sequence"),
         F.coalesce(F.try_element_at(F.col("patterns"), F.lit(-1))["name"], F.lit("none")).alias("formation"),
         F.when((close > top) | (close < low), "breakout").otherwise("inside").alias("breakout_state"), "patterns",
     )

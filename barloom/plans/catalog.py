@@ -238,3 +238,14 @@ def _chart_structure(spark, sf_dir):
     found = structure.analyze(_indicators(spark, sf_dir), _zigzag(spark, sf_dir))
     plain = ("symbol", "trend", "swing_sequence", "formation", "breakout_state")
     return _rounded(found.select(*plain, F.inline_outer("patterns")), ("confirmation_level", "invalidation_level"), (*plain, "name", "status"))
+
+
+HISTORY_VALUES = tuple(f"return_{h}" for h in structure.HISTORY_HORIZONS)
+HISTORY_PLAIN = ("symbol", "formation", "position", "window_start_index", "window_end_index")
+query("chart_history", sql.chain(*EVENT_CHAIN[:2], sql.HISTORY) + _rounded_sql("past", HISTORY_VALUES, ", ".join(HISTORY_PLAIN)))(
+    lambda s, d: _longs(_rounded(structure.historical(_indicators(s, d), _zigzag(s, d)), HISTORY_VALUES, HISTORY_PLAIN), "position", "window_start_index", "window_end_index")
+)
+query("tolerance", sql.chain() + _rounded_sql("(SELECT symbol, ts, 0.5 * atr_14 AS tolerance FROM ind WHERE atr_14 > 0)", ("tolerance",)))(lambda s, d: _rounded(structure.with_tolerance(_indicators(s, d)), ("tolerance",)))
+query("choppiness_k", sql.chain(sql.CHOPPINESS))(lambda s, d: _rounded(pullback.choppiness(_indicators(s, d)), ("choppiness",), ("symbol", "k")))
+query("shortlists", sql.chain(sql.SHORTLIST) + "SELECT * FROM sl")(lambda s, d: pullback.shortlists(_indicators(s, d)))
+query("shortlist_overlap", sql.chain(sql.SHORTLIST) + sql.OVERLAP)(lambda s, d: pullback.shortlist_overlap(pullback.shortlists(_indicators(s, d)), "w"))

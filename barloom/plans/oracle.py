@@ -113,19 +113,44 @@ _FORMATIONS = (
 )
 
 
-def _formation(k: int, name: str, test: str, up: bool, confirm: str, fail: str) -> str:
+def _formation(k: int, name: str, test: str, up: bool, confirm: str, fail: str, keys: str, source: str) -> str:
     over, under = (">", "<") if up else ("<", ">")
     status = f"CASE WHEN close {over} {confirm} THEN 'confirmed' WHEN close {under} {fail} THEN 'invalidated' ELSE 'developing' END"
-    return f"SELECT symbol, {k} AS k, '{name}' AS name, {status} AS status, {confirm} AS confirmation_level, {fail} AS invalidation_level FROM c2 WHERE {test}"
+    return f"SELECT {keys}, {k} AS k, '{name}' AS name, {status} AS status, {confirm} AS confirmation_level, {fail} AS invalidation_level FROM {source} WHERE {test}"
 
 
-STRUCTURE = f"""c0 AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY run DESC) AS nth FROM (SELECT * FROM zz QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY run DESC) <= 7)),
-c1 AS (SELECT symbol, {", ".join(f"max(price) FILTER (WHERE kind = '{k}' AND nth = {i}) AS {k.lower()}{i}" for k in "HL" for i in (1, 2, 3))}, max(price) FILTER (WHERE kind = 'H') AS top, min(price) FILTER (WHERE kind = 'L') AS bottom, arg_max(kind, run) AS last_kind FROM c0 GROUP BY symbol),
-c2 AS (SELECT *, abs(h1 - h2) <= tol AS flat_h, abs(l1 - l2) <= tol AS flat_l, h1 - h2 > tol AND l1 - l2 > tol AS rising, h2 - h1 > tol AND l2 - l1 > tol AS falling FROM (SELECT *, 0.12 * (top - bottom) AS tol FROM c1) JOIN (SELECT symbol, arg_max(close, ts) AS close FROM ind GROUP BY symbol) USING (symbol)),
-c3 AS ({" UNION ALL ".join(_formation(k, *x) for k, x in enumerate(_FORMATIONS))})
+def _read(p: str, pivots: str, keys: str, close: str) -> str:
+    """CTEs ``{p}2`` (levels and flags) and ``{p}3`` (a row per formation) from seven pivots per ``keys``."""
+    return f"""{p}0 AS (SELECT *, row_number() OVER (PARTITION BY {keys}, kind ORDER BY run DESC) AS nth FROM ({pivots})),
+{p}1 AS (SELECT {keys}, {", ".join(f"max(price) FILTER (WHERE kind = '{k}' AND nth = {i}) AS {k.lower()}{i}" for k in "HL" for i in (1, 2, 3))}, max(price) FILTER (WHERE kind = 'H') AS top, min(price) FILTER (WHERE kind = 'L') AS bottom, arg_max(kind, run) AS last_kind FROM {p}0 GROUP BY {keys}),
+{p}2 AS (SELECT *, abs(h1 - h2) <= tol AS flat_h, abs(l1 - l2) <= tol AS flat_l, h1 - h2 > tol AND l1 - l2 > tol AS rising, h2 - h1 > tol AND l2 - l1 > tol AS falling FROM (SELECT *, 0.12 * (top - bottom) AS tol FROM {p}1) JOIN ({close}) USING ({keys})),
+{p}3 AS ({" UNION ALL ".join(_formation(k, *x, keys, p + "2") for k, x in enumerate(_FORMATIONS))})"""
+
+
+_LAST_SEVEN = "SELECT * FROM zz QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY run DESC) <= 7"
+_STRUCTURE = _read("c", _LAST_SEVEN, "symbol", "SELECT symbol, arg_max(close, ts) AS close FROM ind GROUP BY symbol")
+STRUCTURE = f"""{_STRUCTURE}
 SELECT c2.symbol, CASE WHEN rising THEN 'bullish' WHEN falling THEN 'bearish' ELSE 'sideways' END AS trend, CASE WHEN rising THEN 'higher-highs-higher-lows' WHEN falling THEN 'lower-highs-lower-lows' ELSE 'mixed' END AS swing_sequence,
  coalesce(last_value(c3.name) OVER (PARTITION BY c2.symbol ORDER BY c3.k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 'none') AS formation, CASE WHEN close > top OR close < bottom THEN 'breakout' ELSE 'inside' END AS breakout_state,
  c3.name, c3.status, round(confirmation_level + 1e-7, 4) AS confirmation_level, round(invalidation_level + 1e-7, 4) AS invalidation_level FROM c2 LEFT JOIN c3 ON c3.symbol = c2.symbol"""
+_PAST = "SELECT z.symbol, z.run AS end_run, m.run, m.kind, m.price FROM zz z JOIN zz m ON m.symbol = z.symbol AND m.run BETWEEN z.run - 6 AND z.run WHERE z.run >= 6"
+#: Windows of seven pivots that show the formation of the last one, non-overlapping, with what followed.
+HISTORY = f"""{_STRUCTURE},
+{_read("y", _PAST, "symbol, end_run", "SELECT z.symbol, z.run AS end_run, i.close FROM zz z JOIN ind i ON i.symbol = z.symbol AND i.idx = z.idx")},
+y4 AS (SELECT c3.symbol, arg_max(c3.name, c3.k) AS formation, any_value(s.now_start) AS now_start FROM c3 JOIN (SELECT symbol, min(idx) AS now_start FROM ({_LAST_SEVEN}) GROUP BY symbol) s ON s.symbol = c3.symbol GROUP BY c3.symbol),
+y5 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY s, e) AS k FROM (SELECT y4.symbol, y4.formation, b.idx AS s, a.idx AS e FROM y4 JOIN y3 ON y3.symbol = y4.symbol AND y3.name = y4.formation JOIN zz a ON a.symbol = y3.symbol AND a.run = y3.end_run AND a.idx < y4.now_start JOIN zz b ON b.symbol = a.symbol AND b.run = a.run - 6)),
+y6 AS (SELECT symbol, k, s, e, TRUE AS taken, e AS upto, CAST(1 AS BIGINT) AS position FROM y5 WHERE k = 1
+ UNION ALL SELECT y5.symbol, y5.k, y5.s, y5.e, y5.s > y6.upto, CASE WHEN y5.s > y6.upto THEN y5.e ELSE y6.upto END, y6.position + CASE WHEN y5.s > y6.upto THEN 1 ELSE 0 END FROM y6 JOIN y5 ON y5.symbol = y6.symbol AND y5.k = y6.k + 1),
+past AS (SELECT y6.symbol, y4.formation, y6.position, y6.s AS window_start_index, y6.e AS window_end_index, r.return_5, r.return_10, r.return_20 FROM y6 JOIN y4 USING (symbol)
+ JOIN (SELECT symbol, idx, {", ".join(f"(lead(close, {h}) OVER (PARTITION BY symbol ORDER BY idx) / close - 1) * 100 AS return_{h}" for h in (5, 10, 20))} FROM ind) r ON r.symbol = y6.symbol AND r.idx = y6.e WHERE y6.taken)"""
+CHOPPINESS = """k0 AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER (PARTITION BY symbol ORDER BY ts)), abs(low - lag(close) OVER (PARTITION BY symbol ORDER BY ts))) AS tr FROM ind),
+k1 AS (SELECT symbol, ts, sum(tr) OVER w AS total, max(high) OVER w - min(low) OVER w AS span, count(*) OVER w AS n FROM k0 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+chop AS (SELECT symbol, 100 * log10(total / span) / log10(14) AS choppiness FROM k1 WHERE n = 14 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)
+SELECT symbol, round(choppiness + 1e-7, 4) AS choppiness, CAST(CASE WHEN choppiness < 38.2 THEN 4 WHEN choppiness > 61.8 THEN 8 ELSE 6 END AS BIGINT) AS k FROM chop"""
+SHORTLIST = """w0 AS (SELECT symbol, close, ema_200, [{'w': 60, 'high': max(high) OVER (o ROWS 59 PRECEDING)}, {'w': 120, 'high': max(high) OVER (o ROWS 119 PRECEDING)}, {'w': 240, 'high': max(high) OVER (o ROWS 239 PRECEDING)}] AS tops
+ FROM ind WINDOW o AS (PARTITION BY symbol ORDER BY idx) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1),
+sl AS (SELECT CAST(t.w AS BIGINT) AS w, symbol FROM (SELECT symbol, close, ema_200, unnest(tops) AS t FROM w0) WHERE (t.high - close) / t.high * 100 >= 3 AND close > ema_200)"""
+OVERLAP = """SELECT a.w AS w_a, b.w AS w_b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS overlap FROM (SELECT w, list(symbol) AS s FROM sl GROUP BY w) a JOIN (SELECT w, list(symbol) AS s FROM sl GROUP BY w) b ON a.w < b.w"""
 
 _LISTS = {"shape": ("open", "high", "low", "close", "ema_20"), "vol": ("rv", "va", "flow"), "candle": ("body", "up", "down", "span"), "mom": ("rsi_14", "roc_20"), "strength": ("adx_14", "plus_di_14", "minus_di_14"), "yearly": ("distance_from_365d_high_percent",)}
 _CALLS = {name: "flatten([" + ", ".join(f"list({c}) OVER v" for c in columns) + "])" for name, columns in _LISTS.items()}

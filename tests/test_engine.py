@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar
-from barloom.operators import normalize, pullback, structure, windows
+from barloom.operators import normalize, pullback, similarity, structure, windows
 from barloom.plans.update import report, stores, update
 from barloom.sources import config, vendor
 from barloom.sources.store import StoreError, check_symbol, require_native
@@ -89,11 +89,26 @@ def test_chart_structure(spark, name):
         assert got.trend == "bullish" and got.swing_sequence == "higher-highs-higher-lows"
 
 
+def test_chart_history(spark):
+    pivots = [100, 110, 100.5, 109.5] * 8 + [100]
+    out = [float(a + (b - a) * k / 7.0) for a, b in zip(pivots, pivots[1:]) for k in range(7)] + [100.0]
+    bars = spark.createDataFrame([("T", datetime(2026, 1, 1) + timedelta(hours=i), c, c + 1, c - 1, c, 1000, i) for i, c in enumerate(out)], SCHEMA + ", idx long")
+    zz = pullback.zigzag(pullback.fractal_pivots(bars, 3))
+    got = structure.historical(bars, zz).orderBy("position").collect()
+    now = sorted(r.idx for r in zz.collect())[-7]
+    assert [(r.window_start_index, r.window_end_index) for r in got] == [(7, 49), (56, 98), (105, 147)]
+    assert all(r.window_end_index < now and r.formation == structure.analyze(bars, zz).first().formation for r in got)
+    assert abs(got[0].return_5 - (out[54] / out[49] - 1) * 100) < 1e-9
+    assert structure.historical(bars, zz.where("run < 7")).count() == 0
+
+
 def test_validate_request():
     with pytest.raises(ValueError, match="at least"):
         structure.validate_request("A", 20)
     with pytest.raises(ValueError):
         structure.validate_request(" ")
+    with pytest.raises(ValueError):
+        similarity.validate_symbol("")
 
 
 def test_tier_order(spark):
