@@ -95,20 +95,24 @@ def backward(m: dict, tape: list, dhs: list[np.ndarray], grad: dict) -> None:
     """Truncated backpropagation through the steps of one window; ``dhs[t]`` is the loss gradient of the
     state after step t. Texts end, so later steps have fewer of them."""
     carry = np.zeros((0, m["U"].shape[0]), _F)
-    for (h, tokens, r, z, un, c), dh in zip(reversed(tape), reversed(dhs)):
+    dus, dxs = [], []
+    for (h, _, r, z, un, c), dh in zip(reversed(tape), reversed(dhs)):
         d = dh.copy()
         d[: len(carry)] += carry
         dc = d * (1 - z) * (1 - c * c)
         dz = d * (h - c) * z * (1 - z)
         dr = dc * un * r * (1 - r)
         du = np.concatenate([dr, dz, dc * r], 1)
-        dx = np.concatenate([dr, dz, dc], 1)
-        grad["U"] += h.T @ du
-        grad["b"] += dx.sum(0)
-        hot = np.argsort(tokens, kind="stable")
-        ids, first = np.unique(tokens[hot], return_index=True)
-        grad["E"][ids] += np.add.reduceat(dx[hot], first, axis=0)
+        dxs.append(np.concatenate([dr, dz, dc], 1))
+        dus.append(du)
         carry = d * z + du @ m["U"].T
+    dx = np.concatenate(dxs)
+    grad["U"] += np.concatenate([x[0] for x in reversed(tape)]).T @ np.concatenate(dus)
+    grad["b"] += dx.sum(0)
+    tokens = np.concatenate([x[1] for x in reversed(tape)])
+    hot = np.argsort(tokens, kind="stable")
+    ids, first = np.unique(tokens[hot], return_index=True)
+    grad["E"][ids] += np.add.reduceat(dx[hot], first, axis=0)
 
 
 def _batches(texts: list[np.ndarray], batch: int):
@@ -171,24 +175,20 @@ class Adam:
             self.model[k] -= _F(self.rate * fix) * self.m[k] / (np.sqrt(self.v[k]) + _F(1e-8))
 
 
-def train(m: dict, texts: list[np.ndarray], opt: Adam, window: int = 32, batch: int = 256, every: int = 1) -> None:
-    """One pass over all texts. The state runs through every window; one window in ``every`` of each text,
-    evenly along it, is also learned from. Texts of a batch learn together, so the first such window is
-    staggered by batch."""
-    for b, at in enumerate(_batches(texts, batch)):
+def train(m: dict, texts: list[np.ndarray], opt: Adam, window: int = 32, batch: int = 1024) -> None:
+    """One pass over all texts. The state runs through the windows of a text, and each is learned from."""
+    for at in _batches(texts, batch):
         longest = len(texts[at[0]])
         h = np.zeros((len(at), m["U"].shape[0]), _F)
-        for k, s in enumerate(range(0, longest, window)):
+        for s in range(0, longest, window):
             e = min(longest, s + window)
             x, y, alive = _padded(texts, at, s, e)
-            h, learn = h[: alive[0]], (k + b) % every == 0
-            tape, hs, ys = [] if learn else None, [], []
+            h = h[: alive[0]]
+            tape, hs, ys = [], [], []
             for t in range(e - s):
                 h = step(m, h[: alive[t]], x[t, : alive[t]], tape)
                 hs.append(h)
                 ys.append(y[t, : alive[t]])
-            if not learn:
-                continue
             grad = {key: np.zeros_like(a) for key, a in m.items()}
             _, dh = log_probability(m, np.concatenate(hs), np.concatenate(ys), grad)
             cuts = np.cumsum([0, *map(len, hs)])

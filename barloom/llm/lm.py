@@ -7,9 +7,9 @@ frequent tokens; for any other token its probability of "outside the vocabulary"
 token's smoothed share of the outside mass, which makes it a distribution over all texts.
 
 Training: a start on the driver from about ``start_rows`` training documents of at most ``start_chars``
-characters, then one pass of all tasks over all training documents, each text's windows learned from evenly
-(one in ``every``) with the state carried through all of them; the tasks' parameters are averaged, weighted
-by tokens, in two levels of at most 256 rows each. Float sums may differ in the last digits between runs.
+characters, then one pass of all tasks over all training documents, learning from every window of every text with the
+state carried from window to window; the tasks' parameters are averaged, weighted by tokens, in two levels
+of at most 256 rows each. Float sums may differ in the last digits between runs.
 
 Cases: a null or empty text has one token, its end; a null id counts as held out; repeated rows are counted
 and scored one by one; without training documents every token has the probability of an unseen one; extra
@@ -119,7 +119,7 @@ def _average(parts: DataFrame) -> DataFrame:
     return parts.groupBy(F.expr("part div 256")).applyInArrow(mean, "part long, n long, values binary")
 
 
-def train(docs: DataFrame, head: Head, id_col: str, text_col: str, hidden: int, classes: int, every: int, start_rows: int, start_chars: int) -> dict:
+def train(docs: DataFrame, head: Head, id_col: str, text_col: str, hidden: int, classes: int, start_rows: int, start_chars: int) -> dict:
     source = docs.select(id_col, text_col)
     model = gru.init(head.slot_counts, hidden, classes)
     texts_at_all = int(head.counts[head.index[END.encode()]]) if END.encode() in head.index else 0
@@ -139,7 +139,7 @@ def train(docs: DataFrame, head: Head, id_col: str, text_col: str, hidden: int,
         for b in batches:
             texts = [head.slots(head.ids(tokens(t))) for i, t in zip(*_read(b)) if not held_out(i)]
             if texts:
-                gru.train(m, texts, opt, every=every)
+                gru.train(m, texts, opt)
                 n += sum(map(len, texts))
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([gru.flat(m).tobytes()], pa.binary())], names=["part", "n", "values"])
@@ -153,7 +153,7 @@ def train(docs: DataFrame, head: Head, id_col: str, text_col: str, hidden: int,
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = 150_000, vocabulary: int = 1024, hidden: int = 24, classes: int = 32, every: int = 4, start_rows: int = 300, start_chars: int = 20_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = 150_000, vocabulary: int = 1024, hidden: int = 24, classes: int = 32, start_rows: int = 300, start_chars: int = 20_000
 ) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
     counts = count_tokens(docs, id_col, text_col).withColumn("level", F.floor(F.log2("c") * _FINE))
@@ -168,7 +168,7 @@ def score(
     in_head = (F.col("level") >= F.lit(cut if size else 1 << 40)) | (F.col("token") == END)
     rows = counts.where(in_head).select("token", "c").collect()
     head = Head([tuple(r) for r in rows], total, distinct, vocabulary)
-    model = train(docs, head, id_col, text_col, hidden, classes, every, start_rows, start_chars)
+    model = train(docs, head, id_col, text_col, hidden, classes, start_rows, start_chars)
 
     source = docs.select(id_col, text_col)
     schema = T.StructType(
