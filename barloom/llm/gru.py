@@ -3,10 +3,16 @@
 Token 0 stands for all tokens outside the vocabulary and token 1 for the end of a text, which also starts
 one. Vocabulary slots are dealt into equal classes; p(token) = p(class | h) * p(token | class, h). The state
 is carried from window to window through a whole text and reset where a text starts.
+
+Texts lie one after another in lanes of about equal length, which take each step together. States and gates
+hold one column a lane, so that each gate is one block of memory; the softmax takes one row a token, sorted by
+class, so that each class is one matrix product.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 UNKNOWN, END = 0, 1
@@ -38,125 +44,200 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def step(m: dict, h: np.ndarray, tokens: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """The next state of each text after reading one token each."""
-    n = h.shape[1]
-    x, u = m["E"][tokens] + m["b"], h @ m["U"]
-    rz = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-    r, z, un = rz[:, :n], rz[:, n:], u[:, 2 * n :]
-    c = np.tanh(x[:, 2 * n :] + r * un)
-    new = c + z * (h - c)
-    if keep is not None:
-        keep.append((h, tokens, r, z, un, c))
-    return new
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def log_probability(m: dict, h: np.ndarray, targets: np.ndarray, grad: dict | None = None):
-    """log p of each target given its state; with ``grad``, adds the gradients of -sum log p and returns
-    that of the states too. Targets are sorted by class, so each class is one matrix product."""
-    per = m["W"].shape[2]
-    cls, word = targets // per, targets % per
-    lc = log_softmax(h @ m["C"] + m["c"])
-    rows = np.arange(len(h))
-    out = lc[rows, cls].astype(np.float64)
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(m["W"].shape[0] + 1))
-    dh = None
-    if grad is not None:
-        d = np.exp(lc)
-        d[rows, cls] -= 1
-        grad["C"] += h.T @ d
-        grad["c"] += d.sum(0)
-        dh = d @ m["C"].T
-    for k in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[k] : cuts[k + 1]]
-        lw = log_softmax(h[at] @ m["W"][k] + m["w"][k])
-        i = np.arange(len(at))
-        out[at] += lw[i, word[at]]
-        if grad is not None:
-            d = np.exp(lw)
-            d[i, word[at]] -= 1
-            grad["W"][k] += h[at].T @ d
-            grad["w"][k] += d.sum(0)
-            dh[at] += d @ m["W"][k].T
-    return out if grad is None else (out, dh)
-
-
-def backward(m: dict, tape: list, dhs: list[np.ndarray], grad: dict) -> None:
-    """Truncated backpropagation through the steps of one window; ``dhs[t]`` is the loss gradient of the
-    state after step t. Texts end, so later steps have fewer of them."""
-    carry = np.zeros((0, m["U"].shape[0]), _F)
-    dus, dxs = [], []
-    for (h, _, r, z, un, c), dh in zip(reversed(tape), reversed(dhs)):
-        d = dh.copy()
-        d[: len(carry)] += carry
-        dc = d * (1 - z) * (1 - c * c)
-        dz = d * (h - c) * z * (1 - z)
-        dr = dc * un * r * (1 - r)
-        du = np.concatenate([dr, dz, dc * r], 1)
-        dxs.append(np.concatenate([dr, dz, dc], 1))
-        dus.append(du)
-        carry = d * z + du @ m["U"].T
-    dx = np.concatenate(dxs)
-    grad["U"] += np.concatenate([x[0] for x in reversed(tape)]).T @ np.concatenate(dus)
-    grad["b"] += dx.sum(0)
-    tokens = np.concatenate([x[1] for x in reversed(tape)])
-    hot = np.argsort(tokens, kind="stable")
-    ids, first = np.unique(tokens[hot], return_index=True)
-    grad["E"][ids] += np.add.reduceat(dx[hot], first, axis=0)
-
-
-def _batches(texts: list[np.ndarray], batch: int):
-    """Indices of texts, longest first, so that the texts of a batch end at about the same step."""
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    for i in range(0, len(order), batch):
-        yield order[i : i + batch]
-
-
-def _padded(texts: list[np.ndarray], at: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs and targets of steps s..e, time first, and the number of running texts at each step."""
-    lens = np.array([len(texts[i]) for i in at])
-    alive = int((lens > s).sum())
-    y = np.zeros((e - s, alive), np.int64)
-    x = np.zeros((e - s, alive), np.int64)
-    for j in range(alive):
-        t = texts[at[j]]
-        k = min(e, len(t))
-        y[: k - s, j] = t[s:k]
-        x[: k - s, j] = t[s - 1 : k - 1] if s else np.concatenate([[END], t[: k - 1]])
-    return x, y, np.array([(lens > q).sum() for q in range(s, e)])
-
-
-def score(m: dict, texts: list[np.ndarray], window: int = 64, batch: int = 1024) -> np.ndarray:
+class _Lanes:
+    """Texts dealt to at most ``most`` lanes, the longest first, each to the shortest lane so far."""
+
+    def __init__(self, texts: list[np.ndarray], most: int):
+        lens = np.array([len(t) for t in texts])
+        heap = [(0, k) for k in range(min(most, len(texts)))]
+        held: list[list[int]] = [[] for _ in heap]
+        for i in np.argsort(-lens, kind="stable"):
+            n, k = heap[0]
+            held[k].append(i)
+            heapq.heapreplace(heap, (n + int(lens[i]), k))
+        held.sort(key=lambda lane: -lens[lane].sum())
+        self.order = np.concatenate(held)
+        self.lens = lens[self.order]
+        self.length = np.array([lens[lane].sum() for lane in held])
+        self.begin = np.cumsum(self.length) - self.length
+        self.y = np.concatenate([texts[i] for i in self.order])
+        first = (np.cumsum(self.lens) - self.lens)[self.lens > 0]
+        self.x = np.concatenate([[END], self.y[:-1]])
+        self.x[first] = END
+        self.fresh = np.zeros(len(self.y), bool)
+        self.fresh[first] = True
+
+    def windows(self, window: int):
+        """For each window its steps' places in ``x`` and ``y``; lanes that are through fall out."""
+        for s in range(0, self.length[0], window):
+            steps = np.arange(s, min(self.length[0], s + window))
+            running = np.searchsorted(-self.length, -steps)
+            yield [self.begin[:n] + t for t, n in zip(steps, running)]
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the tokens' values, in the order of the texts given."""
+        return np.bincount(np.repeat(self.order, self.lens), values, minlength=len(self.order))
+
+
+def _gates(m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Input and state weights, one row a gate unit. A sigmoid is half of 1 + tanh(x / 2), so the rows of
+    the reset and update gates are halved."""
+    half = np.ones(m["b"].shape, m["b"].dtype)
+    half[: 2 * m["U"].shape[0]] = 0.5
+    return np.ascontiguousarray(((m["E"] + m["b"]) * half).T), np.ascontiguousarray((m["U"] * half).T)
+
+
+def _forward(gates: tuple, h: np.ndarray, lanes: _Lanes, places: list[np.ndarray], tape: list | None = None) -> list[np.ndarray]:
+    """The states after each step of a window; with ``tape``, also what backpropagation needs."""
+    (xs, us), n = gates, len(h)
+    out = []
+    for at in places:
+        h = h[:, : len(at)]
+        fresh = lanes.fresh[at]
+        if fresh.any():
+            h = h * ~fresh
+        x = xs.take(lanes.x[at], axis=1, mode="clip")
+        u = us @ h
+        rz = x[: 2 * n]
+        rz += u[: 2 * n]
+        np.tanh(rz, out=rz)
+        rz *= _F(0.5)
+        rz += _F(0.5)
+        r, z, un, c = rz[:n], rz[n:], u[2 * n :], x[2 * n :]
+        c += r * un
+        np.tanh(c, out=c)
+        new = h - c
+        if tape is not None:
+            tape.append((h, fresh, r, z, un, c, new.copy()))
+        new *= z
+        new += c
+        h = new
+        out.append(h)
+    return out
+
+
+def _rows(hs: list[np.ndarray]) -> np.ndarray:
+    """States as rows, with a column of ones that takes up the bias."""
+    out = np.empty((sum(h.shape[1] for h in hs), len(hs[0]) + 1), hs[0].dtype)
+    out[:, -1] = 1
+    i = 0
+    for h in hs:
+        out[i : i + h.shape[1], :-1] = h.T
+        i += h.shape[1]
+    return out
+
+
+class _Softmax:
+    """One softmax a row. States lie within -1 and 1, so the weights bound the logits; the largest is
+    subtracted only where they could overflow."""
+
+    def __init__(self, logits: np.ndarray, weights: np.ndarray, target: np.ndarray):
+        if np.abs(weights).sum(-2).max() > 80:
+            logits -= logits.max(1, keepdims=True)
+        self.pick = np.arange(len(logits)) * logits.shape[1] + target
+        picked = logits.ravel()[self.pick]
+        self.e = np.exp(logits, out=logits)
+        self.sum = self.e @ np.ones(logits.shape[1], logits.dtype)
+        self.log_p = picked - np.log(self.sum)
+
+    def gradient(self) -> np.ndarray:
+        """Of -sum log p, by logit."""
+        self.e *= (1 / self.sum)[:, None]
+        self.e.reshape(-1)[self.pick] -= 1
+        return self.e
+
+
+def _output(m: dict, h: np.ndarray, targets: np.ndarray, grad: dict | None = None):
+    """log p of each target given the row of its state; with ``grad``, sets the gradients of -sum log p and
+    returns that of the states too."""
+    k, n, per = m["W"].shape
+    cls = targets // per
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    cls, word, h = cls[order], targets[order] % per, h[order]
+    cuts = np.searchsorted(cls, np.arange(k + 1))
+    spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    big = np.concatenate([m["C"], m["c"][None]])
+    small = np.concatenate([m["W"], m["w"][:, None]], 1)
+    logits = np.empty((len(h), per), h.dtype)
+    for i, a, b in spans:
+        np.matmul(h[a:b], small[i], out=logits[a:b])
+    of_class, of_word = _Softmax(h @ big, big, cls), _Softmax(logits, small, word)
+    out = np.empty(len(h))
+    out[order] = of_class.log_p + of_word.log_p
+    if grad is None:
+        return out
+    d = of_class.gradient()
+    g = h.T @ d
+    grad["C"], grad["c"] = g[:n], g[n]
+    dh = d @ m["C"].T
+    d = of_word.gradient()
+    grad["W"], grad["w"] = np.zeros_like(m["W"]), np.zeros_like(m["w"])
+    for i, a, b in spans:
+        g = h[a:b].T @ d[a:b]
+        grad["W"][i], grad["w"][i] = g[:n], g[n]
+        dh[a:b] += d[a:b] @ m["W"][i].T
+    back = np.empty_like(dh)
+    back[order] = dh
+    return out, back
+
+
+def _backward(m: dict, tape: list, dh: np.ndarray, tokens: np.ndarray, grad: dict) -> None:
+    """Truncated backpropagation through the steps of one window; ``dh`` has the loss gradient of the state
+    after each step, one row a token, and ``tokens`` what the step read."""
+    n = m["U"].shape[0]
+    # the rows of ``d``: candidate, reset and update gate by input, then the candidate by state
+    back = np.ascontiguousarray(m["U"])
+    d_rows = np.empty((len(dh), 4 * n), dh.dtype)
+    carry, end = None, len(dh)
+    for h, fresh, r, z, un, c, diff in reversed(tape):
+        a = h.shape[1]
+        got = np.ascontiguousarray(dh[end - a : end].T)
+        if carry is not None:
+            got[:, : carry.shape[1]] += carry
+        d = np.empty((4 * n, a), dh.dtype)
+        kept = got * z
+        dc = d[:n]
+        np.subtract(got, kept, out=dc)
+        dc *= 1 - c * c
+        np.multiply(dc, r, out=d[3 * n :])
+        dr = d[n : 2 * n]
+        np.multiply(d[3 * n :], un, out=dr)
+        dr *= 1 - r
+        dz = d[2 * n : 3 * n]
+        np.multiply(kept, diff, out=dz)
+        dz *= 1 - z
+        carry = back @ d[n:]
+        carry += kept
+        if fresh.any():
+            carry *= ~fresh
+        d_rows[end - a : end] = d.T
+        end -= a
+    before = _rows([x[0] for x in tape])[:, :n]
+    grad["U"] = before.T @ d_rows[:, n:]
+    hot = np.argsort(tokens.astype(np.uint16), kind="stable")
+    counts = np.bincount(tokens, minlength=len(m["E"]))
+    ids = np.flatnonzero(counts)
+    sums = np.add.reduceat(d_rows[hot, : 3 * n], (np.cumsum(counts) - counts)[ids], axis=0)
+    sums = np.concatenate([sums[:, n:], sums[:, :n]], 1)  # as in the model: reset, update, candidate
+    grad["E"] = np.zeros_like(m["E"])
+    grad["E"][ids] = sums
+    grad["b"] = sums.sum(0)
+
+
+def score(m: dict, texts: list[np.ndarray], window: int = 32, batch: int = 300) -> np.ndarray:
     """Natural-log probability of each whole text; windows of any length give the same result, as the
     state goes on from one to the next."""
-    out = np.zeros(len(texts))
-    for at in _batches(texts, batch):
-        longest = len(texts[at[0]])
-        h = np.zeros((len(at), m["U"].shape[0]), _F)
-        for s in range(0, longest, window):
-            e = min(longest, s + window)
-            x, y, alive = _padded(texts, at, s, e)
-            hs, ys, who = [], [], []
-            h = h[: alive[0]]
-            for t in range(e - s):
-                a = alive[t]
-                h = step(m, h[:a], x[t, :a])
-                hs.append(h)
-                ys.append(y[t, :a])
-                who.append(np.arange(a))
-            lp = log_probability(m, np.concatenate(hs), np.concatenate(ys))
-            out[at[: alive[0]]] += np.bincount(np.concatenate(who), lp, minlength=alive[0])
-    return out
+    if not texts:
+        return np.zeros(0)
+    lanes, gates = _Lanes(texts, batch), _gates(m)
+    out = np.zeros(len(lanes.y))
+    h = np.zeros((m["U"].shape[0], len(lanes.length)), _F)
+    for places in lanes.windows(window):
+        hs = _forward(gates, h, lanes, places)
+        at = np.concatenate(places)
+        out[at] = _output(m, _rows(hs), lanes.y[at])
+        h = hs[-1]
+    return lanes.per_text(out)
 
 
 class Adam:
@@ -175,27 +256,19 @@ class Adam:
             self.model[k] -= _F(self.rate * fix) * self.m[k] / (np.sqrt(self.v[k]) + _F(1e-8))
 
 
-def train(m: dict, texts: list[np.ndarray], opt: Adam, window: int = 32, batch: int = 1024) -> None:
+def train(m: dict, texts: list[np.ndarray], opt: Adam, window: int = 32, batch: int = 300) -> None:
     """One pass over all texts. The state runs through the windows of a text, and each is learned from."""
-    for at in _batches(texts, batch):
-        longest = len(texts[at[0]])
-        h = np.zeros((len(at), m["U"].shape[0]), _F)
-        for s in range(0, longest, window):
-            e = min(longest, s + window)
-            x, y, alive = _padded(texts, at, s, e)
-            h = h[: alive[0]]
-            tape, hs, ys = [], [], []
-            for t in range(e - s):
-                h = step(m, h[: alive[t]], x[t, : alive[t]], tape)
-                hs.append(h)
-                ys.append(y[t, : alive[t]])
-            grad = {key: np.zeros_like(a) for key, a in m.items()}
-            _, dh = log_probability(m, np.concatenate(hs), np.concatenate(ys), grad)
-            cuts = np.cumsum([0, *map(len, hs)])
-            dhs = [dh[i:j] for i, j in zip(cuts, cuts[1:])]
-            backward(m, tape, dhs, grad)
-            n = _F(1 / cuts[-1])
-            for g in grad.values():
-                g *= n
-                np.clip(g, -0.5, 0.5, out=g)
-            opt.update(grad)
+    lanes = _Lanes(texts, batch)
+    h = np.zeros((m["U"].shape[0], len(lanes.length)), _F)
+    for places in lanes.windows(window):
+        tape, grad = [], {}
+        hs = _forward(_gates(m), h, lanes, places, tape)
+        at = np.concatenate(places)
+        _, dh = _output(m, _rows(hs), lanes.y[at], grad)
+        _backward(m, tape, dh, lanes.x[at], grad)
+        n = _F(1 / len(at))
+        for g in grad.values():
+            g *= n
+            np.clip(g, -0.5, 0.5, out=g)
+        opt.update(grad)
+        h = hs[-1]

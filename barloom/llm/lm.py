@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,22 +92,29 @@ class Head:
                 free += j != end
                 self.slot_counts[slot[j]] = c
         self.slot = slot
+        self.vocabulary = {t: int(slot[j]) for t, j in self.index.items() if slot[j]}
         inside, used = int(self.slot_counts.sum()), int((slot > 0).sum())
         self.slot_counts[gru.UNKNOWN] = total - inside
         self.outside = (total - inside) + 0.1 * (distinct - used) + 0.1
         self.all = total + 0.1 * (distinct + 1)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.index.get
-        out = [get(w, -1) for w in words]
-        out.append(get(b"\n", -1))
-        return np.array(out, np.int64)
+        out = np.empty(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        out[-1] = self.index.get(b"\n", -1)
+        return out
 
     def slots(self, ids: np.ndarray) -> np.ndarray:
         s = self.slot[ids]
         s[-1] = gru.END
         return s
 
+    def read(self, words: list[bytes]) -> np.ndarray:
+        """The slots of a text by a table of the vocabulary alone."""
+        out = np.full(len(words) + 1, gru.END, np.int64)
+        out[:-1] = np.fromiter(map(self.vocabulary.get, words, repeat(gru.UNKNOWN)), np.int64, len(words))
+        return out
+
 
 def _average(parts: DataFrame) -> DataFrame:
     """Token-weighted means of parameter vectors: ``part, n, values`` to one row per 256 parts."""
@@ -125,7 +133,7 @@ def train(docs: DataFrame, head: Head, id_col: str, text_col: str, hidden: int,
     texts_at_all = int(head.counts[head.index[END.encode()]]) if END.encode() in head.index else 0
     start = hash_sample(source.where(F.length(text_col) <= start_chars), start_rows, texts_at_all, id_col, text_col).collect()
     start.sort(key=lambda r: (str(r[0]), r[1] or ""))
-    texts = [head.slots(head.ids(tokens((t or "").encode()))) for i, t in start if not held_out(i)]
+    texts = [head.read(tokens((t or "").encode())) for i, t in start if not held_out(i)]
     if not texts:
         return model
     opt = gru.Adam(model, 0.01)
@@ -137,7 +145,7 @@ def train(docs: DataFrame, head: Head, id_col: str, text_col: str, hidden: int,
         m, n = gru.unflat(first, model), 0
         opt = gru.Adam(m, 0.002)
         for b in batches:
-            texts = [head.slots(head.ids(tokens(t))) for i, t in zip(*_read(b)) if not held_out(i)]
+            texts = [head.read(tokens(t)) for i, t in zip(*_read(b)) if not held_out(i)]
             if texts:
                 gru.train(m, texts, opt)
                 n += sum(map(len, texts))
