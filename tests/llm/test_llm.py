@@ -346,6 +346,35 @@ def test_state_is_carried_across_windows():
     texts = [np.random.default_rng(i).integers(0, 8, n) for i, n in enumerate((40, 7, 1))]
     np.testing.assert_allclose(gru.score(m, texts, window=8), gru.score(m, texts, window=100), rtol=1e-6)
     np.testing.assert_allclose(gru.score(m, texts, batch=1), gru.score(m, texts), rtol=1e-6)
+    np.testing.assert_allclose([gru.score(m, [t])[0] for t in texts], gru.score(m, texts, batch=2), rtol=1e-6)
+    assert len(gru.score(m, [])) == 0
+
+
+@pytest.mark.parametrize("scale", [1, 300])
+def test_model_is_a_distribution(scale):
+    m = gru.init(np.arange(1, 9), 4, 2)
+    m["C"] *= scale
+    m["W"] *= scale
+    start = np.array([3, 5, 2])
+    before = gru.score(m, [start])[0]
+    after = gru.score(m, [np.append(start, t) for t in range(8)])
+    assert np.isclose(np.exp(after - before).sum(), 1, atol=1e-4)
+
+
+def test_lanes():
+    texts = [np.full(n, n) for n in (9, 2, 3, 1, 4)]
+    lanes = gru._Lanes(texts, 2)
+    assert sorted(lanes.length) == [9, 10]
+    seen = np.concatenate([at for w in lanes.windows(4) for at in w])
+    assert sorted(seen) == list(range(19))
+    assert lanes.per_text(np.ones(19)).tolist() == [9, 2, 3, 1, 4]
+    assert (lanes.x[lanes.fresh] == gru.END).all() and lanes.fresh.sum() == 5
+
+
+def test_vocabulary_reads_as_the_head_does():
+    head = lm.Head([("a", 5), ("b", 4), ("c", 3), ("\n", 2)], 20, 9, 4)
+    for words in ([], [b"a", b"c", b"zz", b"b"]):
+        assert head.read(words).tolist() == head.slots(head.ids(words)).tolist()
 
 
 @pytest.mark.parametrize("head", [150_000, 20])
