@@ -18,6 +18,14 @@ INDICATOR_COLUMNS = (
     "band_lower_20_2", "band_width_20_2", "roc_20", "obv", "trailing_365d_high", "trailing_365d_low", "distance_from_365d_high_percent",
 )
 NULLABLE = ("relative_volume_20",)
+_DI = ("plus_di_14", "minus_di_14", "adx_14")
+_MACD = ("macd_12_26", "macd_signal_9", "macd_histogram")
+#: The output columns that read a recurrence, where they are others than its own.
+_READ_BY = {
+    "ema_20": ("ema_20", "band_upper_20_2", "band_middle_20", "band_lower_20_2", "band_width_20_2"), "volume_ema_20": ("volume_ema_20", "relative_volume_20"),
+    "atr_14": ("atr_14", "atr_percent_14"), "__g": ("rsi_14",), "__l": ("rsi_14",), "__fast": _MACD, "__slow": _MACD, "macd_signal_9": _MACD[1:],
+    "__wtr": _DI, "__wpdm": _DI, "__wmdm": _DI,
+}
 HISTORY = "INTERVAL 365 DAYS"
 
 
@@ -34,8 +42,16 @@ def _wilder(column, n: int, start: int, seed) -> Recurrence:
     return Recurrence(column, (n - 1) / n, 1 / n, start, seed)
 
 
-def with_indicators(bars: DataFrame) -> DataFrame:
-    """``bars`` with ``idx`` and all indicator columns; one shuffle by symbol."""
+def _scan(df: DataFrame, series: dict[str, Recurrence], only: tuple[str, ...]) -> DataFrame:
+    """Only those recurrences that a column of ``only`` reads; the others are null."""
+    read = {n: r for n, r in series.items() if set(_READ_BY.get(n, (n,))) & set(only)}
+    df = df.withColumns({n: F.lit(None).cast("double") for n in series if n not in read})
+    return affine_scan(df, read) if read else df
+
+
+def with_indicators(bars: DataFrame, only: tuple[str, ...] = INDICATOR_COLUMNS) -> DataFrame:
+    """``bars`` with ``idx`` and the indicator columns ``only``; one shuffle by symbol. Windows of other columns
+    are pruned by the optimizer, recurrences here."""
     series = Window.partitionBy("symbol").orderBy("ts")
     close, high, low = F.col("close"), F.col("high"), F.col("low")
     df = bars.withColumns({
@@ -59,19 +75,19 @@ def with_indicators(bars: DataFrame) -> DataFrame:
         "obv": F.sum("__flow").over(series.rowsBetween(Window.unboundedPreceding, 0)),
         "trailing_365d_high": F.expr(f"max(high) {days}"), "trailing_365d_low": F.expr(f"min(low) {days}"),
     })
-    df = affine_scan(df, {
+    df = _scan(df, {
         **{f"ema_{n}": _ema(close, n) for n in EMA_LENGTHS}, "__fast": _ema(close, 12, 25), "__slow": _ema(close, 26),
         "volume_ema_20": Recurrence(F.col("__volume"), 19 / 21, 2 / 21, 19, F.col("__vmean")),
         "__g": _wilder(F.col("__gain"), 14, 14, F.col("__m14gain")), "__l": _wilder(F.col("__loss"), 14, 14, F.col("__m14loss")), "atr_14": _wilder(F.col("__tr"), 14, 14, F.col("__m14tr")),
         **{f"__w{c}": Recurrence(F.col(f"__{c}"), 13 / 14, 1.0, 13, F.col(f"__s13{c}")) for c in ("tr", "pdm", "mdm")},
-    })
+    }, only)
     di = lambda c: F.when(F.col("idx") >= 14, F.when(F.col("__wtr") == 0, 0.0).otherwise(F.try_divide(100 * F.col(c), F.col("__wtr"))))
     df = df.withColumns({"plus_di_14": di("__wpdm"), "minus_di_14": di("__wmdm"), "macd_12_26": F.col("__fast") - F.col("__slow")})
     both = F.col("plus_di_14") + F.col("minus_di_14")
     dx = F.when(both != 0, F.try_divide(100 * F.abs(F.col("plus_di_14") - F.col("minus_di_14")), both))
     df = df.withColumn("__dx", F.coalesce(F.last(dx, True).over(series.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     df = df.withColumns({"__dxmean": _mean("__dx", 14), "__macdmean": _mean("macd_12_26", 9)})
-    df = affine_scan(df, {"macd_signal_9": Recurrence(F.col("macd_12_26"), 0.8, 0.2, 33, F.col("__macdmean")), "adx_14": _wilder(F.col("__dx"), 14, 27, F.col("__dxmean"))})
+    df = _scan(df, {"macd_signal_9": Recurrence(F.col("macd_12_26"), 0.8, 0.2, 33, F.col("__macdmean")), "adx_14": _wilder(F.col("__dx"), 14, 27, F.col("__dxmean"))}, only)
     e20, sd = F.col("ema_20"), F.when(F.col("idx") >= 19, F.col("__sd"))
     df = df.withColumns({
         "relative_volume_20": F.when(F.col("volume_ema_20") != 0, F.col("volume") / F.col("volume_ema_20")),
@@ -82,7 +98,7 @@ def with_indicators(bars: DataFrame) -> DataFrame:
         "distance_from_365d_high_percent": (F.try_divide(close, F.col("trailing_365d_high")) - 1) * 100, "obv": F.col("obv").cast("double"),
     })
     df = df.withColumns({c: F.when(F.col("idx") >= 33, F.col(c)) for c in ("macd_12_26", "macd_histogram")})
-    return df.select("symbol", "ts", "open", "high", "low", "close", "volume", "idx", *INDICATOR_COLUMNS)
+    return df.select("symbol", "ts", "open", "high", "low", "close", "volume", "idx", *only)
 
 
 def indicator_table(bars: DataFrame) -> DataFrame:

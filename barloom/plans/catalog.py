@@ -66,7 +66,7 @@ SINGLE = {
 }
 for _name, _columns in SINGLE.items():
     query(_name, sql.chain() + _rounded_sql("ind", _columns, where=f"{_columns[0]} IS NOT NULL"))(
-        lambda s, d, c=_columns: _rounded(with_indicators(bars.daily(s, d)).where(F.col(c[0]).isNotNull()), c)
+        lambda s, d, c=_columns: _rounded(with_indicators(bars.daily(s, d), c).where(F.col(c[0]).isNotNull()), c)
     )
 _GATE = "ts >= (SELECT min(x.ts) FROM d x WHERE x.symbol = ind.symbol) + INTERVAL 365 DAY AND ema_200 IS NOT NULL"
 query("indicators_full", sql.chain() + _rounded_sql("ind", INDICATOR_COLUMNS, where=_GATE))(lambda s, d: _rounded(indicator_table(bars.daily(s, d)), INDICATOR_COLUMNS))
