@@ -4,9 +4,8 @@ A dynamic program over the global histogram of lengths chooses ``buckets`` bound
 padding when each sequence is padded to the boundary of its bucket. Inside a bucket, batches hold as many
 sequences as the token budget allows, at least one: ``max(1, budget // boundary)``.
 
-The histogram is aggregated on the executors. It is exact while it has at most ``max_lengths`` distinct
-lengths; beyond, lengths are rounded up to ``max_lengths`` quantiles of the distinct lengths, which bounds
-driver memory and touches only how close to optimal the boundaries are: no sequence is dropped or cut.
+The histogram is aggregated on the executors and is exact for any number of distinct lengths: the driver
+holds one row for each, and the program takes ``buckets * n * log n`` steps for ``n`` of them.
 
 Numbers inside a bucket come from chunks of the ids, so that no bucket meets in one task: rows are numbered
 inside a chunk and shifted by the sizes of the chunks before it.
@@ -40,11 +39,19 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
     for _ in range(1, min(buckets, n)):
         start = np.zeros(n, np.int64)
         new = best.copy()
-        for j in range(1, n):
-            cost = best[:j] + size[j] * (below[j + 1] - below[1 : j + 1])
-            i = int(cost.argmin())
-            if cost[i] < new[j]:
-                new[j], start[j] = cost[i], i + 1
+        # the padding is a Monge cost: the first best start never falls as j grows, which halves the search each time
+        todo = [(1, n - 1, 0, n - 2)]
+        while todo:
+            low, high, first, last = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            end = min(last, j - 1) + 1
+            cost = best[first:end] + size[j] * (below[j + 1] - below[first + 1 : end + 1])
+            i = first + int(cost.argmin())
+            if cost[i - first] < new[j]:
+                new[j], start[j] = cost[i - first], i + 1
+            todo += [(low, j - 1, first, i), (j + 1, high, i, last)]
         steps.append(start)
         best = new
     out, j = [], n - 1
@@ -65,14 +72,9 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> F.Column:
     return F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
-def plan_buckets(lengths: DataFrame, buckets: int = BUCKETS, max_lengths: int = 8192) -> tuple[list[int], int]:
+def plan_buckets(lengths: DataFrame, buckets: int = BUCKETS) -> tuple[list[int], int]:
     """Boundaries for the rows of column ``n_tokens``, and the number of rows."""
     histogram = lengths.groupBy("n_tokens").count()
-    distinct = histogram.count()
-    if distinct > max_lengths:
-        cuts = [0] + histogram.approxQuantile("n_tokens", list(np.linspace(0, 1, max_lengths)), 0.1 / max_lengths)
-        edges = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))])
-        histogram = histogram.groupBy(F.element_at(F.filter(edges, lambda e: e >= F.col("n_tokens")), 1).alias("n_tokens")).agg(F.sum("count").alias("count"))
     rows = sorted((r[0], r[1]) for r in histogram.collect())
     return boundaries([r[0] for r in rows], [r[1] for r in rows], buckets), sum(r[1] for r in rows)
 

@@ -300,6 +300,38 @@ def test_boundaries_are_optimal():
         assert pad(packing.boundaries(lengths, counts, 3)) == best
 
 
+def test_boundaries_of_many_lengths(spark):
+    rng = np.random.default_rng(5)
+    lengths = np.unique(rng.integers(0, 40_000, 12_000))
+    counts = rng.integers(1, 50, len(lengths))
+    below = np.concatenate([[0], np.cumsum(counts)])
+    # two buckets by trying every boundary
+    total = lengths * below[1:] + lengths[-1] * (below[-1] - below[1:])
+    rows = spark.createDataFrame([(int(x), int(c)) for x, c in zip(lengths, counts)], "n_tokens long, c long")
+    rows = rows.select(F.explode(F.array_repeat("n_tokens", F.col("c").cast("int"))).alias("n_tokens"))
+    assert packing.plan_buckets(rows, 2) == ([int(lengths[total.argmin()]), int(lengths[-1])], int(below[-1]))
+
+
+def test_boundaries_against_every_start():
+    rng = random.Random(6)
+    for _ in range(50):
+        lengths = sorted(rng.sample(range(200), 40))
+        counts = [rng.randint(1, 3) for _ in lengths]
+        below = [sum(counts[:k]) for k in range(41)]
+        best, steps = [x * below[j + 1] for j, x in enumerate(lengths)], []
+        for _ in range(4):
+            new = [min([(best[j], 0), *((best[i] + lengths[j] * (below[j + 1] - below[i + 1]), i + 1) for i in range(j))]) for j in range(40)]
+            best, steps = [v for v, _ in new], [*steps, [p for _, p in new]]
+        ends, j = [], 40
+        for start in reversed(steps):
+            ends, j = [lengths[j - 1], *ends], start[j - 1]
+            if not j:
+                break
+        else:
+            ends = [lengths[j - 1], *ends]
+        assert packing.boundaries(lengths, counts, 5) == ends
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, budget=256, chunk_rows=10).collect()
     assert len(got) == docs.count()
