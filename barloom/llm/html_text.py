@@ -8,7 +8,8 @@ of the pages of a host are concatenated, runs of ``least`` tokens or more that o
 pages are boilerplate, and only the unique runs of each block are kept.
 
 Hosts are dealt into groups of at most about ``group_bytes`` of html, so a host with a third of all pages
-is spread over many tasks; boilerplate recurs in each of the groups. Only parsed text is shuffled.
+is spread over many tasks. Windows of ``least`` tokens of the loose pages of such a host are counted over all
+its groups first, so the text does not depend on the groups. Only parsed text and windows are shuffled.
 
 Cases: null or empty html gives an empty text; a null url counts as the host with the empty name; cut-off
 tags and unknown character references stay as they are; equal pages are no distinct pages, so copies of a
@@ -22,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,14 +139,23 @@ def common_prefixes(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def unique_runs(pages: list[list[str]], least: int = LEAST_TOKENS) -> list[list[str]]:
-    """The blocks of each page without runs of ``least`` tokens or more that occur on distinct pages."""
+def windows(line: str, least: int) -> list[int]:
+    """Hashes of the runs of ``least`` tokens of a block, by their start."""
+    words = line.split(" ")
+    return [xxhash.xxh64_intdigest(" ".join(words[i : i + least])) - (1 << 63) for i in range(len(words) - least + 1)]
+
+
+def unique_runs(pages: list[list[str]], least: int = LEAST_TOKENS, elsewhere: set[int] | None = None) -> list[list[str]]:
+    """The blocks of each page without runs of ``least`` tokens or more that occur on distinct pages, or
+    whose ``windows`` are among those known to from ``elsewhere``."""
     index: dict[str, int] = {}
     same: dict[tuple, int] = {}
-    tokens, page, where = [], [], []
+    tokens, page, where, known = [], [], [], []
     for p, lines in enumerate(pages):
         who = same.setdefault(tuple(lines), len(same))
         for b, line in enumerate(lines):
+            if elsewhere:
+                known += [len(tokens) + i for i, h in enumerate(windows(line, least)) if h in elsewhere]
             for w in line.split(" "):
                 tokens.append(index.setdefault(w, len(index)))
                 page.append(who)
@@ -161,9 +172,10 @@ def unique_runs(pages: list[list[str]], least: int = LEAST_TOKENS) -> list[list[
     first, start = np.unique(group, return_index=True)
     lo, hi = np.minimum.reduceat(page[order], start), np.maximum.reduceat(page[order], start)
     shared = (lo != hi)[np.searchsorted(first, group)]
+    starts = np.union1d(order[shared], np.array(known, np.int64))
     edge = np.zeros(len(t) + least + 1, np.int64)
-    np.add.at(edge, order[shared], 1)
-    np.add.at(edge, order[shared] + least, -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + least, -1)
     covered = np.cumsum(edge)[: len(t)] > 0
     out: list[dict[int, list[str]]] = [{} for _ in pages]
     for x, c in zip(where, covered):
@@ -185,16 +197,35 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             got = [blocks(h) for h in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([m for _, m in got], pa.bool_()), pa.array([x for x, _ in got], pa.list_(pa.string()))], names=parsed.names)
 
+    part = F.pmod(F.xxhash64(id_col, "url"), F.coalesce("parts", F.lit(1)))
     dealt = source.mapInArrow(parse, parsed).join(sizes, "host", "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(id_col, "url"), F.coalesce("parts", F.lit(1)))).select(id_col, "url", "host", "part", "marked", "lines")
+    dealt = dealt.withColumn("part", part).select(id_col, "url", "host", "part", "marked", "lines")
     schema = T.StructType([source.schema[id_col], source.schema["url"], T.StructField("text", T.StringType())])
 
-    def choose(table: pa.Table) -> pa.Table:
+    def spread(batches):
+        for b in batches:
+            host, number, page, found = [], [], [], []
+            for h, k, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                lines, marked = blocks(x)
+                if not marked:
+                    own = {w for line in lines for w in windows(line, least)}
+                    host += [h] * len(own)
+                    number += [k] * len(own)
+                    page += [xxhash.xxh64_intdigest("\n".join(lines)) - (1 << 63)] * len(own)
+                    found += own
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(number, pa.int64()), pa.array(page, pa.int64()), pa.array(found, pa.int64())], names=["host", "part", "page", "w"])
+
+    hot = source.join(sizes, "host").select("host", part.alias("part"), "html")
+    hot = materialize(hot.mapInArrow(spread, "host string, part long, page long, w long"), "hosts")
+    several = hot.groupBy("host", "w").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select("host", "w")
+    several = hot.join(several, ["host", "w"]).select("host", "part", "w").distinct()
+
+    def choose(table: pa.Table, known: pa.Table) -> pa.Table:
         lines, marked = table.column("lines").to_pylist(), table.column("marked").to_pylist()
         loose = [i for i, m in enumerate(marked) if not m]
-        for i, kept in zip(loose, unique_runs([lines[i] for i in loose], least)):
+        for i, kept in zip(loose, unique_runs([lines[i] for i in loose], least, set(known.column("w").to_pylist()))):
             lines[i] = kept
         return pa.table([table.column(id_col), table.column("url"), pa.array(["\n".join(x) for x in lines], pa.string())], names=schema.names)
 
-    out = dealt.groupBy("host", "part").applyInArrow(choose, schema)
+    out = dealt.groupBy("host", "part").cogroup(several.groupBy("host", "part")).applyInArrow(choose, schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

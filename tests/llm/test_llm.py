@@ -172,6 +172,17 @@ def test_html(spark):
     assert got[90].text == got[91].text == "" and got[92].text == "plain < text"
 
 
+def test_html_of_a_hot_host_does_not_depend_on_its_groups(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(40):
+        notice = "<div>all rights of this fine site belong to us</div>" if i % 10 == 0 else ""
+        rows.append((i, f"http://a.example/{i}", f"<html><body>{notice}<div><p>{sentence(rng, 30)}</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, split = ({r.page_id: r.text for r in html_text.extract(df, group_bytes=n).collect()} for n in (1_000_000, 300))
+    assert split == whole and not any("belong to us" in t for t in whole.values())
+
+
 def test_suffix_array_of_tokens():
     t = np.array(random.Random(0).choices(range(3), k=200))
     order = html_text.suffix_array(t)
