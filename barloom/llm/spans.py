@@ -2,7 +2,9 @@
 
 A text is cut into sentences: after ``.``, ``!`` or ``?``, at line breaks, and inside a running sentence
 after words that a hash of the word itself selects (one in ``cut_every``), so that a passage pasted into
-the middle of another sentence is cut alike in both places. A span starts at each sentence and runs over
+the middle of another sentence is cut alike in both places. Where ``LONGEST`` words in a row have no such
+cut, there is one after the word of the smallest hash among them, so no sentence is longer and every run of
+51 words that repeats holds a whole span. A span starts at each sentence and runs over
 consecutive sentences until it has ``least_sentences`` of them and ``least_words`` words; spans are hashed
 over their lower-cased words, joined over all documents, and the sentences of every span that is not the
 first of its kind, by (id, position), are removed. Only the first span of a kind stays.
@@ -28,6 +30,8 @@ from barloom.llm.common import materialize
 
 _WORD = re.compile(rb"\S+\s*")
 LEAST_SENTENCES, LEAST_WORDS, CUT_EVERY = 3, 16, 12
+#: Words in a row of which one at least ends a sentence.
+LONGEST = 8
 
 
 def sentences(text: bytes, cut_every: int = CUT_EVERY, seen: dict | None = None) -> tuple[list[bytes], np.ndarray]:
@@ -36,14 +40,21 @@ def sentences(text: bytes, cut_every: int = CUT_EVERY, seen: dict | None = None)
     seen = {} if seen is None else seen
     if len(seen) > 500_000:
         seen.clear()
-    ends = []
-    for i, w in enumerate(found):
-        e = seen.get(w)
-        if e is None:
+    values = []
+    for w in found:
+        v = seen.get(w)
+        if v is None:
             core = w.rstrip()
-            e = seen[w] = core[-1:] in b".!?" or b"\n" in w or zlib.crc32(core.lower()) % cut_every == 0
-        if e:
-            ends.append(i + 1)
+            v = zlib.crc32(core.lower())
+            v = seen[w] = 0 if core[-1:] in b".!?" or b"\n" in w or v % cut_every == 0 else v
+        values.append(v)
+    value = np.array(values, np.int64)
+    cut_after = value == 0
+    if len(found) >= LONGEST:
+        # the last one of the smallest in each window; a window that has a cut already chooses one
+        last = LONGEST - 1 - np.lib.stride_tricks.sliding_window_view(value, LONGEST)[:, ::-1].argmin(1)
+        cut_after[np.arange(len(last)) + last] = True
+    ends = (np.flatnonzero(cut_after) + 1).tolist()
     if found and (not ends or ends[-1] != len(found)):
         ends.append(len(found))
     return found, np.array([0, *ends], np.int64)

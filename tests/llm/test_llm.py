@@ -148,6 +148,23 @@ def test_sentence_spans(docs, none):
     assert spans.remove_repeats(none).count() == 0
 
 
+def test_every_repeated_run_of_51_words_holds_a_span():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+
+    def keys(text):
+        found, starts = spans.sentences(text.encode())
+        ends = spans.span_ends(starts, 3, 16)
+        return {b"".join(w.rstrip().lower() + b" " for w in found[starts[p] : starts[e]]) for p, e in enumerate(ends) if e < len(starts)}
+
+    for n in range(500):
+        few = [word() for _ in range(rng.choice([1, 3, 60]))]
+        run = [rng.choice(few) if n % 3 else "|" + word() for _ in range(51)]
+        a, b = (" ".join([word() for _ in range(rng.randint(0, 40))] + run + [word() for _ in range(rng.randint(1, 40))]) for _ in range(2))
+        inside = " " + " ".join(run) + " "
+        assert any(f" {k.decode()}" in inside for k in keys(a) & keys(b)), run
+
+
 # HTML
 
 
