@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from barloom.llm.common import connected_components, materialize, small_side
+from barloom.llm.common import connected_components, hash_sample, materialize, small_side
 
 SEED = 42
 #: Bits of every byte value, lowest first.
@@ -125,59 +126,99 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-# Near-duplicates by shingle similarity, over wide fingerprints
+# Near-duplicates by shingle similarity, found by prefixes of the shingle sets
 
 
-def _wide(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id_col, f0..f3``: 256-bit fingerprints, 32 positional bytes."""
-    source = docs.select(id_col, text_col)
-    schema = T.StructType([source.schema[id_col], *[T.StructField(f"f{i}", T.LongType()) for i in range(4)]])
+#: Lanes of the parity map of a shingle set, 64 bits each.
+_MAP = 16
+SAMPLE_TEXTS, LEAST_HOT, MOST_HOT = 50_000, 4, 300_000
+
+
+def _texts(batch: pa.RecordBatch) -> list:
+    return batch.column(1).cast(pa.binary()).to_pylist()
+
+
+def _hot_shingles(docs: DataFrame, ids: DataFrame, total: int, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the texts ``ids``, ascending, and their ranks by frequency. They only
+    decide the order of the shingles, so neither the sample nor the bound on their number changes a result."""
+    sample = hash_sample(ids, SAMPLE_TEXTS, total, "id")
+    source = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(sample), "id")
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in _texts(b)]
+            h, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "n"])
+
+    counts = materialize(source.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")).where(F.col("c") >= LEAST_HOT), "near")
+    cut, size = None, 0
+    for c, n in sorted(((r[0], r[1]) for r in counts.groupBy("c").count().collect()), reverse=True):
+        if size + n > MOST_HOT:
+            break
+        cut, size = c, size + n
+    rows = counts.where(F.col("c") >= cut).collect() if cut else []
+    h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    c = np.array([r[1] for r in rows], np.int64)
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, c))] = np.arange(len(h))
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
+def prefix(found: np.ndarray, hot: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of the set ``found`` (ascending) in the common order: those that are not hot by their
+    hash, then hot ones from rare to frequent. Two sets of the similarity share one of them."""
+    n = len(found)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+        found = found[np.argsort(np.where(hot[at] == found, rank[at], -1), kind="stable")]
+    return found[: n - int(np.ceil(similarity * n - 1e-6)) + 1 if n else 0]
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles that fall on each of ``64 * _MAP`` bits: the maps of two sets differ in at
+    most as many bits as the sets differ in shingles."""
+    bits = np.bincount((found % np.uint64(64 * _MAP)).astype(np.int64), minlength=64 * _MAP) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _sets(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``id, n, keys, m0..``: size, prefix and parity map of every text's shingle set."""
+    source = docs.select(F.col(id_col).alias("id"), text_col)
+    names = ["id", "n", "keys", *[f"m{i}" for i in range(_MAP)]]
+    schema = T.StructType([source.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), *[T.StructField(m, T.LongType()) for m in names[3:]]])
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(shingle_hashes(t, shingle), 4) for t in b.column(1).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in fps.T.copy())], names=schema.names)
+            found = [np.unique(shingle_hashes(t, shingle)) for t in _texts(b)]
+            keys = [prefix(f, hot, rank, similarity).view(np.int64) for f in found]
+            edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            maps = np.array([parity(f) for f in found], np.int64).reshape(-1, _MAP)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int32()), keys, *(pa.array(c) for c in maps.T.copy())], names=names)
 
     return source.mapInArrow(run, schema)
 
 
-def _wide_postings(wide: DataFrame, lists: range) -> DataFrame:
-    """``key, id, root``: a posting per list for each row of ``wide`` (``id, f0..f3, root``), keyed by three
-    positional bytes of the fingerprint."""
-    numbers = np.array(lists)
-    picks = np.array([np.random.default_rng(i).permutation(32)[:3] for i in lists])
+def _can_reach(similarity: float, n: F.Column, pos: F.Column, other_n: F.Column, other_pos: F.Column) -> F.Column:
+    """Whether two sets whose first common shingle stands at these places can have the similarity."""
+    return F.least(n - pos, other_n - other_pos) >= (n + other_n) * (similarity / (1 + similarity)) - 1e-6
 
-    def run(batches):
-        for b in batches:
-            for s in range(0, len(b), 4096):
-                part = b.slice(s, 4096)
-                octets = np.stack([np.array(part.column(i + 1)) for i in range(4)], 1).view(np.uint8).reshape(-1, 32).astype(np.int64)
-                keys = (octets[:, picks[:, 0]] << 16) | (octets[:, picks[:, 1]] << 8) | octets[:, picks[:, 2]] | (numbers << 24)
-                take = pa.array(np.repeat(np.arange(len(part)), len(numbers)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(take), part.column(5).take(take)], names=["key", "id", "root"])
-
-    kind = wide.schema["id"].dataType
-    return wide.select("id", "f0", "f1", "f2", "f3", "root").mapInArrow(run, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("root", kind)]))
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, lists: range, id_col: str, text_col: str, shingle: int, similarity: float, least_shared: int, most_bits: int) -> DataFrame:
-    """``u, v``: verified pairs of different roots that meet in one of ``lists``. In each posting the smallest
-    id stands for all; postings whose members have one root have nothing to add."""
-    posts = _wide_postings(nodes, lists)
-    ends = posts.groupBy("key").agg(F.min(F.struct("id", "root")).alias("lo"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    ends = ends.select("key", F.col("lo.id").alias("u"), F.col("lo.root").alias("u_root"))
-    met = posts.join(ends, (posts["key"] == ends["key"]) & (F.col("root") != F.col("u_root"))).select("u", F.col("id").alias("v")).distinct()
-    a, b = (nodes.select(F.col("id").alias(n), *[F.col(f"f{i}").alias(f"{n}{i}") for i in range(4)]) for n in "uv")
-    tally = sum(shared_bytes(F.col(f"u{i}"), F.col(f"v{i}")) for i in range(4))
-    apart = sum(F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(4))
-    pairs = materialize(met.join(a, "u").join(b, "v").where((tally >= least_shared) & (apart <= most_bits)).select("u", "v"), "near")
+
+def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``u, v``: the pairs of ``met`` that have the similarity. Pairs whose parity maps differ in more bits than
+    such sets can differ in shingles go first."""
+    a, b = (nodes.select(F.col("id").alias(n), F.col("n").alias(f"{n}_n"), *[F.col(f"m{i}").alias(f"{n}{i}") for i in range(_MAP)]) for n in "uv")
+    apart = sum(F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(_MAP))
+    most = (F.col("u_n") + F.col("v_n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    pairs = materialize(met.join(a, "u").join(b, "v").where(apart <= most).select("u", "v"), "near")
 
     ends_of = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small_side(ends_of), "id")
 
     def sets(batches):
         for x in batches:
-            got = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in x.column(1).cast(pa.binary()).to_pylist()]
+            got = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in _texts(x)]
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(got, pa.binary())], names=["id", "h"])
 
     held = materialize(wanted.mapInArrow(sets, T.StructType([wanted.schema["id"], T.StructField("h", T.BinaryType())])).dropDuplicates(["id"]), "near")
@@ -195,35 +236,49 @@ def _verified(docs: DataFrame, nodes: DataFrame, lists: range, id_col: str, text
     return materialize(both.mapInArrow(verify, T.StructType([pairs.schema["u"], pairs.schema["v"]])), "near")
 
 
-def near_duplicate_ids(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, feature: int = 2, lists: int = 80, first_lists: int = 8, least_shared: int = 4, most_bits: int = 72
-) -> DataFrame:
+def near_duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hub_rounds: int = 2) -> DataFrame:
     """``id``: the documents that are a copy, or share ``similarity`` of their ``shingle``-word shingles (as
     sets) with another one of their group, except for the smallest id of each group.
 
-    Equal texts are one class. Fingerprints of 256 bits, taken over ``feature``-word shingles, have 32
-    positional bytes; a posting is keyed by three of them. Short features change less than the compared
-    shingles do when single words are edited. Texts of similarity 0.8 keep about a quarter to a half of
-    their bytes, so no number of shared bytes is certain for them; with 80 posting lists, pairs of
-    similarity 0.9 meet with over 99.7 % probability, those of 0.84 with 93 % (a block added) to 99.9 %
-    (single words edited). A posting links its members to its smallest id, never all pairs. The first lists
-    join most members of a large group; the others only add links between groups. Candidates that
-    share fewer than ``least_shared`` positional bytes or differ in more than ``most_bits`` bits are dropped
-    and the rest verified exactly on their shingles.
+    Equal texts are one class. All shingles have one order, frequent ones last; of sets that have the
+    similarity, the first ``n - similarity * n + 1`` shingles in that order share one, so every such pair meets in
+    a posting. Pairs that cannot reach the similarity by their sizes, the places of the shingle or their parity
+    maps are dropped, which loses none, and the rest verified exactly on their shingles.
+
+    In ``hub_rounds`` rounds, one member of each posting is compared with all others and leaves it, which joins
+    most members of a large group without all its pairs. Then all members of a posting that verified links have not
+    joined yet are compared with each other.
 
     A null id is in no group; texts without words have no shingles and group only with equal texts."""
     key = [F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), text_col).alias("k2")]
     keyed = materialize(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *key, (F.trim(F.coalesce(text_col, F.lit(""))) != "").alias("full")), "near")
-    classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.max("full").alias("full"))
+    classes = materialize(keyed.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.max("full").alias("full")), "near")
     copies = keyed.join(classes, ["k1", "k2"]).where("id <> node").select("id")
-    wide = materialize(_wide(docs, id_col, text_col, feature).withColumnRenamed(id_col, "id"), "near")
-    nodes = materialize(wide.join(classes.where("full").select(F.col("node").alias("id")), "id").dropDuplicates(["id"]), "near")
-    find = (id_col, text_col, shingle, similarity, least_shared, most_bits)
-    links = _verified(docs, nodes.withColumn("root", F.col("id")), range(first_lists), *find)
-    roots = materialize(connected_components(links), "near")
-    rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "id").alias("root"))
-    links = links.unionByName(_verified(docs, materialize(rooted, "near"), range(first_lists, lists), *find))
-    roots = connected_components(links)
+    ids = classes.where("full").select(F.col("node").alias("id")).distinct()
+    hot, rank = _hot_shingles(docs, ids, ids.count(), id_col, text_col, shingle)
+    nodes = materialize(_sets(docs, hot, rank, id_col, text_col, shingle, similarity).join(small_side(ids), "id").dropDuplicates(["id"]), "near")
+    find = (id_col, text_col, shingle, similarity)
+
+    posting = Window.partitionBy("key")
+    posts = nodes.select("id", "n", F.posexplode("keys").alias("pos", "key")).withColumn("root", F.col("id"))
+    posts = posts.withColumn("members", F.count("*").over(posting))
+    links = None
+    for turn in range(hub_rounds):
+        hub = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("id")).alias("turn"), "id", "n", "pos", "root")).over(posting)
+        posts = materialize(posts.withColumn("hub", hub).where("members > 1").drop("members"), "near")
+        met = posts.where((F.col("root") != F.col("hub.root")) & _can_reach(similarity, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+        new = _verified(docs, nodes, met.select(F.col("hub.id").alias("u"), F.col("id").alias("v")).distinct(), *find)
+        links = links.unionByName(new) if links else new
+        roots = materialize(connected_components(links), "near")
+        posts = posts.where("id <> hub.id").drop("root", "hub").join(small_side(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        posts = posts.withColumn("least", F.min("root").over(posting)).withColumn("most", F.max("root").over(posting)).where("least <> most").drop("least", "most")
+        posts = posts.withColumn("members", F.count("*").over(posting))
+    posts = materialize(posts, "near")
+    a, b = posts.alias("a"), posts.alias("b")
+    reach = _can_reach(similarity, F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & reach)
+    new = _verified(docs, nodes, met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), *find)
+    roots = connected_components(links.unionByName(new) if links else new)
     return materialize(copies.union(roots.where("node <> root").select(F.col("node").alias("id"))).distinct(), "near")
 
 

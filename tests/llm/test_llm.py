@@ -313,6 +313,23 @@ def test_near_duplicates(spark, docs, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_inside_a_template_family(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(1500):
+        w = [f"t{k}" for k in range(300)]
+        for k in rng.sample(range(300), 7):
+            w[k] = f"own{i}x{k}"
+        rows.append(w)
+    for w in rows[-300:]:
+        c = list(w)
+        for k in rng.sample(range(300), 2):
+            c[k] = f"late{len(rows)}x{k}"
+        rows.append(c)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(range(1500))
+
+
 # Packing
 
 
