@@ -330,6 +330,17 @@ def test_near_duplicates_inside_a_template_family(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(range(1500))
 
 
+def test_near_duplicates_that_differ_in_repeats(spark):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        line = [f"w{rng.randrange(10**6)}" for _ in range(15)]
+        rows += [base + line, base + 11 * line]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(range(0, 40, 2))
+
+
 # Packing
 
 
