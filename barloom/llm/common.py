@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -11,11 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables written inside the ``scratch`` blocks that are open, the innermost last.
+_open: list[list[tuple[DataFrame, str]]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (local
-    tests only), a temporary folder that is then written to that setting."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session with
+    a local master gets a temporary folder, written to that setting; on a cluster that would be the disk of
+    one machine, so it is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -29,7 +38,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append((out, path))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes inside the block go at its end, but for those handed to the function
+    that it yields. Only for blocks whose kept tables are written: a lazy result would miss its inputs."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        for df, path in _open.pop():
+            if not any(df is k for k in kept):
+                _delete(spark, path)
+            elif _open:
+                _open[-1].append((df, path))
 
 
 def hash_sample(df: DataFrame, rows: int, total: int, *cols: str) -> DataFrame:
@@ -46,37 +84,42 @@ def small_side(keys: DataFrame, most_rows: int = 500_000) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most_rows + 1).count() <= most_rows else keys
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 
     ``edges`` has long columns ``u`` and ``v``. Returns ``node, root``, where root is the smallest node
     of the component, for every node that has an edge to another one. Each round is a few hash
     aggregations and equi-joins and ends in a table in the shared folder; nothing goes to the driver but
-    a row count and a checksum. Rows with nulls and self-loops are ignored."""
-    e = materialize(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"
-    )
-    mark = None
-    for _ in range(max_rounds):
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(now) == mark or not now[0]:
-            break
-        mark = tuple(now)
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
-            .where("u <> v")
-            .distinct()
-        )
-        e = materialize(small, "cc")
+    a row count and a checksum. The rounds grow with the logarithm of a component's size; if they do not come
+    to rest, that is an error and not a result. Rows with nulls and self-loops are ignored."""
+    spark = edges.sparkSession
+    first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    with scratch(spark) as keep:
+        e = materialize(first, "cc")
+        mark = None
+        for _ in range(max_rounds):
+            now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if tuple(now) == mark or not now[0]:
+                break
+            mark = tuple(now)
+            e = materialize(_stars(e), "cc")
+        else:
+            raise RuntimeError(f"components are not complete after {max_rounds} rounds")
+        keep(e)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _stars(e: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges ``u > v``."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+    return small.where("u <> v").distinct()
+
+
 def regroup(batches):
     """Re-cut sorted batches so that no value of the first column spans two of them."""
     held = None

@@ -1,10 +1,15 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints within ``radius`` bits differ in at most
-``radius`` bytes, so they are guaranteed to share ``8 - radius`` positional bytes. The index is keyed by
-tuples of positional bytes, so that every pair that can reach that minimum meets in a posting list; the
-shared positional bytes of a pair are then tallied, pairs below the guaranteed minimum are dropped and the
-rest verified by their Hamming distance.
+``radius`` bytes, so they are guaranteed to share ``8 - radius`` positional bytes. The index is keyed by tuples
+of one positional byte less than that, as many as it takes for every pair that reaches the minimum to meet in
+a posting list; the shared positional bytes of a pair are then tallied, pairs below the guaranteed minimum are
+dropped and the rest verified by their Hamming distance.
+
+``drop_near_duplicates`` groups documents by the similarity of their word shingles. Fingerprints of such texts
+may differ in any number of bits, so no minimum is guaranteed there: the index joins the groups as far as it
+reaches, every link verified on the shingles, and a search by prefixes of the shingle sets, which has a
+guarantee, completes them.
 
 Cases: a null or empty text has fingerprint zero and links like any other; rows with one doc_id twice are
 rows of their own and share the class of each other's fingerprint only if the fingerprints link; a null
@@ -19,10 +24,10 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from barloom.llm.common import connected_components, hash_sample, materialize, small_side
 
@@ -80,14 +85,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, schema)
 
 
-def _postings(radius: int) -> list[int]:
-    """Masks of the positional-byte tuples of the index: all choices of the ``8 - radius`` bytes that two
-    fingerprints within the radius are guaranteed to share."""
-    full = (1 << 64) - 1
-    masks = (full ^ sum(0xFF << (8 * p) for p in gone) for gone in itertools.combinations(range(8), radius))
+def _postings(shared: int) -> list[int]:
+    """Masks of the positional-byte tuples of the index. Each takes one byte less than ``shared`` (two at least)
+    and every choice of ``shared`` bytes holds one of them; chosen greedily, those that most choices hold first."""
+    open_ = [set(c) for c in itertools.combinations(range(8), shared)]
+    tuples = [set(c) for c in itertools.combinations(range(8), min(shared, max(2, shared - 1)))]
+    masks = []
+    while open_:
+        best = max(tuples, key=lambda t: sum(t <= c for c in open_))
+        open_ = [c for c in open_ if not best <= c]
+        masks.append(sum(0xFF << (8 * p) for p in best))
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def posted(fps: DataFrame, shared: int) -> DataFrame:
+    """``fps`` with one row for each posting list: its number ``list`` and the ``octets`` that it is keyed by."""
+    lists = [F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(m)).alias("octets")) for k, m in enumerate(_postings(shared))]
+    return fps.select("*", F.inline(F.array(*lists)))
+
+
 def shared_bytes(a: F.Column, b: F.Column) -> F.Column:
     """Tally of equal positional bytes."""
     x = a.bitwiseXOR(b)
@@ -97,13 +113,10 @@ def shared_bytes(a: F.Column, b: F.Column) -> F.Column:
 def linked_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Pairs ``u < v`` of distinct fingerprints of column ``fp`` that differ in 1..``radius`` bits.
 
-    A posting holds fingerprints that agree in ``8 - radius`` bytes, so for radius 2 it has at most 65536
-    members and a fingerprint at most 2144 partners, however many documents carry it."""
-    masks = _postings(radius)
-    posted = fps.select("fp").distinct().select(
-        "fp", F.inline(F.array(*[F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(m)).alias("octets")) for k, m in enumerate(masks)]))
-    )
-    a, b = posted.alias("a"), posted.alias("b")
+    Copies of a fingerprint are one, so a fingerprint has at most 2080 partners for radius 2, however many
+    documents carry it."""
+    index = posted(fps.select("fp").distinct(), 8 - radius)
+    a, b = index.alias("a"), index.alias("b")
     u, v = F.col("a.fp"), F.col("b.fp")
     near = (shared_bytes(u, v) >= 8 - radius) & (F.bit_count(u.bitwiseXOR(v)) <= radius)
     return (
@@ -126,27 +139,30 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-# Near-duplicates by shingle similarity, found by prefixes of the shingle sets
+# Near-duplicates by shingle similarity
 
 
 #: Lanes of the parity map of a shingle set, 64 bits each.
 _MAP = 16
-SAMPLE_TEXTS, LEAST_HOT, MOST_HOT = 50_000, 4, 300_000
+SAMPLE_TEXTS, LEAST_HOT, MOST_HOT = 20_000, 4, 300_000
+#: Positional bytes that a pair shares at least in the index over shingle sets.
+SHARED = 4
+#: Hubs that a node is compared with in a round; those that it does not reach are left to the last step.
+HUBS = 3
 
 
-def _texts(batch: pa.RecordBatch) -> list:
-    return batch.column(1).cast(pa.binary()).to_pylist()
+def _texts(column: pa.Array) -> list:
+    return column.cast(pa.binary()).to_pylist()
 
 
-def _hot_shingles(docs: DataFrame, ids: DataFrame, total: int, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that recur in a sample of the texts ``ids``, ascending, and their ranks by frequency. They only
-    decide the order of the shingles, so neither the sample nor the bound on their number changes a result."""
-    sample = hash_sample(ids, SAMPLE_TEXTS, total, "id")
-    source = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(sample), "id")
+def _hot_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the texts, ascending, and their ranks by frequency. They only decide the
+    order of the shingles, so neither the sample nor the bound on their number changes a result."""
+    source = hash_sample(docs, SAMPLE_TEXTS, docs.count(), id_col, text_col).select(text_col)
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in _texts(b)]
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in _texts(b.column(0))]
             h, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "n"])
 
@@ -182,20 +198,35 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, t1, t2, text``: rows with an id, and the key of their text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+
+
 def _sets(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``id, n, keys, m0..``: size, prefix and parity map of every text's shingle set."""
-    source = docs.select(F.col(id_col).alias("id"), text_col)
-    names = ["id", "n", "keys", *[f"m{i}" for i in range(_MAP)]]
-    schema = T.StructType([source.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), *[T.StructField(m, T.LongType()) for m in names[3:]]])
+    """One row for each document, under a number ``node`` of its own: ``id, t1, t2``, key ``s1, s2``, size ``n``, fingerprint ``fp``, prefix
+    ``keys`` and parity map ``m0..`` of its shingle set. Texts without words are keyed by the text itself."""
+    source = _keyed(docs, id_col, text_col)
+    longs = ["t1", "t2", "node", "s1", "s2", "n", "fp", *[f"m{i}" for i in range(_MAP)]]
+    schema = T.StructType([source.schema["id"], *[T.StructField(c, T.LongType()) for c in longs], T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
+        node = TaskContext.get().partitionId() << 33
         for b in batches:
-            found = [np.unique(shingle_hashes(t, shingle)) for t in _texts(b)]
+            texts = _texts(b.column(3))
+            found = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            digest = [xxhash.xxh3_128_digest(f.tobytes() if len(f) else t, len(f) > 0) for f, t in zip(found, texts)]
+            s = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            fps = np.array([fingerprint(f)[0] for f in found], np.int64)
+            maps = np.array([parity(f) for f in found], np.int64).reshape(-1, _MAP)
+            sizes = np.array([len(f) for f in found], np.int64)
             keys = [prefix(f, hot, rank, similarity).view(np.int64) for f in found]
             edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            maps = np.array([parity(f) for f in found], np.int64).reshape(-1, _MAP)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int32()), keys, *(pa.array(c) for c in maps.T.copy())], names=names)
+            columns = [np.arange(node, node + len(texts)), s[:, 0], s[:, 1], sizes, fps, *maps.T]
+            node += len(texts)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns), keys], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -205,84 +236,121 @@ def _can_reach(similarity: float, n: F.Column, pos: F.Column, other_n: F.Column,
     return F.least(n - pos, other_n - other_pos) >= (n + other_n) * (similarity / (1 + similarity)) - 1e-6
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``u, v``: the pairs of ``met`` that have the similarity. Pairs whose parity maps differ in more bits than
-    such sets can differ in shingles go first."""
-    a, b = (nodes.select(F.col("id").alias(n), F.col("n").alias(f"{n}_n"), *[F.col(f"m{i}").alias(f"{n}{i}") for i in range(_MAP)]) for n in "uv")
-    apart = sum(F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(_MAP))
-    most = (F.col("u_n") + F.col("v_n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    pairs = materialize(met.join(a, "u").join(b, "v").where(apart <= most).select("u", "v"), "near")
-
-    ends_of = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small_side(ends_of), "id")
-
-    def sets(batches):
-        for x in batches:
-            got = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in _texts(x)]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(got, pa.binary())], names=["id", "h"])
-
-    held = materialize(wanted.mapInArrow(sets, T.StructType([wanted.schema["id"], T.StructField("h", T.BinaryType())])).dropDuplicates(["id"]), "near")
-
-    def verify(batches):
-        for x in batches:
-            keep = []
-            for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist()):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(held.select(F.col("id").alias("u"), F.col("h").alias("hu")), "u").join(held.select(F.col("id").alias("v"), F.col("h").alias("hv")), "v").select("u", "v", "hu", "hv")
-    return materialize(both.mapInArrow(verify, T.StructType([pairs.schema["u"], pairs.schema["v"]])), "near")
-
-
-def near_duplicate_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hub_rounds: int = 2) -> DataFrame:
-    """``id``: the documents that are a copy, or share ``similarity`` of their ``shingle``-word shingles (as
-    sets) with another one of their group, except for the smallest id of each group.
-
-    Equal texts are one class. All shingles have one order, frequent ones last; of sets that have the
-    similarity, the first ``n - similarity * n + 1`` shingles in that order share one, so every such pair meets in
-    a posting. Pairs that cannot reach the similarity by their sizes, the places of the shingle or their parity
-    maps are dropped, which loses none, and the rest verified exactly on their shingles.
-
-    In ``hub_rounds`` rounds, one member of each posting is compared with all others and leaves it, which joins
-    most members of a large group without all its pairs. Then all members of a posting that verified links have not
-    joined yet are compared with each other.
-
-    A null id is in no group; texts without words have no shingles and group only with equal texts."""
-    key = [F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), text_col).alias("k2")]
-    keyed = materialize(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *key, (F.trim(F.coalesce(text_col, F.lit(""))) != "").alias("full")), "near")
-    classes = materialize(keyed.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.max("full").alias("full")), "near")
-    copies = keyed.join(classes, ["k1", "k2"]).where("id <> node").select("id")
-    ids = classes.where("full").select(F.col("node").alias("id")).distinct()
-    hot, rank = _hot_shingles(docs, ids, ids.count(), id_col, text_col, shingle)
-    nodes = materialize(_sets(docs, hot, rank, id_col, text_col, shingle, similarity).join(small_side(ids), "id").dropDuplicates(["id"]), "near")
-    find = (id_col, text_col, shingle, similarity)
-
-    posting = Window.partitionBy("key")
-    posts = nodes.select("id", "n", F.posexplode("keys").alias("pos", "key")).withColumn("root", F.col("id"))
-    posts = posts.withColumn("members", F.count("*").over(posting))
-    links = None
+class _Verifier:
+    """Pairs of nodes that have the similarity, decided on their whole shingle sets."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float):
+        self.docs, self.nodes, self.shingle, self.similarity = _keyed(docs, id_col, text_col), nodes, shingle, similarity
+
+    def __call__(self, met: DataFrame) -> DataFrame:
+        """``u, v``: the pairs of ``met``, a few numbers a row, that have the similarity. Pairs whose parity maps
+        differ in more bits than such sets can differ in shingles go before their texts are read."""
+        share, shingle = self.similarity, self.shingle
+        a, b = (self.nodes.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), *[F.col(f"m{i}").alias(f"{n}{i}") for i in range(_MAP)]) for n in "uv")
+        apart = sum(F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(_MAP))
+        most = (F.col("u_n") + F.col("v_n")) * ((1 - share) / (1 + share)) + 1e-6
+        pairs = materialize(met.join(a, "u").join(b, "v").where(apart <= most).select("u", "v", "u_n", "v_n"), "near")
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+        ends = materialize(self.nodes.select("node", "id", "t1", "t2").join(small_side(ends), "node"), "near")
+        wanted = self.docs.join(small_side(ends), ["id", "t1", "t2"]).select("node", "text")
+
+        def sets(batches):
+            for x in batches:
+                for i in range(0, len(x), 500):  # one batch may hold many very long texts
+                    part = x.slice(i, 500)
+                    found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in _texts(part.column(1))]
+                    edges = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(found)))], names=["node", "h"])
+
+        held = materialize(wanted.mapInArrow(sets, "node long, h array<long>").dropDuplicates(["node"]), "near")
+        both = pairs.join(held.select(F.col("node").alias("u"), F.col("h").alias("hu")), "u").join(held.select(F.col("node").alias("v"), F.col("h").alias("hv")), "v")
+        both = both.withColumn("both", F.size(F.array_intersect("hu", "hv")))
+        return materialize(both.where(F.col("both") >= share * (F.col("u_n") + F.col("v_n") - F.col("both")) - 1e-9).select("u", "v"), "near")
+
+
+def _by_fingerprint(nodes: DataFrame, shared: int) -> DataFrame:
+    """``u, v``: for each node one partner, that which shares most positional bytes of its fingerprint (``shared`` at
+    least) among the first members of its posting lists. One pair a node, whatever the size of a list."""
+    index = posted(nodes.select("node", "fp"), shared)
+    first = index.groupBy("list", "octets").agg(F.min(F.struct("fp", "node")).alias("hub"), F.max("node").alias("last"))
+    first = first.where(F.col("hub.node") != F.col("last")).drop("last")
+    tally = shared_bytes(F.col("fp"), F.col("hub.fp"))
+    met = index.join(first, ["list", "octets"]).where(F.col("node") != F.col("hub.node")).withColumn("tally", tally).where(F.col("tally") >= shared)
+    best = F.max_by(F.col("hub.node"), F.struct(F.col("tally"), -F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))), F.col("hub.node")))
+    return met.groupBy(F.col("node").alias("v")).agg(best.alias("u")).select("u", "v")
+
+
+def _rooted(posts: DataFrame, links: DataFrame) -> DataFrame:
+    """``posts`` with the ``root`` that verified links give to each node."""
+    roots = materialize(connected_components(links), "near")
+    return posts.drop("root").join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicate_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, shared: int = SHARED, hub_rounds: int = 1
+) -> DataFrame:
+    """``id, t1, t2`` (the key of the text): the documents that share ``similarity`` of their ``shingle``-word
+    shingles (as sets) with another one of their group, except for the smallest (id, text key) of each group.
+
+    Texts of one shingle set are one node. Nodes are grouped in three steps, each link verified on whole shingle sets:
+
+    1. the byte-position index: each node is compared with the one that shares most positional bytes with it;
+    2. ``hub_rounds`` rounds over prefixes: all shingles have one order, frequent ones last; of sets that have the
+       similarity, the first ``n - similarity * n + 1`` shingles in that order share one, so every such pair meets
+       in a posting. Each posting has a hub, first the member that shares most of its prefix, then any, and each node is compared with the ``HUBS`` that it meets most often;
+    3. all members of a posting that links have not joined yet are compared with each other, so no pair is missed.
+
+    Pairs that cannot reach the similarity by their sizes, the places of the shingle or their parity maps are
+    dropped, which loses none. The first two steps make at most ``HUBS`` pairs a node and round, so a large group costs
+    pairs in proportion to its size, and none needs a posting in one task.
+
+    A null id is in no group; a null text counts as an empty one; texts without words have no shingles and group
+    only with equal texts; rows that agree in id and text are one document, which goes or stays as a whole."""
+    hot, rank = _hot_shingles(docs, id_col, text_col, shingle)
+    rows = materialize(_sets(docs, hot, rank, id_col, text_col, shingle, similarity), "near")
+    document = F.struct("id", "t1", "t2")
+    classes = materialize(rows.groupBy("s1", "s2").agg(F.min(F.struct("id", "t1", "t2", "node")).alias("least"), F.max("n").alias("n"), F.count("*").alias("copies")), "near")
+    same = classes.where("copies > 1").select("s1", "s2", F.struct("least.id", "least.t1", "least.t2").alias("least"))
+    gone = rows.select("s1", "s2", document.alias("document")).join(same, ["s1", "s2"]).where("document <> least").select("document.*")
+
+    chosen = classes.where("n > 0").select("least.node")
+    nodes = rows.join(small_side(chosen), "node")
+    posts = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
+    several = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    posts = materialize(posts.join(several, "key"), "near")
+    posts = posts.join(small_side(materialize(posts.groupBy("node").agg(F.count("*").alias("met")), "near")), "node")
+    nodes = materialize(nodes.drop("keys", "s1", "s2"), "near")
+
+    verified = _Verifier(docs, nodes, id_col, text_col, shingle, similarity)
+    links = verified(_by_fingerprint(nodes, shared))
+    posts = _rooted(posts, links)
     for turn in range(hub_rounds):
-        hub = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("id")).alias("turn"), "id", "n", "pos", "root")).over(posting)
-        posts = materialize(posts.withColumn("hub", hub).where("members > 1").drop("members"), "near")
-        met = posts.where((F.col("root") != F.col("hub.root")) & _can_reach(similarity, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
-        new = _verified(docs, nodes, met.select(F.col("hub.id").alias("u"), F.col("id").alias("v")).distinct(), *find)
-        links = links.unionByName(new) if links else new
-        roots = materialize(connected_components(links), "near")
-        posts = posts.where("id <> hub.id").drop("root", "hub").join(small_side(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        posts = posts.withColumn("least", F.min("root").over(posting)).withColumn("most", F.max("root").over(posting)).where("least <> most").drop("least", "most")
-        posts = posts.withColumn("members", F.count("*").over(posting))
-    posts = materialize(posts, "near")
+        # an edit puts shingles of its own into a prefix, so the original of a group has most that others share
+        hub = F.max(F.struct(F.lit(0) if turn else F.col("met"), F.xxhash64(F.lit(turn), F.col("node")), "node", "n", "pos", "root")).alias("hub")
+        stats = posts.groupBy("key").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
+        met = posts.join(stats, "key").where((F.col("root") != F.col("hub.root")) & _can_reach(similarity, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+        met = met.groupBy(F.col("node").alias("v"), F.col("hub.node").alias("u")).agg(F.count("*").alias("times"))
+        most_met = F.slice(F.sort_array(F.collect_list(F.struct("times", "u")), False), 1, HUBS)
+        met = met.groupBy("v").agg(most_met.alias("hubs")).select(F.explode("hubs.u").alias("u"), "v")
+        links = materialize(links.unionByName(verified(met)), "near")
+        posts = _rooted(posts, links)
+    stats = posts.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    posts = materialize(posts.join(stats, "key"), "near")
     a, b = posts.alias("a"), posts.alias("b")
     reach = _can_reach(similarity, F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & reach)
-    new = _verified(docs, nodes, met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), *find)
-    roots = connected_components(links.unionByName(new) if links else new)
-    return materialize(copies.union(roots.where("node <> root").select(F.col("node").alias("id"))).distinct(), "near")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & reach)
+    links = links.unionByName(verified(met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()))
+
+    members = connected_components(links).join(nodes.select("node", document.alias("document")), "node")
+    members = materialize(members, "near")
+    least = members.groupBy("root").agg(F.min("document").alias("least"))
+    lost = members.join(least, "root").where("document <> least").select("document.*")
+    return materialize(gone.unionByName(lost).distinct(), "near")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs``, all columns, with one document of each group: that of the smallest id."""
-    gone = near_duplicate_ids(docs, id_col, text_col, **options).withColumnRenamed("id", "__id")
-    return docs.join(small_side(gone), F.col(id_col) == F.col("__id"), "left_anti")
+    gone = near_duplicate_rows(docs, id_col, text_col, **options).toDF("__id", "__t1", "__t2")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__t1")) & (F.xxhash64(F.lit(1), text) == F.col("__t2"))
+    return docs.join(small_side(gone), same, "left_anti")

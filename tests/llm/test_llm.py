@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import math
+import os
 import random
 import re
 import zlib
@@ -313,6 +314,55 @@ def test_near_duplicates(spark, docs, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def shingle_set(t, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else {"", t or ""}
+
+
+def brute_kept(rows, similarity=0.8):
+    """Rows (id, text) that stay: one document, that of the smallest id, of each group."""
+    docs = sorted({(i, t or "") for i, t in rows if i is not None})
+    sets = [shingle_set(t) for _, t in docs]
+    links = [(a, b) for a in range(len(docs)) for b in range(a) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9]
+    first = {docs[k] for k, r in enumerate(components(len(docs), links)) if r == k}
+    return collections.Counter((i, t) for i, t in rows if i is None or (i, t or "") in first)
+
+
+def kept_rows(df):
+    return collections.Counter((r.doc_id, r.text) for r in simhash.drop_near_duplicates(df).select("doc_id", "text").collect())
+
+
+def test_near_duplicates_with_repeated_ids_and_blank_texts(spark, docs):
+    rows = [(3, "X"), (5, "a text of its own"), (5, "X"), (6, "\t"), (7, "\n\n"), (8, "\t\t\n"), (9, "\t"), (9, "\t"), (10, None), (11, ""), (None, "X"), (None, None)]
+    assert kept_rows(spark.createDataFrame(rows, "doc_id long, text string")) == brute_kept(rows)
+    assert kept_rows(docs) == brute_kept(corpus())
+
+
+def test_near_duplicates_find_every_pair(spark):
+    """All similarities from 0.6 up, close to 0.8 above all, against brute force."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(60):
+        n = rng.choice([1, 4, 5, 7, 12, 40, 150])
+        base = [f"w{rng.randrange(400)}" for _ in range(n)]
+        rows.append(base)
+        for _ in range(rng.randint(1, 5)):
+            c = list(base)
+            for _ in range(rng.randint(0, 1 + n // 25)):
+                k = rng.randrange(len(c) + 1)
+                c[k : k + rng.randint(0, 1)] = [f"w{rng.randrange(400)}"] * rng.randint(0, 3)
+            rows.append(c)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    assert kept_rows(spark.createDataFrame(rows, "doc_id long, text string")) == brute_kept(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test data not present")
+def test_near_duplicates_of_the_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    assert kept_rows(df) == brute_kept(rows)
+
+
 def test_near_duplicates_inside_a_template_family(spark):
     rng = random.Random(12)
     rows = []
