@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, packing, simhash, spans, toxicity
-from barloom.llm.common import materialize
+from barloom.llm.common import materialize, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the packed rows."""
+    """All stages over ``documents``; the packed rows. What a stage writes besides its result goes when it ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+    with scratch(spark) as keep:
+        for k, (_, stage) in enumerate(STAGES):
+            with scratch(spark) as keep_stage:
+                docs = keep_stage(materialize(stage(spark, docs, sf_dir), f"stage{k}"))
+        keep(docs)
     return docs
