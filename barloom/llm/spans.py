@@ -1,13 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after ``.``, ``!`` or ``?``, at line breaks, and inside a running sentence
-after words that a hash of the word itself selects (one in ``cut_every``), so that a passage pasted into
-the middle of another sentence is cut alike in both places. Where ``LONGEST`` words in a row have no such
-cut, there is one after the word of the smallest hash among them, so no sentence is longer and every run of
-51 words that repeats holds a whole span. A span starts at each sentence and runs over
-consecutive sentences until it has ``least_sentences`` of them and ``least_words`` words; spans are hashed
-over their lower-cased words, joined over all documents, and the sentences of every span that is not the
-first of its kind, by (id, position), are removed. Only the first span of a kind stays.
+A text is cut into sentences after ``.``, ``!`` or ``?`` and at line breaks. A sentence of more than ``LONGEST``
+words is cut further, after the word of the smallest hash among any ``LONGEST`` words in a row that have no cut:
+passages are pasted into the middle of sentences, and whole sentences alone miss a third of those of 51 words
+(README). A span starts at each sentence and runs over consecutive sentences until it has ``least_sentences`` of
+them and ``least_words`` words. With the default bounds every run of 51 words that repeats holds a whole span:
+its cuts agree from its 10th word to its 10th last, one of its words 10 to 19 ends a sentence, and the span that
+starts there ends within 23 words. Spans are hashed to 128 bits over their lower-cased words, joined over all documents, and the sentences
+of every span that is not the first of its kind, by (id, text key, position), are removed.
 
 Cases: null texts come back as empty texts with no sentences; texts too short for a span are left alone; a
 null id sorts before all others; rows that agree in id and text share one result; extra columns are kept
@@ -29,12 +29,12 @@ from pyspark.sql import types as T
 from barloom.llm.common import materialize
 
 _WORD = re.compile(rb"\S+\s*")
-LEAST_SENTENCES, LEAST_WORDS, CUT_EVERY = 3, 16, 12
+LEAST_SENTENCES, LEAST_WORDS = 2, 14
 #: Words in a row of which one at least ends a sentence.
-LONGEST = 8
+LONGEST = 10
 
 
-def sentences(text: bytes, cut_every: int = CUT_EVERY, seen: dict | None = None) -> tuple[list[bytes], np.ndarray]:
+def sentences(text: bytes, seen: dict | None = None) -> tuple[list[bytes], np.ndarray]:
     """Words with the white space that follows them, and the index of each sentence's first word."""
     found = _WORD.findall(text)
     seen = {} if seen is None else seen
@@ -45,8 +45,7 @@ def sentences(text: bytes, cut_every: int = CUT_EVERY, seen: dict | None = None)
         v = seen.get(w)
         if v is None:
             core = w.rstrip()
-            v = zlib.crc32(core.lower())
-            v = seen[w] = 0 if core[-1:] in b".!?" or b"\n" in w or v % cut_every == 0 else v
+            v = seen[w] = 0 if core[-1:] in b".!?" or b"\n" in w else 1 + zlib.crc32(core.lower())
         values.append(v)
     value = np.array(values, np.int64)
     cut_after = value == 0
@@ -67,24 +66,22 @@ def span_ends(starts: np.ndarray, least_sentences: int, least_words: int) -> np.
     return np.maximum(by_words, np.arange(n) + least_sentences)
 
 
-def _key(texts: list) -> pa.Array:
-    return pa.array([xxhash.xxh64_intdigest(t or b"") >> 1 for t in texts], pa.int64())
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), text_col)
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int) -> DataFrame:
-    """One row per span: ``id_col, text_key, pos, n, h``; n is its number of sentences."""
-    source = docs.select(id_col, text_col)
-    schema = T.StructType(
-        [source.schema[id_col], T.StructField("text_key", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())]
-    )
+    """One row per span: ``id, text_key, pos, h1, h2``; pos is its first sentence."""
+    source = _keyed(docs, id_col, text_col)
+    longs = [T.StructField(c, T.LongType()) for c in ("h1", "h2")]
+    schema = T.StructType([source.schema["id"], source.schema["text_key"], T.StructField("pos", T.IntegerType()), *longs])
 
     def run(batches):
         seen: dict = {}
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            rows, pos, size, h = [], [], [], []
-            for i, t in enumerate(texts):
-                found, starts = sentences(t or b"", seen=seen)
+            rows, pos, h = [], [], []
+            for i, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
+                found, starts = sentences(t or b"", seen)
                 ends = span_ends(starts, least_sentences, least_words)
                 ok = int((ends < len(starts)).sum())  # ends never falls, so these come first
                 if not ok:
@@ -92,34 +89,32 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, lea
                 low = [w.rstrip() + b" " for w in found]
                 at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, low), np.int64, len(low)))])
                 whole = b"".join(low).lower()
-                a, z = at[starts[:ok]].tolist(), at[starts[ends[:ok]]].tolist()
-                h += [xxhash.xxh64_intdigest(whole[s:e]) for s, e in zip(a, z)]
+                h += [xxhash.xxh3_128_digest(whole[s:e]) for s, e in zip(at[starts[:ok]].tolist(), at[starts[ends[:ok]]].tolist())]
                 rows += [i] * ok
                 pos.append(np.arange(ok, dtype=np.int32))
-                size.append((ends[:ok] - np.arange(ok)).astype(np.int32))
             if rows:
-                take = pa.array(rows, pa.int32())
-                cols = [b.column(0).take(take), _key(texts).take(take), pa.array(np.concatenate(pos)), pa.array(np.concatenate(size)), pa.array(np.array(h, np.uint64).view(np.int64))]
+                take, words = pa.array(rows, pa.int32()), np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
+                cols = [b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(pos)), *(pa.array(np.ascontiguousarray(x)) for x in words.T)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``id_col, text_key, cover``: per document the (first sentence, number) of each span to remove.
+    """``id, text_key, cover``: per document the first sentences of the spans to remove.
 
     Hot spans are counted with partial aggregation first; the join back is an equi-join that the
     optimizer may split where a span is frequent."""
     table = materialize(spans(docs, id_col, text_col, least_sentences, least_words), "spans")
-    first = table.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct(id_col, "text_key", "pos")).alias("first")).where("c > 1").drop("c")
-    first = materialize(first, "spans")
-    here = F.struct(id_col, "text_key", "pos")
-    later = table.join(first, "h").where(~here.eqNullSafe(F.col("first")))
-    return later.groupBy(id_col, "text_key").agg(F.collect_set(F.struct("pos", "n")).alias("cover"))
+    place = F.struct("id", "text_key", "pos")
+    first = table.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    later = table.join(materialize(first, "spans"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("id", "text_key").agg(F.collect_set("pos").alias("cover"))
 
 
-def cut(text: bytes | None, cover: list | None) -> tuple[bytes, int, int]:
-    """The text without covered sentences, the number of sentences and of those removed."""
+def cut(text: bytes | None, cover: list | None, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[bytes, int, int]:
+    """The text without the sentences of the spans that start at ``cover``, the number of sentences and of those
+    removed."""
     if text is None:
         return b"", 0, 0
     found, starts = sentences(text)
@@ -127,36 +122,33 @@ def cut(text: bytes | None, cover: list | None) -> tuple[bytes, int, int]:
     if not cover:
         return text, n, 0
     edge = np.zeros(n + 1, np.int64)
-    for c in cover:
-        edge[c["pos"]] += 1
-        edge[c["pos"] + c["n"]] -= 1
+    first = np.array(cover)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, span_ends(starts, least_sentences, least_words)[first], -1)
     gone = np.cumsum(edge)[:n] > 0
     lead = text[: len(text) - len(text.lstrip())]
     kept = b"".join(b"".join(found[starts[i] : starts[i + 1]]) for i in np.flatnonzero(~gone))
     return lead + kept, n, int(gone.sum())
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, **least) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS
+) -> DataFrame:
     """``docs`` with the repeated sentences removed from ``text_col``; with ``counts`` also n_sentences and
     n_removed. One shuffle of the texts, to meet the list of what goes."""
-    gone = repeats(docs, id_col, text_col, **least).withColumnRenamed(id_col, "__id").withColumnRenamed("text_key", "__key")
+    gone = repeats(docs, id_col, text_col, least_sentences, least_words).toDF("__id", "__key", "__cover")
     at, names = docs.columns.index(text_col), docs.columns
     more = [T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())] if counts else []
     schema = T.StructType([*docs.schema.fields, *more])
-    joined = docs.join(gone.groupBy("__id").agg(F.collect_list(F.struct("__key", "cover")).alias("__cover")), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (text_key == F.col("__key")), "left").drop("__id", "__key")
     wide = pa.int64()
 
     def run(batches):
         for b in batches:
-            texts = b.column(at).cast(pa.binary()).to_pylist()
-            covers = b.column(len(names)).to_pylist()
-            out, n, m = [], [], []
-            for t, c in zip(texts, covers):
-                key = xxhash.xxh64_intdigest(t or b"") >> 1 if c else 0
-                kept, i, j = cut(t, next((x["cover"] for x in c or () if x["__key"] == key), None))
-                out.append(kept)
-                n.append(i)
-                m.append(j)
+            texts, covers = b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist()
+            done = [cut(t, c, least_sentences, least_words) for t, c in zip(texts, covers)]
+            out, n, m = zip(*done) if done else ((), (), ())
             cols = [b.column(i) for i in range(len(names))]
             cols[at] = pa.array(out, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(n, wide), pa.array(m, wide)] if counts else []), names=schema.names)
