@@ -7,7 +7,7 @@ sequences as the token budget allows, at least one: ``max(1, budget // boundary)
 The histogram is aggregated on the executors and is exact for any number of distinct lengths: the driver
 holds one row for each, and the program takes ``buckets * n * log n`` steps for ``n`` of them.
 
-Numbers inside a bucket come from chunks of the ids, so that no bucket meets in one task: rows are numbered
+Numbers inside a bucket come from chunks by a hash of the ids, so that no bucket meets in one task: rows are numbered
 inside a chunk and shifted by the sizes of the chunks before it.
 
 Cases: a null or empty text has length 0 and is packed like any other; ties in length are ordered by chunk,
@@ -88,7 +88,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     at = F.lit(None).cast("long")
     for c in reversed(cuts):
         at = F.when(F.col("n_tokens") <= c, F.lit(c).cast("long")).otherwise(at)
-    rows = rows.select(id_col, "n_tokens", at.alias("bucket_len"), F.coalesce(F.pmod(F.col(id_col), F.lit(chunks)), F.lit(0)).cast("long").alias("chunk"))
+    digest = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 12), 16, 10).cast("long")
+    rows = rows.select(id_col, "n_tokens", at.alias("bucket_len"), F.coalesce(F.pmod(digest, F.lit(chunks)), F.lit(0)).cast("long").alias("chunk"))
     sizes = rows.groupBy("bucket_len", "chunk").count()
     before = Window.partitionBy("bucket_len").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("bucket_len", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
@@ -121,7 +122,7 @@ def oracle_sql(buckets: int = BUCKETS, budget: int = BUDGET, chunk_rows: int = C
     ctes += [
         f"e AS (SELECT size AS bucket_len FROM g JOIN ({ends}) USING (j))",
         f"c AS (SELECT greatest(1, CAST(ceil(count(*) / {chunk_rows}.0) AS BIGINT)) AS n FROM r)",
-        "q AS (SELECT r.doc_id, r.n_tokens, (SELECT min(bucket_len) FROM e WHERE bucket_len >= r.n_tokens) AS bucket_len, r.doc_id % c.n AS chunk FROM r, c)",
+        "q AS (SELECT r.doc_id, r.n_tokens, (SELECT min(bucket_len) FROM e WHERE bucket_len >= r.n_tokens) AS bucket_len, CAST('0x' || substr(md5(CAST(r.doc_id AS VARCHAR)), 1, 12) AS BIGINT) % c.n AS chunk FROM r, c)",
         f"z AS (SELECT *, row_number() OVER (PARTITION BY bucket_len ORDER BY chunk, doc_id, n_tokens) - 1 AS place, greatest(1, {budget} // greatest(bucket_len, 1)) AS room FROM q)",
     ]
     return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, n_tokens, bucket_len, CAST(place // room AS BIGINT) AS batch, CAST(place % room AS BIGINT) AS slot, bucket_len - n_tokens AS padding FROM z"
