@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,12 +90,19 @@ class ShardStore:
         rows = self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}").groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("f")).count().collect()
         return [{"path": f"{name}/{r['f']}", "bytes": files[r["f"]], "rows": r["count"]} for r in sorted(rows)]
 
-    def append(self, df: DataFrame) -> dict:
-        base = self.manifest()
+    def append(self, df: DataFrame, tries: int = 20) -> dict:
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]).json()
-        if base["schema"] not in (None, schema):
-            raise ValueError("the arrival has other columns than the store")
-        return self._commit(base, base["shards"] + self._write(df), schema)
+        made = None
+        for _ in range(tries):
+            base = self.manifest()
+            if base["schema"] not in (None, schema):
+                raise ValueError("the arrival has other columns than the store")
+            made = self._write(df) if made is None else made
+            try:
+                return self._commit(base, base["shards"] + made, schema)
+            except Conflict:
+                continue
+        raise Conflict(f"no version was free in {tries} tries")
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.floor, self.fanout)))
@@ -130,10 +138,21 @@ class ShardStore:
                     one = self.spark.read.schema(schema).parquet(*[f"{self.root}/{s['path']}" for s in run]).coalesce(1)
                     merged = one if merged is None else merged.union(one)
                 made += self._write(merged)
-            gone = {s["path"] for run in runs for s in run}
-            base = self._commit(base, [s for s in base["shards"] if s["path"] not in gone] + made, base["schema"])
+            base = self._replace(base, {s["path"] for run in runs for s in run}, made)
         return base
 
+    def _replace(self, base: dict, gone: set[str], made: list[dict]) -> dict:
+        """The manifest in which ``made`` stand for the shards ``gone``, or the newer one that lacks some of these."""
+        while True:
+            try:
+                return self._commit(base, [s for s in base["shards"] if s["path"] not in gone] + made, base["schema"])
+            except Conflict:
+                base = self.manifest()
+                if not gone <= {s["path"] for s in base["shards"]}:
+                    for s in made:
+                        self._fs.delete(self._path(s["path"]), False)
+                    return base
+
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
         if m["schema"] is None:
@@ -142,15 +161,26 @@ class ShardStore:
         paths = [f"{self.root}/{s['path']}" for s in m["shards"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove all but the last ``keep`` versions and the files that only they name; files removed."""
+    def vacuum(self, keep: int = 1, grace_s: float = 86_400) -> int:
+        """Remove all but the last ``keep`` versions and the files that only they name, and files that no version
+        names and that are older than ``grace_s`` (a writer may still be about to commit younger ones); files removed."""
         versions = self.versions()
         used = {s["path"] for v in versions[-keep:] for s in self.manifest(v)["shards"]}
-        removed = 0
+        named, removed = set(used), 0
         for v in versions[:-keep]:
             for s in self.manifest(v)["shards"]:
+                named.add(s["path"])
                 if s["path"] not in used:
                     removed += bool(self._fs.delete(self._path(s["path"]), False))
                     used.add(s["path"])
             self._fs.delete(self._path(f"manifest/v{v:010d}.json"), False)
+        old = (time.time() - grace_s) * 1000
+        for folder in self._list("data"):
+            name = f"data/{folder.getPath().getName()}"
+            files = [s for s in self._list(name) if s.getPath().getName().endswith(".parquet")]
+            for s in files:
+                if f"{name}/{s.getPath().getName()}" not in named and s.getModificationTime() < old:
+                    removed += bool(self._fs.delete(s.getPath(), False))
+            if folder.getModificationTime() < old and not any(f.getPath().getName().endswith(".parquet") for f in self._list(name)):
+                self._fs.delete(folder.getPath(), True)
         return removed
