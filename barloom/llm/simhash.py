@@ -273,7 +273,7 @@ def _by_fingerprint(nodes: DataFrame, shared: int) -> DataFrame:
     least) among the first members of its posting lists. One pair a node, whatever the size of a list."""
     index = posted(nodes.select("node", "fp"), shared)
     first = index.groupBy("list", "octets").agg(F.min(F.struct("fp", "node")).alias("hub"), F.max("node").alias("last"))
-    first = first.where(F.col("hub.node") != F.col("last")).drop("last")
+    first = materialize(first.where(F.col("hub.node") != F.col("last")).drop("last"), "near")
     tally = shared_bytes(F.col("fp"), F.col("hub.fp"))
     met = index.join(first, ["list", "octets"]).where(F.col("node") != F.col("hub.node")).withColumn("tally", tally).where(F.col("tally") >= shared)
     best = F.max_by(F.col("hub.node"), F.struct(F.col("tally"), -F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))), F.col("hub.node")))
@@ -317,6 +317,7 @@ def near_duplicate_rows(
     nodes = rows.join(small_side(chosen), "node")
     posts = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
     several = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    several = materialize(several, "near")  # a table of its own, so that the join can split a frequent key
     posts = materialize(posts.join(several, "key"), "near")
     posts = posts.join(small_side(materialize(posts.groupBy("node").agg(F.count("*").alias("met")), "near")), "node")
     nodes = materialize(nodes.drop("keys", "s1", "s2"), "near")
@@ -328,14 +329,14 @@ def near_duplicate_rows(
         # an edit puts shingles of its own into a prefix, so the original of a group has most that others share
         hub = F.max(F.struct(F.lit(0) if turn else F.col("met"), F.xxhash64(F.lit(turn), F.col("node")), "node", "n", "pos", "root")).alias("hub")
         stats = posts.groupBy("key").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
-        met = posts.join(stats, "key").where((F.col("root") != F.col("hub.root")) & _can_reach(similarity, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+        met = posts.join(materialize(stats, "near"), "key").where((F.col("root") != F.col("hub.root")) & _can_reach(similarity, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
         met = met.groupBy(F.col("node").alias("v"), F.col("hub.node").alias("u")).agg(F.count("*").alias("times"))
         most_met = F.slice(F.sort_array(F.collect_list(F.struct("times", "u")), False), 1, HUBS)
         met = met.groupBy("v").agg(most_met.alias("hubs")).select(F.explode("hubs.u").alias("u"), "v")
         links = materialize(links.unionByName(verified(met)), "near")
         posts = _rooted(posts, links)
     stats = posts.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    posts = materialize(posts.join(stats, "key"), "near")
+    posts = materialize(posts.join(materialize(stats, "near"), "key"), "near")
     a, b = posts.alias("a"), posts.alias("b")
     reach = _can_reach(similarity, F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & reach)
