@@ -241,6 +241,7 @@ def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int
     starts = materialize(keyed.mapInArrow(_anchors(length, gram), "k1 long, k2 long, a int, h long"), "anchors")
     mark = F.xxhash64("k1", "k2", "a")
     twice = starts.groupBy("h").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("h")
+    twice = materialize(twice, "anchors")  # a table of its own, so that the join can split a frequent anchor
     again = starts.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "h")).alias("anchors"))
     again = materialize(again, "anchors")
     sizes = again.select(F.inline("anchors")).groupBy("h").count()

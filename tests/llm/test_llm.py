@@ -122,6 +122,27 @@ def test_sharding(spark, docs, none, tmp_path):
     with pytest.raises(ValueError, match="other columns"):
         store.append(docs.drop("h"))
     assert store.vacuum() > 0 and key(store.read()) == whole and store.versions() == [after["version"]]
+    store._write(docs)  # of a writer that failed before its commit
+    assert store.vacuum() == 0 and store.vacuum(grace_s=-60) > 0 and key(store.read()) == whole
+
+
+def test_sharding_with_two_writers(spark, docs, tmp_path):
+    store, other = (sharding.ShardStore(spark, f"file://{tmp_path}/t", target_bytes=60_000, fanout=2, floor_bytes=512) for _ in range(2))
+    for _ in range(3):
+        store.append(docs.coalesce(1))
+    commit, raced = store._commit, []
+
+    def late(base, shards, schema):
+        if not raced:  # the other writer is first
+            raced.append(other.append(docs.limit(5)))
+        return commit(base, shards, schema)
+
+    store._commit = late
+    store.append(docs.limit(3))
+    assert len(raced) == 1 and store.read().count() == 3 * docs.count() + 8
+    raced.clear()
+    store.compact()
+    assert len(raced) == 1 and store.read().count() == 3 * docs.count() + 13
 
 
 # Sentence spans
@@ -260,6 +281,19 @@ def test_suffixes(docs, none, most):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test data not present")
+def test_suffix_query_against_brute_force(spark):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    want = {}
+    for (i, t), m in zip(rows, brute_cover([t for _, t in rows], 400)):
+        kept = bytes(b for b, c in zip(t, m) if not c)
+        want[i] = (len(t), sum(m), len(re.findall(b"\1+", bytes(m))), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace"))
+    assert sum(w[1] for w in want.values()) > 0
+    got = queries.op5_suffix_array(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id][:4] for r in got)
+    assert all(r.text.replace("\ufffd", "") == want[r.doc_id][4].replace("\ufffd", "") for r in got)
+
+
 def test_deep_shallow():
     rng = random.Random(1)
     s = [bytes(rng.choices(b"ab", k=rng.randint(0, 60))) for _ in range(200)]
