@@ -607,6 +607,34 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.report(none, bench).count() == 0 and decontaminate.report(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every window of every document against every item, without fingerprints."""
+    rng = random.Random(17)
+    items = [[f"w{rng.randrange(60)}" for _ in range(rng.choice([5, 9, 16, 30, 30, 45]))] for _ in range(12)] + [["same"] * 20]
+    docs = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(80))] for _ in range(40)] + [["same"] * 150, ["same"] * 23 + ["end"], ["same"] * 21]
+    for w in docs[:30]:
+        part = list(rng.choice(items))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            k = rng.choice([0, 1, len(part) // 2, len(part) - 2, len(part) - 1])
+            part[k : k + 1] = [f"w{rng.randrange(60)}"] * rng.randrange(3) or ["cut"]
+        at = rng.randrange(len(w) + 1)
+        w[at:at] = part
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for i, d in enumerate(map(grams, docs)):
+        for k, item in enumerate(map(grams, items)):
+            for s in range(1 - len(item), len(d)):
+                x = collections.Counter(d[max(0, s) : max(0, s + len(item))])
+                both = (x & collections.Counter(item)).total()
+                if both / (x.total() + len(item) - both) >= 0.8:
+                    want.setdefault(i, {})[k] = max(want.get(i, {}).get(k, 0), both / (x.total() + len(item) - both))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.report(df, bench).where("contaminated").collect()}
+    assert len(want) > 15 and {i: r["items"] for i, r in got.items()} == {i: sorted(w) for i, w in want.items()}
+    assert all(abs(r.best_similarity - max(want[i].values())) < 1e-9 for i, r in got.items())
+
+
 # Pipeline and registration
 
 
