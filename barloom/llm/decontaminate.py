@@ -1,8 +1,9 @@
 """Benchmark decontamination with DataFrame operations only.
 
 Windows as long as a benchmark item are laid over the documents and compared with the items of that length. A
-window whose five-word shingles reach a similarity of 0.8 shares a shingle with the item, so windows are laid where
-a shared shingle aligns an item of that length, and no other window can qualify. Windows and items get 64-bit
+window of similarity 0.8 with an item of ``length`` shingles holds at least ``0.8 * length`` places whose five-word
+shingle is in an item of that length, so windows are laid where that many places stand so close, and no other window
+can qualify. Windows and items get 64-bit
 SimHash fingerprints over their shingles. The multi-index cuts a fingerprint into ``radius + 1`` blocks, of which
 two fingerprints within the radius are guaranteed to share one; the blocks of all windows are equi-joined with those
 of all items of the length, candidates beyond the radius dropped, and the rest verified exactly by the weighted
@@ -90,19 +91,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """``id_col, text_key, item, start, similarity``: each window (first word ``start``) that matches."""
     items = benchmark.select(F.col(item_col).alias("item"), shingles(F.col(text_col)).alias("item_h")).where(F.size("item_h") > 0)
     items = materialize(items.withColumns({"length": F.size("item_h"), "item_fp": fingerprint(F.col("item_h"))}), "items")
-    # inside a run of one shingle only its ends align: they lay every window that the ones between would, but for worse ones
-    inner = (F.get("item_h", F.col("item_pos") - 1) == F.col("h")) & (F.get("item_h", F.col("item_pos") + 1) == F.col("h"))
-    known = items.select("length", "item_h", F.posexplode("item_h").alias("item_pos", "h")).where(~F.coalesce(inner, F.lit(False)))
-    known = materialize(known.select("length", "item_pos", "h").distinct(), "items")
+    known = materialize(items.select("length", F.explode("item_h").alias("h")).distinct(), "items")
 
     text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     hashed = docs.select(id_col, text_key.alias("text_key"), shingles(F.col(text_col)).alias("doc_h"))
-    # what any item has, per document: found without a shuffle of the documents where the benchmark is small
+    # places that hold a shingle of any item: found without a shuffle of the documents where the benchmark is small
     found = hashed.select(id_col, "text_key", F.posexplode("doc_h").alias("pos", "h")).join(known, "h")
-    starts = materialize(found.select(id_col, "text_key", "length", (F.col("pos") - F.col("item_pos")).alias("start")).distinct(), "windows")
+    found = found.groupBy(id_col, "text_key", "length").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    most = F.ceil(F.col("length") * similarity - 1e-9).cast("int")
+    reach = F.transform(F.sequence(F.lit(0), F.size("at") - most), lambda i: F.struct((F.get("at", i + most - 1) - F.col("length") + 1).alias("first"), F.get("at", i).alias("last")))
+    reach = F.transform(F.filter(reach, lambda x: x["first"] <= x["last"]), lambda x: F.sequence(x["first"], x["last"]))
+    starts = found.where(F.size("at") >= most).select(id_col, "text_key", "length", F.array_distinct(F.flatten(reach)).alias("starts"))
+    starts = materialize(starts.where(F.size("starts") > 0), "windows")
 
     # the shingles of each window; only documents that have one are read again, and only those are shuffled
-    wanted = starts.groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("length", "start")).alias("windows"))
+    wanted = starts.groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).agg(
+        F.flatten(F.collect_list(F.transform("starts", lambda x: F.struct("length", x.alias("start"))))).alias("windows")
+    )
     wanted = materialize(wanted, "windows")
     texts = docs.select(id_col, text_col, text_key.alias("text_key"))
     texts = texts.join(small_side(wanted.select("__id", "__key")), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
