@@ -1,19 +1,25 @@
 """Main text of web pages: page structure plus a suffix array per host.
 
 A page is cut into blocks at block-level tags. Scripts, styles, menus, forms, sidebars, notices, adverts,
-footers, comments and the like are left out by their tag or by the words of their class, id and role. If
-the page marks its article (``article`` or ``main``), the text is the blocks inside, all of them. If it
-does not, the remaining blocks of the page are loose, and the suffix array decides: the loose token streams
-of the pages of a host are concatenated, runs of ``least`` tokens or more that occur on several distinct
-pages are boilerplate, and only the unique runs of each block are kept.
+footers, comments, hidden parts and the like are left out by their tag or by the words of their class, id and
+role. Blocks inside ``article`` or ``main`` are marked, the others are loose.
+
+The token streams of all pages of a host are concatenated and a suffix array over them finds what recurs on
+distinct pages. Loose blocks enter word by word: runs of ``least`` words or more on two pages are boilerplate, and
+only the unique runs stay. Marked blocks enter as one token each, since prose may quote prose: a block of ``least``
+words or more on ``PAGES`` pages is boilerplate inside the article, unless it is most of the article, which is then
+one that the host shows on several pages. The text is the marked blocks that stay. Where the page marks none, or where
+loose blocks that stay are over ``OUTWEIGH`` times as long as the marked ones (a teaser is marked and the body is not), it
+is all blocks that stay, in page order.
 
 Hosts are dealt into groups of at most about ``group_bytes`` of html, so a host with a third of all pages
-is spread over many tasks. Windows of ``least`` tokens of the loose pages of such a host are counted over all
-its groups first, so the text does not depend on the groups. Only parsed text and windows are shuffled.
+is spread over many tasks. What recurs on such a host is counted over all its groups first, so the text does not
+depend on the groups. Only parsed text and hashes are shuffled.
 
 Cases: null or empty html gives an empty text; a null url counts as the host with the empty name; cut-off
 tags and unknown character references stay as they are; equal pages are no distinct pages, so copies of a
-page do not turn its text into boilerplate; repeated rows give repeated results; extra columns are ignored.
+page do not turn its text into boilerplate; repeated rows give repeated results; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import types as T
 
 from barloom.llm.common import materialize
 
-LEAST_TOKENS, GROUP_BYTES = 5, 4_000_000
+LEAST_TOKENS, PAGES, OUTWEIGH, GROUP_BYTES = 5, 3, 3, 1_000_000
 _RAW = "script|style|textarea|title|noscript|iframe|template|svg|xmp|noembed|noframes"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,38 +44,57 @@ _SKIP = set("nav aside footer form button select option datalist dialog menu hea
 _BLOCK = set(
     "address article blockquote body caption center dd details dir div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody tfoot thead tr ul".split()
 )
+#: Words that name what is no main text. A class or id is judged word by word: see ``names_unwanted``.
 _WORDS = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments commentlist disqus replies related recommended share sharing social widget widgets toolbar "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments commentlist disqus replies responses related recommended share sharing social widget widgets toolbar "
     "pagination pager login search complementary contentinfo".split()
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Words that say only what kind of box it is, so that what stands beside them decides.
+_BOX = set("area bar block blocks box button buttons center col column container content form group inner item items left link links list main module outer panel posts right row section site slot stories text top user wrap wrapper".split())
+#: Words of ``_WORDS`` that name a box of their own behind any other word: ``forum-comments``.
+_NOUNS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist cookies footer masthead menu nav navbar navigation newsletter overlay pager pagination popup replies responses sidebar toolbar widget widgets".split())
+_LAYOUT = set("has is no not with without".split())
+_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+
+def names_unwanted(value: str, strict: bool = False) -> bool:
+    """Whether a class, id or role names what is no main text: a word of ``_WORDS`` alone or among words for boxes and
+    numbers, or as a noun behind any word, but not in ``share-price`` or ``has-sidebar``. ``strict``: the first two only."""
+    for token in value.lower().split():
+        words = [w for w in re.split(r"[_\-:]+", token) if w]
+        if not words or words[0] in _LAYOUT or not _WORDS & set(words):
+            continue
+        if all(w in _WORDS or w in _BOX or w.isdigit() for w in words) or not strict and words[-1] in _NOUNS:
+            return True
+    return False
 
 
 def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     if name in _SKIP or name == "header" and not inside:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body"):
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" and not value or key == "aria-hidden" and value == "true":
+        key, value = key.lower(), value.strip("\"'")
+        if key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
             return True
-        if key in ("class", "id", "role") and _WORDS & set(re.split(r"[\s_\-:]+", value)):
+        if key in ("class", "id", "role") and names_unwanted(value, name in ("article", "main")):
             return True
     return False
 
 
-def blocks(page: str) -> tuple[list[str], bool]:
-    """The blocks of a page in order, and whether they are those of a marked article."""
-    found: dict[bool, list[str]] = {True: [], False: []}
+def blocks(page: str) -> list[tuple[str, bool]]:
+    """The blocks of a page in order, each with whether it lies inside a marked article."""
+    found: list[tuple[str, bool]] = []
     text: list[str] = []
-    depth, skip, nested, marked = 0, None, 0, False
+    depth, skip, nested = 0, None, 0
 
     def close():
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            found[depth > 0].append(line)
+            found.append((line, depth > 0))
         text.clear()
 
     for m in _TOKEN.finditer(page):
@@ -95,14 +120,13 @@ def blocks(page: str) -> tuple[list[str], bool]:
             close()
         elif name in ("br", "td", "th"):
             text.append(" ")
-        if name in ("article", "main"):
-            depth = max(0, depth - 1) if end else depth + 1
-            marked = True
-        elif not end and name not in _VOID and not attributes.endswith("/") and _unwanted(name, attributes, depth > 0):
+        if not end and name not in _VOID and not attributes.endswith("/") and _unwanted(name, attributes, depth > 0):
             close()
             skip, nested = name, 1
+        elif name in ("article", "main"):
+            depth = max(0, depth - 1) if end else depth + 1
     close()
-    return (found[True], True) if marked else (found[False], False)
+    return found
 
 
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
@@ -139,15 +163,24 @@ def common_prefixes(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def windows(line: str, least: int) -> list[int]:
     """Hashes of the runs of ``least`` tokens of a block, by their start."""
     words = line.split(" ")
-    return [xxhash.xxh64_intdigest(" ".join(words[i : i + least])) - (1 << 63) for i in range(len(words) - least + 1)]
+    return [_hash(" ".join(words[i : i + least])) for i in range(len(words) - least + 1)]
+
+
+def whole(line: str, least: int) -> int | None:
+    """Hash of a marked block as one token; None if it has fewer than ``least`` words."""
+    return _hash("\n" + line) if line.count(" ") >= least - 1 else None
 
 
 def unique_runs(pages: list[list[str]], least: int = LEAST_TOKENS, elsewhere: set[int] | None = None) -> list[list[str]]:
     """The blocks of each page without runs of ``least`` tokens or more that occur on distinct pages, or
-    whose ``windows`` are among those known to from ``elsewhere``."""
+    whose ``windows`` are among those known to from ``elsewhere``; a block of which nothing stays is empty."""
     index: dict[str, int] = {}
     same: dict[tuple, int] = {}
     tokens, page, where, known = [], [], [], []
@@ -177,11 +210,35 @@ def unique_runs(pages: list[list[str]], least: int = LEAST_TOKENS, elsewhere: se
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + least, -1)
     covered = np.cumsum(edge)[: len(t)] > 0
-    out: list[dict[int, list[str]]] = [{} for _ in pages]
+    out: list[list[list[str]]] = [[[] for _ in lines] for lines in pages]
     for x, c in zip(where, covered):
         if x and not c:
-            out[x[0]].setdefault(x[1], []).append(x[2])
-    return [[" ".join(ws) for _, ws in sorted(b.items())] for b in out]
+            out[x[0]][x[1]].append(x[2])
+    return [[" ".join(ws) for ws in b] for b in out]
+
+
+def main_blocks(pages: list[list[tuple[str, bool]]], least: int = LEAST_TOKENS, elsewhere: set[int] | None = None) -> list[list[str]]:
+    """The main text of each page, by blocks, given the other pages of its host or what is known to recur there."""
+    elsewhere = elsewhere or set()
+    on: dict[int, set] = {}
+    for lines in pages:
+        for line, inside in lines:
+            if inside and (h := whole(line, least)) is not None and len(on.setdefault(h, set())) < PAGES:
+                on[h].add(tuple(lines))
+    recurs = elsewhere | {h for h, p in on.items() if len(p) >= PAGES}
+    loose = iter(unique_runs([[x for x, inside in lines if not inside] for lines in pages], least, elsewhere))
+    size = lambda lines: sum(x.count(" ") + 1 for x in lines if x)
+    out = []
+    for lines in pages:
+        marked = [x for x, inside in lines if inside]
+        fresh = [x for x in marked if whole(x, least) not in recurs]
+        stays = set(marked if 2 * size(fresh) < size(marked) else fresh)
+        rest = iter(next(loose))
+        kept = [(x if x in stays else "", True) if inside else (next(rest), False) for x, inside in lines]
+        tagged = [x for x, inside in kept if inside]
+        whole_page = not tagged or size(x for x, inside in kept if not inside) > OUTWEIGH * size(tagged)
+        out.append([x for x, inside in kept if x and (inside or whole_page)])
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_TOKENS, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -190,42 +247,46 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     source = pages.select(id_col, F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     sizes = source.groupBy("host").agg(F.sum(F.octet_length("html")).alias("n")).where(F.col("n") > group_bytes)
     sizes = materialize(sizes.select("host", F.expr(f"n div {group_bytes} + 1").alias("parts")), "hosts")
-    parsed = T.StructType([source.schema[id_col], source.schema["url"], T.StructField("host", T.StringType()), T.StructField("marked", T.BooleanType()), T.StructField("lines", T.ArrayType(T.StringType()))])
+    lists = [T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("inside", T.ArrayType(T.BooleanType()))]
+    parsed = T.StructType([source.schema[id_col], source.schema["url"], T.StructField("host", T.StringType()), *lists])
 
     def parse(batches):
         for b in batches:
             got = [blocks(h) for h in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([m for _, m in got], pa.bool_()), pa.array([x for x, _ in got], pa.list_(pa.string()))], names=parsed.names)
+            lines, inside = pa.array([[x for x, _ in g] for g in got], pa.list_(pa.string())), pa.array([[i for _, i in g] for g in got], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lines, inside], names=parsed.names)
 
     part = F.pmod(F.xxhash64(id_col, "url"), F.coalesce("parts", F.lit(1)))
     dealt = source.mapInArrow(parse, parsed).join(sizes, "host", "left")
-    dealt = dealt.withColumn("part", part).select(id_col, "url", "host", "part", "marked", "lines")
+    dealt = dealt.withColumn("part", part).select(id_col, "url", "host", "part", "lines", "inside")
     schema = T.StructType([source.schema[id_col], source.schema["url"], T.StructField("text", T.StringType())])
 
     def spread(batches):
         for b in batches:
-            host, number, page, found = [], [], [], []
+            host, number, page, needs, found = [], [], [], [], []
             for h, k, x in zip(*(b.column(i).to_pylist() for i in range(3))):
-                lines, marked = blocks(x)
-                if not marked:
-                    own = {w for line in lines for w in windows(line, least)}
-                    host += [h] * len(own)
-                    number += [k] * len(own)
-                    page += [xxhash.xxh64_intdigest("\n".join(lines)) - (1 << 63)] * len(own)
-                    found += own
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(number, pa.int64()), pa.array(page, pa.int64()), pa.array(found, pa.int64())], names=["host", "part", "page", "w"])
+                lines = blocks(x)
+                own = {w: 2 for line, inside in lines if not inside for w in windows(line, least)}
+                own |= {w: PAGES for line, inside in lines if inside and (w := whole(line, least)) is not None}
+                host += [h] * len(own)
+                number += [k] * len(own)
+                page += [_hash("\n".join(f"{inside} {line}" for line, inside in lines))] * len(own)
+                needs += own.values()
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(number, pa.int64()), pa.array(page, pa.int64()), pa.array(needs, pa.int32()), pa.array(found, pa.int64())], names=["host", "part", "page", "needs", "w"])
 
     hot = source.join(sizes, "host").select("host", part.alias("part"), "html")
-    hot = materialize(hot.mapInArrow(spread, "host string, part long, page long, w long"), "hosts")
-    several = hot.groupBy("host", "w").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select("host", "w")
+    hot = materialize(hot.mapInArrow(spread, "host string, part long, page long, needs int, w long"), "hosts")
+    several = hot.groupBy("host", "w", "needs").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    often = hot.where(F.col("needs") > 2).join(several.where(F.col("needs") > 2).drop("needs"), ["host", "w"]).select("host", "w", "page").distinct()
+    often = often.groupBy("host", "w").count().where(F.col("count") >= PAGES).select("host", "w")
+    several = materialize(several.where("needs = 2").select("host", "w").unionByName(often), "hosts")
     several = hot.join(several, ["host", "w"]).select("host", "part", "w").distinct()
 
     def choose(table: pa.Table, known: pa.Table) -> pa.Table:
-        lines, marked = table.column("lines").to_pylist(), table.column("marked").to_pylist()
-        loose = [i for i, m in enumerate(marked) if not m]
-        for i, kept in zip(loose, unique_runs([lines[i] for i in loose], least, set(known.column("w").to_pylist()))):
-            lines[i] = kept
-        return pa.table([table.column(id_col), table.column("url"), pa.array(["\n".join(x) for x in lines], pa.string())], names=schema.names)
+        lines = [list(zip(x, i)) for x, i in zip(table.column("lines").to_pylist(), table.column("inside").to_pylist())]
+        kept = main_blocks(lines, least, set(known.column("w").to_pylist()))
+        return pa.table([table.column(id_col), table.column("url"), pa.array(["\n".join(x) for x in kept], pa.string())], names=schema.names)
 
     out = dealt.groupBy("host", "part").cogroup(several.groupBy("host", "part")).applyInArrow(choose, schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -251,7 +251,66 @@ def test_suffix_array_of_tokens():
     assert order.tolist() == sorted(range(200), key=lambda i: t[i:].tolist())
     lcp = html_text.common_prefixes(t, order)
     assert all((t[a : a + k] == t[b : b + k]).all() for a, b, k in zip(order[1:], order, lcp[1:]))
-    assert html_text.unique_runs([["a b c d e f x"], ["z a b c d e f"], ["a b"]], 4) == [["x"], ["z"], ["a b"]]
+    assert html_text.unique_runs([["a b c d e f x"], ["z a b c d e f"], ["a b"], ["a b c d e"]], 4) == [["x"], ["z"], ["a b"], [""]]
+
+
+def test_what_is_main_text():
+    text = lambda h: "\n".join(html_text.main_blocks([html_text.blocks(h)])[0])
+    body = "<p>the body of this article is here and long enough</p>"
+    plain = "the body of this article is here and long enough"
+    for gone in (
+        "<article class='comment'><p>me too</article>", "<article id='comment-3'>first</article>", "<section class='user-responses'><p>hm</section>", "<p style='display: none'>not seen</p>", "<div hidden>x</div>",
+        "<div class='ad-slot'>buy</div>", "<div class='forum-comments'>hm</div>", "<ul class='share-links'><li>tell</ul>", "<div id=cookie-notice>ok</div>", "<aside>beside</aside>", "<form>go</form>", "<div class='sidebar left'>x</div>",
+    ):
+        assert text(f"<main>{body}{gone}</main>") == plain, gone
+    for stays in ("<section class='related-work'><p>earlier</section>", "<p class='share-price'>9</p>", "<div class='content has-sidebar'>all of it</div>"):
+        assert text(f"<main>{body}{stays}</main>") == plain + "\n" + re.sub("<[^>]*>", "", stays), stays
+    assert text(f"<article class='teaser'>a teaser</article><div>{body * 2}</div>") == f"a teaser\n{plain}\n{plain}"
+    assert text(f"<article>{body}</article><div>some words that are outside</div>") == plain
+
+
+def brute_main(pages, least=5):
+    """Windows and blocks counted over all distinct pages of a host, without a suffix array."""
+    cut = [html_text.blocks(h) for h in pages]
+    distinct = {tuple(c) for c in cut}
+    grams = lambda x: [tuple(x.split(" ")[i : i + least]) for i in range(len(x.split(" ")) - least + 1)]
+    loose, marked = collections.Counter(), collections.Counter()
+    for c in {tuple(x for x, i in c if not i) for c in distinct}:
+        loose.update({g for x in c for g in grams(x)})
+    for c in distinct:
+        marked.update({x for x, i in c if i and len(grams(x)) > 0})
+    out = []
+    for c in cut:
+        n = lambda xs: sum(len(x.split()) for x in xs)
+        fresh = [x for x, i in c if i and marked[x] < 3]
+        if 2 * n(fresh) < n([x for x, i in c if i]):
+            fresh = [x for x, i in c if i]
+        kept = []
+        for x, i in c:
+            w = x.split(" ")
+            hit = {k + j for k, g in enumerate(grams(x)) if loose[g] > 1 for j in range(least)}
+            kept.append((x if x in fresh else "", True) if i else (" ".join(v for k, v in enumerate(w) if k not in hit), False))
+        whole = not any(i for _, i in c) or n([x for x, i in kept if not i]) > 3 * n([x for x, i in kept if i])
+        out.append("\n".join(x for x, i in kept if x and (i or whole)))
+    return out
+
+
+def test_html_against_brute_force(spark):
+    rng = random.Random(33)
+    lines = [sentence(rng, rng.randint(2, 14)) for _ in range(12)]
+    pages = []
+    for i in range(60):
+        own = lambda n: "".join(f"<p>{sentence(rng, rng.randint(3, 20))}</p>" for _ in range(n))
+        some = lambda n: "".join(f"<p>{x}</p>" for x in rng.sample(lines, n))
+        shape = rng.choice(["<article>{a}{b}</article><div>{c}</div>", "<div>{b}{a}{c}</div>", "<article>{b}</article><div>{a}</div>", "<main>{a}{b}<article class=comment>{c}</article></main>"])
+        pages.append("<html><body>" + shape.format(a=own(rng.randint(1, 4)), b=some(rng.randint(0, 3)), c=some(2)))
+    pages += pages[:5]
+    df = spark.createDataFrame([(i, "http://one.example/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    want = dict(enumerate(brute_main(pages)))
+    for group_bytes in (10_000_000, 2_000):
+        assert {r.page_id: r.text for r in html_text.extract(df, group_bytes=group_bytes).collect()} == want
+    empty = html_text.extract(df.limit(0).withColumn("host", F.lit("clash")))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
 
 
 # Suffix arrays
