@@ -4,13 +4,11 @@ A page is cut into blocks at block-level tags. Scripts, styles, menus, forms, si
 footers, comments, hidden parts and the like are left out by their tag or by the words of their class, id and
 role. Blocks inside ``article`` or ``main`` are marked, the others are loose.
 
-The token streams of all pages of a host are concatenated and a suffix array over them finds what recurs on
-distinct pages. Loose blocks enter word by word: runs of ``least`` words or more on two pages are boilerplate, and
-only the unique runs stay. Marked blocks enter as one token each, since prose may quote prose: a block of ``least``
-words or more on ``PAGES`` pages is boilerplate inside the article, unless it is most of the article, which is then
-one that the host shows on several pages. The text is the marked blocks that stay. Where the page marks none, or where
-loose blocks that stay are over ``OUTWEIGH`` times as long as the marked ones (a teaser is marked and the body is not), it
-is all blocks that stay, in page order.
+The token streams of the loose blocks of all pages of a host are concatenated, and a suffix array over them finds
+what recurs: runs of ``least`` tokens or more that occur on several distinct pages are boilerplate, and only the
+unique runs stay. Marked blocks stay whole, since articles of one host do quote the same passages (README). The text
+is the marked blocks. Where the page marks none, or where the loose blocks that stay are over ``OUTWEIGH`` times as
+long as the marked ones (a teaser is marked and the body is not), it is all blocks that stay, in page order.
 
 Hosts are dealt into groups of at most about ``group_bytes`` of html, so a host with a third of all pages
 is spread over many tasks. What recurs on such a host is counted over all its groups first, so the text does not
@@ -36,7 +34,7 @@ from pyspark.sql import types as T
 
 from barloom.llm.common import materialize
 
-LEAST_TOKENS, PAGES, OUTWEIGH, GROUP_BYTES = 5, 3, 3, 1_000_000
+LEAST_TOKENS, OUTWEIGH, GROUP_BYTES = 5, 3, 1_000_000
 _RAW = "script|style|textarea|title|noscript|iframe|template|svg|xmp|noembed|noframes"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -173,11 +171,6 @@ def windows(line: str, least: int) -> list[int]:
     return [_hash(" ".join(words[i : i + least])) for i in range(len(words) - least + 1)]
 
 
-def whole(line: str, least: int) -> int | None:
-    """Hash of a marked block as one token; None if it has fewer than ``least`` words."""
-    return _hash("\n" + line) if line.count(" ") >= least - 1 else None
-
-
 def unique_runs(pages: list[list[str]], least: int = LEAST_TOKENS, elsewhere: set[int] | None = None) -> list[list[str]]:
     """The blocks of each page without runs of ``least`` tokens or more that occur on distinct pages, or
     whose ``windows`` are among those known to from ``elsewhere``; a block of which nothing stays is empty."""
@@ -218,26 +211,14 @@ def unique_runs(pages: list[list[str]], least: int = LEAST_TOKENS, elsewhere: se
 
 
 def main_blocks(pages: list[list[tuple[str, bool]]], least: int = LEAST_TOKENS, elsewhere: set[int] | None = None) -> list[list[str]]:
-    """The main text of each page, by blocks, given the other pages of its host or what is known to recur there."""
-    elsewhere = elsewhere or set()
-    on: dict[int, set] = {}
-    for lines in pages:
-        for line, inside in lines:
-            if inside and (h := whole(line, least)) is not None and len(on.setdefault(h, set())) < PAGES:
-                on[h].add(tuple(lines))
-    recurs = elsewhere | {h for h, p in on.items() if len(p) >= PAGES}
-    loose = iter(unique_runs([[x for x, inside in lines if not inside] for lines in pages], least, elsewhere))
+    """The main text of each page, by blocks, given the other pages of its host or the windows known to recur there."""
     size = lambda lines: sum(x.count(" ") + 1 for x in lines if x)
     out = []
-    for lines in pages:
+    for lines, loose in zip(pages, unique_runs([[x for x, inside in lines if not inside] for lines in pages], least, elsewhere)):
         marked = [x for x, inside in lines if inside]
-        fresh = [x for x in marked if whole(x, least) not in recurs]
-        stays = set(marked if 2 * size(fresh) < size(marked) else fresh)
-        rest = iter(next(loose))
-        kept = [(x if x in stays else "", True) if inside else (next(rest), False) for x, inside in lines]
-        tagged = [x for x, inside in kept if inside]
-        whole_page = not tagged or size(x for x, inside in kept if not inside) > OUTWEIGH * size(tagged)
-        out.append([x for x, inside in kept if x and (inside or whole_page)])
+        whole_page = not marked or size(loose) > OUTWEIGH * size(marked)
+        rest = iter(loose)
+        out.append([x for x in (x if inside else next(rest) for x, inside in lines) if x] if whole_page else marked)
     return out
 
 
@@ -263,24 +244,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def spread(batches):
         for b in batches:
-            host, number, page, needs, found = [], [], [], [], []
+            host, number, page, found = [], [], [], []
             for h, k, x in zip(*(b.column(i).to_pylist() for i in range(3))):
-                lines = blocks(x)
-                own = {w: 2 for line, inside in lines if not inside for w in windows(line, least)}
-                own |= {w: PAGES for line, inside in lines if inside and (w := whole(line, least)) is not None}
+                lines = [line for line, inside in blocks(x) if not inside]
+                own = {w for line in lines for w in windows(line, least)}
                 host += [h] * len(own)
                 number += [k] * len(own)
-                page += [_hash("\n".join(f"{inside} {line}" for line, inside in lines))] * len(own)
-                needs += own.values()
+                page += [_hash("\n".join(lines))] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(number, pa.int64()), pa.array(page, pa.int64()), pa.array(needs, pa.int32()), pa.array(found, pa.int64())], names=["host", "part", "page", "needs", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(number, pa.int64()), pa.array(page, pa.int64()), pa.array(found, pa.int64())], names=["host", "part", "page", "w"])
 
     hot = source.join(sizes, "host").select("host", part.alias("part"), "html")
-    hot = materialize(hot.mapInArrow(spread, "host string, part long, page long, needs int, w long"), "hosts")
-    several = hot.groupBy("host", "w", "needs").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    often = hot.where(F.col("needs") > 2).join(several.where(F.col("needs") > 2).drop("needs"), ["host", "w"]).select("host", "w", "page").distinct()
-    often = often.groupBy("host", "w").count().where(F.col("count") >= PAGES).select("host", "w")
-    several = materialize(several.where("needs = 2").select("host", "w").unionByName(often), "hosts")
+    hot = materialize(hot.mapInArrow(spread, "host string, part long, page long, w long"), "hosts")
+    several = hot.groupBy("host", "w").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select("host", "w")
     several = hot.join(several, ["host", "w"]).select("host", "part", "w").distinct()
 
     def choose(table: pa.Table, known: pa.Table) -> pa.Table:

@@ -270,26 +270,19 @@ def test_what_is_main_text():
 
 
 def brute_main(pages, least=5):
-    """Windows and blocks counted over all distinct pages of a host, without a suffix array."""
+    """Windows counted over all distinct pages of a host, without a suffix array."""
     cut = [html_text.blocks(h) for h in pages]
-    distinct = {tuple(c) for c in cut}
     grams = lambda x: [tuple(x.split(" ")[i : i + least]) for i in range(len(x.split(" ")) - least + 1)]
-    loose, marked = collections.Counter(), collections.Counter()
-    for c in {tuple(x for x, i in c if not i) for c in distinct}:
+    loose = collections.Counter()
+    for c in {tuple(x for x, i in c if not i) for c in cut}:
         loose.update({g for x in c for g in grams(x)})
-    for c in distinct:
-        marked.update({x for x, i in c if i and len(grams(x)) > 0})
+    n = lambda xs: sum(len(x.split()) for x in xs)
     out = []
     for c in cut:
-        n = lambda xs: sum(len(x.split()) for x in xs)
-        fresh = [x for x, i in c if i and marked[x] < 3]
-        if 2 * n(fresh) < n([x for x, i in c if i]):
-            fresh = [x for x, i in c if i]
         kept = []
-        for x, i in c:
-            w = x.split(" ")
+        for x, inside in c:
             hit = {k + j for k, g in enumerate(grams(x)) if loose[g] > 1 for j in range(least)}
-            kept.append((x if x in fresh else "", True) if i else (" ".join(v for k, v in enumerate(w) if k not in hit), False))
+            kept.append((x if inside else " ".join(v for k, v in enumerate(x.split(" ")) if k not in hit), inside))
         whole = not any(i for _, i in c) or n([x for x, i in kept if not i]) > 3 * n([x for x, i in kept if i])
         out.append("\n".join(x for x, i in kept if x and (i or whole)))
     return out
