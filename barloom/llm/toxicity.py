@@ -1,9 +1,11 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Severity grades are ordered: 0 clean, 1 mild, 2 moderate, 3 severe. The labels carry a binary ``toxic``
-flag only, so toxic training rows are graded by how many distinct indicative words they hold, cut at the
-terciles of the toxic rows. P(y <= k) = sigmoid(theta_k - w.x) with one weight vector shared across the
-ordered thresholds; the output is the expected severity and the grade probabilities.
+Features are the distinct words of a text and the beginnings of its longer words. Severity grades are ordered: 0
+clean, 1 mild, 2 moderate, 3 severe. The labels carry a binary ``toxic`` flag only, so toxic training rows are graded
+by terciles of how many strongly indicative features they hold, where what is indicative is learned from the other
+half of the rows: no row's grade comes from a list that the row itself helped to choose. P(y <= k) = sigmoid(theta_k -
+w.x) with one weight vector shared across the ordered thresholds; the output is the expected severity and the grade
+probabilities.
 
 Fitting uses about ``max_rows`` labelled documents (a documented bound, chosen by a hash of the id); scoring covers every document and its whole text.
 
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 from barloom.llm.common import hash_sample
 
 GRADES = 4
+#: Bytes of the beginnings of words that are features of their own.
+STEMS = (5, 7)
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -33,9 +37,14 @@ def words(text: bytes | None) -> set[bytes]:
     return set((text or b"").translate(_CLEAN).split())
 
 
+def features(found: set[bytes]) -> set[bytes]:
+    """Words and, marked by an asterisk, which no word holds, the beginnings of longer ones."""
+    return found.union(*({w[:k] + b"*" for w in found if len(w) > k} for k in STEMS))
+
+
 @dataclass
 class OrdinalModel:
-    """Shared weights by word and the ordered thresholds."""
+    """Shared weights by feature and the ordered thresholds."""
 
     weights: dict[bytes, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = (40.0, 50.0, 60.0)
@@ -46,7 +55,7 @@ class OrdinalModel:
         return np.diff(np.column_stack([np.zeros(len(score)), below, np.ones(len(score))]), axis=1)
 
     def score(self, text: bytes | None) -> float:
-        return sum(map(self.weights.__getitem__, self.weights.keys() & words(text)))
+        return sum(map(self.weights.__getitem__, self.weights.keys() & features(words(text))))
 
 
 def indicative(texts: list[set[bytes]], toxic: np.ndarray, max_features: int, least_rows: int = 3) -> dict[bytes, float]:
@@ -66,25 +75,26 @@ def indicative(texts: list[set[bytes]], toxic: np.ndarray, max_features: int, le
     return {w: float(o) for _, w, o in rated[:max_features]}
 
 
-def grades(texts: list[set[bytes]], toxic: np.ndarray, odds: dict[bytes, float]) -> np.ndarray:
-    """0 for clean rows; toxic rows 1..3 by terciles of their number of strongly indicative words."""
-    strong = {w for w, o in odds.items() if o > 2}
-    hits = np.array([len(strong & t) for t in texts])
-    y = np.zeros(len(texts), np.int64)
-    if toxic.any():
-        lo, hi = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
-        y = np.where(toxic == 1, 1 + (hits > lo) + (hits > hi), 0)
-    return y
+def grades(texts: list[set[bytes]], toxic: np.ndarray, max_features: int) -> np.ndarray:
+    """0 for clean rows; toxic rows 1..3 by terciles of their number of features that are strongly indicative among
+    the rows of the other half (odd and even ones)."""
+    half, hits = np.arange(len(texts)) % 2, np.zeros(len(texts))
+    for k in (0, 1):
+        other = np.flatnonzero(half != k)
+        strong = {w for w, o in indicative([texts[i] for i in other], toxic[other], max_features).items() if o > 2}
+        hits[half == k] = [len(strong & texts[i]) for i in np.flatnonzero(half == k)]
+    lo, hi = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
+    return np.where(toxic == 1, 1 + (hits > lo) + (hits > hi), 0)
 
 
-def fit(texts: list[set[bytes]], toxic: np.ndarray, max_features: int = 400, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> OrdinalModel:
+def fit(texts: list[set[bytes]], toxic: np.ndarray, max_features: int = 800, steps: int = 400, rate: float = 0.05, l2: float = 3e-5) -> OrdinalModel:
     """Fit by Adam on the full (bounded) sample; thresholds stay ordered as sums of exponentials."""
     toxic = np.asarray(toxic, np.int64)
     if not len(texts) or not toxic.any() or toxic.all():
         return OrdinalModel()
     odds = indicative(texts, toxic, max_features)
     index = {w: j for j, w in enumerate(odds)}
-    y = grades(texts, toxic, odds)
+    y = grades(texts, toxic, max_features)
     x = np.zeros((len(texts), len(index)), np.float32)
     for i, t in enumerate(texts):
         x[i, [index[w] for w in t & index.keys()]] = 1
@@ -114,7 +124,7 @@ def fit(texts: list[set[bytes]], toxic: np.ndarray, max_features: int = 400, ste
     return OrdinalModel({w: float(par[j]) for w, j in index.items()}, tuple(map(float, cuts)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features: int = 400, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features: int = 800, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on about ``max_rows`` labelled documents. Executors reduce texts to their distinct words."""
     sample = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "toxic")
     sample = hash_sample(sample, max_rows, sample.count(), id_col)
@@ -126,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], names=["words", "toxic"])
 
     got = sorted((bytes(r.words), r.toxic) for r in rows.mapInArrow(run, "words binary, toxic int").collect())
-    return fit([set(w.split()) for w, _ in got], np.array([int(y > 0) for _, y in got], np.int64), max_features)
+    return fit([features(set(w.split())) for w, _ in got], np.array([int(y > 0) for _, y in got], np.int64), max_features)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
