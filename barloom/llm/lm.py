@@ -6,10 +6,11 @@ vocabulary may grow without bound. The recurrent model (``gru``) has a class-fac
 frequent tokens; for any other token its probability of "outside the vocabulary" is multiplied with that
 token's smoothed share of the outside mass, which makes it a distribution over all texts.
 
-Training: a start on the driver from about ``start_rows`` training documents of at most ``start_chars``
-characters, then one pass of all tasks over all training documents, learning from every window of every text with the
-state carried from window to window; the tasks' parameters are averaged, weighted by tokens, in two levels
-of at most 256 rows each. Float sums may differ in the last digits between runs.
+Training: all tasks start from one model, whose biases are the unigram model of the counts. They make a first, fast
+pass over every tenth training text and a second one over all, learning from every window of every text with the state
+carried from window to window; after each pass the tasks' parameters are averaged, weighted by tokens, in two levels of
+at most 256 rows each. So the model depends on how the rows are dealt to tasks, and float sums may differ in the last
+digits between runs.
 
 Cases: a null or empty text has one token, its end; a null id counts as held out; repeated rows are counted
 and scored one by one; without training documents every token has the probability of an unseen one; extra
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import gru
-from barloom.llm.common import hash_sample, materialize
+from barloom.llm.common import materialize
 
 #: The end of a text as a token; no word holds white space.
 END = "\n"
@@ -127,23 +128,24 @@ def _average(parts: DataFrame) -> DataFrame:
     return parts.groupBy(F.expr("part div 256")).applyInArrow(mean, "part long, n long, values binary")
 
 
-def train(docs: DataFrame, head: Head, id_col: str, text_col: str, hidden: int, classes: int, start_rows: int, start_chars: int) -> dict:
-    source = docs.select(id_col, text_col)
+def train(docs: DataFrame, head: Head, id_col: str, text_col: str, hidden: int, classes: int, rounds: tuple[tuple[int, float], ...]) -> dict:
+    """The model after rounds of (every how-manieth text, learning rate)."""
     model = gru.init(head.slot_counts, hidden, classes)
-    texts_at_all = int(head.counts[head.index[END.encode()]]) if END.encode() in head.index else 0
-    start = hash_sample(source.where(F.length(text_col) <= start_chars), start_rows, texts_at_all, id_col, text_col).collect()
-    start.sort(key=lambda r: (str(r[0]), r[1] or ""))
-    texts = [head.read(tokens((t or "").encode())) for i, t in start if not held_out(i)]
-    if not texts:
-        return model
-    opt = gru.Adam(model, 0.01)
-    for _ in range(3):
-        gru.train(model, texts, opt, batch=64)
+    for every, rate in rounds:
+        source = docs.select(id_col, text_col)
+        if every > 1:
+            source = source.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(every)) == 0)
+        model = _round(source, head, model, rate)
+    return model
+
+
+def _round(source: DataFrame, head: Head, model: dict, rate: float) -> dict:
+    """The mean of what all tasks make of ``model`` by one pass over their rows."""
     first = gru.flat(model)
 
     def run(batches):
         m, n = gru.unflat(first, model), 0
-        opt = gru.Adam(m, 0.002)
+        opt = gru.Adam(m, rate)
         for b in batches:
             texts = [head.read(tokens(t)) for i, t in zip(*_read(b)) if not held_out(i)]
             if texts:
@@ -161,7 +163,7 @@ def train(docs: DataFrame, head: Head, id_col: str, text_col: str, hidden: int,
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = 150_000, vocabulary: int = 1024, hidden: int = 24, classes: int = 32, start_rows: int = 300, start_chars: int = 20_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = 150_000, vocabulary: int = 1024, hidden: int = 24, classes: int = 32, rounds: tuple[tuple[int, float], ...] = ((10, 0.02), (1, 0.008))
 ) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
     counts = count_tokens(docs, id_col, text_col).withColumn("level", F.floor(F.log2("c") * _FINE))
@@ -176,7 +178,7 @@ def score(
     in_head = (F.col("level") >= F.lit(cut if size else 1 << 40)) | (F.col("token") == END)
     rows = counts.where(in_head).select("token", "c").collect()
     head = Head([tuple(r) for r in rows], total, distinct, vocabulary)
-    model = train(docs, head, id_col, text_col, hidden, classes, start_rows, start_chars)
+    model = train(docs, head, id_col, text_col, hidden, classes, rounds)
 
     source = docs.select(id_col, text_col)
     schema = T.StructType(

@@ -637,6 +637,20 @@ def test_language_model(docs, none, head):
     assert lm.score(none).count() == 0
 
 
+def test_language_model_learns_the_order_of_words(spark):
+    """Words that come round in a fixed order: the counts say nothing of it, the model must."""
+    rows = [(i, " ".join("abcdefgh"[(i + k) % 8] for k in range(40 + i % 17))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = lm.score(df, vocabulary=16, hidden=16, classes=4, rounds=((1, 0.02),) * 10).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    assert out[1] / out[2] > 0.4 * out[0] / out[2]
+
+
+def test_language_model_reads_a_very_long_text_whole(spark):
+    text = " ".join(f"w{k % 700}" for k in range(300_000))
+    out = {r.doc_id: r for r in lm.score(spark.createDataFrame([(1, text), (2, "w1 w2")], "doc_id long, text string")).collect()}
+    assert out[1].n_tokens == 300_001 and math.isfinite(out[1].score)
+
+
 # Decontamination
 
 
