@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def hash_sample(df: DataFrame, rows: int, total: int, *cols: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
 
 
-def small_side(keys: DataFrame, most_rows: int = 500_000) -> DataFrame:
+def small_side(keys: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """A table of keys (a few numbers a row) for a join: broadcast if it has at most ``most_rows`` rows,
     which is counted, and otherwise left to the optimizer, which shuffles it."""
     return F.broadcast(keys) if keys.limit(most_rows + 1).count() <= most_rows else keys
@@ -135,3 +136,16 @@ def regroup(batches):
         held = b.slice(last)
     if held is not None and len(held):
         yield held
+
+
+def pieces(batches, column: int, rows: int = 1000, size: int = 4 << 20):
+    """Parts of the batches, in order, of at most ``rows`` rows and, unless a row alone exceeds it, ``size`` bytes in
+    the text column: what a task holds in Python then depends on neither Spark's batch size nor the texts of a batch."""
+    for b in batches:
+        ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64))
+        at = 0
+        while at < len(b):
+            done = ends[at - 1] if at else 0
+            n = min(rows, max(1, int(np.searchsorted(ends, done + size, side="right")) - at))
+            yield b.slice(at, n)
+            at += n

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import materialize
+from barloom.llm.common import materialize, pieces
 
 LEAST_TOKENS, OUTWEIGH, GROUP_BYTES = 5, 3, 1_000_000
 _RAW = "script|style|textarea|title|noscript|iframe|template|svg|xmp|noembed|noframes"
@@ -232,7 +232,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = T.StructType([source.schema[id_col], source.schema["url"], T.StructField("host", T.StringType()), *lists])
 
     def parse(batches):
-        for b in batches:
+        for b in pieces(batches, 3):
             got = [blocks(h) for h in b.column(3).to_pylist()]
             lines, inside = pa.array([[x for x, _ in g] for g in got], pa.list_(pa.string())), pa.array([[i for _, i in g] for g in got], pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lines, inside], names=parsed.names)
@@ -243,7 +243,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = T.StructType([source.schema[id_col], source.schema["url"], T.StructField("text", T.StringType())])
 
     def spread(batches):
-        for b in batches:
+        for b in pieces(batches, 2):
             host, number, page, found = [], [], [], []
             for h, k, x in zip(*(b.column(i).to_pylist() for i in range(3))):
                 lines = [line for line, inside in blocks(x) if not inside]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import connected_components, hash_sample, materialize, small_side
+from barloom.llm.common import connected_components, hash_sample, materialize, pieces, small_side
 
 SEED = 42
 #: Bits of every byte value, lowest first.
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([source.schema[id_col], T.StructField("fp", T.LongType())])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(shingle_hashes(t, shingle))[0] for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=schema.names)
@@ -161,7 +161,7 @@ def _hot_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
     source = hash_sample(docs, SAMPLE_TEXTS, docs.count(), id_col, text_col).select(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 0):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in _texts(b.column(0))]
             h, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "n"])
@@ -213,7 +213,7 @@ def _sets(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, id_col: str, text_
 
     def run(batches):
         node = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in pieces(batches, 3):
             texts = _texts(b.column(3))
             found = [np.unique(shingle_hashes(t, shingle)) for t in texts]
             digest = [xxhash.xxh3_128_digest(f.tobytes() if len(f) else t, len(f) > 0) for f, t in zip(found, texts)]
@@ -255,12 +255,10 @@ class _Verifier:
         wanted = self.docs.join(small_side(ends), ["id", "t1", "t2"]).select("node", "text")
 
         def sets(batches):
-            for x in batches:
-                for i in range(0, len(x), 500):  # one batch may hold many very long texts
-                    part = x.slice(i, 500)
-                    found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in _texts(part.column(1))]
-                    edges = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(found)))], names=["node", "h"])
+            for x in pieces(batches, 1):
+                found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in _texts(x.column(1))]
+                edges = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(found)))], names=["node", "h"])
 
         held = materialize(wanted.mapInArrow(sets, "node long, h array<long>").dropDuplicates(["node"]), "near")
         both = pairs.join(held.select(F.col("node").alias("u"), F.col("h").alias("hu")), "u").join(held.select(F.col("node").alias("v"), F.col("h").alias("hv")), "v")
@@ -309,12 +307,13 @@ def near_duplicate_rows(
     hot, rank = _hot_shingles(docs, id_col, text_col, shingle)
     rows = materialize(_sets(docs, hot, rank, id_col, text_col, shingle, similarity), "near")
     document = F.struct("id", "t1", "t2")
-    classes = materialize(rows.groupBy("s1", "s2").agg(F.min(F.struct("id", "t1", "t2", "node")).alias("least"), F.max("n").alias("n"), F.count("*").alias("copies")), "near")
-    same = classes.where("copies > 1").select("s1", "s2", F.struct("least.id", "least.t1", "least.t2").alias("least"))
-    gone = rows.select("s1", "s2", document.alias("document")).join(same, ["s1", "s2"]).where("document <> least").select("document.*")
+    classes = materialize(rows.groupBy("s1", "s2").agg(F.min(F.struct("id", "t1", "t2", "node")).alias("least"), F.count("*").alias("copies")), "near")
+    same = classes.where("copies > 1").select("s1", "s2", F.struct("least.id", "least.t1", "least.t2").alias("least"), F.col("least.node").alias("chosen"))
+    copies = rows.select("s1", "s2", "node", document.alias("document")).join(same, ["s1", "s2"]).where("node <> chosen").select("node", "document", "least")
+    copies = materialize(copies, "near")
+    gone = copies.where("document <> least").select("document.*")
 
-    chosen = classes.where("n > 0").select("least.node")
-    nodes = rows.join(small_side(chosen), "node")
+    nodes = rows.where("n > 0").join(small_side(copies.select("node")), "node", "left_anti")
     posts = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
     several = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     several = materialize(several, "near")  # a table of its own, so that the join can split a frequent key

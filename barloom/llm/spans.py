@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import materialize
+from barloom.llm.common import materialize, pieces
 
 _WORD = re.compile(rb"\S+\s*")
 LEAST_SENTENCES, LEAST_WORDS = 2, 14
@@ -78,7 +78,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, lea
 
     def run(batches):
         seen: dict = {}
-        for b in batches:
+        for b in pieces(batches, 2):
             rows, pos, h = [], [], []
             for i, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
                 found, starts = sentences(t or b"", seen)
@@ -145,7 +145,7 @@ def remove_repeats(
     wide = pa.int64()
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, at):
             texts, covers = b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist()
             done = [cut(t, c, least_sentences, least_words) for t, c in zip(texts, covers)]
             out, n, m = zip(*done) if done else ((), (), ())

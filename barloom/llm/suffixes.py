@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import materialize, regroup
+from barloom.llm.common import materialize, pieces, regroup
 
 LENGTH, GRAM, SHALLOW, MOST = 400, 64, 32, 50_000
 _RNG = np.random.default_rng(400)
@@ -270,7 +270,7 @@ def repeats(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int
 
 def _anchors(length, gram):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 2):
             rows, at, h = [], [], []
             for i, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
                 if t and len(t) >= length:
@@ -298,7 +298,7 @@ def _contexts(length, gram, rows_most=20_000):
     names = ["h", "k1", "k2", "a", "low", "high", "before", "after"]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 2):
             rows, out = [], []
 
             def packed():
@@ -322,7 +322,7 @@ def _contexts(length, gram, rows_most=20_000):
 
 def _windows(length, gram):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 2):
             for i, t, found in _wanted(b, length, gram):
                 starts = [x for _, _, s, e in found for x in range(s, e + 1)]
                 for q in range(0, len(starts), 1 << 16):
@@ -371,7 +371,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType([joined.schema[id_col], *longs, T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if texts else [])])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             out = []
             for t, c in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                 kept, gone, runs = cut(t, [(x["s"], x["e"]) for x in c]) if c else (t, 0, 0)

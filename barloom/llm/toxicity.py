@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import hash_sample
+from barloom.llm.common import hash_sample, pieces
 
 GRADES = 4
 #: Bytes of the beginnings of words that are features of their own.
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_features
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, F.col("toxic").cast("int").alias("toxic"))
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 0):
             found = [b" ".join(sorted(words(t))) for t in b.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], names=["words", "toxic"])
 
@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     )
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             s = np.array([model.score(t) for t in b.column(1).cast(pa.binary()).to_pylist()], float)
             p = model.probabilities(s)
             cols = [b.column(0), pa.array(p @ np.arange(GRADES)), *(pa.array(c) for c in p.T), pa.array(p[:, 0] <= 0.5)]
@@ -166,7 +166,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, at):
             s = np.array([model.score(t) for t in b.column(at).cast(pa.binary()).to_pylist()], float)
             yield b.filter(pa.array(model.probabilities(s)[:, 0] > 0.5))
 
