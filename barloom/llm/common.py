@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables written inside the ``scratch`` blocks that are open, the innermost last.
 _open: list[list[tuple[DataFrame, str]]] = []
 
@@ -35,10 +36,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage and survives lost executors; the table has a size that the optimizer knows, so
-    that it alone decides whether a side is small enough to be broadcast."""
+    that it alone decides whether a side is small enough to be broadcast. The shuffle files of the write, which
+    nothing reads again, go at once and not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     if _open:
         _open[-1].append((out, path))

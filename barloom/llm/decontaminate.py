@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize, small_side
+from barloom.llm.common import materialize, scratch, small_side
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
 
@@ -89,6 +89,11 @@ def weighted_similarity(a: F.Column, b: F.Column) -> F.Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """``id_col, text_key, item, start, similarity``: each window (first word ``start``) that matches."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(materialize(_leaks(docs, benchmark, id_col, text_col, item_col, radius, similarity), "leaks"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, radius: int, similarity: float) -> DataFrame:
     items = benchmark.select(F.col(item_col).alias("item"), shingles(F.col(text_col)).alias("item_h")).where(F.size("item_h") > 0)
     items = materialize(items.withColumns({"length": F.size("item_h"), "item_fp": fingerprint(F.col("item_h"))}), "items")
     known = materialize(items.select("length", F.explode("item_h").alias("h")).distinct(), "items")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import connected_components, hash_sample, materialize, pieces, small_side
+from barloom.llm.common import connected_components, hash_sample, materialize, pieces, scratch, small_side
 
 SEED = 42
 #: Bits of every byte value, lowest first.
@@ -304,6 +304,11 @@ def near_duplicate_rows(
 
     A null id is in no group; a null text counts as an empty one; texts without words have no shingles and group
     only with equal texts; rows that agree in id and text are one document, which goes or stays as a whole."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_near_duplicate_rows(docs, id_col, text_col, shingle, similarity, shared, hub_rounds))
+
+
+def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, shared: int, hub_rounds: int) -> DataFrame:
     hot, rank = _hot_shingles(docs, id_col, text_col, shingle)
     rows = materialize(_sets(docs, hot, rank, id_col, text_col, shingle, similarity), "near")
     document = F.struct("id", "t1", "t2")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import materialize, pieces
+from barloom.llm.common import materialize, pieces, scratch
 
 _WORD = re.compile(rb"\S+\s*")
 LEAST_SENTENCES, LEAST_WORDS = 2, 14
@@ -103,13 +103,16 @@ def spans(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, lea
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """``id, text_key, cover``: per document the first sentences of the spans to remove.
 
-    Hot spans are counted with partial aggregation first; the join back is an equi-join that the
-    optimizer may split where a span is frequent."""
-    table = materialize(spans(docs, id_col, text_col, least_sentences, least_words), "spans")
+    Spans are counted with partial aggregation; only those that recur are looked at again. They are joined by tables of
+    their own, so that the optimizer may split a frequent span."""
     place = F.struct("id", "text_key", "pos")
-    first = table.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = table.join(materialize(first, "spans"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("id", "text_key").agg(F.collect_set("pos").alias("cover"))
+    with scratch(docs.sparkSession) as keep:
+        table = materialize(spans(docs, id_col, text_col, least_sentences, least_words), "spans")
+        recurs = materialize(table.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "spans")
+        again = materialize(table.join(recurs, ["h1", "h2"]), "spans")
+        first = materialize(again.groupBy("h1", "h2").agg(F.min(place).alias("first")), "spans")
+        later = again.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+        return keep(materialize(later.groupBy("id", "text_key").agg(F.collect_set("pos").alias("cover")), "spans"))
 
 
 def cut(text: bytes | None, cover: list | None, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[bytes, int, int]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import materialize, pieces, regroup
+from barloom.llm.common import materialize, pieces, regroup, scratch
 
 LENGTH, GRAM, SHALLOW, MOST = 400, 64, 32, 50_000
 _RNG = np.random.default_rng(400)
@@ -361,11 +361,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``kept`` (binary: a removed run may end inside a character)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(id_col, F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
-    cover = repeats(keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text"), length, gram, most)
     copies = keyed.where(F.octet_length("text") >= length).groupBy("k1", "k2").agg(F.count("*").alias("c"), F.max(F.octet_length("text")).alias("n")).where("c > 1")
     whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))).alias("cover"))
-    cover = cover.unionByName(whole).groupBy("k1", "k2").agg(F.flatten(F.collect_list("cover")).alias("cover"))
-    cover = materialize(cover, "cover")
+    with scratch(docs.sparkSession) as keep:
+        cover = repeats(keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text"), length, gram, most)
+        cover = cover.unionByName(whole).groupBy("k1", "k2").agg(F.flatten(F.collect_list("cover")).alias("cover"))
+        cover = keep(materialize(cover, "cover"))
     joined = keyed.join(cover, ["k1", "k2"], "left").select(id_col, "text", "cover")
     longs = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType([joined.schema[id_col], *longs, T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if texts else [])])
