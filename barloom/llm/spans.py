@@ -38,7 +38,7 @@ def sentences(text: bytes, seen: dict | None = None) -> tuple[list[bytes], np.nd
     """Words with the white space that follows them, and the index of each sentence's first word."""
     found = _WORD.findall(text)
     seen = {} if seen is None else seen
-    if len(seen) > 500_000:
+    if len(seen) > 100_000:
         seen.clear()
     values = []
     for w in found:
