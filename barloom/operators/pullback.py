@@ -89,7 +89,8 @@ def turn_trigger(events: DataFrame, bars: DataFrame, min_winners: int = MIN_WINN
     """What the winners had in common: lift from the low in average true ranges at the first close above the
     previous high, the average reclaimed there, and the delay. Null values where too few can be learned from."""
     thrust = F.when(F.col("close") > F.lag("high").over(_series()), F.struct("idx", "close", *[f"ema_{n}" for n in EMA_LENGTHS]))
-    b = bars.withColumn("__t", F.min(thrust).over(_series().rowsBetween(2, Window.unboundedFollowing)))
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -2)  # backwards, so that the frame only grows
+    b = bars.withColumn("__t", F.min(thrust).over(ahead))
     b = b.select("symbol", F.col("idx").alias("low_idx"), F.col("low").alias("__low"), "atr_14", "__t", *[F.col(f"ema_{n}").alias(f"__e{n}") for n in EMA_LENGTHS])
     e = events.where("success").join(b, ["symbol", "low_idx"]).where("atr_14 > 0 AND __t IS NOT NULL")
     reclaim = reduce(
@@ -101,42 +102,98 @@ def turn_trigger(events: DataFrame, bars: DataFrame, min_winners: int = MIN_WINN
     return t.select("symbol", "n_winners", *[F.when(known, F.col(c)).alias(c) for c in ("lift", "reclaim", "lag")])
 
 
-def current_state(bars: DataFrame, zz: DataFrame, sig: DataFrame, trigger: DataFrame) -> DataFrame:
-    """Last bar of each symbol against its last pivot high: depth, live low, trend, turn and label."""
+def live_dip(bars: DataFrame, zz: DataFrame) -> DataFrame:
+    """Per symbol its last bar ``now``, the last pivot high ``top``, the lowest bar after it ``dip`` (null if the high is the
+    last bar or there is none) and ``floor_price``, the pivot low before that high."""
+    averages = [f"ema_{n}" for n in EMA_LENGTHS]
     top = zz.where("kind = 'H'").groupBy("symbol").agg(F.max_by(F.struct("idx", "price"), "run").alias("top"), F.max("run").alias("run"))
     floor = zz.where("kind = 'L'").join(top.select("symbol", F.col("run").alias("__run")), "symbol").where("run < __run").groupBy("symbol").agg(F.max_by("price", "run").alias("floor_price"))
-    ends = bars.withColumn("__e50", F.lag("ema_50", 19).over(_series())).groupBy("symbol").agg(F.max_by(F.struct("idx", "ts", "close", "atr_14", "__e50", *[f"ema_{n}" for n in EMA_LENGTHS]), "idx").alias("now"))
+    now = F.max_by(F.struct("idx", "ts", "close", "atr_14", "__e50", *averages), "idx").alias("now")
+    ends = bars.withColumn("__e50", F.lag("ema_50", 19).over(_series())).groupBy("symbol").agg(now)
     lows = bars.join(top.select("symbol", "top"), "symbol").where(F.col("idx") > F.col("top.idx"))
-    lows = lows.groupBy("symbol").agg(F.min_by(F.struct("low", "idx", "ts", "atr_14", *[f"ema_{n}" for n in EMA_LENGTHS]), F.struct("low", "idx")).alias("dip"))
-    s = ends.join(top.select("symbol", "top"), "symbol").join(lows, "symbol", "left").join(floor, "symbol", "left").join(sig, "symbol", "left").join(trigger, "symbol", "left")
-    close, high = F.col("now.close"), F.col("top.price")
-    depth = (high - close) / high * 100
-    uptrend = F.coalesce((close > F.col("now.ema_50")) & (F.col("now.ema_50") > F.col("now.__e50")), F.lit(False))
+    lows = lows.groupBy("symbol").agg(F.min_by(F.struct("low", "idx", "ts", *averages), F.struct("low", "idx")).alias("dip"))
+    return ends.join(top.select("symbol", "top"), "symbol", "left").join(lows, "symbol", "left").join(floor, "symbol", "left")
+
+
+def live_turn(live: DataFrame, trigger: DataFrame) -> DataFrame:
+    """``live_dip`` rows with the answer whether the dip repeats the learned turn: by a lift from its low of as many average
+    true ranges of the last bar, or by a close back above the learned average, if the low had broken it.
+
+    ``turn_confirmed`` is null where that cannot be judged, and ``turn_why`` says why. ``turn_path`` lists the paths that
+    fired, and both trigger prices are quoted whether or not they are reached; ``buy_trigger_price`` is the nearer one for a dip
+    that has not turned."""
     pick = lambda side: reduce(lambda rest, n: F.when(F.col("reclaim") == f"ema_{n}", F.col(f"{side}.ema_{n}")).otherwise(rest), EMA_LENGTHS, F.lit(None).cast("double"))
-    s = s.withColumns({"__then": pick("dip"), "__line": pick("now"), "__lift": F.try_divide(close - F.col("dip.low"), F.col("dip.atr_14"))})
-    can = F.col("lift").isNotNull() & F.col("dip.low").isNotNull() & (F.col("dip.atr_14") > 0)
-    by_lift = F.col("__lift") >= F.col("lift")
-    by_line = F.coalesce((F.col("dip.low") < F.col("__then")) & (close > F.col("__line")), F.lit(False))
-    turned = F.when(can, by_lift | by_line)
-    in_band = (depth >= F.col("band_lo")) & (depth <= F.col("band_hi"))
-    ready = F.coalesce((F.col("confidence") == "ok") & uptrend, F.lit(False))
-    label = (
-        F.when(ready & in_band & turned.isNull(), "buyable-dip-now/turn-unconfirmable").when(ready & in_band & turned, "buy-the-dip-turned").when(ready & in_band, "wait-not-turned")
-        .when(ready & (depth < F.col("band_lo")), "pullback-coming/wait").otherwise("no-match")
+    s = live.join(trigger, "symbol", "left")
+    close, low, atr = F.col("now.close"), F.col("dip.low"), F.col("now.atr_14")
+    why = (
+        F.when(F.col("lift").isNull(), "trigger not learnable").when(low.isNull(), "no live dip").when(atr.isNull() | (atr == 0), "no average true range yet")
     )
+    s = s.withColumns({"turn_why": why, "__then": pick("dip"), "__line": pick("now")})
+    can = F.col("turn_why").isNull()
+    s = s.withColumn("cur_lift", F.when(can, F.try_divide(close - low, atr)))
+    broke = F.coalesce(low < F.col("__then"), F.lit(False))
+    by_lift, by_line = F.col("cur_lift") >= F.col("lift"), broke & F.coalesce(close > F.col("__line"), F.lit(False))
+    s = s.withColumns({
+        "turn_confirmed": F.when(can, by_lift | by_line), "turn_path": F.when(can, F.filter(F.array(F.when(by_lift, "lift"), F.when(by_line, "reclaim")), lambda x: x.isNotNull())),
+        "broke_ema": F.when(can, broke), "trigger_lift_price": F.when(can, low + F.col("lift") * atr), "trigger_ema_price": F.when(can, F.col("__line")),
+    })
+    return s.withColumn("buy_trigger_price", F.when(~F.col("turn_confirmed"), F.least("trigger_lift_price", "trigger_ema_price"))).drop("__then", "__line")
+
+
+_UNJUDGED = {"turn_why": "string", "cur_lift": "double", "turn_confirmed": "boolean", "turn_path": "array<string>", "broke_ema": "boolean", "trigger_lift_price": "double", "trigger_ema_price": "double", "buy_trigger_price": "double"}
+
+
+def current_state(bars: DataFrame, zz: DataFrame, sig: DataFrame, trigger: DataFrame | None = None) -> DataFrame:
+    """Last bar of each symbol against its last pivot high: depth, live low, trend, turn and label. An uptrend inside the
+    usual band is a buyable dip, which a ``trigger`` divides by whether it has turned; without one it is not divided."""
+    live = live_dip(bars, zz)
+    s = live.withColumns({n: F.lit(None).cast(t) for n, t in _UNJUDGED.items()}) if trigger is None else live_turn(live, trigger)
+    s = s.join(sig, "symbol", "left")
+    close, high, low = F.col("now.close"), F.col("top.price"), F.col("dip.low")
+    depth = (high - close) / high * 100
+    uptrend = F.coalesce((close > F.col("now.ema_50")) & (F.col("now.ema_50") > F.col("now.__e50")), F.lit(False))
+    in_band = uptrend & (depth >= F.col("band_lo")) & (depth <= F.col("band_hi"))
+    turned = F.col("turn_confirmed")
+    dip = F.lit("buyable-dip-now") if trigger is None else F.when(turned.isNull(), "buyable-dip-now/turn-unconfirmable").when(turned, "buy-the-dip-turned").otherwise("wait-not-turned")
+    label = F.when(high.isNull(), "no-match").when(in_band, dip).when(uptrend & (depth < F.col("band_lo")), "pullback-coming/wait").otherwise("no-match")
+    why = F.when(high.isNull(), "no confirmed swing high").when(label == "pullback-coming/wait", "near high, shallower than typical pullback band")
     return s.select(
-        "symbol", F.col("now.ts").alias("ts"), close.alias("close"), high.alias("live_high"), depth.alias("now_off_high"), F.col("dip.low").alias("live_low"), F.col("dip.ts").alias("live_low_ts"),
-        ((high - F.col("dip.low")) / high * 100).alias("live_low_dip"), "floor_price", "band_lo", "band_hi", "success_rate", uptrend.alias("uptrend"), turned.alias("turn_confirmed"),
-        F.when(turned & by_lift, "lift").when(turned, "reclaim").alias("turn_path"), label.alias("state"),
-        F.when(~turned, F.least(F.col("dip.low") + F.col("lift") * F.col("dip.atr_14"), F.when(F.col("dip.low") < F.col("__then"), F.col("__line")))).alias("buy_trigger_price"),
+        "symbol", F.col("now.ts").alias("ts"), close.alias("close"), high.alias("live_high"), depth.alias("now_off_high"), low.alias("live_low"), F.col("dip.ts").alias("live_low_ts"), F.col("dip.idx").alias("live_low_idx"),
+        F.col("top.idx").alias("high_idx"), ((high - low) / high * 100).alias("live_low_dip"), "floor_price", F.coalesce(low, F.col("floor_price")).alias("near_term_invalidation"), "n_events", "band_lo", "band_hi", "success_rate",
+        uptrend.alias("uptrend"), *_UNJUDGED, label.alias("state"), why.alias("why"),
     )
 
 
-def learned_horizon(events: DataFrame, base: int = HORIZON, share: float = 0.75) -> DataFrame:
-    """Bars a symbol's winners need, clamped to 0.5..10 days; the base where fewer than five are known."""
+def learned_horizon(events: DataFrame, base: int = HORIZON, share: float = 0.75, low_days: float = 0.5, high_days: float = 10.0) -> DataFrame:
+    """``symbol, horizon_bars, horizon_days, clamped, learned``: the bars that ``share`` of a symbol's winners need, clamped to
+    ``low_days``..``high_days``; the base where fewer than five are known."""
     h = events.where("success").groupBy("symbol").agg(F.count("*").alias("n"), F.percentile("bars_to_win", share).alias("h"))
-    clamped = F.least(F.greatest(F.ceil("h"), F.lit(round(0.5 * BARS_PER_DAY))), F.lit(int(10 * BARS_PER_DAY)))
-    return h.select("symbol", F.when(F.col("n") >= 5, clamped).otherwise(base).cast("int").alias("horizon_bars"))
+    low, high, need = round(low_days * BARS_PER_DAY), int(high_days * BARS_PER_DAY), F.ceil("h")
+    learned = F.col("n") >= MIN_WINNERS
+    h = h.withColumns({"learned": learned, "horizon_bars": F.when(learned, F.least(F.greatest(need, F.lit(low)), F.lit(high))).otherwise(base).cast("int"), "clamped": learned & ((need < low) | (need > high))})
+    return h.select("symbol", "horizon_bars", (F.col("horizon_bars") / BARS_PER_DAY).alias("horizon_days"), "clamped", "learned")
+
+
+def bounces(events: DataFrame, bars: DataFrame, horizon: DataFrame, base: int = HORIZON) -> DataFrame:
+    """``symbol, bounce_base, bounce_learned, delta``: the share of events that succeed within the base horizon and within the
+    symbol's own one."""
+    longest = int(10 * BARS_PER_DAY)
+    plain = [c for c in events.columns if c not in ("success", "bars_to_win")]
+    told = with_outcome(events.select(*plain), bars, horizon=longest).join(horizon.select("symbol", "horizon_bars"), "symbol", "left")
+    within = lambda h: F.avg(F.when(F.col("success") & (F.col("bars_to_win") <= h), 1).otherwise(0))
+    rate = told.groupBy("symbol").agg(within(F.lit(base)).alias("bounce_base"), within(F.coalesce("horizon_bars", F.lit(base))).alias("bounce_learned"))
+    return rate.withColumn("delta", F.col("bounce_learned") - F.col("bounce_base"))
+
+
+def volume_fade(bars: DataFrame, state: DataFrame) -> DataFrame:
+    """``symbol, vol_fade_ratio, fading``: mean volume from the last high to the live low against that of as many bars before
+    the high; it fades below 1. Null without a dip or without volume."""
+    spans = state.where("live_low_idx IS NOT NULL").select("symbol", "high_idx", "live_low_idx", (F.col("live_low_idx") - F.col("high_idx")).alias("n"))
+    b = bars.select("symbol", "idx", "volume").join(spans, "symbol")
+    fall = F.avg(F.when((F.col("idx") > F.col("high_idx")) & (F.col("idx") <= F.col("live_low_idx")), F.col("volume")))
+    rise = F.avg(F.when((F.col("idx") <= F.col("high_idx")) & (F.col("idx") > F.col("high_idx") - F.col("n")), F.col("volume")))
+    ratio = b.groupBy("symbol").agg(F.try_divide(fall, rise).alias("vol_fade_ratio"))
+    return ratio.withColumn("fading", F.col("vol_fade_ratio") < 1)
 
 
 def recovery_class(bars_needed: F.Column) -> F.Column:
@@ -150,7 +207,7 @@ def tier(row: DataFrame) -> DataFrame:
     rule = (
         F.when(dip > 1.5 * F.col("band_hi"), "AVOID").when(F.col("live_low") < F.col("floor_price"), "CAUTION")
         .when((F.col("now_off_high") <= 0) | (F.col("now_off_high") < F.col("band_lo")), "WATCH").when(F.col("turn_confirmed").isNull(), "SPEC").when(~F.col("turn_confirmed"), "WAIT")
-        .when(F.col("success_rate") < 0.5, "SPEC").when(F.col("recovery") == "slow", "PATIENT").otherwise("BUY")
+        .when(F.coalesce("bounce_base", F.lit(0.0)) < 0.5, "SPEC").when(F.col("recovery") == "slow", "PATIENT").otherwise("BUY")
     )
     return row.withColumn("tier", rule)
 
@@ -178,6 +235,18 @@ def shortlists(bars: DataFrame, windows: tuple[int, ...] = (60, 120, 240), least
     return e.where((F.try_divide(F.col("high") - F.col("close"), F.col("high")) * 100 >= least) & (F.col("close") > F.col("ema_200"))).select("w", "symbol")
 
 
+def calibrated_window(lists: DataFrame, windows: tuple[int, ...] = (60, 120, 240), least: float = 0.5) -> DataFrame:
+    """``mode, overlap, W_used, shortlist`` in one row: stable if the lists of all windows share ``least`` of their symbols on
+    average, which then keeps the middle window's list; otherwise sensitive, and the list is that of all windows."""
+    overlap = shortlist_overlap(lists).agg(F.coalesce(F.avg("overlap"), F.lit(0.0)).alias("overlap"))
+    middle = windows[len(windows) // 2]
+    named = lists.agg(F.array_sort(F.collect_set(F.when(F.col("w") == middle, F.col("symbol")))).alias("one"), F.array_sort(F.collect_set("symbol")).alias("every"))
+    stable = F.col("overlap") >= least
+    row = overlap.join(F.broadcast(named))  # one row each
+    used = F.when(stable, F.array(F.lit(middle).cast("long"))).otherwise(F.array(*[F.lit(w).cast("long") for w in windows]))
+    return row.select(F.when(stable, "stable").otherwise("sensitive").alias("mode"), "overlap", used.alias("W_used"), F.when(stable, F.col("one")).otherwise(F.col("every")).alias("shortlist"))
+
+
 def shortlist_overlap(lists: DataFrame, window: str = "w", symbol: str = "symbol") -> DataFrame:
     """Jaccard overlap of the symbol lists of each two windows."""
     sets = lists.groupBy(window).agg(F.collect_set(symbol).alias("s"))

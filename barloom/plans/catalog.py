@@ -191,13 +191,14 @@ def _events(spark, sf_dir):
 def _state(spark, sf_dir):
     events, ind = _events(spark, sf_dir)
     zz = pullback.zigzag(pullback.fractal_pivots(ind))
-    return pullback.current_state(ind, zz, pullback.signature(events), pullback.turn_trigger(events, ind)), events
+    return pullback.current_state(ind, zz, pullback.signature(events), pullback.turn_trigger(events, ind)), events, ind
 
 
 def _tiers(spark, sf_dir):
-    state, events = _state(spark, sf_dir)
-    rows = state.join(pullback.learned_horizon(events), "symbol", "left").withColumn("recovery", pullback.recovery_class(F.col("horizon_bars")))
-    return pullback.tier(rows)
+    state, events, ind = _state(spark, sf_dir)
+    horizon = pullback.learned_horizon(events)
+    rows = state.join(horizon, "symbol", "left").join(pullback.bounces(events, ind, horizon), "symbol", "left").join(pullback.volume_fade(ind, state), "symbol", "left")
+    return pullback.tier(rows.withColumn("recovery", pullback.recovery_class(F.col("horizon_bars"))))
 
 
 _longs = lambda df, *c: df.withColumns({x: F.col(x).cast("long") for x in c})
@@ -214,15 +215,17 @@ query("turn_trigger", sql.chain(*LEARN_CHAIN, sql.TRIGGER) + _rounded_sql("trg",
     lambda s, d: _rounded(pullback.turn_trigger(*_events(s, d)), ("lift", "lag"), ("symbol", "n_winners", "reclaim"))
 )
 STATE_CHAIN = (*LEARN_CHAIN, sql.SIGNATURE, sql.TRIGGER, sql.STATE)
-TIER_CHAIN = (*STATE_CHAIN, sql.HORIZON, sql.TIERS)
-STATE_VALUES = ("now_off_high", "live_low_dip", "band_lo", "band_hi", "success_rate", "buy_trigger_price")
-STATE_PLAIN = ("symbol", "ts", "close", "live_high", "live_low", "live_low_ts", "floor_price", "uptrend", "turn_confirmed", "turn_path", "state")
-TIER_PLAIN = (*STATE_PLAIN, "horizon_bars", "recovery", "tier")
-query("current_state", sql.chain(*STATE_CHAIN) + _rounded_sql("st", STATE_VALUES, ", ".join(STATE_PLAIN)))(lambda s, d: _rounded(_state(s, d)[0], STATE_VALUES, STATE_PLAIN))
-query("tiers", sql.chain(*TIER_CHAIN) + _rounded_sql("tiered", STATE_VALUES, ", ".join(TIER_PLAIN)))(lambda s, d: _rounded(_tiers(s, d), STATE_VALUES, TIER_PLAIN))
-query("screen_lines", sql.chain(*TIER_CHAIN) + sql.SCREEN_LINES)(lambda s, d: _rounded(screen.lines(_tiers(s, d)), ("success_rate",), ("tier_ord", "symbol", "line")))
+TIER_CHAIN = (*STATE_CHAIN, sql.HORIZON, sql.BOUNCES, sql.FADE, sql.TIERS)
+STATE_VALUES = ("now_off_high", "live_low_dip", "band_lo", "band_hi", "success_rate", "cur_lift", "trigger_lift_price", "trigger_ema_price", "buy_trigger_price")
+STATE_PLAIN = ("symbol", "ts", "close", "live_high", "live_low", "live_low_ts", "floor_price", "near_term_invalidation", "n_events", "uptrend", "turn_confirmed", "turn_path", "broke_ema", "state")
+TIER_VALUES = (*STATE_VALUES, "bounce_base", "bounce_learned", "delta", "vol_fade_ratio")
+TIER_PLAIN = (*STATE_PLAIN, "horizon_bars", "clamped", "recovery", "tier")
+_joined = lambda df: df.withColumn("turn_path", F.array_join("turn_path", ","))
+query("current_state", sql.chain(*STATE_CHAIN) + _rounded_sql("st", STATE_VALUES, ", ".join(STATE_PLAIN)))(lambda s, d: _rounded(_joined(_state(s, d)[0]), STATE_VALUES, STATE_PLAIN))
+query("tiers", sql.chain(*TIER_CHAIN) + _rounded_sql("tiered", TIER_VALUES, ", ".join(TIER_PLAIN)))(lambda s, d: _rounded(_joined(_tiers(s, d)), TIER_VALUES, TIER_PLAIN))
+query("screen_lines", sql.chain(*TIER_CHAIN) + sql.SCREEN_LINES)(lambda s, d: _rounded(screen.lines(_tiers(s, d)), ("bounce_base",), ("tier_ord", "symbol", "line")))
 query("tier_counts", sql.chain(*TIER_CHAIN) + sql.TIER_COUNTS)(lambda s, d: screen.tier_counts(_tiers(s, d)))
-query("learned_horizon", sql.chain(*LEARN_CHAIN, sql.HORIZON) + "SELECT symbol, horizon_bars FROM hz")(lambda s, d: pullback.learned_horizon(_events(s, d)[0]))
+query("learned_horizon", sql.chain(*LEARN_CHAIN, sql.HORIZON) + "SELECT symbol, horizon_bars, clamped, learned FROM hz")(lambda s, d: pullback.learned_horizon(_events(s, d)[0]).drop("horizon_days"))
 
 # Similarity and structure
 
@@ -248,4 +251,7 @@ query("chart_history", sql.chain(*EVENT_CHAIN[:2], sql.HISTORY) + _rounded_sql("
 query("tolerance", sql.chain() + _rounded_sql("(SELECT symbol, ts, 0.5 * atr_14 AS tolerance FROM ind WHERE atr_14 > 0)", ("tolerance",)))(lambda s, d: _rounded(structure.with_tolerance(_indicators(s, d)), ("tolerance",)))
 query("choppiness_k", sql.chain(sql.CHOPPINESS))(lambda s, d: _rounded(pullback.choppiness(_indicators(s, d)), ("choppiness",), ("symbol", "k")))
 query("shortlists", sql.chain(sql.SHORTLIST) + "SELECT * FROM sl")(lambda s, d: pullback.shortlists(_indicators(s, d)))
+query("calibrated_window", sql.chain(sql.SHORTLIST) + sql.CALIBRATED)(
+    lambda s, d: _rounded(pullback.calibrated_window(pullback.shortlists(_indicators(s, d))).withColumns({"W_used": F.array_join(F.col("W_used").cast("array<string>"), ","), "shortlist": F.array_join("shortlist", ",")}), ("overlap",), ("mode", "W_used", "shortlist"))
+)
 query("shortlist_overlap", sql.chain(sql.SHORTLIST) + sql.OVERLAP)(lambda s, d: pullback.shortlist_overlap(pullback.shortlists(_indicators(s, d)), "w"))

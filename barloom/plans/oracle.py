@@ -74,29 +74,44 @@ trg AS (SELECT symbol, CAST(count(*) AS BIGINT) AS n_winners, CASE WHEN count(*)
 SIGNATURE = """g0 AS (SELECT symbol, anchor FROM (SELECT symbol, anchor, count(*) AS c, min(low_idx) AS f FROM evs GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY c DESC, f) = 1),
 sig AS (SELECT symbol, CAST(count(*) AS BIGINT) AS n_events, quantile_cont(depth_pct, 0.25) AS band_lo, quantile_cont(depth_pct, 0.75) AS band_hi, avg(CAST(success AS INTEGER)) AS success_rate, CASE WHEN count(*) >= 5 THEN 'ok' ELSE 'low' END AS confidence, any_value(g0.anchor) AS anchor FROM evs JOIN g0 USING (symbol) GROUP BY symbol)"""
 
-HORIZON = """hz AS (SELECT symbol, CAST(CASE WHEN count(*) >= 5 THEN least(greatest(ceil(quantile_cont(bars_to_win, 0.75)), 4), 70) ELSE 15 END AS INTEGER) AS horizon_bars FROM evs WHERE success GROUP BY symbol)"""
+HORIZON = """hz AS (SELECT symbol, CAST(CASE WHEN count(*) >= 5 THEN least(greatest(ceil(quantile_cont(bars_to_win, 0.75)), 4), 70) ELSE 15 END AS INTEGER) AS horizon_bars,
+ count(*) >= 5 AND (ceil(quantile_cont(bars_to_win, 0.75)) < 4 OR ceil(quantile_cont(bars_to_win, 0.75)) > 70) AS clamped, count(*) >= 5 AS learned FROM evs WHERE success GROUP BY symbol)"""
+BOUNCES = """bo0 AS (SELECT ev.symbol, ev.low_idx, min(CASE WHEN b.high >= (ev.high + ev.low) / 2 THEN b.idx END) AS won, min(CASE WHEN b.low <= ev.low * 0.97 THEN b.idx END) AS lost FROM ev LEFT JOIN ind b ON b.symbol = ev.symbol AND b.idx > ev.low_idx AND b.idx <= ev.low_idx + 70 GROUP BY 1, 2),
+bo1 AS (SELECT symbol, CASE WHEN won IS NOT NULL AND (lost IS NULL OR won < lost) THEN won - low_idx END AS bars FROM bo0),
+bounce AS (SELECT bo1.symbol, avg(CASE WHEN bars <= 15 THEN 1 ELSE 0 END) AS bounce_base, avg(CASE WHEN bars <= coalesce(horizon_bars, 15) THEN 1 ELSE 0 END) AS bounce_learned FROM bo1 LEFT JOIN hz USING (symbol) GROUP BY bo1.symbol)"""
+FADE = """fade AS (SELECT st.symbol, avg(b.volume) FILTER (WHERE b.idx > top_idx) / avg(b.volume) FILTER (WHERE b.idx <= top_idx) AS vol_fade_ratio FROM st JOIN ind b ON b.symbol = st.symbol AND b.idx <= dip_idx AND b.idx > 2 * top_idx - dip_idx GROUP BY st.symbol)"""
 _AVERAGE = "CASE trg.reclaim WHEN 'ema_10' THEN {0}.ema_10 WHEN 'ema_20' THEN {0}.ema_20 WHEN 'ema_50' THEN {0}.ema_50 WHEN 'ema_100' THEN {0}.ema_100 WHEN 'ema_200' THEN {0}.ema_200 END"
 STATE = f"""s_top AS (SELECT symbol, idx, price, run FROM zz WHERE kind = 'H' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY run DESC) = 1),
 s_floor AS (SELECT zz.symbol, zz.price AS floor_price FROM zz JOIN s_top t ON t.symbol = zz.symbol AND zz.run < t.run WHERE zz.kind = 'L' QUALIFY row_number() OVER (PARTITION BY zz.symbol ORDER BY zz.run DESC) = 1),
 s_now AS (SELECT * FROM (SELECT *, lag(ema_50, 19) OVER (PARTITION BY symbol ORDER BY idx) AS before50 FROM ind) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1),
 s_dip AS (SELECT ind.* FROM ind JOIN s_top t ON t.symbol = ind.symbol AND ind.idx > t.idx QUALIFY row_number() OVER (PARTITION BY ind.symbol ORDER BY ind.low, ind.idx) = 1),
 s_all AS (SELECT n.symbol, n.ts, n.close, t.price AS live_high, (t.price - n.close) / t.price * 100 AS now_off_high, dip.low AS live_low, dip.ts AS live_low_ts, (t.price - dip.low) / t.price * 100 AS live_low_dip,
- floor_price, band_lo, band_hi, success_rate, confidence, trg.lift, dip.atr_14 AS dip_atr, coalesce(n.close > n.ema_50 AND n.ema_50 > n.before50, FALSE) AS uptrend, {_AVERAGE.format("dip")} AS line_then, {_AVERAGE.format("n")} AS line_now
- FROM s_now n JOIN s_top t USING (symbol) LEFT JOIN s_dip dip ON dip.symbol = n.symbol LEFT JOIN s_floor f ON f.symbol = n.symbol LEFT JOIN sig ON sig.symbol = n.symbol LEFT JOIN trg ON trg.symbol = n.symbol),
-s_turn AS (SELECT *, CASE WHEN lift IS NOT NULL AND dip_atr > 0 THEN (close - live_low) / dip_atr >= lift END AS lifted, coalesce(live_low < line_then AND close > line_now, FALSE) AS reclaimed FROM s_all),
-st AS (SELECT symbol, ts, close, live_high, now_off_high, live_low, live_low_ts, live_low_dip, floor_price, band_lo, band_hi, success_rate, uptrend, CASE WHEN lifted IS NOT NULL THEN lifted OR reclaimed END AS turn_confirmed,
- CASE WHEN lifted THEN 'lift' WHEN lifted IS NOT NULL AND reclaimed THEN 'reclaim' END AS turn_path,
- CASE WHEN confidence = 'ok' AND uptrend THEN CASE WHEN now_off_high BETWEEN band_lo AND band_hi THEN CASE WHEN lifted IS NULL THEN 'buyable-dip-now/turn-unconfirmable' WHEN lifted OR reclaimed THEN 'buy-the-dip-turned' ELSE 'wait-not-turned' END
-  WHEN now_off_high < band_lo THEN 'pullback-coming/wait' ELSE 'no-match' END ELSE 'no-match' END AS state,
- CASE WHEN NOT lifted AND NOT reclaimed THEN least(live_low + lift * dip_atr, CASE WHEN live_low < line_then THEN line_now END) END AS buy_trigger_price FROM s_turn)"""
-TIERS = """tr0 AS (SELECT st.*, hz.horizon_bars, CASE WHEN horizon_bars <= 21 THEN 'fast' WHEN horizon_bars <= 35 THEN 'medium' ELSE 'slow' END AS recovery FROM st LEFT JOIN hz USING (symbol)),
+ floor_price, n_events, band_lo, band_hi, success_rate, trg.lift, n.atr_14 AS atr_now, dip.idx AS dip_idx, t.idx AS top_idx, coalesce(n.close > n.ema_50 AND n.ema_50 > n.before50, FALSE) AS uptrend, {_AVERAGE.format("dip")} AS line_then, {_AVERAGE.format("n")} AS line_now
+ FROM s_now n LEFT JOIN s_top t ON t.symbol = n.symbol LEFT JOIN s_dip dip ON dip.symbol = n.symbol LEFT JOIN s_floor f ON f.symbol = n.symbol LEFT JOIN sig ON sig.symbol = n.symbol LEFT JOIN trg ON trg.symbol = n.symbol),
+s_turn AS (SELECT *, CASE WHEN lift IS NOT NULL AND live_low IS NOT NULL AND atr_now <> 0 THEN (close - live_low) / atr_now END AS cur_lift, coalesce(live_low < line_then, FALSE) AS broke FROM s_all),
+s_fired AS (SELECT *, cur_lift >= lift AS lifted, broke AND coalesce(close > line_now, FALSE) AS reclaimed FROM s_turn),
+st AS (SELECT symbol, ts, close, live_high, now_off_high, live_low, live_low_ts, dip_idx, top_idx, live_low_dip, floor_price, coalesce(live_low, floor_price) AS near_term_invalidation, n_events, band_lo, band_hi, success_rate, uptrend, lifted OR reclaimed AS turn_confirmed,
+ CASE WHEN lifted IS NOT NULL THEN array_to_string(list_filter([CASE WHEN lifted THEN 'lift' END, CASE WHEN reclaimed THEN 'reclaim' END], lambda x: x IS NOT NULL), ',') END AS turn_path, cur_lift,
+ CASE WHEN lifted IS NOT NULL THEN broke END AS broke_ema, CASE WHEN lifted IS NOT NULL THEN live_low + lift * atr_now END AS trigger_lift_price, CASE WHEN lifted IS NOT NULL THEN line_now END AS trigger_ema_price,
+ CASE WHEN live_high IS NULL THEN 'no-match' WHEN uptrend AND now_off_high BETWEEN band_lo AND band_hi THEN CASE WHEN lifted IS NULL THEN 'buyable-dip-now/turn-unconfirmable' WHEN lifted OR reclaimed THEN 'buy-the-dip-turned' ELSE 'wait-not-turned' END
+  WHEN uptrend AND now_off_high < band_lo THEN 'pullback-coming/wait' ELSE 'no-match' END AS state,
+ CASE WHEN NOT (lifted OR reclaimed) THEN least(live_low + lift * atr_now, line_now) END AS buy_trigger_price FROM s_fired)"""
+TIERS = """tr0 AS (SELECT st.*, hz.horizon_bars, hz.clamped, hz.learned, bounce_base, bounce_learned, bounce_learned - bounce_base AS delta, vol_fade_ratio, CASE WHEN horizon_bars <= 21 THEN 'fast' WHEN horizon_bars <= 35 THEN 'medium' ELSE 'slow' END AS recovery
+ FROM st LEFT JOIN hz USING (symbol) LEFT JOIN bounce USING (symbol) LEFT JOIN fade USING (symbol)),
 tiered AS (SELECT *, CASE WHEN greatest(now_off_high, live_low_dip) > 1.5 * band_hi THEN 'AVOID' WHEN live_low < floor_price THEN 'CAUTION' WHEN now_off_high <= 0 OR now_off_high < band_lo THEN 'WATCH' WHEN turn_confirmed IS NULL THEN 'SPEC'
- WHEN NOT turn_confirmed THEN 'WAIT' WHEN success_rate < 0.5 THEN 'SPEC' WHEN recovery = 'slow' THEN 'PATIENT' ELSE 'BUY' END AS tier FROM tr0),
+ WHEN NOT turn_confirmed THEN 'WAIT' WHEN coalesce(bounce_base, 0) < 0.5 THEN 'SPEC' WHEN recovery = 'slow' THEN 'PATIENT' ELSE 'BUY' END AS tier FROM tr0),
 tier_order AS (SELECT tier, CAST(ord AS INTEGER) AS ord FROM (VALUES ('BUY', 0), ('PATIENT', 1), ('SPEC', 2), ('WAIT', 3), ('WATCH', 4), ('CAUTION', 5), ('AVOID', 6)) v(tier, ord))"""
 TIER_COUNTS = "SELECT o.tier, CAST(count(t.tier) AS BIGINT) AS n, o.ord FROM tier_order o LEFT JOIN tiered t ON t.tier = o.tier GROUP BY o.tier, o.ord"
-_CELL = "coalesce(format('{{:,.2f}}', {0}), '')"
-SCREEN_LINES = f"""SELECT CAST(o.ord + 1 AS BIGINT) AS tier_ord, round(success_rate + 1e-7, 4) AS success_rate, symbol, '| ' || symbol || ' | ' || tier || ' | ' || {_CELL.format("now_off_high")} || ' | ' || {_CELL.format("live_low_dip")} || ' | ' || {_CELL.format("success_rate")} || ' | ' ||
- CASE WHEN turn_confirmed THEN '✓(' || turn_path || ')' WHEN NOT turn_confirmed THEN coalesce('— ' || format('{{:,.2f}}', buy_trigger_price), '—') ELSE 'n/a' END || ' | ' || {_CELL.format("buy_trigger_price")} || ' |' AS line FROM tiered JOIN tier_order o USING (tier)"""
+_NUMBER = r"regexp_replace(printf('%.{1}f', {0}), '(\.\d+?)0+$', '\1')"
+_PRICE = "coalesce(" + _NUMBER.format("{0}", 2) + " || ' (' || printf('%.1f', ({0} / close - 1) * 100) || '%)', 'n/a')"
+_LINE = (
+    "symbol || CASE WHEN tier = 'CAUTION' THEN ' ⚠' ELSE '' END", "tier", "CAST(n_events AS VARCHAR)", "printf('%.1f–%.1f', band_lo, band_hi)", "printf('%.1f', now_off_high)", "coalesce(printf('%.1f', live_low_dip), 'n/a')",
+    _NUMBER.format("round(bounce_base, 3)", 3), f"{_NUMBER.format('round(bounce_learned, 3)', 3)} || ' (' || CASE WHEN delta >= 0 THEN '+' ELSE '' END || {_NUMBER.format('round(delta, 3)', 3)} || ')'",
+    "CASE WHEN learned THEN horizon_bars || '≈' || printf('%.1f', horizon_bars / 7.0) || 'd' || CASE WHEN clamped THEN '!' ELSE '' END ELSE '—(base 15)' END", "recovery",
+    f"CASE WHEN turn_confirmed THEN '✓(' || turn_path || ')' WHEN NOT turn_confirmed THEN coalesce('— ₹' || {_NUMBER.format('buy_trigger_price', 2)}, '—') ELSE 'n/a' END",
+    f"coalesce({_NUMBER.format('vol_fade_ratio', 2)} || CASE WHEN vol_fade_ratio < 1 THEN '✓' ELSE '' END, 'n/a')", *[_PRICE.format(c) for c in ("live_high", "live_low", "floor_price")], "strftime(ts, '%Y-%m-%d %H:%M')",
+)
+SCREEN_LINES = f"""SELECT CAST(o.ord + 1 AS BIGINT) AS tier_ord, round(bounce_base + 1e-7, 4) AS bounce_base, symbol, '| ' || {" || ' | ' || ".join(f"coalesce({c}, '')" for c in _LINE)} || ' |' AS line FROM tiered JOIN tier_order o USING (tier)"""
 
 #: Formations from the last seven pivots: name, test, upward, confirmation level, invalidation level.
 _FORMATIONS = (
@@ -151,6 +166,8 @@ SHORTLIST = """w0 AS (SELECT symbol, close, ema_200, [{'w': 60, 'high': max(high
  FROM ind WINDOW o AS (PARTITION BY symbol ORDER BY idx) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1),
 sl AS (SELECT CAST(t.w AS BIGINT) AS w, symbol FROM (SELECT symbol, close, ema_200, unnest(tops) AS t FROM w0) WHERE (t.high - close) / t.high * 100 >= 3 AND close > ema_200)"""
 OVERLAP = """SELECT a.w AS w_a, b.w AS w_b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS overlap FROM (SELECT w, list(symbol) AS s FROM sl GROUP BY w) a JOIN (SELECT w, list(symbol) AS s FROM sl GROUP BY w) b ON a.w < b.w"""
+CALIBRATED = f"""SELECT CASE WHEN overlap >= 0.5 THEN 'stable' ELSE 'sensitive' END AS mode, round(overlap + 1e-7, 4) AS overlap, CASE WHEN overlap >= 0.5 THEN '120' ELSE '60,120,240' END AS W_used,
+ coalesce((SELECT string_agg(DISTINCT symbol, ',' ORDER BY symbol) FROM sl WHERE overlap < 0.5 OR w = 120), '') AS shortlist FROM (SELECT coalesce(avg(overlap), 0.0) AS overlap FROM ({OVERLAP}))"""
 
 _LISTS = {"shape": ("open", "high", "low", "close", "ema_20"), "vol": ("rv", "va", "flow"), "candle": ("body", "up", "down", "span"), "mom": ("rsi_14", "roc_20"), "strength": ("adx_14", "plus_di_14", "minus_di_14"), "yearly": ("distance_from_365d_high_percent",)}
 _CALLS = {name: "flatten([" + ", ".join(f"list({c}) OVER v" for c in columns) + "])" for name, columns in _LISTS.items()}
