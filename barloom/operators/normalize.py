@@ -33,7 +33,12 @@ def require_columns(df: DataFrame, needed=OHLCV) -> None:
 
 
 def _empty(c: str) -> Column:
-    return F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    return F.col(c).isNull() | F.isnan(_as_number(c))
+
+
+def _as_number(c: str) -> Column:
+    """The value as a number; what cannot be read is null and, where something was given, an error of the symbol."""
+    return F.col(c).try_cast("double")
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
@@ -60,16 +65,18 @@ def normalize(raw: DataFrame, name: str, now: Column, sequence: str = "seq") ->
     require_columns(raw)
     rows = drop_empty(raw)
     partly = reduce(lambda x, y: x | y, [_empty(c) for c in OHLCV])
-    fraction = F.coalesce(F.col("volume").cast("double") % 1 != 0, F.lit(False))
+    unread = reduce(lambda x, y: x | y, [F.col(c).isNotNull() & _as_number(c).isNull() for c in OHLCV])
+    infinite = reduce(lambda x, y: x | y, [F.coalesce(F.abs(_as_number(c)) == float("inf"), F.lit(False)) for c in OHLCV])
+    fraction = F.coalesce(_as_number("volume") % 1 != 0, F.lit(False))
     whole = Window.partitionBy("symbol")
-    rows = rows.withColumns({"__partly": F.max(partly).over(whole), "__fraction": F.max(fraction & ~_empty("volume")).over(whole), "__done": is_complete(name, F.col("ts"), now)})
+    rows = rows.withColumns({"__unread": F.max(unread).over(whole), "__infinite": F.max(infinite).over(whole), "__partly": F.max(partly).over(whole), "__fraction": F.max(fraction & ~_empty("volume")).over(whole), "__done": is_complete(name, F.col("ts"), now)})
     rows = rows.withColumn("__any", F.max("__done").over(whole))
     error = (
-        F.when(F.col("__partly"), "candles are partially missing").when(F.col("__fraction"), "volume is not integral").when(~F.col("__any"), "no completed rows")
+        F.when(F.col("__unread"), "a value is not a number").when(F.col("__infinite"), "prices contain non-finite values").when(F.col("__partly"), "candles are partially missing").when(F.col("__fraction"), "volume is not integral").when(~F.col("__any"), "no completed rows")
     )
     rows = rows.withColumn("error", error)
     seen = rows.groupBy("symbol").agg(F.min("error").alias("error"))
     absent = raw.select("symbol").distinct().join(seen, "symbol", "left_anti").withColumn("error", F.lit("no candles"))
     rejected = seen.where("error IS NOT NULL").unionByName(absent)
     good = keep_last(rows.where(F.col("error").isNull() & F.col("__done")), ("symbol", "ts"), sequence)
-    return good.select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in OHLCV[:4]], F.col("volume").cast("double").cast("bigint").alias("volume")), rejected
+    return good.select("symbol", "ts", *[_as_number(c).alias(c) for c in OHLCV[:4]], _as_number("volume").cast("bigint").alias("volume")), rejected

@@ -22,10 +22,11 @@ def stores(spark: SparkSession, root: str, interval: str) -> tuple[Store, Store]
 
 
 def refresh_indicators(prices: Store, indicators: Store, symbols: list[str]) -> DataFrame:
-    """``symbol, changed``: recompute symbols whose prices differ from those their indicators came from;
-    symbols without a year of history lose stale output."""
+    """``symbol, changed, error``: recompute symbols whose prices differ from those their indicators came from;
+    symbols without a year of history lose stale output. If the table as a whole is refused, the symbols are tried one by
+    one, and those that are refused come back with their error and keep what is stored."""
     spark = prices.spark
-    empty = spark.createDataFrame([], "symbol string, changed boolean")
+    empty = spark.createDataFrame([], "symbol string, changed boolean, error string")
     bars = prices.read(symbols)
     if bars is None:
         return empty
@@ -33,11 +34,24 @@ def refresh_indicators(prices: Store, indicators: Store, symbols: list[str]) ->
     stale = [r.symbol for r in changed_symbols(marks, indicators.state()).where("changed").collect()]
     if not stale:
         return empty
-    table = indicator_table(bars.where(F.col("symbol").isin(stale)))
-    done = indicators.replace(table, marks.where(F.col("symbol").isin(stale)))
-    short = sorted(set(stale) - {r.symbol for r in done.select("symbol").collect()})
+    table, failed = indicator_table(bars.where(F.col("symbol").isin(stale))), []
+
+    def replace(names: list[str]) -> list[tuple]:
+        one = F.col("symbol").isin(names)
+        return [(r.symbol, r.changed) for r in indicators.replace(table.where(one), marks.where(one)).collect()]
+
+    try:
+        done = replace(stale)
+    except ValueError:
+        done = []
+        for name in stale:
+            try:
+                done += replace([name])
+            except ValueError as e:
+                failed.append((name, None, str(e)))
+    short = sorted(set(stale) - {n for n, _ in done} - {n for n, _, _ in failed})
     removed = indicators.remove(short)
-    return done.select("symbol", "changed").union(spark.createDataFrame([(s, s in removed) for s in short], "symbol string, changed boolean"))
+    return spark.createDataFrame([(n, c, None) for n, c in done] + [(n, n in removed, None) for n in short] + failed, "symbol string, changed boolean, error string")
 
 
 def update(spark: SparkSession, root: str, interval: str, raw: DataFrame, requested: DataFrame, now: datetime) -> DataFrame:
@@ -52,13 +66,13 @@ def update(spark: SparkSession, root: str, interval: str, raw: DataFrame, reques
     good, rejected = normalize(rows, interval, F.lit(local))
     if errors is not None:
         rejected = rejected.unionByName(errors)
-    written = prices.replace(good)
+    written = prices.replace(good)  # all that is refused for one symbol alone is in ``rejected`` by now
     fresh = refresh_indicators(prices, indicators, [r.symbol for r in written.select("symbol").collect()])
     downloaded = rows.groupBy("symbol").agg(F.count("*").alias("downloaded_rows"))
     absent = requested.join(raw.select("symbol").distinct(), "symbol", "left_anti").select("symbol", F.lit("no data").alias("error"))
-    bad = rejected.unionByName(absent).groupBy("symbol").agg(F.min("error").alias("error"))
+    bad = rejected.unionByName(absent).unionByName(fresh.where("error IS NOT NULL").select("symbol", "error")).groupBy("symbol").agg(F.min("error").alias("error"))
     w = written.select("symbol", F.col("changed").alias("wrote"), F.col("n_rows").alias("stored_rows"))
-    out = requested.join(bad, "symbol", "left").join(w, "symbol", "left").join(fresh.withColumnRenamed("changed", "refreshed"), "symbol", "left").join(downloaded, "symbol", "left")
+    out = requested.join(bad, "symbol", "left").join(w, "symbol", "left").join(fresh.select("symbol", F.col("changed").alias("refreshed")), "symbol", "left").join(downloaded, "symbol", "left")
     moved = F.coalesce("wrote", F.lit(False)) | F.coalesce("refreshed", F.lit(False))
     status = F.when(F.col("error").isNotNull(), FAILED).when(moved, SUCCESS).otherwise(UNCHANGED)
     return out.select("symbol", status.alias("status"), F.coalesce("downloaded_rows", F.lit(0)).alias("downloaded_rows"), F.coalesce("stored_rows", F.lit(0)).alias("stored_rows"), "error", "ord").orderBy("ord").drop("ord")

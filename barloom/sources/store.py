@@ -1,9 +1,11 @@
 """Partitioned Parquet stores of prices and indicators, with change detection and safe replacement.
 
-Layout: ``<root>/<kind>/v=<n>/interval=../symbol=..`` with a pointer file that names the current version. A
-publish writes the changed symbols to a new version folder, reads them back, validates and then moves the
-pointer, so readers see the old or the new state; unchanged symbols keep pointing at the version that holds
-them. Fingerprints and row counts are rows of the pointer table.
+Layout: ``<root>/<kind>/<interval>/v=<id>/part=../*.parquet`` with numbered pointer files that name, for each symbol, the
+version that holds it. The symbol is a column of the data and never read back from a folder name; folders are
+hash parts of the symbols, so that a read scans only those of the symbols asked for. A publish writes the
+changed symbols to a new version folder, reads them back, validates and then renames a pointer file to the next
+number, which fails if another writer was first; it then reads the newer pointer and tries again, so readers see the old
+or the new state and no writer's symbols are lost. Versions that no symbol points at are removed after a publish.
 """
 
 from __future__ import annotations
@@ -44,6 +46,20 @@ def changed_symbols(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(o, "symbol", "left").select("symbol", (~F.col("source_fingerprint").eqNullSafe(F.col("__old"))).alias("changed"))
 
 
+class Conflict(RuntimeError):
+    """Another writer published first, again and again."""
+
+
+#: Folders of a version, by hash of the symbol.
+PARTS = 64
+#: Pointer files that stay, so that a reader that has just listed them still finds its own.
+KEPT_POINTERS = 10
+
+
+def _part(symbol) -> F.Column:
+    return F.pmod(F.xxhash64(symbol), F.lit(PARTS)).cast("int")
+
+
 class Store:
     """One kind of data (``prices`` or ``indicators``) of one interval."""
 
@@ -57,10 +73,16 @@ class Store:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
 
-    def _pointer(self) -> dict[str, dict]:
-        if not self._fs.exists(self._path("current.json")):
+    def _pointers(self) -> list[int]:
+        folder = self._path("pointers")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n))
+
+    def _pointer(self, number: int | None = None) -> dict[str, dict]:
+        number = max(self._pointers(), default=0) if number is None else number
+        if not number:
             return {}
-        stream = self._fs.open(self._path("current.json"))
+        stream = self._fs.open(self._path(f"pointers/{number:010d}.json"))
         try:
             state = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         except ValueError as e:
@@ -72,16 +94,50 @@ class Store:
                 raise StoreError("store metadata does not match")
         return state
 
-    def _publish(self, state: dict[str, dict]) -> None:
-        temp = self._path(f".{uuid.uuid4().hex}")
+    def _try_publish(self, number: int, state: dict[str, dict]) -> bool:
+        """Whether the state became pointer ``number``; False if that was taken. What was staged is read back first."""
+        temp, final = self._path(f"pointers/.{uuid.uuid4().hex}"), self._path(f"pointers/{number:010d}.json")
+        text = json.dumps(state, sort_keys=True)
         out = self._fs.create(temp, False)
-        out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
+        stream = self._fs.open(temp)
+        staged = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if staged != text:
+            raise StoreError("staged metadata does not match")
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(temp, self._path("current.json"), options)
+        options[0] = rename.NONE
+        try:
+            context.rename(temp, final, options)
+        except Exception:
+            self._fs.delete(temp, False)
+            if not self._fs.exists(final):
+                raise
+            return False
+        return True
+
+    def _publish(self, change, tries: int = 20) -> dict[str, dict]:
+        """``change`` turns the current state into the next one; it is asked again if another writer was first."""
+        for _ in range(tries):
+            number = max(self._pointers(), default=0)
+            state = change(self._pointer(number))
+            if self._try_publish(number + 1, state):
+                self._clean(state, number + 1)
+                return state
+        raise Conflict(f"no pointer was free in {tries} tries")
+
+    def _clean(self, state: dict[str, dict], number: int) -> None:
+        """Remove old pointers, and versions that the pointer before last named and neither of the two newest names."""
+        held = {e["version"] for n in (number - 1, number) if n in self._pointers() for e in self._pointer(n).values()}
+        if number - 2 in self._pointers():
+            for version in {e["version"] for e in self._pointer(number - 2).values()} - held:
+                self._fs.delete(self._path(f"v={version}"), True)
+        for n in self._pointers():
+            if n <= number - KEPT_POINTERS:
+                self._fs.delete(self._path(f"pointers/{n:010d}.json"), False)
 
     def state(self) -> DataFrame:
         """``symbol, source_fingerprint`` of what is stored."""
@@ -96,13 +152,16 @@ class Store:
         if not wanted:
             return None
         versions: dict[str, list[str]] = {}
-        for s, e in wanted.items():
-            versions.setdefault(e["version"], []).append(s)
-        out = None
-        for v, names in sorted(versions.items()):
-            part = self.spark.read.parquet(f"{self.base}/v={v}").where(F.col("symbol").isin(names)).withColumn("symbol", F.col("symbol").cast("string"))
-            out = part if out is None else out.unionByName(part)
-        out = out.select("symbol", *[c for c in out.columns if c != "symbol"])
+        for name, e in wanted.items():
+            versions.setdefault(e["version"], []).append(name)
+        # one scan, whatever the number of versions: each symbol counts only in the version that it points at
+        schema = self.spark.read.parquet(f"{self.base}/v={next(iter(versions))}").schema
+        source = self.spark.read.schema(schema).option("basePath", self.base).parquet(*[f"{self.base}/v={v}" for v in sorted(versions)])
+        named = self.spark.createDataFrame([(v, n) for v, names in versions.items() for n in names], "__version string, symbol string")
+        version = F.regexp_extract(F.col("_metadata.file_path"), r"/v=([0-9a-f]+)/", 1)
+        parts = sorted({r[0] for r in named.select(_part("symbol")).distinct().collect()}) if symbols is not None else range(PARTS)
+        out = source.where(F.col("part").isin(*parts)).withColumn("__version", version).join(F.broadcast(named), ["__version", "symbol"])
+        out = out.select("symbol", *[f.name for f in schema.fields if f.name not in ("symbol", "part", "v")])
         if start is not None:
             out = out.where(F.col("ts") >= F.lit(start))
         if end is not None:
@@ -116,30 +175,28 @@ class Store:
         fresh = marks.select("symbol", "source_fingerprint").join(df.groupBy("symbol").agg(F.count("*").alias("n_rows")), "symbol")
         result = fresh.join(changed_symbols(fresh, self.state()), "symbol").collect()  # one row per symbol
         todo = [r.symbol for r in result if r.changed]
-        for s in todo:
-            check_symbol(s)
+        for name in todo:
+            check_symbol(name)
         if todo:
             version = uuid.uuid4().hex
-            df.where(F.col("symbol").isin(todo)).repartition("symbol").sortWithinPartitions("symbol", "ts").write.partitionBy("symbol").parquet(f"{self.base}/v={version}")
-            staged = self.spark.read.parquet(f"{self.base}/v={version}").withColumn("symbol", F.col("symbol").cast("string"))
-            staged = staged.select("symbol", *[c for c in staged.columns if c != "symbol"])
+            changed = self.spark.createDataFrame([(n,) for n in todo], "symbol string")
+            staged = df.join(F.broadcast(changed), "symbol", "left_semi").select(*df.columns).withColumn("part", _part("symbol"))
+            staged.repartition("symbol").sortWithinPartitions("part", "symbol", "ts").write.partitionBy("part").parquet(f"{self.base}/v={version}")
             try:
                 if self.validate:
-                    self.validate(staged)
+                    self.validate(self.spark.read.parquet(f"{self.base}/v={version}").select(*df.columns))
             except ValueError:
                 self._fs.delete(self._path(f"v={version}"), True)
                 raise
-            state = self._pointer()
-            state |= {r.symbol: {"version": version, "source_fingerprint": r.source_fingerprint, "rows": r.n_rows} for r in result if r.changed}
-            self._publish(state)
+            entries = {r.symbol: {"version": version, "source_fingerprint": r.source_fingerprint, "rows": r.n_rows} for r in result if r.changed}
+            self._publish(lambda state: state | entries)
         return self.spark.createDataFrame([(r.symbol, r.changed, r.n_rows) for r in result], "symbol string, changed boolean, n_rows long")
 
     def remove(self, symbols: list[str]) -> list[str]:
         """Forget the symbols; those that were stored."""
-        state = self._pointer()
-        gone = sorted(set(symbols) & set(state))
+        gone = sorted(set(symbols) & set(self._pointer()))
         if gone:
-            self._publish({s: e for s, e in state.items() if s not in gone})
+            self._publish(lambda state: {n: e for n, e in state.items() if n not in gone})
         return gone
 
 

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar
-from barloom.operators import normalize, pullback, similarity, structure, windows
-from barloom.plans.update import report, stores, update
+from barloom.operators import normalize, pullback, screen, similarity, structure, windows
+from barloom.plans.update import refresh_indicators, report, stores, update
 from barloom.sources import config, vendor
 from barloom.sources.store import StoreError, check_symbol, require_native
 from barloom.streaming.bars import stream_bars
@@ -112,8 +112,8 @@ def test_validate_request():
 
 
 def test_tier_order(spark):
-    base = {"now_off_high": 5.0, "live_low_dip": 6.0, "live_low": 90.0, "floor_price": 80.0, "band_lo": 4.0, "band_hi": 8.0, "success_rate": 0.6, "turn_confirmed": True, "recovery": "fast"}
-    cases = [({}, "BUY"), ({"recovery": "slow"}, "PATIENT"), ({"success_rate": 0.4}, "SPEC"), ({"turn_confirmed": False}, "WAIT"), ({"now_off_high": 1.0}, "WATCH"), ({"live_low": 70.0}, "CAUTION"), ({"live_low_dip": 20.0}, "AVOID")]
+    base = {"now_off_high": 5.0, "live_low_dip": 6.0, "live_low": 90.0, "floor_price": 80.0, "band_lo": 4.0, "band_hi": 8.0, "bounce_base": 0.6, "turn_confirmed": True, "recovery": "fast"}
+    cases = [({}, "BUY"), ({"recovery": "slow"}, "PATIENT"), ({"bounce_base": 0.4}, "SPEC"), ({"turn_confirmed": False}, "WAIT"), ({"now_off_high": 1.0}, "WATCH"), ({"live_low": 70.0}, "CAUTION"), ({"live_low_dip": 20.0}, "AVOID")]
     df = spark.createDataFrame([base | c for c, _ in cases])
     assert [r.tier for r in pullback.tier(df).collect()] == [t for _, t in cases]
 
@@ -179,3 +179,96 @@ def test_streaming_bars(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.open, r.close, r.volume) for r in spark.table("bars").orderBy("ts").collect()] == [(1.0, 59.0, 3), (61.0, 61.0, 1)]
+
+
+def test_symbols_stay_text_and_one_bad_price_fails_alone(spark, tmp_path):
+    names = ("0050", "1E5", "INF.NS", "WORD.NS", "TCS.NS")
+    raw = spark.createDataFrame([(s, t, o, h, l, c, float(v), i) for s in names for i, (_, t, o, h, l, c, v) in enumerate(history(400))], RAW)
+    raw = raw.withColumn("high", F.when((F.col("symbol") == "INF.NS") & (F.col("seq") == 7), float("inf")).otherwise(F.col("high")))
+    raw = raw.withColumn("close", F.when((F.col("symbol") == "WORD.NS") & (F.col("seq") == 7), "n/a").otherwise(F.col("close").cast("string")))
+    asked = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "symbol string, ord long")
+    out = update(spark, str(tmp_path), "1d", raw, asked, datetime(2026, 6, 8, 16, 30, tzinfo=UTC)).collect()
+    assert [(r.symbol, r.status) for r in out] == [("0050", "success"), ("1E5", "success"), ("INF.NS", "failed"), ("WORD.NS", "failed"), ("TCS.NS", "success")]
+    assert "non-finite" in out[2].error and "not a number" in out[3].error
+    prices, indicators = stores(spark, str(tmp_path), "1d")
+    assert {r.symbol for r in prices.read().select("symbol").distinct().collect()} == {"0050", "1E5", "TCS.NS"}
+    assert prices.read(["0050"]).count() == 400 and indicators.read(["0050", "none"]).count() == 35 and prices.read(["INF.NS"]) is None
+    assert "PartitionFilters: [" in prices.read(["0050"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refused_indicators_fail_alone(spark, tmp_path):
+    raw = spark.createDataFrame([(s, t, o, h, l, c, float(v), i) for s in ("A", "B") for i, (_, t, o, h, l, c, v) in enumerate(history(400))], RAW)
+    asked = spark.createDataFrame([("A", 0), ("B", 1)], "symbol string, ord long")
+    prices, indicators = stores(spark, str(tmp_path), "1d")
+
+    def refuse(df):
+        if not df.where("symbol = 'B'").isEmpty():
+            raise ValueError("B is refused")
+
+    prices.replace(normalize.normalize(raw, "1d", F.lit(datetime(2026, 6, 8, 16, 30)))[0])
+    indicators.validate = refuse
+    got = {r.symbol: (r.changed, r.error) for r in refresh_indicators(prices, indicators, ["A", "B"]).collect()}
+    assert got == {"A": (True, None), "B": (None, "B is refused")} and indicators.read(["B"]) is None
+
+
+def test_store_with_two_writers(spark, tmp_path):
+    bars = spark.createDataFrame([(s, t, o, h, l, c, v) for s in "ABC" for _, t, o, h, l, c, v in history(5)], SCHEMA)
+    one, other = (stores(spark, str(tmp_path), "1d")[0] for _ in range(2))
+    one.replace(bars.where("symbol = 'A'"))
+    publish, raced = one._try_publish, []
+
+    def late(number, state):
+        if not raced:  # the other writer is first
+            raced.append(other.replace(bars.where("symbol = 'B'")))
+        return publish(number, state)
+
+    one._try_publish = late
+    one.replace(bars.where("symbol = 'C'"))
+    assert sorted(r.symbol for r in other.read().select("symbol").distinct().collect()) == ["A", "B", "C"]
+    folder = tmp_path / "prices" / "1d"
+    for k in range(4):  # what nothing points at goes
+        one.replace(bars.withColumn("close", F.col("close") + k + 1))
+    assert len([p for p in folder.iterdir() if p.name.startswith("v=")]) <= 2 and one.read().count() == 15
+    assert one.remove(["A", "Z"]) == ["A"] and one.read(["A"]) is None
+
+
+def test_live_turn_by_hand(spark):
+    """A dip to 90 under a high of 110; the last bar has a true range of 4, the bar of the dip one of 8."""
+    at = lambda i: datetime(2026, 1, 1) + timedelta(hours=i)
+
+    def state(close, lift, reclaim, ema=97.0, atr=4.0, dip_ema=95.0, trigger=True):
+        emas = {f"ema_{n}": 90.0 for n in (10, 20, 50, 100, 200)}
+        bars = [{"symbol": "S", "idx": i, "ts": at(i), "open": 100.0, "high": 110.0 if i == 20 else 101.0, "low": 90.0 if i == 25 else 99.0, "close": 100.0, "atr_14": 8.0, **emas, "ema_20": dip_ema} for i in range(30)]
+        bars[29] |= {"close": close, "atr_14": atr, "ema_20": ema, "ema_50": 92.0}
+        zz = [("S", 1, 10, at(10), "L", 85.0), ("S", 2, 20, at(20), "H", 110.0)]
+        bars = spark.createDataFrame(bars, ", ".join(f"{k} {'string' if k == 'symbol' else 'long' if k == 'idx' else 'timestamp' if k == 'ts' else 'double'}" for k in bars[0]))
+        zz = spark.createDataFrame(zz, "symbol string, run long, idx long, ts timestamp, kind string, price double")
+        sig = spark.createDataFrame([("S", 3, 5.0, 15.0, 0.6, "low")], "symbol string, n_events long, band_lo double, band_hi double, success_rate double, confidence string")
+        learned = spark.createDataFrame([("S", 9, lift, reclaim, 3.0)], "symbol string, n_winners long, lift double, reclaim string, lag double")
+        return pullback.current_state(bars, zz, sig, learned if trigger else None).first()
+
+    both = state(98.0, 2.0, "ema_20")  # (98 - 90) / 4 = 2, and back above 97 after 90 < 95
+    assert both.turn_confirmed and both.turn_path == ["lift", "reclaim"] and both.cur_lift == 2.0 and both.state == "buy-the-dip-turned"  # though few events are known
+    assert (both.trigger_lift_price, both.trigger_ema_price, both.buy_trigger_price) == (98.0, 97.0, None)
+    shy = state(96.0, 2.0, "ema_20")
+    assert shy.turn_confirmed is False and shy.turn_path == [] and shy.buy_trigger_price == 97.0 and shy.state == "wait-not-turned"
+    unbroken = state(98.0, 3.0, "ema_20", dip_ema=89.0)  # the low never broke the average, whose price is quoted all the same
+    assert unbroken.turn_confirmed is False and unbroken.broke_ema is False and unbroken.buy_trigger_price == 97.0
+    assert state(96.0, 2.0, "none").buy_trigger_price == 98.0
+    for unknown in (state(98.0, None, None), state(98.0, 2.0, "ema_20", atr=0.0), state(98.0, 2.0, "ema_20", atr=None)):
+        assert unknown.turn_confirmed is None and unknown.state == "buyable-dip-now/turn-unconfirmable" and unknown.buy_trigger_price is None
+    assert state(98.0, 2.0, "ema_20", trigger=False).state == "buyable-dip-now" and both.near_term_invalidation == 90.0 and both.floor_price == 85.0
+    assert state(108.0, 2.0, "none").state == "pullback-coming/wait" and state(91.0, 2.0, "none").state == "no-match"
+
+
+def test_report(spark):
+    base = {"symbol": "T", "tier": "BUY", "ts": datetime(2026, 6, 17, 15, 15), "close": 100.0, "n_events": 30, "band_lo": 2.64, "band_hi": 4.5, "now_off_high": 3.9, "live_low_dip": 5.0, "bounce_base": 0.5556, "bounce_learned": 0.7, "delta": 0.1444, "horizon_bars": 28, "clamped": False, "learned": True}
+    base |= {"recovery": "medium", "turn_confirmed": True, "turn_path": ["lift", "reclaim"], "buy_trigger_price": None, "vol_fade_ratio": 0.9, "fading": True, "live_high": 108.6, "live_low": 99.0, "floor_price": 95.0, "near_term_invalidation": 99.0}
+    rows = [base, base | {"symbol": "W", "tier": "WAIT", "turn_confirmed": False, "turn_path": [], "buy_trigger_price": 102.5, "clamped": True, "delta": -0.02}, base | {"symbol": "A", "bounce_base": 0.5}, base | {"symbol": "B", "recovery": "slow"}]
+    types = {"symbol": "string", "tier": "string", "ts": "timestamp", "n_events": "long", "horizon_bars": "int", "recovery": "string", "turn_path": "array<string>", **{c: "boolean" for c in ("clamped", "learned", "turn_confirmed", "fading")}}
+    df = spark.createDataFrame(rows, ", ".join(f"{k} {types.get(k, 'double')}" for k in base))
+    text = screen.markdown(df, "Pullback Screen")
+    table = [x for x in text.split("\n") if x.startswith("| ")]
+    assert text.split("\n")[2] == "3 BUY · 1 WAIT — 4 analyzed" and [x.split(" | ")[0] for x in table] == ["| Symbol", "| T", "| B", "| A", "| W"]
+    assert table[1] == "| T | BUY | 30 | 2.6–4.5 | 3.9 | 5.0 | 0.556 | 0.7 (+0.144) | 28≈4.0d | medium | ✓(lift,reclaim) | 0.9✓ | 108.6 (8.6%) | 99.0 (-1.0%) | 95.0 (-5.0%) | 2026-06-17 15:15 |"
+    assert "| — ₹102.5 |" in table[4] and "28≈4.0d!" in table[4] and "(-0.02)" in table[4] and "turned via lift,reclaim; wrong below ₹99.0" in text
