@@ -1,23 +1,32 @@
-"""Command line: ``python -m barloom.cli --config FILE update-all | update-symbol SYMBOL --raw PATH``.
+"""Command line: updates of the stores, and questions about them answered as JSON.
 
-Raw rows come from a landing folder of Parquet files. Exit codes: 0 done, 1 a symbol failed, 2 bad input.
+``update-all`` and ``update-symbol SYMBOL`` read raw rows from a landing folder of Parquet files (``--raw``) or from the
+vendor through a transport function (``--fetch module:function``). ``structure``, ``similar`` and ``lookup`` print one JSON
+document on standard output. Exit codes: 0 done, 1 a symbol failed, 2 bad input.
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import sys
 import time
 from datetime import UTC, datetime
 from pathlib import Path
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.plans.update import report, update
-from barloom.sources.config import load_config, read_symbols
-from barloom.sources.store import check_symbol
+from barloom.functions.calendar import ZONE
+from barloom.functions.indicators import with_indicators
+from barloom.operators import pullback, similarity, structure
+from barloom.plans.update import report, stores, update
+from barloom.sources.bars import resample
+from barloom.sources.config import Config, load_config, read_symbols
+from barloom.sources.store import StoreError, check_symbol, prices_with_indicators
+from barloom.sources.vendor import read_vendor
 
 
 def setup_logging(folder: Path, now: datetime) -> logging.Logger:
@@ -33,28 +42,101 @@ def setup_logging(folder: Path, now: datetime) -> logging.Logger:
     return log
 
 
+def _plain(value):
+    return value.isoformat() if isinstance(value, datetime) else value
+
+
+def _bars(spark: SparkSession, config: Config, request: structure.AnalysisRequest) -> tuple[DataFrame, str]:
+    """Bars of the request and the interval that they are stored in; longer ones are resampled from daily bars."""
+    units = {"1wk": "week", "1mo": "month", "3mo": "quarter"}
+    source = "1d" if request.interval in units and config.interval == "1d" else request.interval
+    found = stores(spark, str(config.data_dir), source)[0].read([request.symbol])
+    if found is None:
+        raise StoreError(f"no prices of {request.symbol} are stored in {source}")
+    return structure.select_window(resample(found, units[request.interval]) if source != request.interval else found, request), source
+
+
+def ask_structure(spark: SparkSession, config: Config, request: structure.AnalysisRequest) -> dict:
+    found, source = _bars(spark, config, request)
+    bars = with_indicators(found)
+    k = pullback.choppiness(bars).first()
+    zz = pullback.zigzag(pullback.fractal_pivots(bars, k.k if k else 6))
+    docs = structure.analyze_frame(bars, zz, structure.metadata(request, source), request.historical)
+    if not docs:
+        raise structure.StructureError("too few pivots in this window")
+    return docs[0]
+
+
+def ask_similar(spark: SparkSession, config: Config, symbol: str) -> dict:
+    request = structure.AnalysisRequest(similarity.validate_symbol(symbol), config.interval)
+    found, source = _bars(spark, config, request)
+    rows = similarity.matches(with_indicators(found)).orderBy("position").collect()
+    meta = structure.metadata(request, source) | {"window": similarity.WINDOW, "max_matches": similarity.MAX_MATCHES, "future_periods": list(similarity.FUTURE_PERIODS)}
+    return {"data": meta, "matches": [{k: _plain(v) for k, v in r.asDict().items() if k != "symbol"} for r in rows]}
+
+
+def ask_lookup(spark: SparkSession, config: Config, symbol: str, rows: int) -> dict:
+    """The last rows of prices with their indicators."""
+    prices, indicators = (s.read([check_symbol(symbol)]) for s in stores(spark, str(config.data_dir), config.interval))
+    if prices is None or indicators is None:
+        raise StoreError(f"nothing is stored of {symbol}")
+    last = prices_with_indicators(prices, indicators).orderBy(F.desc("ts")).limit(rows).collect()
+    return {"data": {"symbol": symbol, "requested_interval": config.interval}, "rows": [{k: _plain(v) for k, v in r.asDict().items()} for r in reversed(last)]}
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="barloom")
     parser.add_argument("--config", required=True)
-    parser.add_argument("--raw", required=True)
+    parser.add_argument("--raw")
+    parser.add_argument("--fetch")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("update-all")
     commands.add_parser("update-symbol").add_argument("symbol")
+    asked = commands.add_parser("structure")
+    asked.add_argument("--symbol", required=True)
+    asked.add_argument("--interval")
+    asked.add_argument("--periods", type=int)
+    asked.add_argument("--start", type=datetime.fromisoformat)
+    asked.add_argument("--end", type=datetime.fromisoformat)
+    asked.add_argument("--historical", action="store_true")
+    commands.add_parser("similar").add_argument("--symbol", required=True)
+    asked = commands.add_parser("lookup")
+    asked.add_argument("--symbol", required=True)
+    asked.add_argument("--rows", type=int, default=1)
     args = parser.parse_args(argv)
     began = time.monotonic()
     try:
         config = load_config(args.config)
         log = setup_logging(config.data_dir / "logs", datetime.now(UTC))
         spark = spark or SparkSession.builder.appName("barloom").getOrCreate()
+        if args.command in ("structure", "similar", "lookup"):
+            if args.command == "structure":
+                request = structure.validate_request(args.symbol, args.interval or config.interval, args.start, args.end, args.periods, args.historical)
+                answer = ask_structure(spark, config, request)
+            else:
+                answer = ask_similar(spark, config, args.symbol) if args.command == "similar" else ask_lookup(spark, config, args.symbol, args.rows)
+            print(json.dumps(answer, ensure_ascii=False))
+            return 0
         if args.command == "update-all":
             wanted = read_symbols(spark, str(config.symbols_file))
         else:
             wanted = spark.createDataFrame([(check_symbol(args.symbol.strip()), 0)], "symbol string, ord long")
-        raw = spark.read.parquet(args.raw).join(wanted.select("symbol"), "symbol", "left_semi").where(F.col("ts") >= F.lit(config.start_date))
+        now = datetime.now(UTC)
+        first, last = config.window(now.astimezone(ZoneInfo(ZONE)).replace(tzinfo=None))
+        if args.fetch:
+            names = [r.symbol for r in wanted.orderBy("ord").collect()]  # a list of symbols
+            raw = read_vendor(spark, args.fetch, names, first, last, config.interval, config.batch_size, config.timeout, config.threads)
+            raw = raw.withColumn("seq", F.monotonically_increasing_id())
+        elif args.raw:
+            raw = spark.read.parquet(args.raw).join(wanted.select("symbol"), "symbol", "left_semi")
+        else:
+            raise ValueError("--raw or --fetch is required")
+        in_window = (F.col("ts") >= F.lit(first)) & (F.col("ts") < F.date_add(F.lit(last), 1))
+        raw = raw.where(F.col("ts").isNull() | in_window)  # an error has no time
     except (OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
-    text, code = report(update(spark, str(config.data_dir), config.interval, raw, wanted, datetime.now(UTC)).cache())
+    text, code = report(update(spark, str(config.data_dir), config.interval, raw, wanted, now, config.enabled).cache())
     print(text)
     log.info("Command completed duration_seconds=%.3f", time.monotonic() - began)
     return code

@@ -6,7 +6,7 @@ Column arguments are local (exchange) wall-clock times without zone; ``to_local`
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,6 +78,11 @@ def latest_completed_date(now: Column) -> Column:
     return F.when(F.hour(now) >= CLOSE_HOUR, F.to_date(now)).otherwise(F.date_sub(F.to_date(now), 1))
 
 
+def latest_completed_day(now: datetime) -> date:
+    """The same for one local time on the driver."""
+    return now.date() if now.hour >= CLOSE_HOUR else now.date() - timedelta(days=1)
+
+
 def require_aware(now: datetime) -> datetime:
     if now.tzinfo is None:
         raise ValueError("a time zone is required")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.indicators import INDICATOR_COLUMNS, NULLABLE
@@ -44,6 +44,25 @@ def _check(df: DataFrame, strict: tuple[str, ...], what: str, one_symbol: str |
         raise ValidationError(f"{what} contains duplicate timestamps")
 
 
+def unsorted_symbols(df: DataFrame, sequence: str = "seq") -> DataFrame:
+    """``symbol`` of those whose rows do not ascend in time by ``sequence``. Rows of a table have no order of their own, so
+    one that counts must be a column."""
+    back = F.col("ts") < F.lag("ts").over(Window.partitionBy("symbol").orderBy(sequence))
+    return df.withColumn("__back", back).where("__back").select("symbol").distinct()
+
+
+def validate_sorted(df: DataFrame, what: str, sequence: str = "seq") -> None:
+    if not unsorted_symbols(df, sequence).isEmpty():
+        raise ValidationError(f"{what} is not sorted by timestamp")
+
+
+def validate_indicator_input(df: DataFrame, symbol: str | None = None, sequence: str | None = None) -> None:
+    """Prices of one symbol, in order where a ``sequence`` column tells it."""
+    validate_prices(df.drop(sequence) if sequence else df, symbol, single=True)
+    if sequence:
+        validate_sorted(df, "price data", sequence)
+
+
 def validate_prices(df: DataFrame, symbol: str | None = None, single: bool = False) -> None:
     if dict(df.dtypes) != PRICE_COLUMNS:
         raise ValidationError("price schema does not match")

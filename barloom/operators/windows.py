@@ -34,6 +34,25 @@ def greedy_windows(df: DataFrame, rank: str, start: str, end: str, most: int = 2
     return kept.select(group, (F.col("position") + 1).alias("position"), F.col("w.rank").alias(rank), F.col("w.s").alias(start), F.col("w.e").alias(end))
 
 
+def first_windows(df: DataFrame, start: str, end: str, group: str = "symbol") -> DataFrame:
+    """Windows in the order of their starts (ties: earlier end), skipping those that overlap the last one taken (bounds
+    inclusive). Only the last end counts, so the fold carries one value and its list, and the list is appended to once for
+    each window that is taken."""
+    kind = dict(df.dtypes)
+    names = [c for c in df.columns if c not in (group, start, end)]
+    row = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), *names)
+    items = F.array_sort(F.collect_list(row)).alias("items")
+    fields = f"s:{kind[start]},e:{kind[end]}" + "".join(f",{n}:{kind[n]}" for n in names)
+    zero = F.struct(F.lit(None).cast(kind[end]).alias("upto"), F.array().cast(f"array<struct<{fields}>>").alias("taken"))
+
+    def step(acc, x):
+        free = acc["upto"].isNull() | (x["s"] > acc["upto"])
+        return F.struct(F.when(free, x["e"]).otherwise(acc["upto"]).alias("upto"), F.when(free, F.array_append(acc["taken"], x)).otherwise(acc["taken"]).alias("taken"))
+
+    kept = df.groupBy(group).agg(items).select(group, F.posexplode(F.aggregate("items", zero, step, lambda acc: acc["taken"])).alias("position", "w"))
+    return kept.select(group, (F.col("position") + 1).alias("position"), F.col("w.s").alias(start), F.col("w.e").alias(end), *[F.col(f"w.{n}").alias(n) for n in names])
+
+
 def latest(df: DataFrame) -> DataFrame:
     """The last row of each symbol."""
     names = [c for c in df.columns if c != "symbol"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from datetime import date, datetime, timezone
+
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from barloom.functions import calendar
 from barloom.functions.indicators import EMA_LENGTHS, INDICATOR_COLUMNS, indicator_table, with_indicators
 from barloom.operators import normalize, pullback, screen, similarity, structure, validate, windows
 from barloom.plans import oracle as sql
+from barloom.plans import update
 from barloom.sources import bars, store, vendor
 from barloom.streaming.bars import stream_bars
 
@@ -125,14 +130,37 @@ query("rejected", f"SELECT DISTINCT event_type AS symbol, 'candles are partially
 query("validate_summary", f"SELECT symbol, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE close IS NULL) AS BIGINT) AS n_nulls, CAST(count(DISTINCT ts) AS BIGINT) AS n_keys FROM ({sql.DAILY}) GROUP BY symbol")(
     lambda s, d: validate.summary(bars.daily(s, d), tuple(validate.PRICE_COLUMNS), "symbol").select("symbol", "n_rows", "n_nulls", "n_keys")
 )
-query("anti_missing", "SELECT c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(
-    lambda s, d: vendor.missing_symbols(bars.table(s, d, "customer").select(F.col("c_custkey").alias("symbol")), bars.table(s, d, "orders").select(F.col("o_custkey").alias("symbol")))
-)
-query("request_chunks", "SELECT CAST(c_custkey // 50 AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1")(
-    lambda s, d: bars.table(s, d, "customer").groupBy(F.expr("c_custkey div 50").alias("chunk")).agg(F.count("*").alias("n"))
+query("anti_missing", "SELECT c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")(
+    lambda s, d: vendor.missing_symbols(bars.table(s, d, "customer").select(F.col("c_custkey").alias("symbol")), bars.table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("symbol")))
 )
 
 
+@query("request_chunks", "SELECT n_name AS symbol, CAST((row_number() OVER (ORDER BY n_name) - 1) // 10 AS BIGINT) AS chunk FROM nation")
+def _request_chunks(spark, sf_dir):
+    names = [r[0] for r in bars.table(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]  # 25 nations
+    return spark.createDataFrame([(n, i) for i, c in enumerate(vendor.chunks(names, 10)) for n in c], "symbol string, chunk long")
+
+
+def _fetch_bars(symbols, params):
+    """A transport that needs no network: closes count the letters, names with an R are not delivered, with a Z fail."""
+    if any("Z" in s for s in symbols):
+        raise OSError("refused")
+    return {s: [(datetime.fromisoformat(params["start"]), 1.0, 1.0, 1.0, float(len(s)), 1.0)] for s in symbols if "R" not in s}
+
+
+@query("vendor_batches", "SELECT n_name AS symbol, CASE WHEN n_name LIKE '%R%' THEN NULL ELSE CAST(length(n_name) AS DOUBLE) END AS close, CASE WHEN n_name LIKE '%Z%' THEN 'refused' WHEN n_name LIKE '%R%' THEN 'no data after individual retry' END AS error FROM nation")
+def _vendor_batches(spark, sf_dir):
+    """Each nation is a batch of its own, so that one that is refused does not take others along."""
+    names = [r[0] for r in bars.table(spark, sf_dir, "nation").select("n_name").collect()]
+    got = vendor.read_vendor(spark, "barloom.plans.catalog:_fetch_bars", names, date(2024, 1, 1), date(2024, 1, 5), batch_size=1)
+    return got.select("symbol", "close", "error")
+
+
+@query("content_hash", f"SELECT symbol, sha256(string_agg(sha256(strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || CAST(volume AS VARCHAR)), '' ORDER BY ts)) AS source_fingerprint, CAST(count(*) AS BIGINT) AS n_rows FROM ({sql.DAILY}) GROUP BY symbol")
+def _content_hash(spark, sf_dir):
+    return store.fingerprints(bars.daily(spark, sf_dir), ["ts", "volume"])
+
+
 @query("fingerprint_changed", "SELECT DISTINCT c_mktsegment AS symbol, c_mktsegment = 'BUILDING' AS changed FROM customer JOIN orders ON o_custkey = c_custkey")
 def _fingerprint_changed(spark, sf_dir):
     b = bars.daily(spark, sf_dir)
@@ -140,9 +168,50 @@ def _fingerprint_changed(spark, sf_dir):
     return store.changed_symbols(store.fingerprints(moved), store.fingerprints(b))
 
 
-query("status_counts", "SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")(
-    lambda s, d: bars.table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+def _shared_root(spark):
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barloom-")
+    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def _update(spark, sf_dir, root):
+    """Hourly bars into fresh stores, one symbol partly missing and one asked for that has no data."""
+    raw = _raw(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in normalize.OHLCV})
+    names = [r[0] for r in raw.select("symbol").distinct().orderBy("symbol").collect()] + ["absent"]
+    asked = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "symbol string, ord long")
+    return update.update(spark, root, "1h", raw, asked, datetime(2024, 1, 20, 12, 30, tzinfo=timezone.utc))
+
+
+_STORED = f"(SELECT symbol, count(*) AS n FROM {_RAW_SQL} GROUP BY symbol)"
+_STATUS = f"SELECT e.symbol, CASE WHEN s.n IS NULL THEN 'failed' ELSE 'success' END AS status, coalesce(s.n, 0) AS stored_rows FROM (SELECT DISTINCT event_type AS symbol FROM events UNION ALL SELECT 'absent') e LEFT JOIN {_STORED} s ON s.symbol = e.symbol"
+query("update_run", _STATUS)(lambda s, d: _update(s, d, _shared_root(s)).select("symbol", "status", "stored_rows"))
+query("status_counts", f"SELECT status, CAST(count(*) AS BIGINT) AS n FROM ({_STATUS}) GROUP BY status")(
+    lambda s, d: _update(s, d, _shared_root(s)).groupBy("status").agg(F.count("*").alias("n"))
 )
+
+
+@query("store_read", f"SELECT symbol, ts, open, high, low, close, volume FROM {_RAW_SQL} WHERE symbol IN ('view', 'purchase') AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'")
+def _store_read(spark, sf_dir):
+    """What a read of two symbols and a range gives back of the prices that an update has stored."""
+    root = _shared_root(spark)
+    _update(spark, sf_dir, root)
+    found = update.stores(spark, root, "1h")[0].read(["view", "purchase"], datetime(2024, 1, 5), datetime(2024, 1, 10))
+    return found if found is not None else bars.hourly(spark, sf_dir).limit(0)
+
+
+query("unsorted", "SELECT DISTINCT symbol FROM (SELECT event_type AS symbol, ts < lag(ts) OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS back FROM events) WHERE back")(
+    lambda s, d: validate.unsorted_symbols(bars.table(s, d, "events").select(F.col("event_type").alias("symbol"), "ts", F.struct("user_id", "event_id").alias("seq")))
+)
+
+
+@query("split_wide", "SELECT o_orderpriority AS symbol, CAST(o_orderdate AS TIMESTAMP) AS ts, CAST(max(o_totalprice) AS DOUBLE) AS high, CAST(min(o_totalprice) AS DOUBLE) AS low FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2")
+def _split_wide(spark, sf_dir):
+    """One column for each field and symbol, and back to rows."""
+    orders = bars.table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_totalprice").cast("double").alias("p"))
+    of = lambda n: F.when(F.col("o_orderpriority") == n, F.col("p"))
+    wide = orders.groupBy("ts").agg(*[f(of(n)).alias(f"{k}|{n}") for n in ("1-URGENT", "2-HIGH") for k, f in (("High", F.max), ("Low", F.min))])
+    return normalize.split_wide(wide).where("high IS NOT NULL").select("symbol", "ts", "high", "low")
+
+
 query("limit_scan", "SELECT event_id, ts, value FROM events ORDER BY event_id LIMIT 100")(lambda s, d: bars.table(s, d, "events").select("event_id", "ts", "value").orderBy("event_id").limit(100))
 
 # Windows
@@ -166,8 +235,8 @@ g AS (SELECT symbol, k, high_idx, low_idx, TRUE AS taken, low_idx AS upto FROM q
 SELECT symbol, high_idx, low_idx FROM g WHERE taken""",
 )
 def _nonoverlap(spark, sf_dir):
-    events = pullback.pullback_events(_zigzag(spark, sf_dir)).withColumn("rank", F.col("high_idx"))
-    return windows.greedy_windows(events, "rank", "high_idx", "low_idx", most=1_000_000).select("symbol", F.col("high_idx").cast("long").alias("high_idx"), F.col("low_idx").cast("long").alias("low_idx"))
+    events = pullback.pullback_events(_zigzag(spark, sf_dir))
+    return windows.first_windows(events.select("symbol", "high_idx", "low_idx"), "high_idx", "low_idx").select("symbol", F.col("high_idx").cast("long").alias("high_idx"), F.col("low_idx").cast("long").alias("low_idx"))
 
 
 # Pullbacks

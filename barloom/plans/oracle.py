@@ -115,8 +115,8 @@ SCREEN_LINES = f"""SELECT CAST(o.ord + 1 AS BIGINT) AS tier_ord, round(bounce_ba
 
 #: Formations from the last seven pivots: name, test, upward, confirmation level, invalidation level.
 _FORMATIONS = (
-    ("double-bottom", "flat_l AND h1 < h2 - tol AND last_kind = 'L'", True, "h1", "least(l1, l2) - tol"),
-    ("double-top", "flat_h AND l1 > l2 + tol AND last_kind = 'H'", False, "l1", "greatest(h1, h2) + tol"),
+    ("double-bottom", "neck_up > greatest(bottom_a, bottom_b) + 2 * tol", True, "neck_up", "least(bottom_a, bottom_b) - tol"),
+    ("double-top", "neck_down < least(top_a, top_b) - 2 * tol", False, "neck_down", "greatest(top_a, top_b) + tol"),
     ("head-and-shoulders", "abs(h1 - h3) <= tol AND h2 > greatest(h1, h3) + tol", False, "least(l1, l2)", "h2"),
     ("inverse-head-and-shoulders", "abs(l1 - l3) <= tol AND l2 < least(l1, l3) - tol", True, "greatest(h1, h2)", "l2"),
     ("ascending-triangle", "flat_h AND l1 > l2 + tol / 2", True, "greatest(h1, h2)", "l1"),
@@ -138,7 +138,11 @@ def _read(p: str, pivots: str, keys: str, close: str) -> str:
     """CTEs ``{p}2`` (levels and flags) and ``{p}3`` (a row per formation) from seven pivots per ``keys``."""
     return f"""{p}0 AS (SELECT *, row_number() OVER (PARTITION BY {keys}, kind ORDER BY run DESC) AS nth FROM ({pivots})),
 {p}1 AS (SELECT {keys}, {", ".join(f"max(price) FILTER (WHERE kind = '{k}' AND nth = {i}) AS {k.lower()}{i}" for k in "HL" for i in (1, 2, 3))}, max(price) FILTER (WHERE kind = 'H') AS top, min(price) FILTER (WHERE kind = 'L') AS bottom, arg_max(kind, run) AS last_kind FROM {p}0 GROUP BY {keys}),
-{p}2 AS (SELECT *, abs(h1 - h2) <= tol AS flat_h, abs(l1 - l2) <= tol AS flat_l, h1 - h2 > tol AND l1 - l2 > tol AS rising, h2 - h1 > tol AND l2 - l1 > tol AS falling FROM (SELECT *, 0.12 * (top - bottom) AS tol FROM {p}1) JOIN ({close}) USING ({keys})),
+{p}2 AS (SELECT *, abs(h1 - h2) <= tol AS flat_h, abs(l1 - l2) <= tol AS flat_l, h1 - h2 > tol AND l1 - l2 > tol AS rising, h2 - h1 > tol AND l2 - l1 > tol AS falling,
+ CASE WHEN abs(l1 - l2) <= tol THEN l1 WHEN abs(l2 - l3) <= tol AND l1 > greatest(l2, l3) THEN l2 END AS bottom_a, CASE WHEN abs(l1 - l2) <= tol THEN l2 WHEN abs(l2 - l3) <= tol AND l1 > greatest(l2, l3) THEN l3 END AS bottom_b,
+ CASE WHEN abs(l1 - l2) <= tol THEN CASE WHEN last_kind = 'L' THEN h1 ELSE h2 END WHEN abs(l2 - l3) <= tol AND l1 > greatest(l2, l3) THEN CASE WHEN last_kind = 'L' THEN h2 ELSE h3 END END AS neck_up,
+ CASE WHEN abs(h1 - h2) <= tol THEN h1 WHEN abs(h2 - h3) <= tol AND h1 < least(h2, h3) THEN h2 END AS top_a, CASE WHEN abs(h1 - h2) <= tol THEN h2 WHEN abs(h2 - h3) <= tol AND h1 < least(h2, h3) THEN h3 END AS top_b,
+ CASE WHEN abs(h1 - h2) <= tol THEN CASE WHEN last_kind = 'H' THEN l1 ELSE l2 END WHEN abs(h2 - h3) <= tol AND h1 < least(h2, h3) THEN CASE WHEN last_kind = 'H' THEN l2 ELSE l3 END END AS neck_down FROM (SELECT *, 0.12 * (top - bottom) AS tol FROM {p}1) JOIN ({close}) USING ({keys})),
 {p}3 AS ({" UNION ALL ".join(_formation(k, *x, keys, p + "2") for k, x in enumerate(_FORMATIONS))})"""
 
 

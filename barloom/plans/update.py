@@ -54,7 +54,7 @@ def refresh_indicators(prices: Store, indicators: Store, symbols: list[str]) ->
     return spark.createDataFrame([(n, c, None) for n, c in done] + [(n, n in removed, None) for n in short] + failed, "symbol string, changed boolean, error string")
 
 
-def update(spark: SparkSession, root: str, interval: str, raw: DataFrame, requested: DataFrame, now: datetime) -> DataFrame:
+def update(spark: SparkSession, root: str, interval: str, raw: DataFrame, requested: DataFrame, now: datetime, with_indicators: bool = True) -> DataFrame:
     """``symbol, status, downloaded_rows, stored_rows, error`` in the order of ``requested`` (symbol, ord).
 
     ``raw`` has ``symbol, ts, OHLCV, seq`` and optionally ``error``. Prices that were written stay even if
@@ -67,7 +67,8 @@ def update(spark: SparkSession, root: str, interval: str, raw: DataFrame, reques
     if errors is not None:
         rejected = rejected.unionByName(errors)
     written = prices.replace(good)  # all that is refused for one symbol alone is in ``rejected`` by now
-    fresh = refresh_indicators(prices, indicators, [r.symbol for r in written.select("symbol").collect()])
+    names = [r.symbol for r in written.select("symbol").collect()] if with_indicators else []
+    fresh = refresh_indicators(prices, indicators, names)
     downloaded = rows.groupBy("symbol").agg(F.count("*").alias("downloaded_rows"))
     absent = requested.join(raw.select("symbol").distinct(), "symbol", "left_anti").select("symbol", F.lit("no data").alias("error"))
     bad = rejected.unionByName(absent).unionByName(fresh.where("error IS NOT NULL").select("symbol", "error")).groupBy("symbol").agg(F.min("error").alias("error"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tomllib
 from dataclasses import dataclass, fields
-from datetime import date
+from datetime import date, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.calendar import interval
+from barloom.functions.calendar import interval, latest_completed_day
 
 
 class ConfigError(ValueError):
@@ -27,12 +27,18 @@ class Config:
     batch_size: int = 50
     timeout: int = 30
     threads: bool = True
+    enabled: bool = True
+
+    def window(self, now: datetime) -> tuple[date, date]:
+        """First and last day to ask for: up to ``end_date``, or up to the last completed day at local time ``now``."""
+        return self.start_date, self.end_date or latest_completed_day(now)
 
 
 #: Section and key of each setting.
 _PLACES = {
-    "data_dir": "paths", "symbols_file": "paths", "interval": "download", "start_date": "download", "end_date": "download", "batch_size": "vendor", "timeout": "vendor", "threads": "vendor",
-}
+    "data_dir": "paths", "symbols_file": "paths", "interval": "download", "start_date": "download", "end_date": "download", "batch_size": "vendor", "timeout": "vendor", "threads": "vendor", "enabled": "indicators",
+}
+_TYPES = {"data_dir": str, "symbols_file": str, "interval": str, "start_date": date, "end_date": date, "batch_size": int, "timeout": int, "threads": bool, "enabled": bool}
 
 
 def load_config(path: str | Path) -> Config:
@@ -40,9 +46,13 @@ def load_config(path: str | Path) -> Config:
     raw = tomllib.loads(path.read_text())
     given = {}
     for section, keys in raw.items():
+        if not isinstance(keys, dict):
+            raise ConfigError(f"unknown setting: {section}")
         for key, value in keys.items():
             if _PLACES.get(key) != section:
                 raise ConfigError(f"unknown setting: {section}.{key}")
+            if not isinstance(value, _TYPES[key]) or _TYPES[key] is int and isinstance(value, bool) or isinstance(value, datetime):
+                raise ConfigError(f"{section}.{key} must be of type {_TYPES[key].__name__}")
             given[key] = value
     missing = [f.name for f in fields(Config) if f.name not in given and f.name in ("data_dir", "symbols_file", "interval", "start_date")]
     if missing:

@@ -23,7 +23,7 @@ def chunks(items: list, size: int) -> list[list]:
 
 def request(start: date, end: date, options: dict) -> dict:
     """The vendor's end is exclusive; prices are adjusted and corporate actions left out."""
-    return {"start": start.isoformat(), "end": (end + timedelta(days=1)).isoformat(), "auto_adjust": True, "actions": False, "threads": options.get("threads", True), "timeout": int(options.get("timeout", 30))}
+    return {"interval": options.get("interval", "1d"), "start": start.isoformat(), "end": (end + timedelta(days=1)).isoformat(), "auto_adjust": True, "actions": False, "threads": str(options.get("threads", True)).lower() == "true", "timeout": int(options.get("timeout", 30))}
 
 
 def download(fetch, symbols: list[str], params: dict):
@@ -78,9 +78,9 @@ class VendorSource(DataSource):
         return _Reader(self.options)
 
 
-def read_vendor(spark: SparkSession, fetch: str, symbols: list[str], start: date, end: date, batch_size: int = 50, timeout: int = 30) -> DataFrame:
+def read_vendor(spark: SparkSession, fetch: str, symbols: list[str], start: date, end: date, interval: str = "1d", batch_size: int = 50, timeout: int = 30, threads: bool = True) -> DataFrame:
     spark.dataSource.register(VendorSource)
-    options = {"fetch": fetch, "symbols": ",".join(symbols), "start": start.isoformat(), "end": end.isoformat(), "batch_size": str(batch_size), "timeout": str(timeout)}
+    options = {"fetch": fetch, "symbols": ",".join(symbols), "interval": interval, "threads": str(threads), "start": start.isoformat(), "end": end.isoformat(), "batch_size": str(batch_size), "timeout": str(timeout)}
     return spark.read.format("barloom_vendor").options(**options).load()
 
 

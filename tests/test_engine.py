@@ -1,10 +1,13 @@
+import json
+import math
 from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from barloom import cli
 from barloom.functions import calendar
-from barloom.operators import normalize, pullback, screen, similarity, structure, windows
+from barloom.operators import normalize, pullback, screen, similarity, structure, validate, windows
 from barloom.plans.update import refresh_indicators, report, stores, update
 from barloom.sources import config, vendor
 from barloom.sources.store import StoreError, check_symbol, require_native
@@ -74,19 +77,87 @@ PATHS = {
 }
 
 
-@pytest.mark.parametrize("name", ["ascending-channel", "descending-channel", "head-and-shoulders", "inverse-head-and-shoulders", "horizontal-range", "ascending-triangle", "descending-triangle", "symmetrical-triangle"])
+def path(pivots):
+    out = [float(a + (b - a) * k / 7.0) for a, b in zip(pivots, pivots[1:]) for k in range(7)]
+    return [*out, float(pivots[-1])]
+
+
+def read_chart(spark, closes):
+    bars = spark.createDataFrame([("T", datetime(2026, 1, 1) + timedelta(hours=i), c, c + 1, c - 1, c, 1000, i) for i, c in enumerate(closes)], SCHEMA + ", idx long")
+    zz = pullback.zigzag(pullback.fractal_pivots(bars, 3))
+    return structure.analyze_frame(bars, zz, {"symbol": "T", "requested_interval": "1h", "source_interval": "1h", "derived": False})[0], bars, zz
+
+
+def named(doc, name):
+    return next(x for x in doc["patterns"] if x["name"] == name)
+
+
+@pytest.mark.parametrize("name", PATHS)
 def test_chart_structure(spark, name):
-    pivots, out, i = PATHS[name], [], 0
-    for a, b in zip(pivots, pivots[1:]):
-        for k in range(7):
-            out.append(a + (b - a) * k / 7.0)
-    out = [float(x) for x in (*out, pivots[-1])]
-    bars = spark.createDataFrame([("T", datetime(2026, 1, 1) + timedelta(hours=i), c, c + 1, c - 1, c, 1000, i) for i, c in enumerate(out)], SCHEMA + ", idx long")
-    got = structure.analyze(bars, pullback.zigzag(pullback.fractal_pivots(bars, 3))).first()
-    assert name in [p.name for p in got.patterns]
-    assert all(p.confidence >= 0.5 and p.status in ("developing", "confirmed", "invalidated") for p in got.patterns)
-    if "ascending-channel" == name:
-        assert got.trend == "bullish" and got.swing_sequence == "higher-highs-higher-lows"
+    doc, _, _ = read_chart(spark, path(PATHS[name]))
+    found = named(doc, name)
+    assert 0.5 <= found["confidence"] <= 1 and found["evidence"] and found["confirmation_level"] is not None and found["invalidation_level"] is not None
+    assert all(x["status"] in ("developing", "confirmed", "invalidated") for x in doc["patterns"]) and "historical" not in doc and doc["data"]["derived"] is False
+    if "channel" in name:
+        up = name.startswith("ascending")
+        assert (doc["structure"]["trend"], doc["structure"]["swing_sequence"]) == (("bullish", "higher-highs-higher-lows") if up else ("bearish", "lower-highs-lower-lows"))
+
+
+def test_confirmation_and_breakout(spark):
+    assert named(read_chart(spark, path(PATHS["double-bottom"]) + [120.0, 123.0])[0], "double-bottom")["status"] == "confirmed"
+    assert named(read_chart(spark, path(PATHS["double-top"]) + [100.0, 96.0])[0], "double-top")["status"] == "confirmed"
+    closes = [120.0 - i for i in range(20)] + [101.0, 99.0, 102.0, 106.0, 103.0, 100.0, 102.0, 105.0, 104.0, 103.0] * 4
+    assert named(read_chart(spark, closes)[0], "double-bottom")["status"] == "developing"
+    assert read_chart(spark, path(PATHS["ascending-triangle"]) + [120.0, 123.0])[0]["structure"]["breakout_state"] == "breakout"
+    assert read_chart(spark, [100.0, 103.0, 101.0, 104.0, 100.0, 103.0] * 10)[0]["structure"]["formation"] == "horizontal-range"
+    sharp, blunt = (named(read_chart(spark, path((95, 112, 102, h, 104, 106, 105)))[0], "double-top")["confidence"] for h in (111.9, 110.9))
+    assert sharp > blunt
+
+
+def test_command_line_answers_as_json(spark, tmp_path, capsys):
+    config_file = tmp_path / "c.toml"
+    config_file.write_text('[paths]\ndata_dir = "data"\nsymbols_file = "s.csv"\n[download]\ninterval = "1d"\nstart_date = 2024-01-01\nend_date = 2026-01-01\n[indicators]\nenabled = true\n')
+    (tmp_path / "s.csv").write_text("symbol\nA\n0050\n")
+    waves = [c + 30 * math.sin(i / 13) for i, c in enumerate(path([100, 110, 100.5, 109.5] * 20)[:500])]
+    raw = [(s, datetime(2024, 1, 1) + timedelta(days=i), c, c + 1, c - 1, c, 1000.0, i) for s in ("A", "0050") for i, c in enumerate(waves)]
+    raw += [("A", datetime(2026, 1, 2), 1.0, 1.0, 1.0, 1.0, 1.0, 999)]  # after the end of the window
+    spark.createDataFrame(raw, RAW).write.parquet(str(tmp_path / "raw"))
+    run = lambda *a: cli.main(["--config", str(config_file), *a], spark)
+    assert run("--raw", str(tmp_path / "raw"), "update-all") == 0 and "Successful: 2" in capsys.readouterr().out
+    assert run("structure", "--symbol", "0050", "--periods", "90") == 0
+    doc = json.loads(capsys.readouterr().out)
+    assert doc["data"] == {"symbol": "0050", "requested_interval": "1d", "source_interval": "1d", "derived": False, "periods": 90} and "historical" not in doc and doc["patterns"]
+    assert run("structure", "--symbol", "A", "--interval", "1wk", "--start", "2024-01-01", "--historical") == 0
+    doc = json.loads(capsys.readouterr().out)
+    assert doc["data"]["derived"] is True and doc["data"]["source_interval"] == "1d" and doc["historical"]["horizons"] == [5, 10, 20]
+    assert run("lookup", "--symbol", "A", "--rows", "2") == 0
+    rows = json.loads(capsys.readouterr().out)["rows"]
+    assert [r["ts"] for r in rows] == [(datetime(2024, 1, 1) + timedelta(days=i)).isoformat() for i in (498, 499)] and rows[0]["ema_200"] is not None
+    assert run("similar", "--symbol", "A") == 0
+    doc = json.loads(capsys.readouterr().out)
+    assert doc["data"]["max_matches"] == 200 and all(x["position"] == i + 1 for i, x in enumerate(doc["matches"]))
+    assert run("structure", "--symbol", "NONE") == 2 and run("structure", "--symbol", "A", "--periods", "20") == 2 and run("update-all") == 2
+
+
+def test_windows_in_order(spark):
+    df = spark.createDataFrame([("S", s, e) for s, e in ((0, 9), (5, 14), (9, 12), (10, 19), (10, 11), (30, 31))], "symbol string, s long, e long")
+    assert [(r.s, r.e) for r in windows.first_windows(df, "s", "e").orderBy("position").collect()] == [(0, 9), (10, 11), (30, 31)]
+
+
+def test_vendor_source_and_window(spark):
+    got = vendor.read_vendor(spark, "barloom.plans.catalog:_fetch_bars", ["AB", "ZZ", "RR"], date(2024, 1, 1), date(2024, 1, 2), "1h", batch_size=1).orderBy("symbol").collect()
+    assert [(r.symbol, r.close, r.error) for r in got] == [("AB", 2.0, None), ("RR", None, vendor.NO_DATA), ("ZZ", None, "refused")]
+    assert vendor.request(date(2024, 1, 1), date(2024, 1, 2), {"interval": "1h", "threads": "False"}) | {"timeout": 0} == {"interval": "1h", "start": "2024-01-01", "end": "2024-01-03", "auto_adjust": True, "actions": False, "threads": False, "timeout": 0}
+    c = config.Config("d", "s", "1d", date(2024, 1, 1))
+    assert c.window(datetime(2026, 6, 8, 15))[1] == date(2026, 6, 7) and c.window(datetime(2026, 6, 8, 16))[1] == date(2026, 6, 8)
+
+
+def test_sorted(spark):
+    t = datetime(2026, 1, 1)
+    df = spark.createDataFrame([("A", t, 0), ("A", t + timedelta(1), 1), ("B", t + timedelta(1), 0), ("B", t, 1)], "symbol string, ts timestamp_ntz, seq long")
+    assert [r.symbol for r in validate.unsorted_symbols(df).collect()] == ["B"]
+    with pytest.raises(validate.ValidationError, match="not sorted"):
+        validate.validate_sorted(df, "price data")
 
 
 def test_chart_history(spark):
@@ -104,7 +175,10 @@ def test_chart_history(spark):
 
 def test_validate_request():
     with pytest.raises(ValueError, match="at least"):
-        structure.validate_request("A", 20)
+        structure.validate_request("A", periods=20)
+    assert structure.validate_request("A").periods == 120 and structure.validate_request("A", start=datetime(2026, 1, 1)).periods is None
+    with pytest.raises(ValueError, match="before"):
+        structure.validate_request("A", start=datetime(2026, 1, 2), end=datetime(2026, 1, 1))
     with pytest.raises(ValueError):
         structure.validate_request(" ")
     with pytest.raises(ValueError):
@@ -138,7 +212,7 @@ def test_config(tmp_path, spark):
     text = '[paths]\ndata_dir = "data"\nsymbols_file = "s.csv"\n[download]\ninterval = "1d"\nstart_date = 2024-01-01\n'
     f.write_text(text)
     assert config.load_config(f).data_dir == (tmp_path / "data").resolve()
-    for extra, words in (("end_date = 2023-01-01\n", "before"), ("colour = 1\n", "unknown"), ("[vendor]\nbatch_size = 0\n", "positive")):
+    for extra, words in (("end_date = 2023-01-01\n", "before"), ("colour = 1\n", "unknown"), ("[vendor]\nbatch_size = 0\n", "positive"), ('[vendor]\nbatch_size = "9"\n', "of type int"), ("[vendor]\nthreads = 1\n", "of type bool")):
         f.write_text(text + extra)
         with pytest.raises(config.ConfigError, match=words):
             config.load_config(f)
