@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barloom.llm.common import shared_dir
-from barloom.llm import decontaminate, embeddings, html_text, lm, packing, sharding, simhash, spans, suffixes, toxicity
+from barloom.llm import audit, chat, codes, decontaminate, embeddings, html_text, lm, packing, sharding, simhash, spans, suffixes, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -79,6 +79,19 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_chat_formatting(spark, sf_dir):
+    turns = chat.replies(chat.with_probe(table(spark, sf_dir, "conversations")))
+    return chat.read_back(chat.format_trees(turns, "conv_id", "node", "parent", top=1)).withColumnRenamed("tree", "conv_id")
+
+
+def op13_vector_codes(spark, sf_dir):
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_sharding": op2_sharding,
@@ -90,5 +103,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_model": op9_language_model,
     "op10_decontamination": op10_decontamination,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_chat_formatting": op12_chat_formatting,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op8_packing": packing.oracle_sql()}
+ORACLE_SQL |= {"op11_filter_audit": audit.oracle_sql(), "op12_chat_formatting": chat.oracle_sql(), "op13_vector_codes": codes.oracle_sql()}
