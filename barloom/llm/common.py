@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Tables written inside the ``scratch`` blocks that are open, the innermost last.
-_open: list[list[tuple[DataFrame, str]]] = []
+#: The tables of the innermost open ``scratch`` block and, through it, of those around it. Each thread has its own, so
+#: queries that run at once do not own each other's tables.
+_open: contextvars.ContextVar[list[tuple[DataFrame, str]] | None] = contextvars.ContextVar("barloom_scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +49,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
-    if _open:
-        _open[-1].append((out, path))
+    owner = _open.get()
+    if owner is not None:
+        owner.append((out, path))
     return out
 
 
@@ -67,15 +70,23 @@ def scratch(spark: SparkSession):
         kept.append(df)
         return df
 
-    _open.append([])
+    around, own = _open.get(), []
+    _open.set(own)
     try:
         yield keep
     finally:
-        for df, path in _open.pop():
+        _open.set(around)
+        for df, path in own:
             if not any(df is k for k in kept):
                 _delete(spark, path)
-            elif _open:
-                _open[-1].append((df, path))
+            elif around is not None:
+                around.append((df, path))
+
+
+def finished(spark: SparkSession, make, name: str) -> DataFrame:
+    """What ``make`` returns, written as a table; all other tables that it has written go."""
+    with scratch(spark) as keep:
+        return keep(materialize(make(), name))
 
 
 def hash_sample(df: DataFrame, rows: int, total: int, *cols: str) -> DataFrame:

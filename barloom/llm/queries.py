@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from barloom.llm.common import shared_dir
+from barloom.llm.common import finished, shared_dir
 from barloom.llm import audit, chat, codes, decontaminate, embeddings, html_text, lm, packing, sharding, simhash, spans, suffixes, toxicity
 
 
@@ -15,12 +15,12 @@ def table(spark, sf_dir, name):
 
 
 def op7_simhash(spark, sf_dir):
-    out = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    out = finished(spark, lambda: simhash.simhash_components(table(spark, sf_dir, "documents")), "op7")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op1_embedding_near_dedup(spark, sf_dir):
-    out = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    out = finished(spark, lambda: embeddings.near_duplicates(table(spark, sf_dir, "embeddings")), "op1")
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
@@ -68,11 +68,11 @@ def op6_toxicity(spark, sf_dir):
 
 
 def op8_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return finished(spark, lambda: packing.pack(table(spark, sf_dir, "documents")), "op8")
 
 
 def op9_language_model(spark, sf_dir):
-    return lm.score(table(spark, sf_dir, "documents"))
+    return finished(spark, lambda: lm.score(table(spark, sf_dir, "documents")), "op9")
 
 
 def op10_decontamination(spark, sf_dir):
@@ -85,11 +85,12 @@ def op11_filter_audit(spark, sf_dir):
 
 def op12_chat_formatting(spark, sf_dir):
     turns = chat.replies(chat.with_probe(table(spark, sf_dir, "conversations")))
-    return chat.read_back(chat.format_trees(turns, "conv_id", "node", "parent", top=1)).withColumnRenamed("tree", "conv_id")
+    read = finished(spark, lambda: chat.read_back(chat.format_trees(turns, "conv_id", "node", "parent", top=1)), "op12")
+    return read.withColumnRenamed("tree", "conv_id")
 
 
 def op13_vector_codes(spark, sf_dir):
-    return codes.compress(table(spark, sf_dir, "embeddings"))
+    return finished(spark, lambda: codes.compress(table(spark, sf_dir, "embeddings")), "op13")
 
 
 QUERIES = {
