@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import gru
-from barloom.llm.common import materialize
+from barloom.llm.common import materialize, pieces
 
 #: The end of a text as a token; no word holds white space.
 END = "\n"
 #: Steps of the logarithmic count histogram per doubling.
 _FINE = 16
+#: Bytes of text that a task holds at a time where texts are read side by side.
+_TRAIN_BYTES = 64 << 20
 
 
 def held_out(doc_id) -> bool:
@@ -63,7 +65,7 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str, flush: int = 400_0
             seen.clear()
             return out
 
-        for b in batches:
+        for b in pieces(batches, 1):
             for i, t in zip(*_read(b)):
                 if not held_out(i):
                     seen.update(tokens(t))
@@ -146,7 +148,7 @@ def _round(source: DataFrame, head: Head, model: dict, rate: float) -> dict:
     def run(batches):
         m, n = gru.unflat(first, model), 0
         opt = gru.Adam(m, rate)
-        for b in batches:
+        for b in pieces(batches, 1, rows=10_000, size=_TRAIN_BYTES):
             texts = [head.read(tokens(t)) for i, t in zip(*_read(b)) if not held_out(i)]
             if texts:
                 gru.train(m, texts, opt)
@@ -191,7 +193,7 @@ def score(
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in pieces(batches, 1, rows=10_000, size=_TRAIN_BYTES):
             ids, texts = _read(b)
             seqs, out = [], []
             for t in texts:
