@@ -51,24 +51,31 @@ def shingles(text: F.Column, size: int = SHINGLE) -> F.Column:
     return let(words(text), hashes)
 
 
-def fingerprint(h: F.Column) -> F.Column:
-    """SimHash: a bit is set if it is set in over half of the hashes. Four 16-bit counters a long."""
-    lanes = F.lit(0x0001000100010001)
+def _majority(h: F.Column, width: int) -> F.Column:
+    """A bit is set if it is set in over half of the hashes, tallied in counters of ``width`` bits, several a long."""
+    rows = width  # a long holds 64 / width counters, so this many longs hold all 64
+    lanes, full = F.lit(sum(1 << i for i in range(0, 64, width))), F.lit((1 << width) - 1)
     shift = lambda x, by: F.call_function("shiftrightunsigned", x, by)
     sums = F.aggregate(
         h,
-        F.array_repeat(F.lit(0).cast("bigint"), 16),
+        F.array_repeat(F.lit(0).cast("bigint"), rows),
         lambda acc, x: F.transform(acc, lambda a, i: a + shift(x, i).bitwiseAND(lanes)),
     )
 
     def bits(counts):
-        ones = lambda b: shift(F.element_at(counts, b % 16 + 1), b - b % 16).bitwiseAND(F.lit(0xFFFF))
+        ones = lambda b: shift(F.element_at(counts, b % rows + 1), b - b % rows).bitwiseAND(full)
         bit = lambda b: F.when(ones(b) * 2 > F.size(h), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(bit(b)))
 
     return let(sums, bits)
 
 
+def fingerprint(h: F.Column) -> F.Column:
+    """SimHash: a bit is set if it is set in over half of the hashes. Four counters a long, or two for lists that are too long
+    for 16 bits."""
+    return F.when(F.size(h) < 1 << 16, _majority(h, 16)).otherwise(_majority(h, 32))
+
+
 def blocks(fp: F.Column, radius: int) -> F.Column:
     """``radius + 1`` (number, bits) blocks of the fingerprint."""
     edges = [64 * k // (radius + 1) for k in range(radius + 2)]
