@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -73,22 +74,29 @@ def _nodes(messages: DataFrame, tree: str, node: str, parent: str, role: str, te
     return rows.withColumn("copy", copy).select(F.struct("tree", "node", "copy").alias("k"), up.alias("up"), "role", "text", "score")
 
 
-def ancestors(nodes: DataFrame) -> list[DataFrame]:
-    """Tables ``k, up, total, n``: the ancestor 1, 2, 4, ... replies up, null beyond the root, and the sum of the scores and the
-    number of messages from ``k`` up to before that ancestor. The last has no ancestors left."""
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables ``k, up`` of the ancestors 1, 2, 4, ... replies up, of those messages only that have one; and ``k, total, n``: the sum
+    of the scores and the number of messages from the root to ``k``. A message takes part in as many joins as the logarithm
+    of its own depth, not of the deepest one."""
     known = nodes.select(F.col("k").alias("up"), F.lit(True).alias("there"))
     first = nodes.select("k", "up", "score").join(known, "up", "left")
-    levels = [materialize(first.select("k", F.when(F.col("there"), F.col("up")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n")), "replies")]
-    size = None
-    while not levels[-1].where("up IS NOT NULL").isEmpty():
-        size = levels[0].count() if size is None else size
-        if 1 << len(levels) - 1 > size:
+    live = materialize(first.select("k", F.when(F.col("there"), F.col("up")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n")), "replies")
+    size, levels, ended = live.count(), [], []
+    while True:
+        ended.append(live.where("up IS NULL").drop("up"))
+        live = live.where("up IS NOT NULL")
+        if live.isEmpty():
+            return levels, _union(ended)
+        if 1 << len(levels) > size:
             raise ValueError("replies form a cycle")
-        now = levels[-1]
-        above = now.select(F.col("k").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("n").alias("many"))
-        doubled = now.join(above, "up", "left").select("k", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("many", F.lit(0))).alias("n"))
-        levels.append(materialize(doubled, "replies"))
-    return levels
+        levels.append(live.select("k", "up"))
+        above = _union([*[e.withColumn("up", F.lit(None).cast(live.schema["up"].dataType)) for e in ended], live])
+        above = above.select(F.col("k").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("n").alias("many"))
+        live = materialize(live.join(above, "up").select("k", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("many")).alias("n")), "replies")
 
 
 def _ranked(leaves: DataFrame, top: int | None) -> DataFrame:
@@ -103,14 +111,15 @@ def _ranked(leaves: DataFrame, top: int | None) -> DataFrame:
 
 def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
     """``leaf, rank, score, place, role, text``: the messages of the chosen root-to-leaf paths, from place 0 at the root."""
-    levels = ancestors(nodes)
-    leaves = levels[-1].join(levels[0].where("up IS NOT NULL").select(F.col("up").alias("k")), "k", "left_anti")
+    levels, totals = ancestors(nodes)
+    leaves = totals.join(levels[0].select(F.col("up").alias("k")), "k", "left_anti") if levels else totals
     chosen = _ranked(leaves.select(F.col("k").alias("leaf"), (F.col("total") / F.col("n")).alias("score"), "n"), top)
-    path = chosen.withColumns({"k": F.col("leaf"), "place": F.col("n") - 1}).drop("n")
-    for i, level in enumerate(levels[:-1]):
-        both = F.array(F.struct("k", "place"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("k"), (F.col("place") - (1 << i)).alias("place"))))
-        path = path.join(level.select("k", "up"), "k").select("leaf", "rank", "score", F.inline(F.filter(both, lambda x: x.isNotNull())))
-    return path.join(nodes.select("k", "role", "text"), "k").drop("k")
+    parts = [materialize(chosen.withColumns({"k": F.col("leaf"), "place": F.col("n") - 1}), "paths")]
+    for i, level in enumerate(levels):
+        # what lies 2**i above the part of a path that is known; a path is known whole once it is no longer than that
+        further = _union(parts).where(F.col("n") > 1 << i).join(level, "k")
+        parts.append(materialize(further.select("leaf", "score", "n", "rank", F.col("up").alias("k"), (F.col("place") - (1 << i)).alias("place")), "paths"))
+    return _union(parts).join(nodes.select("k", "role", "text"), "k").drop("k", "n")
 
 
 def format_branches(turns: DataFrame, learned: tuple[str, ...] = LEARNED) -> DataFrame:
