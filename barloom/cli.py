@@ -1,7 +1,8 @@
 """Command line: updates of the stores, and questions about them answered as JSON.
 
 ``update-all`` and ``update-symbol SYMBOL`` read raw rows from a landing folder of Parquet files (``--raw``) or from the
-vendor through a transport function (``--fetch module:function``). ``structure``, ``similar`` and ``lookup`` print one JSON
+vendor through a transport function (``--fetch module:function``), each batch once, by way of a landing table; ``--run NAME`` goes on with a run
+that has begun. ``structure``, ``similar`` and ``lookup`` print one JSON
 document on standard output. Exit codes: 0 done, 1 a symbol failed, 2 bad input.
 """
 
@@ -14,19 +15,18 @@ import sys
 import time
 from datetime import UTC, datetime
 from pathlib import Path
-from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.calendar import ZONE
 from barloom.functions.indicators import with_indicators
 from barloom.operators import pullback, similarity, structure
 from barloom.plans.update import report, stores, update
 from barloom.sources.bars import resample
 from barloom.sources.config import Config, load_config, read_symbols
 from barloom.sources.store import StoreError, check_symbol, prices_with_indicators
-from barloom.sources.vendor import read_vendor
+from barloom.sources.landing import Landing
+from barloom.sources.vendor import request, request_batches
 
 
 def setup_logging(folder: Path, now: datetime) -> logging.Logger:
@@ -89,6 +89,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--config", required=True)
     parser.add_argument("--raw")
     parser.add_argument("--fetch")
+    parser.add_argument("--run")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("update-all")
     commands.add_parser("update-symbol").add_argument("symbol")
@@ -122,16 +123,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             wanted = spark.createDataFrame([(check_symbol(args.symbol.strip()), 0)], "symbol string, ord long")
         now = datetime.now(UTC)
-        first, last = config.window(now.astimezone(ZoneInfo(ZONE)).replace(tzinfo=None))
+        first, last = config.window(now)
         if args.fetch:
-            names = [r.symbol for r in wanted.orderBy("ord").collect()]  # a list of symbols
-            raw = read_vendor(spark, args.fetch, names, first, last, config.interval, config.batch_size, config.timeout, config.threads)
-            raw = raw.withColumn("seq", F.monotonically_increasing_id())
+            landing, run = Landing(spark, str(config.data_dir)), args.run or f"{now:%Y%m%dT%H%M%SZ}"
+            options = {"interval": config.interval, "timeout": config.timeout, "threads": config.threads}
+            landing.fetch(run, request_batches(wanted, config.batch_size), args.fetch, request(first, last, options))
+            raw = landing.read(run).join(wanted.select("symbol"), "symbol", "left_semi").drop("batch")
         elif args.raw:
             raw = spark.read.parquet(args.raw).join(wanted.select("symbol"), "symbol", "left_semi")
         else:
             raise ValueError("--raw or --fetch is required")
-        in_window = (F.col("ts") >= F.lit(first)) & (F.col("ts") < F.date_add(F.lit(last), 1))
+        in_window = F.col("ts") >= F.lit(first)
+        if config.end_date:
+            in_window &= F.col("ts") < F.date_add(F.lit(last), 1)
         raw = raw.where(F.col("ts").isNull() | in_window)  # an error has no time
     except (OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)

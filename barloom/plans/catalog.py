@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from datetime import date, datetime, timezone
+from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from barloom.operators import normalize, pullback, screen, similarity, structure
 from barloom.plans import oracle as sql
 from barloom.plans import update
 from barloom.sources import bars, store, vendor
+from barloom.sources.landing import Landing
 from barloom.streaming.bars import stream_bars
 
 QUERIES: dict = {}
@@ -135,25 +136,49 @@ query("anti_missing", "SELECT c_custkey AS symbol FROM customer WHERE c_custkey
 )
 
 
-@query("request_chunks", "SELECT n_name AS symbol, CAST((row_number() OVER (ORDER BY n_name) - 1) // 10 AS BIGINT) AS chunk FROM nation")
-def _request_chunks(spark, sf_dir):
-    names = [r[0] for r in bars.table(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]  # 25 nations
-    return spark.createDataFrame([(n, i) for i, c in enumerate(vendor.chunks(names, 10)) for n in c], "symbol string, chunk long")
+query("request_batches", "SELECT c_name AS symbol, c_custkey AS ord, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 50 AS BIGINT) AS batch FROM customer")(
+    lambda s, d: vendor.request_batches(bars.table(s, d, "customer").select(F.col("c_name").alias("symbol"), F.col("c_custkey").alias("ord")), 50)
+)
+
+
+def _asked(spark, sf_dir):
+    """Customers as symbols, in batches of 100."""
+    return vendor.request_batches(bars.table(spark, sf_dir, "customer").select(F.col("c_name").alias("symbol"), F.col("c_custkey").alias("ord")), 100)
 
 
-def _fetch_bars(symbols, params):
-    """A transport that needs no network: closes count the letters, names with an R are not delivered, with a Z fail."""
-    if any("Z" in s for s in symbols):
-        raise OSError("refused")
-    return {s: [(datetime.fromisoformat(params["start"]), 1.0, 1.0, 1.0, float(len(s)), 1.0)] for s in symbols if "R" not in s}
+def _delivered(spark, sf_dir, priority):
+    """Orders of a priority as what a vendor delivered for customers, with their batches."""
+    orders = bars.table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == priority).select(F.col("o_custkey").alias("ord"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("p"), F.col("o_orderkey").alias("seq"))
+    rows = _asked(spark, sf_dir).join(orders, "ord")
+    return rows.select("batch", "symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *[F.col("p").alias(c) for c in normalize.OHLCV[:4]], F.lit(1.0).alias("volume"), "seq", F.lit(None).cast("string").alias("error"))
 
 
-@query("vendor_batches", "SELECT n_name AS symbol, CASE WHEN n_name LIKE '%R%' THEN NULL ELSE CAST(length(n_name) AS DOUBLE) END AS close, CASE WHEN n_name LIKE '%Z%' THEN 'refused' WHEN n_name LIKE '%R%' THEN 'no data after individual retry' END AS error FROM nation")
+_BATCHES = "SELECT c_custkey, c_name, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS BIGINT) AS batch FROM customer"
+
+
+@query(
+    "vendor_batches",
+    f"""WITH b AS ({_BATCHES}), o AS (SELECT b.*, o_orderkey, o_totalprice, o_orderpriority FROM orders JOIN b ON c_custkey = o_custkey), f AS (SELECT DISTINCT batch FROM o WHERE o_orderpriority = '1-URGENT' AND batch % 2 = 0)
+SELECT batch, c_name AS symbol, o_orderkey AS seq, o_totalprice AS close FROM o WHERE o_orderpriority = CASE WHEN batch IN (FROM f) THEN '1-URGENT' ELSE '2-HIGH' END""",
+)
 def _vendor_batches(spark, sf_dir):
-    """Each nation is a batch of its own, so that one that is refused does not take others along."""
-    names = [r[0] for r in bars.table(spark, sf_dir, "nation").select("n_name").collect()]
-    got = vendor.read_vendor(spark, "barloom.plans.catalog:_fetch_bars", names, date(2024, 1, 1), date(2024, 1, 5), batch_size=1)
-    return got.select("symbol", "close", "error")
+    """A run that has landed every second batch is called again with other rows for all: what landed first stays."""
+    landing = Landing(spark, _shared_root(spark))
+    landing.put("r", _delivered(spark, sf_dir, "1-URGENT").where("batch % 2 = 0").repartition("batch"))
+    landing.put("r", _delivered(spark, sf_dir, "2-HIGH").repartition("batch"))
+    return landing.read("r").select("batch", "symbol", "seq", "close")
+
+
+@query(
+    "batch_outcomes",
+    f"""WITH b AS ({_BATCHES}), n AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), f AS (SELECT DISTINCT batch FROM b JOIN customer USING (c_custkey) WHERE c_acctbal < -950)
+SELECT c_name AS symbol, batch, CAST(CASE WHEN batch IN (FROM f) THEN 0 ELSE coalesce(n, 0) END AS BIGINT) AS n_rows, CASE WHEN batch IN (FROM f) THEN 'refused' WHEN n IS NULL THEN '{vendor.NO_DATA}' END AS error FROM b LEFT JOIN n ON o_custkey = c_custkey""",
+)
+def _batch_outcomes(spark, sf_dir):
+    """Batches with a customer deep in debt are refused as a whole."""
+    debt = bars.table(spark, sf_dir, "customer").where("c_acctbal < -950").select(F.col("c_custkey").alias("ord"))
+    failed = _asked(spark, sf_dir).join(debt, "ord").select("batch").distinct().withColumn("error", F.lit("refused"))
+    return vendor.batch_outcomes(_asked(spark, sf_dir), _delivered(spark, sf_dir, "1-URGENT"), failed)
 
 
 @query("content_hash", f"SELECT symbol, sha256(string_agg(sha256(strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || CAST(volume AS VARCHAR)), '' ORDER BY ts)) AS source_fingerprint, CAST(count(*) AS BIGINT) AS n_rows FROM ({sql.DAILY}) GROUP BY symbol")
@@ -169,7 +194,13 @@ def _fingerprint_changed(spark, sf_dir):
 
 
 def _shared_root(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barloom-")
+    """A new store root in the folder that driver and executors share; a temporary one only where all is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="barloom-")
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.calendar import interval, latest_completed_day
+from barloom.functions.calendar import interval
 
 
 class ConfigError(ValueError):
@@ -30,30 +30,45 @@ class Config:
     enabled: bool = True
 
     def window(self, now: datetime) -> tuple[date, date]:
-        """First and last day to ask for: up to ``end_date``, or up to the last completed day at local time ``now``."""
-        return self.start_date, self.end_date or latest_completed_day(now)
+        """First and last day to ask for: up to ``end_date``, or up to the day of ``now``. Whether the candles of that day are
+        complete is decided for each candle when they are normalized."""
+        return self.start_date, self.end_date or now.date()
 
 
-#: Section and key of each setting.
+#: Sections and keys of each setting: our own first, then those of the published configuration files (fixed values).
 _PLACES = {
-    "data_dir": "paths", "symbols_file": "paths", "interval": "download", "start_date": "download", "end_date": "download", "batch_size": "vendor", "timeout": "vendor", "threads": "vendor", "enabled": "indicators",
-}
+    "data_dir": ("paths.data_dir",), "symbols_file": ("paths.symbols_file",), "interval": ("download.interval", "yahoo.interval"), "start_date": ("download.start_date", "download.initial_start_date"), "end_date": ("download.end_date",),
+    "batch_size": ("vendor.batch_size", "yahoo.batch_size"), "timeout": ("vendor.timeout", "yahoo.timeout_seconds"), "threads": ("vendor.threads", "yahoo.threads"), "enabled": ("indicators.enabled",),
+}
 _TYPES = {"data_dir": str, "symbols_file": str, "interval": str, "start_date": date, "end_date": date, "batch_size": int, "timeout": int, "threads": bool, "enabled": bool}
 
 
+def _typed(place: str, kind: type, value):
+    """The value, where a date may also be given as ISO text."""
+    if kind is date and isinstance(value, str):
+        try:
+            return date.fromisoformat(value)
+        except ValueError as e:
+            raise ConfigError(f"{place} is not a date: {value}") from e
+    if not isinstance(value, kind) or kind is int and isinstance(value, bool) or isinstance(value, datetime):
+        raise ConfigError(f"{place} must be of type {kind.__name__}")
+    return value
+
+
 def load_config(path: str | Path) -> Config:
     path = Path(path)
     raw = tomllib.loads(path.read_text())
-    given = {}
+    names, given = {p: name for name, places in _PLACES.items() for p in places}, {}
     for section, keys in raw.items():
         if not isinstance(keys, dict):
             raise ConfigError(f"unknown setting: {section}")
         for key, value in keys.items():
-            if _PLACES.get(key) != section:
+            name = names.get(f"{section}.{key}")
+            if name is None:
                 raise ConfigError(f"unknown setting: {section}.{key}")
-            if not isinstance(value, _TYPES[key]) or _TYPES[key] is int and isinstance(value, bool) or isinstance(value, datetime):
-                raise ConfigError(f"{section}.{key} must be of type {_TYPES[key].__name__}")
-            given[key] = value
+            if name in given:
+                raise ConfigError(f"{section}.{key} is given twice")
+            given[name] = _typed(f"{section}.{key}", _TYPES[name], value)
     missing = [f.name for f in fields(Config) if f.name not in given and f.name in ("data_dir", "symbols_file", "interval", "start_date")]
     if missing:
         raise ConfigError(f"missing settings: {', '.join(missing)}")

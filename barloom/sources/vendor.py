@@ -1,7 +1,8 @@
-"""Vendor download as a Spark data source: one partition per chunk of symbols, errors as rows.
+"""Vendor download: symbols in batches, one fetch for each batch, errors as rows.
 
-The transport is a function ``(symbols, start, end_exclusive, options) -> {symbol: [(ts, o, h, l, c, v)]}``
-named by ``module:function``, so that executors import it; none is shipped, as the engine needs no network.
+The transport is a function ``(symbols, params) -> {symbol: [(ts, o, h, l, c, v)]}`` named by ``module:function``, so that
+executors import it; none is shipped, as the engine needs no network. What tasks fetch goes to a landing table
+(``sources.landing``), from which everything later reads.
 """
 
 from __future__ import annotations
@@ -9,16 +10,22 @@ from __future__ import annotations
 import importlib
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SCHEMA = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, error string"
-NO_DATA = "no data after individual retry"
+from barloom.functions.blocks import positions
 
+FETCHED = "batch long, symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, seq long, error string"
+NO_DATA = "no data after the symbol was asked for alone"
+#: Ids in a cell while symbols are numbered.
+_CELL = 4096
 
-def chunks(items: list, size: int) -> list[list]:
-    """Consecutive slices."""
-    return [items[i : i + size] for i in range(0, len(items), size)]
+
+def request_batches(symbols: DataFrame, size: int, order: str = "ord") -> DataFrame:
+    """``symbol, ord, batch``: consecutive batches of ``size`` symbols in the order of the long column ``order``."""
+    rows = positions(symbols.select("symbol", F.col(order).cast("long").alias("ord")), [], F.expr(f"ord div {_CELL}L"), ["ord", "symbol"], "place")
+    return rows.select("symbol", "ord", F.expr(f"place div {size}L").alias("batch"))
 
 
 def request(start: date, end: date, options: dict) -> dict:
@@ -27,7 +34,7 @@ def request(start: date, end: date, options: dict) -> dict:
 
 
 def download(fetch, symbols: list[str], params: dict):
-    """Rows of one chunk. A failed chunk gives every symbol its error; symbols that were not delivered are
+    """Rows of one batch. A failed batch gives every symbol its error; symbols that were not delivered are
     asked for once more one by one."""
     try:
         got = fetch(symbols, params)
@@ -47,42 +54,35 @@ def download(fetch, symbols: list[str], params: dict):
     return rows
 
 
-class _Chunk(InputPartition):
-    def __init__(self, symbols):
-        self.symbols = symbols
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
-
-    def partitions(self):
-        return [_Chunk(c) for c in chunks(self.options["symbols"].split(","), int(self.options.get("batch_size", 50)))]
-
-    def read(self, partition):
-        module, name = self.options["fetch"].split(":")
-        fetch = getattr(importlib.import_module(module), name)
-        params = request(date.fromisoformat(self.options["start"]), date.fromisoformat(self.options["end"]), dict(self.options))
-        yield from download(fetch, partition.symbols, params)
-
+def fetch_batches(requests: DataFrame, fetch: str, params: dict) -> DataFrame:
+    """``FETCHED`` rows of all batches of ``requests``; a batch is one call of the transport in one task, and ``seq`` is the
+    place of a row in what it delivered."""
+    whole = requests.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("ord", "symbol"))).alias("asked"))
+    whole = whole.select("batch", F.transform("asked", lambda x: x["symbol"]).alias("symbols"))  # a batch is bounded by its size
 
-class VendorSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "barloom_vendor"
+    def run(batches):
+        module, name = fetch.split(":")
+        transport = getattr(importlib.import_module(module), name)
+        for b in batches:
+            for batch, symbols in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = download(transport, symbols, params)
+                names, *values, errors = zip(*rows)
+                columns = [pa.array([batch] * len(rows), pa.int64()), pa.array(names, pa.string()), pa.array(values[0], pa.timestamp("us"))]
+                columns += [pa.array([None if v is None else float(v) for v in c], pa.float64()) for c in values[1:]]
+                columns += [pa.array(range(len(rows)), pa.int64()), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FETCHED.split(", ")])
 
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options)
-
-
-def read_vendor(spark: SparkSession, fetch: str, symbols: list[str], start: date, end: date, interval: str = "1d", batch_size: int = 50, timeout: int = 30, threads: bool = True) -> DataFrame:
-    spark.dataSource.register(VendorSource)
-    options = {"fetch": fetch, "symbols": ",".join(symbols), "interval": interval, "threads": str(threads), "start": start.isoformat(), "end": end.isoformat(), "batch_size": str(batch_size), "timeout": str(timeout)}
-    return spark.read.format("barloom_vendor").options(**options).load()
+    return whole.mapInArrow(run, FETCHED)
 
 
 def missing_symbols(requested: DataFrame, delivered: DataFrame) -> DataFrame:
     return requested.join(delivered.select("symbol").distinct(), "symbol", "left_anti")
+
+
+def batch_outcomes(requests: DataFrame, rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """``symbol, batch, n_rows, error``: what came of each request. The error of a failed batch (``batch, error``) is that of
+    all its symbols; others without rows have no data."""
+    counts = rows.where("error IS NULL").groupBy("symbol").agg(F.count("*").alias("n_rows"))
+    found = requests.join(failed.select("batch", F.col("error").alias("__failed")), "batch", "left").join(counts, "symbol", "left")
+    n = F.when(F.col("__failed").isNull(), F.coalesce("n_rows", F.lit(0))).otherwise(0)
+    return found.select("symbol", "batch", n.alias("n_rows"), F.coalesce("__failed", F.when(F.col("n_rows").isNull(), NO_DATA)).alias("error"))

@@ -1,18 +1,22 @@
 import json
 import math
+import random
 from datetime import UTC, date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from barloom import cli
 from barloom.functions import calendar
+from barloom.functions.blocks import positions
 from barloom.operators import normalize, pullback, screen, similarity, structure, validate, windows
 from barloom.plans.update import refresh_indicators, report, stores, update
-from barloom.sources import config, vendor
+from barloom.sources import config, landing, vendor
 from barloom.sources.store import StoreError, check_symbol, require_native
 from barloom.streaming.bars import stream_bars
 from test_indicators import SCHEMA, history
+from tests.transport import NOTES
 
 RAW = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, seq long"
 
@@ -144,12 +148,96 @@ def test_windows_in_order(spark):
     assert [(r.s, r.e) for r in windows.first_windows(df, "s", "e").orderBy("position").collect()] == [(0, 9), (10, 11), (30, 31)]
 
 
-def test_vendor_source_and_window(spark):
-    got = vendor.read_vendor(spark, "barloom.plans.catalog:_fetch_bars", ["AB", "ZZ", "RR"], date(2024, 1, 1), date(2024, 1, 2), "1h", batch_size=1).orderBy("symbol").collect()
-    assert [(r.symbol, r.close, r.error) for r in got] == [("AB", 2.0, None), ("RR", None, vendor.NO_DATA), ("ZZ", None, "refused")]
+def test_batches_are_fetched_once(spark, tmp_path):
+    NOTES.write_text(str(tmp_path))
+    calls = lambda: sorted(f.read_text() for f in tmp_path.iterdir() if f.is_file())
+    names = ["AB", "C,D", "RX", "ZZ", "EE", "FFF", "G"]
+    asked = vendor.request_batches(spark.createDataFrame([(n, i) for i, n in enumerate(names)], "symbol string, ord long"), 3)
+    land = landing.Landing(spark, f"file://{tmp_path}/store")
+    assert land.fetch("r1", asked, "tests.transport:noted_fetch", vendor.request(date(2024, 1, 1), date(2024, 1, 1), {})) == [0, 1, 2]
+    first = ["AB,C,D,RX", "G", "RX", "ZZ,EE,FFF"]  # three batches and one symbol asked for alone
+    assert calls() == first
+    got = {r.symbol: (r.batch, r.close, r.error) for r in land.read("r1").collect()}
+    assert got == {"AB": (0, 2.0, None), "C,D": (0, 3.0, None), "RX": (0, None, vendor.NO_DATA), "ZZ": (1, None, "refused"), "EE": (1, None, "refused"), "FFF": (1, None, "refused"), "G": (2, 1.0, None)}
+    # the same run again fetches nothing, whatever is done with its rows
+    assert land.fetch("r1", asked, "tests.transport:noted_fetch", {}) == []
+    update(spark, f"file://{tmp_path}/store", "1h", land.read("r1"), asked.select("symbol", "ord"), datetime(2024, 1, 3, tzinfo=UTC)).collect()
+    assert calls() == first
+    # a batch that is gone, as after a job that died, is the only one to be fetched
+    land.folder.delete("run=r1/batch=2")
+    assert land.fetch("r1", asked, "tests.transport:noted_fetch", {}) == [2] and calls() == sorted([*first, "G"])
+
+
+def test_landed_batches_of_a_job_that_dies_stay(spark, tmp_path):
+    land = landing.Landing(spark, f"file://{tmp_path}")
+    row = lambda b, s, c: (b, s, datetime(2024, 1, 1), 1.0, 1.0, 1.0, c, 1.0, 0, None)
+    frame = spark.createDataFrame([row(k, f"S{k}", float(k)) for k in range(4)], vendor.FETCHED).repartitionByRange(4, "batch")
+    bad = frame.withColumn("close", F.when(F.col("batch") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("close")))
+    with pytest.raises(Exception, match="lost"):
+        land.put("r", bad)
+    there = land.landed("r")
+    assert 3 not in there
+    assert land.put("r", frame.withColumn("close", F.lit(9.0))) == sorted({0, 1, 2, 3} - set(there))
+    assert {r.batch: r.close for r in land.read("r").collect()} == {k: float(k) if k in there else 9.0 for k in range(4)}
+    assert land.read("other").count() == 0
+    with pytest.raises(ValueError, match="invalid run"):
+        land.put("../x", frame)
+
+
+def test_vendor_request_and_window():
     assert vendor.request(date(2024, 1, 1), date(2024, 1, 2), {"interval": "1h", "threads": "False"}) | {"timeout": 0} == {"interval": "1h", "start": "2024-01-01", "end": "2024-01-03", "auto_adjust": True, "actions": False, "threads": False, "timeout": 0}
     c = config.Config("d", "s", "1d", date(2024, 1, 1))
-    assert c.window(datetime(2026, 6, 8, 15))[1] == date(2026, 6, 7) and c.window(datetime(2026, 6, 8, 16))[1] == date(2026, 6, 8)
+    assert c.window(datetime(2026, 6, 8, 14)) == (date(2024, 1, 1), date(2026, 6, 8))  # the day of now: its completed hours count
+
+
+def test_the_hours_of_today_are_stored(spark, tmp_path, capsys):
+    """An update at 14:00 keeps the hours that are over, not only whole days."""
+    now = datetime.now(UTC).replace(tzinfo=None)
+    hour = now.replace(minute=0, second=0, microsecond=0)
+    rows = [("A", hour - timedelta(hours=k), 1.0, 2.0, 0.5, 1.5, 1.0, 9 - k) for k in range(4)]
+    spark.createDataFrame(rows, RAW).write.parquet(str(tmp_path / "raw"))
+    (tmp_path / "s.csv").write_text("symbol\nA\n")
+    (tmp_path / "c.toml").write_text('[paths]\ndata_dir = "data"\nsymbols_file = "s.csv"\n[download]\ninterval = "1h"\nstart_date = 2024-01-01\n')
+    assert cli.main(["--config", str(tmp_path / "c.toml"), "--raw", str(tmp_path / "raw"), "update-all"], spark) == 0
+    assert {r.ts for r in stores(spark, str(tmp_path / "data"), "1h")[0].read().collect()} == {hour - timedelta(hours=k) for k in (1, 2, 3)}
+
+
+@pytest.mark.parametrize(("interval", "start"), [("1h", "2024-12-01"), ("1d", "2014-12-01")])
+def test_published_configuration_files(tmp_path, interval, start):
+    """The layout that existing configuration files have."""
+    text = f"""[paths]
+data_dir = "../market-data"
+symbols_file = "../market-data/metadata/symbols.csv"
+[download]
+initial_start_date = "{start}"
+[yahoo]
+interval = "{interval}"
+batch_size = 50
+timeout_seconds = 30
+threads = true
+[indicators]
+enabled = true
+"""
+    (tmp_path / "config").mkdir()
+    f = tmp_path / "config" / "c.toml"
+    f.write_text(text)
+    c = config.load_config(f)
+    assert c == config.Config((tmp_path / "market-data").resolve(), (tmp_path / "market-data/metadata/symbols.csv").resolve(), interval, date.fromisoformat(start))
+    f.write_text(text.replace(start, "soon"))
+    with pytest.raises(config.ConfigError, match="not a date"):
+        config.load_config(f)
+    f.write_text(text + "[vendor]\nbatch_size = 3\n")
+    with pytest.raises(config.ConfigError, match="given twice"):
+        config.load_config(f)
+
+
+def test_positions(spark):
+    """Numbers over many cells equal those of one window, nulls of the key included."""
+    rng = random.Random(0)
+    rows = sorted({(rng.choice(["A", "B", None]), rng.randint(0, 5000)) for _ in range(600)}, key=str)
+    df = spark.createDataFrame(rows, "symbol string, t long")
+    got = {(r.symbol, r.t): r.idx for r in positions(df, ["symbol"], F.expr("t div 100"), ["t"]).collect()}
+    assert got == {(s, t): sum(1 for s2, t2 in rows if s2 == s and t2 < t) for s, t in rows}
 
 
 def test_sorted(spark):
@@ -204,7 +292,6 @@ def test_vendor_retries_and_isolates():
     assert vendor.download(fetch, ["A", "B"], {}) == [("A", 1, 1, 1, 1, 1, 1, None), ("B", *[None] * 6, vendor.NO_DATA)] and calls == [("A", "B"), ("B",)]
     assert [r[-1] for r in vendor.download(fetch, ["X", "Y"], {})] == ["down", "down"]
     assert vendor.request(date(2026, 6, 1), date(2026, 6, 5), {})["end"] == "2026-06-06"
-    assert vendor.chunks([1, 2, 3], 2) == [[1, 2], [3]]
 
 
 def test_config(tmp_path, spark):
