@@ -3,7 +3,7 @@
 ``update-all`` and ``update-symbol SYMBOL`` read raw rows from a landing folder of Parquet files (``--raw``) or from the
 vendor through a transport function (``--fetch module:function``), each batch once, by way of a landing table; ``--run NAME`` goes on with a run
 that has begun. ``structure``, ``similar`` and ``lookup`` print one JSON
-document on standard output. Exit codes: 0 done, 1 a symbol failed, 2 bad input.
+document on standard output, ``screen`` writes the Markdown report and prints its place, ``distinct-csv`` drops repeated rows of CSV files. Exit codes: 0 done, 1 a symbol failed, 2 bad input.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.indicators import with_indicators
-from barloom.operators import pullback, similarity, structure
+from barloom.functions.indicators import EMA_LENGTHS, with_indicators
+from barloom.operators import pullback, screen, similarity, structure
 from barloom.plans.update import report, stores, update
+from barloom.sources import csv
 from barloom.sources.bars import resample
 from barloom.sources.config import Config, load_config, read_symbols
-from barloom.sources.store import StoreError, check_symbol, prices_with_indicators
+from barloom.sources.store import StoreError, check_symbol, load_prices_with_indicators
 from barloom.sources.landing import Landing
+from barloom.sources.shared import released, written
 from barloom.sources.vendor import request, request_batches
 
 
@@ -71,22 +73,33 @@ def ask_similar(spark: SparkSession, config: Config, symbol: str) -> dict:
     request = structure.AnalysisRequest(similarity.validate_symbol(symbol), config.interval)
     found, source = _bars(spark, config, request)
     rows = similarity.matches(with_indicators(found)).orderBy("position").collect()
-    meta = structure.metadata(request, source) | {"window": similarity.WINDOW, "max_matches": similarity.MAX_MATCHES, "future_periods": list(similarity.FUTURE_PERIODS)}
+    meta = structure.metadata(request, source) | {"warning": similarity.WARNING, "match_count": len(rows)} | {"window": similarity.WINDOW, "max_matches": similarity.MAX_MATCHES, "future_periods": list(similarity.FUTURE_PERIODS)}
     return {"data": meta, "matches": [{k: _plain(v) for k, v in r.asDict().items() if k != "symbol"} for r in rows]}
 
 
 def ask_lookup(spark: SparkSession, config: Config, symbol: str, rows: int) -> dict:
     """The last rows of prices with their indicators."""
-    prices, indicators = (s.read([check_symbol(symbol)]) for s in stores(spark, str(config.data_dir), config.interval))
-    if prices is None or indicators is None:
-        raise StoreError(f"nothing is stored of {symbol}")
-    last = prices_with_indicators(prices, indicators).orderBy(F.desc("ts")).limit(rows).collect()
+    last = load_prices_with_indicators(*stores(spark, str(config.data_dir), config.interval), [check_symbol(symbol)]).orderBy(F.desc("ts")).limit(rows).collect()
     return {"data": {"symbol": symbol, "requested_interval": config.interval}, "rows": [{k: _plain(v) for k, v in r.asDict().items()} for r in reversed(last)]}
 
 
+def ask_screen(spark: SparkSession, config: Config, now: datetime) -> str:
+    """The Markdown report over the shortlisted symbols of all stored ones."""
+    prices = stores(spark, str(config.data_dir), config.interval)[0].read()
+    if prices is None:
+        raise StoreError("no prices are stored")
+    bars = written(with_indicators(prices, pullback.PULLBACK_COLUMNS), "bars")
+    calibrated = pullback.calibrated_window(pullback.shortlists(bars))
+    chosen = calibrated.select(F.explode("shortlist").alias("symbol"))
+    short = bars.groupBy("symbol").agg(F.max("idx").alias("last")).where(F.col("last") < max(EMA_LENGTHS) - 1).count()
+    rows = written(pullback.screen_rows(bars.join(chosen, "symbol", "left_semi")), "screen")
+    said = screen.disclosures(calibrated, pullback.HORIZON, *pullback.CLAMP_DAYS, short, rows.count())
+    return screen.markdown(rows, f"Pullback screen {config.interval} {now:%y-%m-%d %H:%M}", said)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="barloom")
-    parser.add_argument("--config", required=True)
+    parser.add_argument("--config")
     parser.add_argument("--raw")
     parser.add_argument("--fetch")
     parser.add_argument("--run")
@@ -104,12 +117,31 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     asked = commands.add_parser("lookup")
     asked.add_argument("--symbol", required=True)
     asked.add_argument("--rows", type=int, default=1)
+    commands.add_parser("screen").add_argument("--out")
+    asked = commands.add_parser("distinct-csv")
+    asked.add_argument("source")
+    asked.add_argument("target")
+    asked.add_argument("--multiline", action="store_true")
     args = parser.parse_args(argv)
     began = time.monotonic()
+    if not args.config and args.command != "distinct-csv":
+        parser.error("--config is required")
     try:
+        if args.command == "distinct-csv":
+            csv.remove_duplicates(spark or SparkSession.builder.appName("barloom").getOrCreate(), args.source, args.target, args.multiline)
+            return 0
         config = load_config(args.config)
         log = setup_logging(config.data_dir / "logs", datetime.now(UTC))
         spark = spark or SparkSession.builder.appName("barloom").getOrCreate()
+        if args.command == "screen":
+            now = datetime.now(UTC)
+            folder = Path(args.out) if args.out else config.data_dir / "output"
+            folder.mkdir(parents=True, exist_ok=True)
+            text = released(spark, lambda: ask_screen(spark, config, now))
+            place = folder / f"{now:%y-%m-%d-%H%M}-{config.interval}.md"
+            place.write_text(text)
+            print(place)
+            return 0
         if args.command in ("structure", "similar", "lookup"):
             if args.command == "structure":
                 request = structure.validate_request(args.symbol, args.interval or config.interval, args.start, args.end, args.periods, args.historical)

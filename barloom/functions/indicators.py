@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scan import Recurrence, affine_scan
+from barloom.functions.blocks import micros, positions, trailing_extremes
+from barloom.functions.scan import BLOCK, Recurrence, affine_scan, block_of
 
 EMA_LENGTHS = (10, 20, 50, 100, 200)
 #: Fixed output columns and their order.
@@ -20,74 +21,105 @@ INDICATOR_COLUMNS = (
 NULLABLE = ("relative_volume_20",)
 _DI = ("plus_di_14", "minus_di_14", "adx_14")
 _MACD = ("macd_12_26", "macd_signal_9", "macd_histogram")
+_BANDS = ("band_upper_20_2", "band_middle_20", "band_lower_20_2", "band_width_20_2")
+_TRAILING = ("trailing_365d_high", "trailing_365d_low", "distance_from_365d_high_percent")
 #: The output columns that read a recurrence, where they are others than its own.
 _READ_BY = {
-    "ema_20": ("ema_20", "band_upper_20_2", "band_middle_20", "band_lower_20_2", "band_width_20_2"), "volume_ema_20": ("volume_ema_20", "relative_volume_20"),
-    "atr_14": ("atr_14", "atr_percent_14"), "__g": ("rsi_14",), "__l": ("rsi_14",), "__fast": _MACD, "__slow": _MACD, "macd_signal_9": _MACD[1:],
+    "ema_20": ("ema_20", *_BANDS), "volume_ema_20": ("volume_ema_20", "relative_volume_20"), "atr_14": ("atr_14", "atr_percent_14"), "__g": ("rsi_14",), "__l": ("rsi_14",), "__fast": _MACD, "__slow": _MACD, "macd_signal_9": _MACD[1:],
     "__wtr": _DI, "__wpdm": _DI, "__wmdm": _DI,
 }
-HISTORY = "INTERVAL 365 DAYS"
+#: What resuming needs at the end of a block; the last is what the average of the directional index has read last.
+STATE_COLUMNS = (*[f"ema_{n}" for n in EMA_LENGTHS], "__fast", "__slow", "volume_ema_20", "__g", "__l", "atr_14", "__wtr", "__wpdm", "__wmdm", "obv", "macd_signal_9", "adx_14", "adx_14__x")
+#: Rows of the state store; ``__halo_ts`` is the time of the first bar that the windows of the next block read.
+STATE = "symbol string, ts timestamp_ntz, idx bigint, __halo_ts timestamp_ntz, " + ", ".join(f"{c} double" for c in STATE_COLUMNS)
+DAYS = 365
+HISTORY = f"INTERVAL {DAYS} DAYS"
+#: Rows before a block that its windows read.
+HALO = 20
 
 
-def _mean(column, n: int):
-    return F.avg(column).over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(1 - n, 0))
+def _mean_of(column, n: int, a: float, b: float, start: int, **more) -> Recurrence:
+    """Seeded with the mean of the ``n`` rows that end at ``start``."""
+    return Recurrence(column, a, b, start, n, 1 / n, **more)
 
 
 def _ema(column, n: int, start: int | None = None) -> Recurrence:
-    """Seeded with the mean of the ``n`` rows that end at ``start``."""
-    return Recurrence(column, 1 - 2 / (n + 1), 2 / (n + 1), n - 1 if start is None else start, F.col(f"__mean{n}"))
+    return _mean_of(column, n, 1 - 2 / (n + 1), 2 / (n + 1), n - 1 if start is None else start)
 
 
-def _wilder(column, n: int, start: int, seed) -> Recurrence:
-    return Recurrence(column, (n - 1) / n, 1 / n, start, seed)
+def _wilder(column, n: int, start: int, **more) -> Recurrence:
+    return _mean_of(column, n, (n - 1) / n, 1 / n, start, **more)
 
 
-def _scan(df: DataFrame, series: dict[str, Recurrence], only: tuple[str, ...]) -> DataFrame:
+def _scan(df: DataFrame, series: dict[str, Recurrence], only: tuple[str, ...], state: DataFrame | None) -> DataFrame:
     """Only those recurrences that a column of ``only`` reads; the others are null."""
     read = {n: r for n, r in series.items() if set(_READ_BY.get(n, (n,))) & set(only)}
-    df = df.withColumns({n: F.lit(None).cast("double") for n in series if n not in read})
-    return affine_scan(df, read) if read else df
-
-
-def with_indicators(bars: DataFrame, only: tuple[str, ...] = INDICATOR_COLUMNS) -> DataFrame:
-    """``bars`` with ``idx`` and the indicator columns ``only``; one shuffle by symbol. Windows of other columns
-    are pruned by the optimizer, recurrences here."""
-    series = Window.partitionBy("symbol").orderBy("ts")
+    missing = {n: F.lit(None).cast("double") for n in series if n not in read} | {f"{n}__x": F.lit(None).cast("double") for n, r in series.items() if r.hold and n not in read}
+    initial = None
+    if state is not None:
+        held = [c for n, r in read.items() if r.hold for c in (F.col(f"{n}__x").alias(f"__x_{n}"), F.lit(0.0).alias(f"__t_{n}"))]
+        initial = state.select("symbol", block_of().alias("__block"), *[F.coalesce(n, F.lit(0.0)).alias(f"__e_{n}") for n in read], *held)
+    df = df.withColumns(missing) if missing else df
+    return affine_scan(df, read, initial=initial) if read else df
+
+
+def numbered(bars: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """``bars`` with ``idx``, from 0, or so that the bar at the time of ``state`` (``symbol, ts, idx``) has its number."""
+    cell = F.expr(f"(__at - pmod(__at, {DAYS * 86_400_000_000}L)) div {DAYS * 86_400_000_000}L")
+    rows = positions(bars.withColumn("__at", micros("ts")), ["symbol"], cell, ["ts"]).drop("__at")
+    if state is None:
+        return rows
+    known = state.select(F.col("symbol").alias("__symbol"), F.col("ts").alias("__ts"), F.col("idx").alias("__idx"))
+    shift = bars.join(known, F.col("symbol") == F.col("__symbol")).groupBy("symbol").agg((F.first("__idx") + 1 - F.count_if(F.col("ts") <= F.col("__ts"))).alias("__shift"))
+    return rows.join(shift, "symbol").withColumn("idx", F.col("idx") + F.col("__shift")).drop("__shift")
+
+
+def with_indicators(bars: DataFrame, only: tuple[str, ...] = INDICATOR_COLUMNS, state: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``bars`` with ``idx`` and the indicator columns ``only``. Windows over rows span a symbol and a block of ``BLOCK`` bars or a
+    year, so a long series is many tasks. Windows of other columns are pruned by the optimizer, recurrences here.
+
+    ``state`` resumes series: rows of ``STATE_COLUMNS`` with ``symbol, ts, idx``, one a symbol, at the end of a block. Then
+    ``bars`` need to reach back ``DAYS`` days and ``HALO`` bars only, and the result begins after that block. ``keep`` are further
+    columns of the computation to return."""
     close, high, low = F.col("close"), F.col("high"), F.col("low")
-    df = bars.withColumns({
-        "idx": F.row_number().over(series) - 1, "__volume": F.col("volume").cast("double"),
-        "__c1": F.lag("close").over(series), "__h1": F.lag("high").over(series), "__l1": F.lag("low").over(series), "__c20": F.lag("close", 20).over(series),
-    })
+    df = numbered(bars, state)
+    if set(_TRAILING) & set(only):
+        df = trailing_extremes(df, DAYS, {"trailing_365d_high": "high"}, {"trailing_365d_low": "low"})
+    else:
+        df = df.withColumns({c: F.lit(None).cast("double") for c in _TRAILING[:2]})
+    if state is not None:
+        known = state.select(F.col("symbol").alias("__symbol"), F.col("idx").alias("__from"))
+        df = df.join(known, F.col("symbol") == F.col("__symbol")).where(F.col("idx") > F.col("__from") - HALO).drop("__symbol")
+        fresh = F.col("idx") > F.col("__from")
+    # the last rows of a block are seen by the next one too
+    own = F.struct(block_of().alias("__block"), F.lit(True).alias("__own"))
+    next_one = F.when(F.col("idx") % BLOCK >= BLOCK - HALO, F.struct((block_of() + 1).alias("__block"), F.lit(False).alias("__own")))
+    df = df.select("*", F.inline(F.filter(F.array(own, next_one), lambda x: x.isNotNull())))
+    near = Window.partitionBy("symbol", "__block").orderBy("idx")
+    df = df.withColumns({
+        "__volume": F.col("volume").cast("double"), "__c1": F.lag("close").over(near), "__h1": F.lag("high").over(near), "__l1": F.lag("low").over(near), "__c20": F.lag("close", 20).over(near),
+        "__sd": F.stddev_pop("close").over(near.rowsBetween(1 - HALO, 0)), "__halo_ts": F.min("ts").over(near.rowsBetween(1 - HALO, 0)),
+    }).where("__own").drop("__own", "__block")
+    if state is not None:
+        df = df.where(fresh).drop("__from")
     move, up, down = close - F.col("__c1"), high - F.col("__h1"), F.col("__l1") - low
     first = F.col("idx") == 0
     df = df.withColumns({
         "__gain": F.when(first, 0.0).otherwise(F.greatest(move, F.lit(0.0))), "__loss": F.when(first, 0.0).otherwise(F.greatest(-move, F.lit(0.0))),
         "__tr": F.when(first, 0.0).otherwise(F.greatest(high - low, F.abs(high - F.col("__c1")), F.abs(low - F.col("__c1")))),
         "__pdm": F.when(~first & (up > down) & (up > 0), up).otherwise(0.0), "__mdm": F.when(~first & (down > up) & (down > 0), down).otherwise(0.0),
-        "__flow": F.when(first, F.col("volume")).otherwise(F.signum(move) * F.col("volume")),
-    })
-    days = f"OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN {HISTORY} PRECEDING AND CURRENT ROW)"
-    total = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-12, 0)
-    df = df.withColumns({
-        **{f"__mean{n}": _mean("close", n) for n in (10, 12, 20, 26, 50, 100, 200)}, "__vmean": _mean("__volume", 20),
-        **{f"__m14{c}": _mean(f"__{c}", 14) for c in ("gain", "loss", "tr")}, **{f"__s13{c}": F.sum(f"__{c}").over(total) for c in ("tr", "pdm", "mdm")},
-        "__sd": F.stddev_pop("close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-19, 0)),
-        "obv": F.sum("__flow").over(series.rowsBetween(Window.unboundedPreceding, 0)),
-        "trailing_365d_high": F.expr(f"max(high) {days}"), "trailing_365d_low": F.expr(f"min(low) {days}"),
-    })
+        "__flow": F.when(first, F.col("__volume")).otherwise(F.signum(move) * F.col("__volume")),
+    }).drop("__h1", "__l1")
     df = _scan(df, {
-        **{f"ema_{n}": _ema(close, n) for n in EMA_LENGTHS}, "__fast": _ema(close, 12, 25), "__slow": _ema(close, 26),
-        "volume_ema_20": Recurrence(F.col("__volume"), 19 / 21, 2 / 21, 19, F.col("__vmean")),
-        "__g": _wilder(F.col("__gain"), 14, 14, F.col("__m14gain")), "__l": _wilder(F.col("__loss"), 14, 14, F.col("__m14loss")), "atr_14": _wilder(F.col("__tr"), 14, 14, F.col("__m14tr")),
-        **{f"__w{c}": Recurrence(F.col(f"__{c}"), 13 / 14, 1.0, 13, F.col(f"__s13{c}")) for c in ("tr", "pdm", "mdm")},
-    }, only)
+        **{f"ema_{n}": _ema(close, n) for n in EMA_LENGTHS}, "__fast": _ema(close, 12, 25), "__slow": _ema(close, 26), "volume_ema_20": _ema(F.col("__volume"), 20),
+        "__g": _wilder(F.col("__gain"), 14, 14), "__l": _wilder(F.col("__loss"), 14, 14), "atr_14": _wilder(F.col("__tr"), 14, 14),
+        **{f"__w{c}": Recurrence(F.col(f"__{c}"), 13 / 14, 1.0, 13, 13) for c in ("tr", "pdm", "mdm")}, "obv": Recurrence(F.col("__flow"), 1.0, 1.0, 0),
+    }, only, state)
     di = lambda c: F.when(F.col("idx") >= 14, F.when(F.col("__wtr") == 0, 0.0).otherwise(F.try_divide(100 * F.col(c), F.col("__wtr"))))
     df = df.withColumns({"plus_di_14": di("__wpdm"), "minus_di_14": di("__wmdm"), "macd_12_26": F.col("__fast") - F.col("__slow")})
     both = F.col("plus_di_14") + F.col("minus_di_14")
-    dx = F.when(both != 0, F.try_divide(100 * F.abs(F.col("plus_di_14") - F.col("minus_di_14")), both))
-    df = df.withColumn("__dx", F.coalesce(F.last(dx, True).over(series.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
-    df = df.withColumns({"__dxmean": _mean("__dx", 14), "__macdmean": _mean("macd_12_26", 9)})
-    df = _scan(df, {"macd_signal_9": Recurrence(F.col("macd_12_26"), 0.8, 0.2, 33, F.col("__macdmean")), "adx_14": _wilder(F.col("__dx"), 14, 27, F.col("__dxmean"))}, only)
+    df = df.withColumn("__dx", F.when(both != 0, F.try_divide(100 * F.abs(F.col("plus_di_14") - F.col("minus_di_14")), both)))
+    df = _scan(df, {"macd_signal_9": _mean_of(F.col("macd_12_26"), 9, 0.8, 0.2, 33), "adx_14": _wilder(F.col("__dx"), 14, 27, hold=True)}, only, state)
     e20, sd = F.col("ema_20"), F.when(F.col("idx") >= 19, F.col("__sd"))
     df = df.withColumns({
         "relative_volume_20": F.when(F.col("volume_ema_20") != 0, F.col("volume") / F.col("volume_ema_20")),
@@ -95,19 +127,30 @@ def with_indicators(bars: DataFrame, only: tuple[str, ...] = INDICATOR_COLUMNS)
         "atr_percent_14": F.try_divide(F.col("atr_14"), close) * 100, "macd_histogram": F.col("macd_12_26") - F.col("macd_signal_9"),
         "band_upper_20_2": e20 + 2 * sd, "band_middle_20": e20, "band_lower_20_2": e20 - 2 * sd, "band_width_20_2": F.try_divide(4 * sd, e20) * 100,
         "roc_20": F.when(F.col("idx") >= 20, F.coalesce((F.try_divide(close, F.col("__c20")) - 1) * 100, F.lit(0.0))),
-        "distance_from_365d_high_percent": (F.try_divide(close, F.col("trailing_365d_high")) - 1) * 100, "obv": F.col("obv").cast("double"),
+        "distance_from_365d_high_percent": (F.try_divide(close, F.col("trailing_365d_high")) - 1) * 100,
     })
     df = df.withColumns({c: F.when(F.col("idx") >= 33, F.col(c)) for c in ("macd_12_26", "macd_histogram")})
-    return df.select("symbol", "ts", "open", "high", "low", "close", "volume", "idx", *only)
+    return df.select("symbol", "ts", "open", "high", "low", "close", "volume", "idx", *only, *[c for c in keep if c not in only])
 
 
-def indicator_table(bars: DataFrame) -> DataFrame:
-    """The published table: series with a year of history, rows from its end on, all strict columns finite.
-    Series that are too short have no rows."""
-    whole = Window.partitionBy("symbol")
+def published(df: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Rows of ``with_indicators`` from a year after the first bar on (``symbol, first_ts``), all strict columns finite."""
     finite = F.lit(True)
     for c in INDICATOR_COLUMNS:
         if c not in NULLABLE:
             finite &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-    df = with_indicators(bars).withColumn("__from", F.min("ts").over(whole) + F.expr(HISTORY))
-    return df.where((F.col("ts") >= F.col("__from")) & finite).select("symbol", "ts", *INDICATOR_COLUMNS)
+    gate = firsts.select(F.col("symbol").alias("__symbol"), (F.col("first_ts") + F.expr(HISTORY)).alias("__from"))
+    return df.join(gate, F.col("symbol") == F.col("__symbol")).where((F.col("ts") >= F.col("__from")) & finite).drop("__symbol", "__from")
+
+
+def indicator_table(bars: DataFrame, prices: bool = False) -> DataFrame:
+    """The published table: series with a year of history, rows from its end on, all strict columns finite.
+    Series that are too short have no rows. With ``prices`` the bars stay beside their indicators, and no join is needed."""
+    firsts = bars.groupBy("symbol").agg(F.min("ts").alias("first_ts"))
+    found = published(with_indicators(bars), firsts)
+    return found.drop("idx") if prices else found.select("symbol", "ts", *INDICATOR_COLUMNS)
+
+
+def block_ends(df: DataFrame) -> DataFrame:
+    """``STATE`` rows of a frame that keeps ``STATE_COLUMNS``: what resumes a series after each block."""
+    return df.where(F.col("idx") % BLOCK == BLOCK - 1).select("symbol", "ts", "idx", "__halo_ts", *STATE_COLUMNS)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.calendar import is_complete
+from barloom.functions.calendar import ZONE, is_complete
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -53,10 +55,43 @@ def keep_last(df: DataFrame, keys: tuple[str, ...], sequence: str) -> DataFrame:
 
 
 def keep_first_rows(df: DataFrame, sequence: str) -> DataFrame:
-    """Whole-row distinct that keeps the first row of each kind and its sequence."""
+    """Whole-row distinct that keeps the first row of each kind and its sequence. Repeats are dropped ahead of the shuffle, so
+    one row repeated in a third of the table is a few rows there."""
     names = [c for c in df.columns if c != sequence]
-    first = Window.partitionBy(*names).orderBy(sequence)
-    return df.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
+    return df.groupBy(*names).agg(F.min(sequence).alias(sequence)).select(*df.columns)
+
+
+#: Columns as vendors name them, the first of which that is there counts (fixed values).
+TIMES = ("Datetime", "Date", "index")
+
+
+def named(df: DataFrame, time: str | None = None) -> DataFrame:
+    """Vendor columns under canonical names: the time column (``time``, or the first of ``TIMES``, or the first column) becomes ``ts``, and
+    the five values are found whatever their case. Missing ones are an error that lists them in order."""
+    lower = {c.lower(): c for c in df.columns}
+    missing = sorted(c for c in OHLCV if c not in lower)
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    found = time or lower.get("ts") or next((c for c in TIMES if c in df.columns), df.columns[0])
+    rest = [c for c in df.columns if c not in (found, *[lower[v] for v in OHLCV])]
+    return df.select(*rest, F.col(found).alias("ts"), *[F.col(lower[v]).alias(v) for v in OHLCV])
+
+
+def localize(df: DataFrame, ts: str = "ts", zone: str = ZONE) -> DataFrame:
+    """``df`` with ``ts`` as wall-clock time of the exchange: a time without zone is meant so and stays, an instant is moved by the
+    zone's offset, whatever the session's zone. Zones whose offset ever changes after 1970 are refused, as the same wall-clock time
+    could then mean two instants."""
+    if df.schema[ts].dataType.simpleString() == "timestamp_ntz":
+        return df
+    offsets = {ZoneInfo(zone).utcoffset(datetime(1970 + m // 12, m % 12 + 1, 1)) for m in range(12 * 80)}
+    if len(offsets) != 1:
+        raise ValueError(f"the offset of {zone} changes")
+    moved = F.unix_micros(F.col(ts).cast("timestamp")) + F.lit(int(offsets.pop().total_seconds()) * 1_000_000)
+    clock = F.pmod(moved, F.lit(86_400_000_000))
+    day = F.date_from_unix_date(((moved - clock) / 86_400_000_000).cast("int"))
+    second = clock.cast("decimal(18,0)") / 1_000_000
+    at = day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second.cast("decimal(18,6)"))
+    return df.withColumn(ts, at)
 
 
 def normalize(raw: DataFrame, name: str, now: Column, sequence: str = "seq") -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.indicators import EMA_LENGTHS
+from barloom.sources.shared import written
 
+#: The indicators that pullback plans read.
+PULLBACK_COLUMNS = (*[f"ema_{n}" for n in EMA_LENGTHS], "atr_14")
 STOP, HORIZON, MIN_WINNERS, BARS_PER_DAY = 0.03, 15, 5, 7.0
+#: Days that a learned horizon lies between.
+CLAMP_DAYS = (0.5, 10.0)
 
 
 def _series():
@@ -156,7 +161,7 @@ def current_state(bars: DataFrame, zz: DataFrame, sig: DataFrame, trigger: DataF
     turned = F.col("turn_confirmed")
     dip = F.lit("buyable-dip-now") if trigger is None else F.when(turned.isNull(), "buyable-dip-now/turn-unconfirmable").when(turned, "buy-the-dip-turned").otherwise("wait-not-turned")
     label = F.when(high.isNull(), "no-match").when(in_band, dip).when(uptrend & (depth < F.col("band_lo")), "pullback-coming/wait").otherwise("no-match")
-    why = F.when(high.isNull(), "no confirmed swing high").when(label == "pullback-coming/wait", "near high, shallower than typical pullback band")
+    why = F.when(high.isNull(), "no swing high is confirmed yet").when(label == "pullback-coming/wait", "close to the high, not as deep as its usual dips")
     return s.select(
         "symbol", F.col("now.ts").alias("ts"), close.alias("close"), high.alias("live_high"), depth.alias("now_off_high"), low.alias("live_low"), F.col("dip.ts").alias("live_low_ts"), F.col("dip.idx").alias("live_low_idx"),
         F.col("top.idx").alias("high_idx"), ((high - low) / high * 100).alias("live_low_dip"), "floor_price", F.coalesce(low, F.col("floor_price")).alias("near_term_invalidation"), "n_events", "band_lo", "band_hi", "success_rate",
@@ -164,7 +169,7 @@ def current_state(bars: DataFrame, zz: DataFrame, sig: DataFrame, trigger: DataF
     )
 
 
-def learned_horizon(events: DataFrame, base: int = HORIZON, share: float = 0.75, low_days: float = 0.5, high_days: float = 10.0) -> DataFrame:
+def learned_horizon(events: DataFrame, base: int = HORIZON, share: float = 0.75, low_days: float = CLAMP_DAYS[0], high_days: float = CLAMP_DAYS[1]) -> DataFrame:
     """``symbol, horizon_bars, horizon_days, clamped, learned``: the bars that ``share`` of a symbol's winners need, clamped to
     ``low_days``..``high_days``; the base where fewer than five are known."""
     h = events.where("success").groupBy("symbol").agg(F.count("*").alias("n"), F.percentile("bars_to_win", share).alias("h"))
@@ -177,7 +182,7 @@ def learned_horizon(events: DataFrame, base: int = HORIZON, share: float = 0.75,
 def bounces(events: DataFrame, bars: DataFrame, horizon: DataFrame, base: int = HORIZON) -> DataFrame:
     """``symbol, bounce_base, bounce_learned, delta``: the share of events that succeed within the base horizon and within the
     symbol's own one."""
-    longest = int(10 * BARS_PER_DAY)
+    longest = int(CLAMP_DAYS[1] * BARS_PER_DAY)
     plain = [c for c in events.columns if c not in ("success", "bars_to_win")]
     told = with_outcome(events.select(*plain), bars, horizon=longest).join(horizon.select("symbol", "horizon_bars"), "symbol", "left")
     within = lambda h: F.avg(F.when(F.col("success") & (F.col("bars_to_win") <= h), 1).otherwise(0))
@@ -202,16 +207,30 @@ def recovery_class(bars_needed: F.Column) -> F.Column:
 
 
 def tier(row: DataFrame) -> DataFrame:
-    """``row`` (state columns and ``recovery``) with its tier; rules apply in this order."""
+    """``row`` (state columns and ``recovery``) with its tier; rules apply in this order. What is to be bought or waited for has an
+    intact uptrend and lies inside the symbol's own band, by the close or by the live low; what is deeper is a thin edge,
+    and a broken trend is as much a caution as a low under the floor."""
     dip = F.greatest(F.col("now_off_high"), F.col("live_low_dip"))
+    within = lambda c: F.coalesce(F.col(c).between(F.col("band_lo"), F.col("band_hi")), F.lit(False))
     rule = (
-        F.when(dip > 1.5 * F.col("band_hi"), "AVOID").when(F.col("live_low") < F.col("floor_price"), "CAUTION")
-        .when((F.col("now_off_high") <= 0) | (F.col("now_off_high") < F.col("band_lo")), "WATCH").when(F.col("turn_confirmed").isNull(), "SPEC").when(~F.col("turn_confirmed"), "WAIT")
-        .when(F.coalesce("bounce_base", F.lit(0.0)) < 0.5, "SPEC").when(F.col("recovery") == "slow", "PATIENT").otherwise("BUY")
+        F.when(dip > 1.5 * F.col("band_hi"), "AVOID").when((F.col("live_low") < F.col("floor_price")) | ~F.coalesce("uptrend", F.lit(False)), "CAUTION")
+        .when((F.col("now_off_high") <= 0) | (F.col("now_off_high") < F.col("band_lo")), "WATCH").when(~(within("now_off_high") | within("live_low_dip")), "SPEC").when(F.col("turn_confirmed").isNull(), "SPEC")
+        .when(~F.col("turn_confirmed"), "WAIT").when(F.coalesce("bounce_base", F.lit(0.0)) < 0.5, "SPEC").when(F.col("recovery") == "slow", "PATIENT").otherwise("BUY")
     )
     return row.withColumn("tier", rule)
 
 
+def screen_rows(bars: DataFrame) -> DataFrame:
+    """``with_indicators`` bars (``PULLBACK_COLUMNS``) to one row a symbol with its state, learned trigger and horizon, bounces, fading
+    volume and tier."""
+    zz = zigzag(fractal_pivots(bars))
+    events = written(with_outcome(with_anchor(pullback_events(zz), bars), bars), "events")
+    state = written(current_state(bars, zz, signature(events), turn_trigger(events, bars)), "state")
+    horizon = learned_horizon(events)
+    rows = state.join(horizon, "symbol", "left").join(bounces(events, bars, horizon), "symbol", "left").join(volume_fade(bars, state), "symbol", "left")
+    return tier(rows.withColumn("recovery", recovery_class(F.col("horizon_bars"))))
+
+
 def choppiness(bars: DataFrame, n: int = 14) -> DataFrame:
     """``symbol, choppiness, k`` at the last bar: 100 log10(sum of true ranges / range of ``n`` bars) / log10(n),
     and the pivot half-width we take for it: 4 in a trend, 8 in a choppy series, 6 between the usual bounds."""

@@ -5,7 +5,7 @@ Names of cells, the currency mark and the order of tiers are fixed values of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.pullback import BARS_PER_DAY, HORIZON
@@ -56,13 +56,14 @@ def cells() -> dict[str, Column]:
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    """``place, tier_ord, symbol, line``: the rows of the table as Markdown. Inside a tier by base bounce, then fast and
-    medium before slow recovery, then the smaller gain of the learned horizon, then fading volume, then the deeper dip."""
+    """``place, tier_ord, bounce_base, symbol, line``: the rows of the table as Markdown. Inside a tier by base bounce, then fast and
+    medium before slow recovery, then the smaller gain of the learned horizon, then fading volume, then the deeper dip. A
+    screen is a shortlist, so one task numbers it."""
     rank = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
     text = F.concat(F.lit("| "), F.concat_ws(" | ", *cells().values()), F.lit(" |"))
-    order = [F.col("tier_ord"), F.desc_nulls_last("bounce_base"), F.col("recovery") == "slow", F.abs("delta"), ~F.coalesce("fading", F.lit(False)), F.desc_nulls_last("now_off_high"), F.col("symbol")]
-    ranked = rows.withColumns({"tier_ord": rank, "line": text}).orderBy(*order)
-    return ranked.select("tier_ord", "bounce_base", "symbol", "line")
+    order = [F.col("tier_ord"), F.desc_nulls_last("bounce_base"), (F.col("recovery") == "slow").asc_nulls_last(), F.abs("delta").asc_nulls_last(), (~F.coalesce("fading", F.lit(False))).asc(), F.desc_nulls_last("now_off_high"), F.col("symbol")]
+    ranked = rows.withColumns({"tier_ord": rank, "line": text})
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))).select("place", "tier_ord", "bounce_base", "symbol", "line")
 
 
 def buy_lines(rows: DataFrame) -> DataFrame:
@@ -77,11 +78,23 @@ def buy_lines(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("tier").isin("BUY", "PATIENT", "SPEC")).select("symbol", text.alias("line"))
 
 
-def markdown(rows: DataFrame, title: str, disclosures: str = "") -> str:
+def disclosures(calibrated: DataFrame, horizon: int, low_days: float, high_days: float, short: int, analyzed: int) -> str:
+    """What the report rests on: the calibration row, the base horizon and the clamp of learned ones, symbols left out for a
+    short history, and what is always so."""
+    row = calibrated.first()
+    used = [int(w) for w in row.W_used]
+    windows = str(used[0]) if len(used) == 1 else str(used)
+    return (
+        f"W {row.mode}, overlap {round(row.overlap, 3):g}, W={windows}; bars/day={BARS_PER_DAY:g}; H_base={horizon}, clamp {low_days:g}–{high_days:g}d; {short} excluded for a short history; "
+        f"{len(row.shortlist)} shortlisted, {analyzed} analyzed; only symbols that still trade are looked at; averages and true ranges are computed from the stored bars"
+    )
+
+
+def markdown(rows: DataFrame, title: str, disclosed: str = "") -> str:
     """The whole report; a screen is a shortlist, so its lines fit the driver."""
     counts = [r for r in tier_counts(rows).orderBy("ord").collect() if r.n]
     head = " · ".join(f"{r.n} {r.tier}" for r in counts) + f" — {sum(r.n for r in counts)} analyzed"
-    table = ["| " + " | ".join(CELLS) + " |", "|" + "---|" * len(CELLS), *[r.line for r in lines(rows).collect()]]
+    table = ["| " + " | ".join(CELLS) + " |", "|" + "---|" * len(CELLS), *[r.line for r in lines(rows).orderBy("place").collect()]]
     notes = [f"- **{r.tier}** — {NOTES[r.tier]}." for r in counts]
     said = [r.line for r in buy_lines(rows).orderBy("symbol").collect()]
-    return "\n".join([f"# {title}", "", head, "", *table, "", "## Tiers (this run)", *notes, "", "## Buy lines", *said, "", f"_Disclosures: {disclosures or 'statistics of past bars; not advice'}._"])
+    return "\n".join([f"# {title}", "", head, "", *table, "", "## Tiers (this run)", *notes, "", "## Buy lines", *said, "", f"_Disclosures: {disclosed or 'statistics of past bars; not advice'}._"])

@@ -44,6 +44,32 @@ def _check(df: DataFrame, strict: tuple[str, ...], what: str, one_symbol: str |
         raise ValidationError(f"{what} contains duplicate timestamps")
 
 
+def problems(df: DataFrame, strict: tuple[str, ...], what: str) -> DataFrame:
+    """``symbol, error``: the first broken rule of each symbol that breaks one. Read back from files, rows of a symbol must also
+    ascend in time inside each file."""
+    found = summary(df, strict, "symbol")
+    rule = (
+        F.when(F.col("n_nulls") > 0, f"{what} contains nulls").when(F.col("n_non_finite") > 0, f"{what} contains non-finite values")
+        .when(F.col("n_keys") != F.col("n_rows"), f"{what} contains duplicate timestamps")
+    )
+    found = found.select("symbol", rule.alias("error")).where("error IS NOT NULL")
+    if not df.inputFiles():
+        return found
+    at = Window.partitionBy("symbol", "__file").orderBy("__row")
+    placed = df.select("symbol", "ts", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    back = placed.withColumn("__back", F.col("ts") < F.lag("ts").over(at)).where("__back").select("symbol").distinct()
+    unsorted = back.join(found, "symbol", "left_anti").select("symbol", F.lit(f"{what} is not sorted by timestamp").alias("error"))
+    return found.unionByName(unsorted)
+
+
+def price_problems(df: DataFrame) -> DataFrame:
+    return problems(df, tuple(PRICE_COLUMNS), "price data")
+
+
+def indicator_problems(df: DataFrame) -> DataFrame:
+    return problems(df, ("symbol", "ts", *[c for c in INDICATOR_COLUMNS if c not in NULLABLE]), "indicator result")
+
+
 def unsorted_symbols(df: DataFrame, sequence: str = "seq") -> DataFrame:
     """``symbol`` of those whose rows do not ascend in time by ``sequence``. Rows of a table have no order of their own, so
     one that counts must be a column."""

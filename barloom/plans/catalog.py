@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar
-from barloom.functions.indicators import EMA_LENGTHS, INDICATOR_COLUMNS, indicator_table, with_indicators
+from barloom.functions.blocks import micros
+from barloom.functions.indicators import EMA_LENGTHS, INDICATOR_COLUMNS, STATE_COLUMNS, block_ends, indicator_table, with_indicators
 from barloom.operators import normalize, pullback, screen, similarity, structure, validate, windows
 from barloom.plans import oracle as sql
 from barloom.plans import update
-from barloom.sources import bars, store, vendor
+from barloom.sources import bars, csv, store, vendor
 from barloom.sources.landing import Landing
+from barloom.sources.shared import finished, shared_dir, written
 from barloom.streaming.bars import stream_bars
 
 QUERIES: dict = {}
@@ -77,8 +77,24 @@ for _name, _columns in SINGLE.items():
 _GATE = "ts >= (SELECT min(x.ts) FROM d x WHERE x.symbol = ind.symbol) + INTERVAL 365 DAY AND ema_200 IS NOT NULL"
 query("indicators_full", sql.chain() + _rounded_sql("ind", INDICATOR_COLUMNS, where=_GATE))(lambda s, d: _rounded(indicator_table(bars.daily(s, d)), INDICATOR_COLUMNS))
 query("prices_with_indicators", sql.chain() + _rounded_sql("ind", INDICATOR_COLUMNS, "symbol, ts, open, high, low, close, volume", _GATE))(
-    lambda s, d: _rounded(store.prices_with_indicators(bars.daily(s, d), indicator_table(bars.daily(s, d))), INDICATOR_COLUMNS, ("symbol", "ts", "open", "high", "low", "close", "volume"))
+    lambda s, d: _rounded(indicator_table(bars.daily(s, d), prices=True), INDICATOR_COLUMNS, ("symbol", "ts", "open", "high", "low", "close", "volume"))
 )
+
+
+@query("resumed_indicators", sql.chain() + _rounded_sql("ind", INDICATOR_COLUMNS, where="ema_200 IS NOT NULL"))
+def _resumed_indicators(spark, sf_dir):
+    """Indicators of the bars up to 2000, then of all: the second time from the last whole block on, where there is one."""
+    def make():
+        every = written(bars.daily(spark, sf_dir), "bars")
+        early = written(with_indicators(every.where(F.col("ts") < F.lit(datetime(2000, 1, 1))), keep=(*STATE_COLUMNS, "__halo_ts")), "early")
+        last = block_ends(early).groupBy("symbol").agg(F.max_by(F.struct("ts", "idx", "__halo_ts", *STATE_COLUMNS), "idx").alias("s"))
+        states = written(last.select("symbol", "s.*"), "states")
+        before = early.join(states.select("symbol", F.col("ts").alias("upto")), "symbol").where("ts <= upto").drop("upto")
+        return _rounded(before.unionByName(update.compute(every, states)).where("ema_200 IS NOT NULL"), INDICATOR_COLUMNS)
+
+    return finished(spark, make, "result")
+
+
 query("load_indicators", sql.chain() + _rounded_sql("ind", ("rsi_14",), where=_GATE + " AND symbol IN ('BUILDING', 'MACHINERY') AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-12-31'"))(
     lambda s, d: _rounded(indicator_table(bars.daily(s, d)).where(F.col("symbol").isin("BUILDING", "MACHINERY") & F.col("ts").between(F.lit("1998-01-01").cast("timestamp_ntz"), F.lit("1998-12-31").cast("timestamp_ntz"))), ("rsi_14",))
 )
@@ -181,27 +197,45 @@ def _batch_outcomes(spark, sf_dir):
     return vendor.batch_outcomes(_asked(spark, sf_dir), _delivered(spark, sf_dir, "1-URGENT"), failed)
 
 
-@query("content_hash", f"SELECT symbol, sha256(string_agg(sha256(strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || CAST(volume AS VARCHAR)), '' ORDER BY ts)) AS source_fingerprint, CAST(count(*) AS BIGINT) AS n_rows FROM ({sql.DAILY}) GROUP BY symbol")
-def _content_hash(spark, sf_dir):
-    return store.fingerprints(bars.daily(spark, sf_dir), ["ts", "volume"])
+_WORDS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS BIGINT)" for i in range(8))
+
 
+def _leaves_sql(rows: str) -> str:
+    """Month digests of ``symbol, ts, volume`` rows."""
+    hashed = f"SELECT symbol, date_trunc('month', ts)::TIMESTAMP AS block, sha256(strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || CAST(volume AS VARCHAR)) AS h FROM ({rows})"
+    return f"SELECT symbol, block, sha256(concat_ws(',', count(*), {_WORDS})) AS digest, count(*) AS n FROM ({hashed}) GROUP BY symbol, block"
 
-@query("fingerprint_changed", "SELECT DISTINCT c_mktsegment AS symbol, c_mktsegment = 'BUILDING' AS changed FROM customer JOIN orders ON o_custkey = c_custkey")
-def _fingerprint_changed(spark, sf_dir):
-    b = bars.daily(spark, sf_dir)
-    moved = b.withColumn("close", F.when(F.col("symbol") == "BUILDING", F.col("close") + 1).otherwise(F.col("close")))
-    return store.changed_symbols(store.fingerprints(moved), store.fingerprints(b))
+
+query("block_digests", f"SELECT symbol, block, digest, CAST(n AS BIGINT) AS n_rows FROM ({_leaves_sql(sql.DAILY)})")(lambda s, d: store.block_digests(bars.daily(s, d), ["ts", "volume"]))
+query(
+    "content_hash",
+    f"""WITH y AS (SELECT symbol, year(block) AS y, sha256(string_agg(digest, '' ORDER BY block)) AS digest, sum(n) AS n FROM ({_leaves_sql(sql.DAILY)}) GROUP BY symbol, year(block))
+SELECT symbol, sha256(string_agg(digest, '' ORDER BY y)) AS source_fingerprint, CAST(sum(n) AS BIGINT) AS n_rows FROM y GROUP BY symbol""",
+)(lambda s, d: store.fingerprints(bars.daily(s, d), ["ts", "volume"]))
+_ORDERS_SQL = "SELECT CAST(o_custkey AS VARCHAR) AS symbol, o_orderdate AS ts, CAST(count(*) AS BIGINT) AS volume FROM orders WHERE {} GROUP BY 1, 2"
+_LESS = "o_orderpriority <> '1-URGENT' OR o_orderstatus <> 'P'"
+
+
+def _two_versions(spark, sf_dir):
+    """The order days of customers, and the same without a few orders: leaves of both."""
+    orders = bars.table(spark, sf_dir, "orders")
+    days = lambda df: store.block_digests(df.groupBy(F.col("o_custkey").cast("string").alias("symbol"), F.col("o_orderdate").alias("ts")).agg(F.count("*").alias("volume")))
+    return days(orders), days(orders.where(_LESS))
+
+
+_VERSIONS = f"a AS ({_leaves_sql(_ORDERS_SQL.format('TRUE'))}), b AS ({_leaves_sql(_ORDERS_SQL.format(_LESS))})"
+query(
+    "changed_blocks",
+    f"WITH {_VERSIONS} SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.block, b.block) AS block, CASE WHEN b.n IS NULL THEN 'removed' WHEN a.n IS NULL THEN 'added' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.symbol = b.symbol AND a.block = b.block WHERE a.digest IS DISTINCT FROM b.digest",
+)(lambda s, d: store.changed_blocks(*reversed(_two_versions(s, d))))
+query("fingerprint_changed", f"WITH {_VERSIONS} SELECT b.symbol, sum(b.n) <> (SELECT sum(a.n) FROM a WHERE a.symbol = b.symbol) AS changed FROM b GROUP BY b.symbol")(
+    lambda s, d: store.changed_symbols(*[store.root_digests(x) for x in reversed(_two_versions(s, d))])
+)
 
 
 def _shared_root(spark):
-    """A new store root in the folder that driver and executors share; a temporary one only where all is one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="barloom-")
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    """A new store root in the folder that driver and executors share."""
+    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
 
 
 def _update(spark, sf_dir, root):
@@ -245,6 +279,32 @@ def _split_wide(spark, sf_dir):
 
 query("limit_scan", "SELECT event_id, ts, value FROM events ORDER BY event_id LIMIT 100")(lambda s, d: bars.table(s, d, "events").select("event_id", "ts", "value").orderBy("event_id").limit(100))
 
+@query("csv_distinct", "SELECT user_id, event_type, CAST(min(k) AS BIGINT) AS position FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events) GROUP BY 1, 2")
+def _csv_distinct(spark, sf_dir):
+    """Events written as CSV in the order of their ids, read back with positions, without repeated rows."""
+    place = f"{_shared_root(spark)}/events"
+    events = bars.table(spark, sf_dir, "events").select(F.col("event_id").alias(csv.POSITION), "user_id", "event_type")
+    csv.write_rows(events, place)
+    return csv.distinct_rows(csv.read_rows(spark, place)).withColumnRenamed(csv.POSITION, "position")
+
+
+query("localized", "SELECT event_id, ts + INTERVAL 330 MINUTE AS from_instant, ts AS from_wall_clock FROM events")(
+    lambda s, d: normalize.localize(
+        normalize.localize(bars.table(s, d, "events").select("event_id", F.timestamp_micros(micros("ts")).alias("from_instant"), F.col("ts").alias("from_wall_clock")), "from_instant"), "from_wall_clock"
+    )
+)
+
+
+@query(
+    "normalized_instants",
+    f"SELECT event_type AS symbol, ts + INTERVAL 330 MINUTE AS ts, close FROM (SELECT symbol AS event_type, ts, close FROM ({sql.HOURLY})) WHERE ts + INTERVAL 330 MINUTE + INTERVAL 60 MINUTE <= TIMESTAMP '2024-01-20 12:30:00'",
+)
+def _normalized_instants(spark, sf_dir):
+    """Vendor rows whose times are instants, under vendor names, as bars of the exchange's clock that are complete."""
+    raw = bars.hourly(spark, sf_dir).select("symbol", F.timestamp_micros(micros("ts")).alias("Datetime"), *[F.col(c).alias(c.capitalize()) for c in normalize.OHLCV], F.lit(0).alias("seq"))
+    return normalize.normalize(normalize.localize(normalize.named(raw)), "1h", F.lit("2024-01-20 12:30:00").cast("timestamp_ntz"))[0].select("symbol", "ts", "close")
+
+
 # Windows
 
 query("window_lists", f"SELECT symbol, ts, array_to_string(list(volume) OVER w, ',') AS vols FROM ({sql.DAILY}) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 10")(
@@ -266,53 +326,58 @@ g AS (SELECT symbol, k, high_idx, low_idx, TRUE AS taken, low_idx AS upto FROM q
 SELECT symbol, high_idx, low_idx FROM g WHERE taken""",
 )
 def _nonoverlap(spark, sf_dir):
-    events = pullback.pullback_events(_zigzag(spark, sf_dir))
-    return windows.first_windows(events.select("symbol", "high_idx", "low_idx"), "high_idx", "low_idx").select("symbol", F.col("high_idx").cast("long").alias("high_idx"), F.col("low_idx").cast("long").alias("low_idx"))
+    def make():
+        events = pullback.pullback_events(_zigzag(spark, sf_dir)).select("symbol", "high_idx", "low_idx")
+        return _longs(windows.first_windows(events, "high_idx", "low_idx"), "high_idx", "low_idx").drop("position")
+
+    return finished(spark, make, "result")
 
 
 # Pullbacks
 
 
-def _indicators(spark, sf_dir):
-    """Kept on the executors' disks, as pullback plans read it several times; lost parts are computed anew."""
-    return with_indicators(bars.daily(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
+def _indicators(spark, sf_dir, only=INDICATOR_COLUMNS):
+    """As a table, since pullback plans read it several times; ``_own`` removes it when the result is written."""
+    return written(with_indicators(bars.daily(spark, sf_dir), only), "indicators")
+
+
+def _own(make):
+    """A query that keeps no table but its result."""
+    return lambda s, d: finished(s, lambda: make(s, d), "result")
 
 
 def _zigzag(spark, sf_dir):
-    return pullback.zigzag(pullback.fractal_pivots(_indicators(spark, sf_dir)))
+    return pullback.zigzag(pullback.fractal_pivots(_indicators(spark, sf_dir, ())))
 
 
 def _events(spark, sf_dir):
-    ind = _indicators(spark, sf_dir)
+    ind = _indicators(spark, sf_dir, pullback.PULLBACK_COLUMNS)
     events = pullback.pullback_events(pullback.zigzag(pullback.fractal_pivots(ind)))
-    return pullback.with_outcome(pullback.with_anchor(events, ind), ind).persist(StorageLevel.DISK_ONLY), ind
+    return written(pullback.with_outcome(pullback.with_anchor(events, ind), ind), "events"), ind
 
 
 def _state(spark, sf_dir):
     events, ind = _events(spark, sf_dir)
     zz = pullback.zigzag(pullback.fractal_pivots(ind))
-    return pullback.current_state(ind, zz, pullback.signature(events), pullback.turn_trigger(events, ind)), events, ind
+    return pullback.current_state(ind, zz, pullback.signature(events), pullback.turn_trigger(events, ind))
 
 
 def _tiers(spark, sf_dir):
-    state, events, ind = _state(spark, sf_dir)
-    horizon = pullback.learned_horizon(events)
-    rows = state.join(horizon, "symbol", "left").join(pullback.bounces(events, ind, horizon), "symbol", "left").join(pullback.volume_fade(ind, state), "symbol", "left")
-    return pullback.tier(rows.withColumn("recovery", pullback.recovery_class(F.col("horizon_bars"))))
+    return pullback.screen_rows(_indicators(spark, sf_dir, pullback.PULLBACK_COLUMNS))
 
 
 _longs = lambda df, *c: df.withColumns({x: F.col(x).cast("long") for x in c})
-query("fractal_pivots", sql.chain(*PIVOT_CHAIN) + "SELECT * FROM piv")(lambda s, d: _longs(pullback.fractal_pivots(_indicators(s, d)), "idx"))
-query("zigzag", sql.chain(*EVENT_CHAIN[:2]) + "SELECT * FROM zz")(lambda s, d: _longs(_zigzag(s, d), "idx"))
+query("fractal_pivots", sql.chain(*PIVOT_CHAIN) + "SELECT * FROM piv")(_own(lambda s, d: _longs(pullback.fractal_pivots(_indicators(s, d, ())), "idx")))
+query("zigzag", sql.chain(*EVENT_CHAIN[:2]) + "SELECT * FROM zz")(_own(lambda s, d: _longs(_zigzag(s, d), "idx")))
 query("pullback_events", sql.chain(*EVENT_CHAIN) + "SELECT symbol, high_idx, high, low_idx, low_ts, low, round(depth_pct + 1e-7, 4) AS depth_pct FROM ev")(
-    lambda s, d: _longs(pullback.pullback_events(_zigzag(s, d)), "high_idx", "low_idx").withColumn("depth_pct", F.round(F.col("depth_pct") + HALF, 4))
+    _own(lambda s, d: _longs(pullback.pullback_events(_zigzag(s, d)), "high_idx", "low_idx").withColumn("depth_pct", F.round(F.col("depth_pct") + HALF, 4)))
 )
-query("outcomes", sql.chain(*LEARN_CHAIN) + "SELECT symbol, low_idx, anchor, success, bars_to_win FROM evs")(lambda s, d: _longs(_events(s, d)[0].select("symbol", "low_idx", "anchor", "success", "bars_to_win"), "low_idx", "bars_to_win"))
+query("outcomes", sql.chain(*LEARN_CHAIN) + "SELECT symbol, low_idx, anchor, success, bars_to_win FROM evs")(_own(lambda s, d: _longs(_events(s, d)[0].select("symbol", "low_idx", "anchor", "success", "bars_to_win"), "low_idx", "bars_to_win")))
 query("signature_iqr", sql.chain(*LEARN_CHAIN, sql.SIGNATURE) + _rounded_sql("sig", ("band_lo", "band_hi", "success_rate"), "symbol, n_events, confidence, anchor"))(
-    lambda s, d: _rounded(pullback.signature(_events(s, d)[0]), ("band_lo", "band_hi", "success_rate"), ("symbol", "n_events", "confidence", "anchor"))
+    _own(lambda s, d: _rounded(pullback.signature(_events(s, d)[0]), ("band_lo", "band_hi", "success_rate"), ("symbol", "n_events", "confidence", "anchor")))
 )
 query("turn_trigger", sql.chain(*LEARN_CHAIN, sql.TRIGGER) + _rounded_sql("trg", ("lift", "lag"), "symbol, n_winners, reclaim"))(
-    lambda s, d: _rounded(pullback.turn_trigger(*_events(s, d)), ("lift", "lag"), ("symbol", "n_winners", "reclaim"))
+    _own(lambda s, d: _rounded(pullback.turn_trigger(*_events(s, d)), ("lift", "lag"), ("symbol", "n_winners", "reclaim")))
 )
 STATE_CHAIN = (*LEARN_CHAIN, sql.SIGNATURE, sql.TRIGGER, sql.STATE)
 TIER_CHAIN = (*STATE_CHAIN, sql.HORIZON, sql.BOUNCES, sql.FADE, sql.TIERS)
@@ -321,24 +386,29 @@ STATE_PLAIN = ("symbol", "ts", "close", "live_high", "live_low", "live_low_ts",
 TIER_VALUES = (*STATE_VALUES, "bounce_base", "bounce_learned", "delta", "vol_fade_ratio")
 TIER_PLAIN = (*STATE_PLAIN, "horizon_bars", "clamped", "recovery", "tier")
 _joined = lambda df: df.withColumn("turn_path", F.array_join("turn_path", ","))
-query("current_state", sql.chain(*STATE_CHAIN) + _rounded_sql("st", STATE_VALUES, ", ".join(STATE_PLAIN)))(lambda s, d: _rounded(_joined(_state(s, d)[0]), STATE_VALUES, STATE_PLAIN))
-query("tiers", sql.chain(*TIER_CHAIN) + _rounded_sql("tiered", TIER_VALUES, ", ".join(TIER_PLAIN)))(lambda s, d: _rounded(_joined(_tiers(s, d)), TIER_VALUES, TIER_PLAIN))
-query("screen_lines", sql.chain(*TIER_CHAIN) + sql.SCREEN_LINES)(lambda s, d: _rounded(screen.lines(_tiers(s, d)), ("bounce_base",), ("tier_ord", "symbol", "line")))
-query("tier_counts", sql.chain(*TIER_CHAIN) + sql.TIER_COUNTS)(lambda s, d: screen.tier_counts(_tiers(s, d)))
-query("learned_horizon", sql.chain(*LEARN_CHAIN, sql.HORIZON) + "SELECT symbol, horizon_bars, clamped, learned FROM hz")(lambda s, d: pullback.learned_horizon(_events(s, d)[0]).drop("horizon_days"))
+query("current_state", sql.chain(*STATE_CHAIN) + _rounded_sql("st", STATE_VALUES, ", ".join(STATE_PLAIN)))(_own(lambda s, d: _rounded(_joined(_state(s, d)), STATE_VALUES, STATE_PLAIN)))
+query("tiers", sql.chain(*TIER_CHAIN) + _rounded_sql("tiered", TIER_VALUES, ", ".join(TIER_PLAIN)))(_own(lambda s, d: _rounded(_joined(_tiers(s, d)), TIER_VALUES, TIER_PLAIN)))
+query("screen_lines", sql.chain(*TIER_CHAIN) + sql.SCREEN_LINES)(_own(lambda s, d: _rounded(screen.lines(_tiers(s, d)), ("bounce_base",), ("place", "tier_ord", "symbol", "line"))))
+query("tier_counts", sql.chain(*TIER_CHAIN) + sql.TIER_COUNTS)(_own(lambda s, d: screen.tier_counts(_tiers(s, d))))
+query("learned_horizon", sql.chain(*LEARN_CHAIN, sql.HORIZON) + "SELECT symbol, horizon_bars, clamped, learned FROM hz")(_own(lambda s, d: pullback.learned_horizon(_events(s, d)[0]).drop("horizon_days")))
 
 # Similarity and structure
 
+query("similarity_counts", sql.chain(sql.SIMILAR) + "SELECT symbol, CAST(count(*) AS BIGINT) AS n_candidates, CAST(count(*) AS BIGINT) AS n_compared FROM m4 GROUP BY symbol HAVING count(*) <= 3800")(
+    _own(lambda s, d: similarity.search(_indicators(s, d))[1].where(f"n_candidates <= {(2 * similarity.WINDOW - 1) * similarity.MAX_MATCHES}"))
+)
+
 SIMILAR_VALUES = ("combined_distance", "chart_shape_distance", *[f"return_{h}" for h in similarity.FUTURE_PERIODS])
 query("similarity_topk", sql.chain(sql.SIMILAR) + _rounded_sql("alike", SIMILAR_VALUES, "symbol, CAST(position AS BIGINT) AS position, first_idx, idx, ts"))(
-    lambda s, d: _longs(_rounded(similarity.matches(_indicators(s, d)), SIMILAR_VALUES, ("symbol", "position", "first_idx", "idx", "ts")), "position", "first_idx", "idx")
+    _own(lambda s, d: _longs(_rounded(similarity.matches(_indicators(s, d)), SIMILAR_VALUES, ("symbol", "position", "first_idx", "idx", "ts")), "position", "first_idx", "idx"))
 )
 
 
 @query("chart_structure", sql.chain(*EVENT_CHAIN[:2], sql.STRUCTURE))
+@_own
 def _chart_structure(spark, sf_dir):
     """One row per formation found; symbols without one have nulls there."""
-    found = structure.analyze(_indicators(spark, sf_dir), _zigzag(spark, sf_dir))
+    found = structure.analyze(_indicators(spark, sf_dir, ("atr_14",)), _zigzag(spark, sf_dir))
     plain = ("symbol", "trend", "swing_sequence", "formation", "breakout_state")
     return _rounded(found.select(*plain, F.inline_outer("patterns")), ("confirmation_level", "invalidation_level"), (*plain, "name", "status"))
 
@@ -346,12 +416,12 @@ def _chart_structure(spark, sf_dir):
 HISTORY_VALUES = tuple(f"return_{h}" for h in structure.HISTORY_HORIZONS)
 HISTORY_PLAIN = ("symbol", "formation", "position", "window_start_index", "window_end_index")
 query("chart_history", sql.chain(*EVENT_CHAIN[:2], sql.HISTORY) + _rounded_sql("past", HISTORY_VALUES, ", ".join(HISTORY_PLAIN)))(
-    lambda s, d: _longs(_rounded(structure.historical(_indicators(s, d), _zigzag(s, d)), HISTORY_VALUES, HISTORY_PLAIN), "position", "window_start_index", "window_end_index")
+    _own(lambda s, d: _longs(_rounded(structure.historical(_indicators(s, d, ("atr_14",)), _zigzag(s, d)), HISTORY_VALUES, HISTORY_PLAIN), "position", "window_start_index", "window_end_index"))
 )
-query("tolerance", sql.chain() + _rounded_sql("(SELECT symbol, ts, 0.5 * atr_14 AS tolerance FROM ind WHERE atr_14 > 0)", ("tolerance",)))(lambda s, d: _rounded(structure.with_tolerance(_indicators(s, d)), ("tolerance",)))
-query("choppiness_k", sql.chain(sql.CHOPPINESS))(lambda s, d: _rounded(pullback.choppiness(_indicators(s, d)), ("choppiness",), ("symbol", "k")))
-query("shortlists", sql.chain(sql.SHORTLIST) + "SELECT * FROM sl")(lambda s, d: pullback.shortlists(_indicators(s, d)))
+query("tolerance", sql.chain() + _rounded_sql("(SELECT symbol, ts, 0.5 * atr_14 AS tolerance FROM ind WHERE atr_14 > 0)", ("tolerance",)))(_own(lambda s, d: _rounded(structure.with_tolerance(_indicators(s, d, ("atr_14",))), ("tolerance",))))
+query("choppiness_k", sql.chain(sql.CHOPPINESS))(_own(lambda s, d: _rounded(pullback.choppiness(_indicators(s, d, ())), ("choppiness",), ("symbol", "k"))))
+query("shortlists", sql.chain(sql.SHORTLIST) + "SELECT * FROM sl")(_own(lambda s, d: pullback.shortlists(_indicators(s, d, ("ema_200",)))))
 query("calibrated_window", sql.chain(sql.SHORTLIST) + sql.CALIBRATED)(
-    lambda s, d: _rounded(pullback.calibrated_window(pullback.shortlists(_indicators(s, d))).withColumns({"W_used": F.array_join(F.col("W_used").cast("array<string>"), ","), "shortlist": F.array_join("shortlist", ",")}), ("overlap",), ("mode", "W_used", "shortlist"))
+    _own(lambda s, d: _rounded(pullback.calibrated_window(pullback.shortlists(_indicators(s, d, ("ema_200",)))).withColumns({"W_used": F.array_join(F.col("W_used").cast("array<string>"), ","), "shortlist": F.array_join("shortlist", ",")}), ("overlap",), ("mode", "W_used", "shortlist")))
 )
-query("shortlist_overlap", sql.chain(sql.SHORTLIST) + sql.OVERLAP)(lambda s, d: pullback.shortlist_overlap(pullback.shortlists(_indicators(s, d)), "w"))
+query("shortlist_overlap", sql.chain(sql.SHORTLIST) + sql.OVERLAP)(_own(lambda s, d: pullback.shortlist_overlap(pullback.shortlists(_indicators(s, d, ("ema_200",))), "w")))

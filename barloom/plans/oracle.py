@@ -98,7 +98,8 @@ st AS (SELECT symbol, ts, close, live_high, now_off_high, live_low, live_low_ts,
  CASE WHEN NOT (lifted OR reclaimed) THEN least(live_low + lift * atr_now, line_now) END AS buy_trigger_price FROM s_fired)"""
 TIERS = """tr0 AS (SELECT st.*, hz.horizon_bars, hz.clamped, hz.learned, bounce_base, bounce_learned, bounce_learned - bounce_base AS delta, vol_fade_ratio, CASE WHEN horizon_bars <= 21 THEN 'fast' WHEN horizon_bars <= 35 THEN 'medium' ELSE 'slow' END AS recovery
  FROM st LEFT JOIN hz USING (symbol) LEFT JOIN bounce USING (symbol) LEFT JOIN fade USING (symbol)),
-tiered AS (SELECT *, CASE WHEN greatest(now_off_high, live_low_dip) > 1.5 * band_hi THEN 'AVOID' WHEN live_low < floor_price THEN 'CAUTION' WHEN now_off_high <= 0 OR now_off_high < band_lo THEN 'WATCH' WHEN turn_confirmed IS NULL THEN 'SPEC'
+tiered AS (SELECT *, CASE WHEN greatest(now_off_high, live_low_dip) > 1.5 * band_hi THEN 'AVOID' WHEN live_low < floor_price OR NOT coalesce(uptrend, FALSE) THEN 'CAUTION' WHEN now_off_high <= 0 OR now_off_high < band_lo THEN 'WATCH'
+ WHEN NOT (coalesce(now_off_high BETWEEN band_lo AND band_hi, FALSE) OR coalesce(live_low_dip BETWEEN band_lo AND band_hi, FALSE)) OR turn_confirmed IS NULL THEN 'SPEC'
  WHEN NOT turn_confirmed THEN 'WAIT' WHEN coalesce(bounce_base, 0) < 0.5 THEN 'SPEC' WHEN recovery = 'slow' THEN 'PATIENT' ELSE 'BUY' END AS tier FROM tr0),
 tier_order AS (SELECT tier, CAST(ord AS INTEGER) AS ord FROM (VALUES ('BUY', 0), ('PATIENT', 1), ('SPEC', 2), ('WAIT', 3), ('WATCH', 4), ('CAUTION', 5), ('AVOID', 6)) v(tier, ord))"""
 TIER_COUNTS = "SELECT o.tier, CAST(count(t.tier) AS BIGINT) AS n, o.ord FROM tier_order o LEFT JOIN tiered t ON t.tier = o.tier GROUP BY o.tier, o.ord"
@@ -111,7 +112,7 @@ _LINE = (
     f"CASE WHEN turn_confirmed THEN '✓(' || turn_path || ')' WHEN NOT turn_confirmed THEN coalesce('— ₹' || {_NUMBER.format('buy_trigger_price', 2)}, '—') ELSE 'n/a' END",
     f"coalesce({_NUMBER.format('vol_fade_ratio', 2)} || CASE WHEN vol_fade_ratio < 1 THEN '✓' ELSE '' END, 'n/a')", *[_PRICE.format(c) for c in ("live_high", "live_low", "floor_price")], "strftime(ts, '%Y-%m-%d %H:%M')",
 )
-SCREEN_LINES = f"""SELECT CAST(o.ord + 1 AS BIGINT) AS tier_ord, round(bounce_base + 1e-7, 4) AS bounce_base, symbol, '| ' || {" || ' | ' || ".join(f"coalesce({c}, '')" for c in _LINE)} || ' |' AS line FROM tiered JOIN tier_order o USING (tier)"""
+SCREEN_LINES = f"""SELECT CAST(row_number() OVER (ORDER BY o.ord, bounce_base DESC NULLS LAST, (recovery = 'slow') NULLS LAST, abs(delta) NULLS LAST, NOT coalesce(vol_fade_ratio < 1, FALSE), now_off_high DESC NULLS LAST, symbol) AS INTEGER) AS place, CAST(o.ord + 1 AS BIGINT) AS tier_ord, round(bounce_base + 1e-7, 4) AS bounce_base, symbol, '| ' || {" || ' | ' || ".join(f"coalesce({c}, '')" for c in _LINE)} || ' |' AS line FROM tiered JOIN tier_order o USING (tier)"""
 
 #: Formations from the last seven pivots: name, test, upward, confirmation level, invalidation level.
 _FORMATIONS = (

@@ -1,57 +1,102 @@
 """The update run: normalize, store, refresh indicators, report. All symbols at once; a symbol that fails
-becomes a row with its error and does not touch the others."""
+becomes a row with its error and does not touch the others. Prices and what is computed from them are published together."""
 
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.calendar import require_aware
-from barloom.functions.indicators import indicator_table
+from barloom.functions.indicators import DAYS, INDICATOR_COLUMNS, STATE, STATE_COLUMNS, block_ends, published, with_indicators
 from barloom.operators.normalize import normalize
-from barloom.operators.validate import validate_indicators, validate_prices
-from barloom.sources.store import Store, changed_symbols, fingerprints
+from barloom.operators.validate import PRICE_COLUMNS, indicator_problems, price_problems
+from barloom.sources.store import Staged, Store, block_digests, changed_blocks
 
 SUCCESS, UNCHANGED, FAILED = "success", "unchanged", "failed"
+PRICES = ", ".join(f"{c} {t}" for c, t in PRICE_COLUMNS.items())
+INDICATORS = "symbol string, ts timestamp_ntz, " + ", ".join(f"{c} double" for c in INDICATOR_COLUMNS)
+#: Leaves of the digest tree of the prices that indicators were computed from; ``ts`` is the block.
+SOURCES = "symbol string, ts timestamp_ntz, digest string, n_rows bigint"
 
 
 def stores(spark: SparkSession, root: str, interval: str) -> tuple[Store, Store]:
-    return Store(spark, root, "prices", interval, validate_prices), Store(spark, root, "indicators", interval, validate_indicators)
+    return Store(spark, root, "prices", interval, PRICES, price_problems), Store(spark, root, "indicators", interval, INDICATORS, indicator_problems)
 
 
-def refresh_indicators(prices: Store, indicators: Store, symbols: list[str]) -> DataFrame:
-    """``symbol, changed, error``: recompute symbols whose prices differ from those their indicators came from;
-    symbols without a year of history lose stale output. If the table as a whole is refused, the symbols are tried one by
-    one, and those that are refused come back with their error and keep what is stored."""
+def _rows(store: Store, entries: DataFrame, symbols: DataFrame) -> DataFrame:
+    return store.rows(entries.join(symbols.select("symbol"), "symbol", "left_semi"))
+
+
+def resumable(leaves: DataFrame, sources: DataFrame, states: DataFrame) -> DataFrame:
+    """``STATE`` rows, one for each symbol that need not be computed from its beginning: the last block end before the first
+    block of the prices that changed since."""
+    first = changed_blocks(leaves, sources).groupBy("symbol").agg(F.min("block").alias("__block"))
+    found = states.join(first, "symbol").where(F.col("ts") < F.col("__block"))
+    names = [c for c in states.columns if c != "symbol"]
+    return found.groupBy("symbol").agg(F.max_by(F.struct(*names), "idx").alias("s")).select("symbol", *[F.col(f"s.{c}").alias(c) for c in names])
+
+
+def tail(bars: DataFrame, states: DataFrame) -> DataFrame:
+    """The bars that resuming reads: those after the state, and before it what the windows of the next block reach back to."""
+    since = F.least(F.col("ts") - F.expr(f"INTERVAL {DAYS} DAYS"), F.col("__halo_ts"))
+    reach = states.select(F.col("symbol").alias("__symbol"), since.alias("__since"))
+    return bars.join(reach, (F.col("symbol") == F.col("__symbol")) & (F.col("ts") >= F.col("__since"))).drop("__symbol", "__since")
+
+
+def compute(bars: DataFrame, states: DataFrame) -> DataFrame:
+    """Indicators with ``STATE_COLUMNS``: of symbols without a state from the first bar, of others from behind it."""
+    keep = (*STATE_COLUMNS, "__halo_ts")
+    whole = with_indicators(bars.join(states.select("symbol"), "symbol", "left_anti"), keep=keep)
+    return whole.unionByName(with_indicators(tail(bars, states), state=states, keep=keep))
+
+
+def _stage_indicators(prices: Store, indicators: Store, entries: DataFrame) -> tuple[list[Staged], DataFrame, DataFrame]:
+    """What becomes of the indicators of symbols whose prices (manifest rows ``entries``) are not those that they were
+    computed from: staged kinds, ``kind, symbol`` to forget, and ``symbol, changed, error``."""
     spark = prices.spark
-    empty = spark.createDataFrame([], "symbol string, changed boolean, error string")
-    bars = prices.read(symbols)
-    if bars is None:
-        return empty
-    marks = fingerprints(bars)
-    stale = [r.symbol for r in changed_symbols(marks, indicators.state()).where("changed").collect()]
-    if not stale:
-        return empty
-    table, failed = indicator_table(bars.where(F.col("symbol").isin(stale))), []
-
-    def replace(names: list[str]) -> list[tuple]:
-        one = F.col("symbol").isin(names)
-        return [(r.symbol, r.changed) for r in indicators.replace(table.where(one), marks.where(one)).collect()]
-
-    try:
-        done = replace(stale)
-    except ValueError:
-        done = []
-        for name in stale:
-            try:
-                done += replace([name])
-            except ValueError as e:
-                failed.append((name, None, str(e)))
-    short = sorted(set(stale) - {n for n, _ in done} - {n for n, _, _ in failed})
-    removed = indicators.remove(short)
-    return spark.createDataFrame([(n, c, None) for n, c in done] + [(n, n in removed, None) for n in short] + failed, "symbol string, changed boolean, error string")
+    state, source = prices.other("state", STATE), prices.other("sources", SOURCES)
+    stale = entries.join(source.state().withColumnRenamed("source_fingerprint", "__from"), "symbol", "left").where(~F.col("source_fingerprint").eqNullSafe(F.col("__from")))
+    nothing = spark.createDataFrame([], "kind string, symbol string"), spark.createDataFrame([], "symbol string, changed boolean, error string")
+    if stale.isEmpty():
+        return [], *nothing
+    stale = stale.select(*entries.columns)
+    bars = prices.rows(stale)
+    leaves = block_digests(bars)
+    old = _rows(source, source.entries(), stale).withColumnRenamed("ts", "block")
+    held = _rows(state, state.entries(), stale)
+    states = prices.scratch(resumable(leaves, old, held), "resume")
+    every = prices.scratch(compute(bars, states), "computed")
+    after = states.select("symbol", F.col("ts").alias("__upto"))
+    before = lambda rows: rows.join(after, "symbol").where(F.col("ts") <= F.col("__upto")).drop("__upto")
+    table = published(every, stale).select("symbol", "ts", *INDICATOR_COLUMNS)
+    table = before(_rows(indicators, indicators.entries(), stale)).unionByName(table)
+    marks = stale.select("symbol", "source_fingerprint")
+    done = indicators.stage(table, marks)
+    fine = marks.join(done.errors, "symbol", "left_anti")
+    ends = before(held).unionByName(block_ends(every)).join(fine.select("symbol"), "symbol", "left_semi")
+    seen = leaves.withColumnRenamed("block", "ts").join(fine.select("symbol"), "symbol", "left_semi")
+    staged = [done, state.stage(ends, fine), source.stage(seen, fine)]
+    short = fine.join(done.entries.select("symbol"), "symbol", "left_anti").select("symbol")
+    there = indicators.state().select("symbol").withColumn("there", F.lit(True))
+    short = short.join(there, "symbol", "left").select("symbol", F.coalesce("there", F.lit(False)).alias("changed"))
+    results = [done.entries.select("symbol", "changed", F.lit(None).cast("string").alias("error")), short.withColumn("error", F.lit(None).cast("string")), done.errors.select("symbol", F.lit(None).cast("boolean").alias("changed"), "error")]
+    gone = short.where("changed").select(F.lit(indicators.kind).alias("kind"), "symbol")
+    return staged, gone, reduce(DataFrame.unionByName, results)
+
+
+def refresh_indicators(prices: Store, indicators: Store, symbols: list[str] | None = None) -> DataFrame:
+    """``symbol, changed, error``: recompute symbols whose prices differ from those their indicators came from, from the block
+    before the first changed one on; symbols without a year of history lose stale output, and those that are refused come
+    back with their error and keep what is stored."""
+    entries = prices.entries() if symbols is None else prices.entries().where(F.col("symbol").isin(symbols))
+    staged, gone, result = _stage_indicators(prices, indicators, entries)
+    result = prices.scratch(result, "refreshed")
+    if staged:
+        prices.publish(staged, gone)
+    return result
 
 
 def update(spark: SparkSession, root: str, interval: str, raw: DataFrame, requested: DataFrame, now: datetime, with_indicators: bool = True) -> DataFrame:
@@ -64,19 +109,27 @@ def update(spark: SparkSession, root: str, interval: str, raw: DataFrame, reques
     errors = raw.where("error IS NOT NULL").groupBy("symbol").agg(F.min("error").alias("error")) if "error" in raw.columns else None
     rows = raw.where("error IS NULL").drop("error") if errors is not None else raw
     good, rejected = normalize(rows, interval, F.lit(local))
+    written = prices.stage(good)
+    rejected = rejected.unionByName(written.errors)
     if errors is not None:
         rejected = rejected.unionByName(errors)
-    written = prices.replace(good)  # all that is refused for one symbol alone is in ``rejected`` by now
-    names = [r.symbol for r in written.select("symbol").collect()] if with_indicators else []
-    fresh = refresh_indicators(prices, indicators, names)
+    staged, gone, fresh = [], None, spark.createDataFrame([], "symbol string, changed boolean, error string")
+    if with_indicators:
+        # unchanged prices are where the manifest has them, changed ones in what is staged
+        there = prices.entries().join(written.entries.where("NOT changed").select("symbol"), "symbol", "left_semi")
+        names = there.columns
+        staged, gone, fresh = _stage_indicators(prices, indicators, there.unionByName(written.entries.where("changed").select(*names)))
     downloaded = rows.groupBy("symbol").agg(F.count("*").alias("downloaded_rows"))
     absent = requested.join(raw.select("symbol").distinct(), "symbol", "left_anti").select("symbol", F.lit("no data").alias("error"))
     bad = rejected.unionByName(absent).unionByName(fresh.where("error IS NOT NULL").select("symbol", "error")).groupBy("symbol").agg(F.min("error").alias("error"))
-    w = written.select("symbol", F.col("changed").alias("wrote"), F.col("n_rows").alias("stored_rows"))
+    w = written.result.select("symbol", F.col("changed").alias("wrote"), F.col("n_rows").alias("stored_rows"))
     out = requested.join(bad, "symbol", "left").join(w, "symbol", "left").join(fresh.select("symbol", F.col("changed").alias("refreshed")), "symbol", "left").join(downloaded, "symbol", "left")
     moved = F.coalesce("wrote", F.lit(False)) | F.coalesce("refreshed", F.lit(False))
     status = F.when(F.col("error").isNotNull(), FAILED).when(moved, SUCCESS).otherwise(UNCHANGED)
-    return out.select("symbol", status.alias("status"), F.coalesce("downloaded_rows", F.lit(0)).alias("downloaded_rows"), F.coalesce("stored_rows", F.lit(0)).alias("stored_rows"), "error", "ord").orderBy("ord").drop("ord")
+    out = out.select("symbol", status.alias("status"), F.coalesce("downloaded_rows", F.lit(0)).alias("downloaded_rows"), F.coalesce("stored_rows", F.lit(0)).alias("stored_rows"), "error", "ord")
+    out = prices.scratch(out, "summary")  # what it compares with changes when this is published
+    prices.publish([written, *staged], gone)
+    return out.orderBy("ord").drop("ord")
 
 
 def report(summary: DataFrame) -> tuple[str, int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -21,6 +23,14 @@ class Folder:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self.path(name))
 
+    def size(self, name: str) -> int:
+        """Bytes below; 0 if it is not there."""
+        return self._fs.getContentSummary(self.path(name)).getLength() if self.exists(name) else 0
+
+    def age(self, name: str) -> float:
+        """Seconds since the last change."""
+        return time.time() - self._fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
     def make(self, name: str) -> None:
         self._fs.mkdirs(self.path(name))
 
@@ -42,18 +52,3 @@ class Folder:
                 raise
             return False
         return True
-
-    def read_text(self, name: str) -> str:
-        stream = self._fs.open(self.path(name))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def write_text(self, name: str, text: str) -> None:
-        """A new file, read back before this returns."""
-        out = self._fs.create(self.path(name), False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self.read_text(name) != text:
-            raise OSError(f"{name} was not written as it is")

@@ -1,43 +1,81 @@
-"""Partitioned Parquet stores of prices and indicators, with change detection and safe replacement.
-
-Layout: ``<root>/<kind>/<interval>/v=<id>/part=../*.parquet`` with numbered pointer files that name, for each symbol, the
-version that holds it. The symbol is a column of the data and never read back from a folder name; folders are
-hash parts of the symbols, so that a read scans only those of the symbols asked for. A publish writes the
-changed symbols to a new version folder, reads them back, validates and then renames a pointer file to the next
-number, which fails if another writer was first; it then reads the newer pointer and tries again, so readers see the old
-or the new state and no writer's symbols are lost. Versions that no symbol points at are removed after a publish.
+"""Partitioned Parquet stores of prices, indicators and what they are refreshed from, with change detection and one commit.
+
+Layout: ``<root>/<kind>/<interval>/v=<id>/part=../*.parquet`` holds rows, and the manifest ``<root>/pointers/<interval>/<number>`` names,
+for each kind and symbol, the version that counts, with its fingerprint and its first and last time. The symbol is a
+column of the data and never read back from a folder name; folders are hash parts of the symbols, so that a read scans only
+those of the symbols asked for. Rows are staged in a new version, read back and checked; a publish then writes the next
+manifest and renames it to its number, which succeeds once. All kinds of an update go into one publish, so prices and
+the indicators that belong to them become visible together; a run that dies before leaves the old state and folders
+that nothing names, which ``vacuum`` removes. If another writer was first, the publish is tried again on the newer state. Manifests
+are tables: neither symbols nor rows go through the driver.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.indicators import INDICATOR_COLUMNS
+from barloom.sources.files import Folder
 
 
 class StoreError(ValueError):
     """Unusable stored data or an invalid symbol."""
 
 
+class Conflict(RuntimeError):
+    """Another writer published first, again and again."""
+
+
 def check_symbol(symbol: str) -> str:
     if not symbol or re.search(r"[/\\]", symbol):
         raise StoreError(f"invalid symbol: {symbol!r}")
     return symbol
 
 
-def fingerprints(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``symbol, source_fingerprint, n_rows``: SHA-256 over the ordered rows of each symbol. Rows are hashed
-    first, so what is gathered per symbol is one short digest a bar."""
+# Digests
+
+_WORDS = [f"w{i}" for i in range(8)]
+
+
+def block_digests(df: DataFrame, columns: list[str] | None = None, unit: str = "month") -> DataFrame:
+    """``symbol, block, digest, n_rows``: the leaves of a digest tree, one for each calendar ``unit``. Rows are hashed with
+    SHA-256 and the eight words of the hashes added up, which tasks do ahead of the shuffle: a history is never gathered, and
+    the sum does not depend on the order, as the time is part of a row."""
     columns = columns or [c for c in df.columns if c != "symbol"]
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-    rows = F.array_sort(F.collect_list(F.struct(F.col("ts").alias("ts"), row.alias("h"))))
-    digest = F.sha2(F.concat_ws("", F.transform("rows", lambda x: x["h"])), 256)
-    return df.groupBy("symbol").agg(rows.alias("rows"), F.count("*").alias("n_rows")).select("symbol", digest.alias("source_fingerprint"), "n_rows")
+    words = {w: F.conv(F.substring("__h", 1 + 8 * i, 8), 16, 10).cast("bigint") for i, w in enumerate(_WORDS)}
+    rows = df.select("symbol", F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("block"), row.alias("__h")).withColumns(words)
+    sums = rows.groupBy("symbol", "block").agg(F.count("*").alias("n_rows"), *[F.sum(w).alias(w) for w in _WORDS])
+    return sums.select("symbol", "block", F.sha2(F.concat_ws(",", "n_rows", *_WORDS), 256).alias("digest"), "n_rows")
+
+
+def root_digests(leaves: DataFrame) -> DataFrame:
+    """``symbol, source_fingerprint, n_rows``: the roots over years over blocks; a node has the digests of its children in order."""
+    def above(df: DataFrame, keys: list[str], child: str, out: str) -> DataFrame:
+        parts = F.array_sort(F.collect_list(F.struct(child, "digest")))
+        return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["digest"]), ""), 256).alias(out), F.sum("n_rows").alias("n_rows"))
+
+    years = above(leaves.withColumn("year", F.year("block")), ["symbol", "year"], "block", "digest")
+    return above(years, ["symbol"], "year", "source_fingerprint")
+
+
+def fingerprints(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``symbol, source_fingerprint, n_rows`` of the rows of each symbol."""
+    return root_digests(block_digests(df, columns))
+
+
+def changed_blocks(new: DataFrame, old: DataFrame) -> DataFrame:
+    """``symbol, block, change`` (added, removed or changed) of the leaves that differ."""
+    o = old.select("symbol", "block", F.col("digest").alias("__old"))
+    both = new.select("symbol", "block", "digest").join(o, ["symbol", "block"], "full_outer")
+    change = F.when(F.col("__old").isNull(), "added").when(F.col("digest").isNull(), "removed").when(F.col("digest") != F.col("__old"), "changed")
+    return both.select("symbol", "block", change.alias("change")).where("change IS NOT NULL")
 
 
 def changed_symbols(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -46,157 +84,193 @@ def changed_symbols(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(o, "symbol", "left").select("symbol", (~F.col("source_fingerprint").eqNullSafe(F.col("__old"))).alias("changed"))
 
 
-class Conflict(RuntimeError):
-    """Another writer published first, again and again."""
-
+# Stores
 
 #: Folders of a version, by hash of the symbol.
 PARTS = 64
-#: Pointer files that stay, so that a reader that has just listed them still finds its own.
-KEPT_POINTERS = 10
+MANIFEST = "kind string, symbol string, version string, source_fingerprint string, rows bigint, first_ts timestamp_ntz, last_ts timestamp_ntz"
 
 
-def _part(symbol) -> F.Column:
+def _part(symbol) -> Column:
     return F.pmod(F.xxhash64(symbol), F.lit(PARTS)).cast("int")
 
 
+@dataclass(frozen=True)
+class Staged:
+    """Rows that wait for their publish: ``entries`` are manifest rows with ``changed``, ``errors`` are ``symbol, error`` of the refused."""
+
+    kind: str
+    entries: DataFrame
+    errors: DataFrame
+
+    @property
+    def result(self) -> DataFrame:
+        """``symbol, changed, n_rows`` of what was not refused."""
+        return self.entries.select("symbol", "changed", F.col("rows").alias("n_rows"))
+
+
 class Store:
-    """One kind of data (``prices`` or ``indicators``) of one interval."""
+    """One kind of data of one interval. ``schema`` is the DDL of its rows, ``check`` returns ``symbol, error`` for bad ones."""
 
-    def __init__(self, spark: SparkSession, root: str, kind: str, interval: str, validate=None):
-        self.spark, self.validate = spark, validate
-        self.base = f"{root.rstrip('/')}/{kind}/{interval}"
-        jvm = spark.sparkContext._jvm
-        self._jvm, self._conf = jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = jvm.org.apache.hadoop.fs.Path(self.base).getFileSystem(self._conf)
+    def __init__(self, spark: SparkSession, root: str, kind: str, interval: str, schema: str, check=None):
+        self.spark, self.root, self.kind, self.interval, self.schema, self.check = spark, root.rstrip("/"), kind, interval, schema, check
+        self.data, self.pointers = Folder(spark, f"{self.root}/{kind}/{interval}"), Folder(spark, f"{self.root}/pointers/{interval}")
 
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+    def other(self, kind: str, schema: str, check=None) -> Store:
+        """The store of another kind beside this one."""
+        return Store(self.spark, self.root, kind, self.interval, schema, check)
 
-    def _pointers(self) -> list[int]:
-        folder = self._path("pointers")
-        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        return sorted(int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n))
+    # Manifests
 
-    def _pointer(self, number: int | None = None) -> dict[str, dict]:
-        number = max(self._pointers(), default=0) if number is None else number
+    def _numbers(self) -> list[int]:
+        return sorted(int(n) for n in self.pointers.names() if n.isdigit())
+
+    def manifest(self, number: int | None = None) -> DataFrame:
+        """All kinds at a number, by default the newest."""
+        number = max(self._numbers(), default=0) if number is None else number
         if not number:
-            return {}
-        stream = self._fs.open(self._path(f"pointers/{number:010d}.json"))
-        try:
-            state = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        except ValueError as e:
-            raise StoreError("store metadata is not readable") from e
-        finally:
-            stream.close()
-        for entry in state.values():
-            if set(entry) != {"version", "source_fingerprint", "rows"} or not entry["source_fingerprint"]:
-                raise StoreError("store metadata does not match")
-        return state
-
-    def _try_publish(self, number: int, state: dict[str, dict]) -> bool:
-        """Whether the state became pointer ``number``; False if that was taken. What was staged is read back first."""
-        temp, final = self._path(f"pointers/.{uuid.uuid4().hex}"), self._path(f"pointers/{number:010d}.json")
-        text = json.dumps(state, sort_keys=True)
-        out = self._fs.create(temp, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        stream = self._fs.open(temp)
-        staged = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        if staged != text:
-            raise StoreError("staged metadata does not match")
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.NONE
-        try:
-            context.rename(temp, final, options)
-        except Exception:
-            self._fs.delete(temp, False)
-            if not self._fs.exists(final):
-                raise
-            return False
-        return True
-
-    def _publish(self, change, tries: int = 20) -> dict[str, dict]:
-        """``change`` turns the current state into the next one; it is asked again if another writer was first."""
-        for _ in range(tries):
-            number = max(self._pointers(), default=0)
-            state = change(self._pointer(number))
-            if self._try_publish(number + 1, state):
-                self._clean(state, number + 1)
-                return state
-        raise Conflict(f"no pointer was free in {tries} tries")
-
-    def _clean(self, state: dict[str, dict], number: int) -> None:
-        """Remove old pointers, and versions that the pointer before last named and neither of the two newest names."""
-        held = {e["version"] for n in (number - 1, number) if n in self._pointers() for e in self._pointer(n).values()}
-        if number - 2 in self._pointers():
-            for version in {e["version"] for e in self._pointer(number - 2).values()} - held:
-                self._fs.delete(self._path(f"v={version}"), True)
-        for n in self._pointers():
-            if n <= number - KEPT_POINTERS:
-                self._fs.delete(self._path(f"pointers/{n:010d}.json"), False)
+            return self.spark.createDataFrame([], MANIFEST)
+        found = self.spark.read.parquet(f"{self.pointers.base}/{number:010d}")
+        if found.columns != [c.split()[0] for c in MANIFEST.split(", ")]:
+            raise StoreError("store metadata does not match")
+        return found
+
+    def entries(self, kind: str | None = None) -> DataFrame:
+        return self.manifest().where(F.col("kind") == (kind or self.kind)).drop("kind")
 
     def state(self) -> DataFrame:
         """``symbol, source_fingerprint`` of what is stored."""
-        rows = [(s, e["source_fingerprint"]) for s, e in sorted(self._pointer().items())]
-        return self.spark.createDataFrame(rows, "symbol string, source_fingerprint string")
+        return self.entries().select("symbol", "source_fingerprint")
+
+    def publish(self, staged: list[Staged], removed: DataFrame | None = None, tries: int = 20) -> None:
+        """Make all that is staged visible at once, and forget the ``kind, symbol`` of ``removed``. What another writer
+        published meanwhile for other symbols stays."""
+        new = [s.entries.where("changed").select(F.lit(s.kind).alias("kind"), *[c.split()[0] for c in MANIFEST.split(", ")][1:]) for s in staged]
+        gone = [n.select("kind", "symbol") for n in new] + ([removed.select("kind", "symbol")] if removed is not None else [])
+        if not gone or reduce(DataFrame.unionByName, gone).isEmpty():
+            return
+        for _ in range(tries):
+            number = max(self._numbers(), default=0)
+            after = self.manifest(number).join(reduce(DataFrame.unionByName, gone), ["kind", "symbol"], "left_anti")
+            if self._try_publish(number + 1, reduce(DataFrame.unionByName, new, after)):
+                return
+        raise Conflict(f"no number was free in {tries} tries")
+
+    def _try_publish(self, number: int, state: DataFrame) -> bool:
+        """Whether the table became manifest ``number``; False if that was taken."""
+        temp = f".{uuid.uuid4().hex}"
+        state.select(*[c.split()[0] for c in MANIFEST.split(", ")]).coalesce(1 + self.pointers_size(number - 1) // (64 << 20)).write.parquet(f"{self.pointers.base}/{temp}")
+        done = self.pointers.rename_once(temp, f"{number:010d}")
+        self.pointers.delete(temp)
+        return done
+
+    def pointers_size(self, number: int) -> int:
+        return self.pointers.size(f"{number:010d}")
+
+    def vacuum(self, grace_seconds: float = 86_400) -> int:
+        """Remove old manifests, and versions of all kinds that none of the others names, as runs that died and replaced symbols
+        leave them; how many versions. All that is younger than the grace time stays, for readers that have just opened it."""
+        for n in self._numbers()[:-1]:
+            if self.pointers.age(f"{n:010d}") >= grace_seconds:
+                self.pointers.delete(f"{n:010d}")
+        named = reduce(DataFrame.unionByName, [self.manifest(n) for n in self._numbers()] or [self.manifest(0)])
+        held = {r.version for r in named.select("version").distinct().collect()}  # one for each update that still counts
+        n = 0
+        for kind in Folder(self.spark, self.root).names():
+            folder = Folder(self.spark, f"{self.root}/{kind}/{self.interval}")
+            for name in folder.names() if kind != "pointers" else []:
+                if name.startswith("v=") and name[2:] not in held and folder.age(name) >= grace_seconds:
+                    folder.delete(name)
+                    n += 1
+        return n
+
+    # Rows
+
+    def scratch(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written beside the stores and read back, so that later steps neither compute it again nor see other versions
+        of what it was read from. ``vacuum`` removes it."""
+        place = f"{self.root}/staged/{self.interval}/v={name}-{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
+
+    def rows(self, entries: DataFrame, symbols: list[str] | None = None) -> DataFrame:
+        """The rows that manifest ``entries`` name. Folders of other hash parts are left out, those of other versions by
+        the join."""
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        if not self.data.exists(""):
+            return self.spark.createDataFrame([], self.schema)
+        source = self.spark.read.schema(f"{self.schema}, v string, part int").option("basePath", self.data.base).parquet(self.data.base)
+        if symbols is not None:
+            source = source.where(F.col("part").isin([_part(F.lit(s)) for s in symbols]) & F.col("symbol").isin(symbols))
+        named = entries.select(F.col("version").alias("__v"), F.col("symbol").alias("__symbol"))
+        return source.join(named, (F.col("v") == F.col("__v")) & (F.col("symbol") == F.col("__symbol"))).select(*names)
 
     def read(self, symbols: list[str] | None = None, start=None, end=None) -> DataFrame | None:
-        """Stored rows, or None if there are none; start and end are inclusive. Only the folders of the wanted
-        symbols are scanned, and the time range reaches the Parquet filter."""
-        state = self._pointer()
-        wanted = {s: e for s, e in state.items() if symbols is None or s in symbols}
-        if not wanted:
+        """Stored rows, or None if there are none of these symbols; start and end are inclusive. Symbols whose times lie
+        outside are left out by the manifest, and the range reaches the Parquet filter."""
+        wanted = self.entries()
+        if symbols is not None:
+            wanted = wanted.where(F.col("symbol").isin(symbols))
+        if wanted.isEmpty():
             return None
-        versions: dict[str, list[str]] = {}
-        for name, e in wanted.items():
-            versions.setdefault(e["version"], []).append(name)
-        # one scan, whatever the number of versions: each symbol counts only in the version that it points at
-        schema = self.spark.read.parquet(f"{self.base}/v={next(iter(versions))}").schema
-        source = self.spark.read.schema(schema).option("basePath", self.base).parquet(*[f"{self.base}/v={v}" for v in sorted(versions)])
-        named = self.spark.createDataFrame([(v, n) for v, names in versions.items() for n in names], "__version string, symbol string")
-        version = F.regexp_extract(F.col("_metadata.file_path"), r"/v=([0-9a-f]+)/", 1)
-        parts = sorted({r[0] for r in named.select(_part("symbol")).distinct().collect()}) if symbols is not None else range(PARTS)
-        out = source.where(F.col("part").isin(*parts)).withColumn("__version", version).join(F.broadcast(named), ["__version", "symbol"])
-        out = out.select("symbol", *[f.name for f in schema.fields if f.name not in ("symbol", "part", "v")])
+        if start is not None:
+            wanted = wanted.where(F.col("last_ts") >= F.lit(start))
+        if end is not None:
+            wanted = wanted.where(F.col("first_ts") <= F.lit(end))
+        out = self.rows(wanted, symbols)
         if start is not None:
             out = out.where(F.col("ts") >= F.lit(start))
         if end is not None:
             out = out.where(F.col("ts") <= F.lit(end))
         return out
 
+    def _write(self, df: DataFrame, version: str) -> DataFrame:
+        """Rows into a version, years of a symbol in tasks of their own, and back."""
+        placed = df.withColumns({"part": _part("symbol"), "__year": F.year("ts")}).repartition("symbol", "__year").sortWithinPartitions("part", "symbol", "ts")
+        placed.drop("__year").write.partitionBy("part").parquet(f"{self.data.base}/v={version}")
+        return self.spark.read.schema(f"{self.schema}, part int").parquet(f"{self.data.base}/v={version}")
+
+    def stage(self, df: DataFrame, source: DataFrame | None = None) -> Staged:
+        """Write ``df``, each symbol's whole history, once, and check and compare what is read back: with what is stored by
+        content, or by the ``symbol, source_fingerprint`` of ``source``. Only changed rows stay on disk; nothing is visible before
+        a publish."""
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        version = uuid.uuid4().hex
+        if not df.where(F.col("symbol").rlike(r"[/\\]") | (F.col("symbol") == "")).isEmpty():
+            raise StoreError("a symbol is empty or has a separator")
+        back = self._write(df.select(*names), version)
+        errors = self.check(back) if self.check else self.spark.createDataFrame([], "symbol string, error string")
+        marks = source.select("symbol", "source_fingerprint") if source is not None else fingerprints(back.drop("part")).drop("n_rows")
+        ranges = back.groupBy("symbol").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        found = ranges.join(marks, "symbol").join(errors, "symbol", "left")
+        found = found.join(self.state().withColumnRenamed("source_fingerprint", "__old"), "symbol", "left")
+        found = found.withColumn("changed", ~F.col("source_fingerprint").eqNullSafe(F.col("__old"))).withColumn("version", F.lit(version))
+        found = self.scratch(found.select("symbol", "version", "source_fingerprint", "rows", "first_ts", "last_ts", "changed", "error"), self.kind)
+        n = found.agg(F.count("*").alias("all"), F.count_if(F.col("changed") & F.col("error").isNull()).alias("new")).first()
+        if n.new < n["all"]:
+            if n.new:
+                kept = found.where("changed AND error IS NULL").select("symbol")
+                rest = uuid.uuid4().hex
+                self._write(back.drop("part").join(kept, "symbol", "left_semi"), rest)
+                found = found.withColumn("version", F.lit(rest))
+            self.data.delete(f"v={version}")
+        return Staged(self.kind, found.where("error IS NULL").drop("error"), found.where("error IS NOT NULL").select("symbol", "error"))
+
     def replace(self, df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-        """Replace the whole history of each symbol of ``df`` whose content (or ``source`` fingerprint) differs
-        from what is stored. Returns ``symbol, changed, n_rows``; nothing is written for unchanged symbols."""
-        marks = source if source is not None else fingerprints(df)
-        fresh = marks.select("symbol", "source_fingerprint").join(df.groupBy("symbol").agg(F.count("*").alias("n_rows")), "symbol")
-        result = fresh.join(changed_symbols(fresh, self.state()), "symbol").collect()  # one row per symbol
-        todo = [r.symbol for r in result if r.changed]
-        for name in todo:
-            check_symbol(name)
-        if todo:
-            version = uuid.uuid4().hex
-            changed = self.spark.createDataFrame([(n,) for n in todo], "symbol string")
-            staged = df.join(F.broadcast(changed), "symbol", "left_semi").select(*df.columns).withColumn("part", _part("symbol"))
-            staged.repartition("symbol").sortWithinPartitions("part", "symbol", "ts").write.partitionBy("part").parquet(f"{self.base}/v={version}")
-            try:
-                if self.validate:
-                    self.validate(self.spark.read.parquet(f"{self.base}/v={version}").select(*df.columns))
-            except ValueError:
-                self._fs.delete(self._path(f"v={version}"), True)
-                raise
-            entries = {r.symbol: {"version": version, "source_fingerprint": r.source_fingerprint, "rows": r.n_rows} for r in result if r.changed}
-            self._publish(lambda state: state | entries)
-        return self.spark.createDataFrame([(r.symbol, r.changed, r.n_rows) for r in result], "symbol string, changed boolean, n_rows long")
+        """Stage and publish: ``symbol, changed, n_rows``. Symbols that the check refuses are an error here."""
+        staged = self.stage(df, source)
+        bad = staged.errors.first()
+        if bad:
+            raise StoreError(f"{bad.symbol}: {bad.error}")
+        self.publish([staged])
+        return staged.result
 
     def remove(self, symbols: list[str]) -> list[str]:
         """Forget the symbols; those that were stored."""
-        gone = sorted(set(symbols) & set(self._pointer()))
+        there = self.entries().where(F.col("symbol").isin(symbols)).select(F.lit(self.kind).alias("kind"), "symbol")
+        gone = sorted(r.symbol for r in there.collect())  # of a given list
         if gone:
-            self._publish(lambda state: {n: e for n, e in state.items() if n not in gone})
+            self.publish([], there)
         return gone
 
 
@@ -212,6 +286,19 @@ def load_indicators(store: Store, symbols=None, start=None, end=None) -> DataFra
     return found
 
 
+def load_prices_with_indicators(prices: Store, indicators: Store, symbols=None, start=None, end=None) -> DataFrame:
+    """Stored prices and indicators of one moment: both are read by the same manifest, and indicators that were computed from
+    other prices, because those of the newer ones were refused, are left out."""
+    manifest = prices.manifest()
+    of = lambda k: manifest.where(F.col("kind") == k).drop("kind")
+    current = of(prices.kind).select("symbol", "source_fingerprint").join(of(indicators.kind), ["symbol", "source_fingerprint"])
+    if current.isEmpty():
+        raise StoreError("No indicators are stored")
+    within = lambda df: reduce(lambda d, c: d.where(c), [c for b, c in ((start, F.col("ts") >= F.lit(start)), (end, F.col("ts") <= F.lit(end))) if b is not None], df)
+    p, i = prices.rows(of(prices.kind).join(current.select("symbol"), "symbol", "left_semi"), symbols), indicators.rows(current, symbols)
+    return prices_with_indicators(within(p), within(i))
+
+
 def require_native(interval: str, native) -> None:
     if interval not in native:
         raise StoreError(f"{interval} is a derived interval and is not stored")

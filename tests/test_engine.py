@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 from datetime import UTC, date, datetime, timedelta
 from pathlib import Path
 
@@ -11,9 +12,11 @@ from barloom import cli
 from barloom.functions import calendar
 from barloom.functions.blocks import positions
 from barloom.operators import normalize, pullback, screen, similarity, structure, validate, windows
+from barloom.functions.indicators import indicator_table, with_indicators
+from barloom.plans import update as plan
 from barloom.plans.update import refresh_indicators, report, stores, update
 from barloom.sources import config, landing, vendor
-from barloom.sources.store import StoreError, check_symbol, require_native
+from barloom.sources.store import Store, StoreError, block_digests, changed_blocks, check_symbol, load_indicators, load_prices_with_indicators, require_native, root_digests
 from barloom.streaming.bars import stream_bars
 from test_indicators import SCHEMA, history
 from tests.transport import NOTES
@@ -139,6 +142,7 @@ def test_command_line_answers_as_json(spark, tmp_path, capsys):
     assert [r["ts"] for r in rows] == [(datetime(2024, 1, 1) + timedelta(days=i)).isoformat() for i in (498, 499)] and rows[0]["ema_200"] is not None
     assert run("similar", "--symbol", "A") == 0
     doc = json.loads(capsys.readouterr().out)
+    assert doc["data"]["match_count"] == len(doc["matches"]) and "adjusted" in doc["data"]["warning"]
     assert doc["data"]["max_matches"] == 200 and all(x["position"] == i + 1 for i, x in enumerate(doc["matches"]))
     assert run("structure", "--symbol", "NONE") == 2 and run("structure", "--symbol", "A", "--periods", "20") == 2 and run("update-all") == 2
 
@@ -148,6 +152,100 @@ def test_windows_in_order(spark):
     assert [(r.s, r.e) for r in windows.first_windows(df, "s", "e").orderBy("position").collect()] == [(0, 9), (10, 11), (30, 31)]
 
 
+def test_windows_in_order_against_a_loop(spark):
+    rng = random.Random(3)
+    rows = [(g, s, s + rng.randint(0, 30), i) for g in "ABC" for i, s in enumerate(rng.choices(range(400), k={"A": 150, "B": 40, "C": 1}[g]))]
+    want = set()
+    for g in "ABC":
+        upto, n = -1, 0
+        for _, s, e, i in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
+            if s > upto:
+                upto, n = e, n + 1
+                want.add((g, n, s, e))
+    got = windows.first_windows(spark.createDataFrame(rows, "symbol string, s long, e long, tag long"), "s", "e").collect()
+    assert {(r.symbol, r.position, r.s, r.e) for r in got} == want and len(got) == len(want)
+    assert windows.first_windows(spark.createDataFrame([], "symbol string, s long, e long"), "s", "e").count() == 0
+
+
+def test_pruned_search_equals_comparing_all(spark):
+    """Few matches of many candidates: bounds leave some out, and the choice is that of the plain distances."""
+    bars = with_indicators(spark.createDataFrame(bars_of(900, "AB"), SCHEMA))
+    found, compared = similarity.search(bars, most=2)
+    counts = {r.symbol: (r.n_candidates, r.n_compared) for r in compared.collect()}
+    told = similarity.features(bars).collect()
+    vectors = {g: "volume_vector" if g == "volume" else g for g in similarity.SUBGROUPS}
+    got = {(r.symbol, r.position): r for r in found.collect()}
+    for s in "AB":
+        own = sorted((r for r in told if r.symbol == s), key=lambda r: r.idx)
+        last = own[-1]
+        near = []
+        for r in own:
+            if r.idx < last.first_idx and all(r[c] == last[c] for c in similarity.CONTEXT):
+                d = [math.sqrt(sum((x - y) ** 2 for x, y in zip(r[v], last[v])) / len(r[v])) for v in vectors.values()]
+                near.append((sum(d) / 6, r.first_idx, r.idx))
+        near.sort()
+        taken = []
+        for d, a, b in near:
+            if len(taken) < 2 and all(b < x or a > y for _, x, y in taken):
+                taken.append((d, a, b))
+        assert counts[s][0] == len(near)
+        assert [(got[s, k + 1].first_idx, got[s, k + 1].idx) for k in range(len(taken))] == [t[1:] for t in taken]
+        assert all(math.isclose(got[s, k + 1].combined_distance, t[0], rel_tol=1e-9) for k, t in enumerate(taken))
+    assert any(m < n for n, m in counts.values())
+    one = similarity.features(bars).where("idx = 500").first()
+    assert [len(one[v]) for v in vectors.values()] == [50, 30, 41, 20, 30, 10]
+
+
+def test_csv_keeps_the_first_of_equal_rows_in_order(spark, tmp_path):
+    rows = ["b,2", 'a,"x, ""y"""', "b,2", "a,1", "c,", 'a,"x, ""y"""', "b,3", ",", "b,2"] + [f"k{i % 40},{i % 7}" for i in range(3000)]
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate((rows[:5], rows[5:1000], rows[1000:])):  # three files, in the order of their names
+        (tmp_path / "in" / f"{k}.csv").write_text("name,value\n" + "\n".join(part) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert cli.main(["distinct-csv", str(tmp_path / "in"), str(tmp_path / "out")], spark) == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    import csv as plain
+
+    read = lambda paths: [tuple(r) for p in paths for r in list(plain.reader(p.open(newline="")))[1:]]
+    want = list(dict.fromkeys(read(sorted((tmp_path / "in").glob("*.csv")))))
+    assert read(sorted((tmp_path / "out").glob("part-*.csv"))) == want
+    assert all(p.read_text().startswith("name,value\n") for p in (tmp_path / "out").glob("part-*.csv"))
+
+
+def test_localized_times(spark):
+    """Aware times are moved to the exchange, naive ones are meant so; both as in the vendor's frames."""
+    first = int(datetime(2026, 6, 8, 4, 15, tzinfo=UTC).timestamp())
+    rows = [("T", first + 1800 * k, 100.0, 105.0, 99.0, 104.0, 1000.0, k) for k in range(2)]
+    aware = spark.createDataFrame(rows, "symbol string, Datetime long, Open double, High double, Low double, Close double, Volume double, seq int").withColumn("Datetime", F.timestamp_seconds("Datetime"))
+    for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            good, _ = normalize.normalize(normalize.localize(normalize.named(aware)), "30m", F.lit(datetime(2026, 6, 8, 10, 30)))
+            assert [r.ts for r in good.collect()] == [datetime(2026, 6, 8, 9, 45)]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    naive = spark.createDataFrame([("T", datetime(2026, 6, 5), 100.0, 105.0, 99.0, 104.0, 1000.0, 0)], "symbol string, Date timestamp_ntz, Open double, High double, Low double, Close double, Volume double, seq int")
+    assert [r.ts for r in normalize.normalize(normalize.localize(normalize.named(naive)), "1d", F.lit(datetime(2026, 6, 6)))[0].collect()] == [datetime(2026, 6, 5)]
+    assert normalize.localize(spark.createDataFrame([(-1,)], "m long").select(F.timestamp_micros("m").alias("ts"))).first().ts == datetime(1970, 1, 1, 5, 29, 59, 999999)
+    with pytest.raises(ValueError, match="offset"):
+        normalize.localize(aware, "Datetime", "Europe/Berlin")
+    with pytest.raises(ValueError, match="missing columns: high, volume"):
+        normalize.named(naive.drop("High", "Volume"))
+
+
+def test_screen_command(spark, tmp_path, capsys):
+    rows = bars_of(500, "ABCDE")
+    (tmp_path / "c.toml").write_text('[paths]\ndata_dir = "data"\nsymbols_file = "s.csv"\n[download]\ninterval = "1d"\nstart_date = 2015-01-01\n')
+    stores(spark, str(tmp_path / "data"), "1d")[0].replace(spark.createDataFrame(rows, SCHEMA))
+    assert cli.main(["--config", str(tmp_path / "c.toml"), "screen"], spark) == 0
+    text = Path(capsys.readouterr().out.strip()).read_text()
+    assert "analyzed" in text and "| Symbol | tier |" in text
+    said = text.rsplit("_Disclosures: ", 1)[1]
+    assert re.match(r"W (stable|sensitive), overlap [\d.]+, W=(\d+|\[60, 120, 240\]); bars/day=7; H_base=15, clamp 0.5–10d; 0 excluded for a short history; \d+ shortlisted, \d+ analyzed;", said)
+
+
 def test_batches_are_fetched_once(spark, tmp_path):
     NOTES.write_text(str(tmp_path))
     calls = lambda: sorted(f.read_text() for f in tmp_path.iterdir() if f.is_file())
@@ -236,7 +334,7 @@ def test_positions(spark):
     rng = random.Random(0)
     rows = sorted({(rng.choice(["A", "B", None]), rng.randint(0, 5000)) for _ in range(600)}, key=str)
     df = spark.createDataFrame(rows, "symbol string, t long")
-    got = {(r.symbol, r.t): r.idx for r in positions(df, ["symbol"], F.expr("t div 100"), ["t"]).collect()}
+    got = {(r.symbol, r.t): r.idx for r in positions(df, ["symbol"], F.expr("t div 100"), ["t"], nulls=True).collect()}
     assert got == {(s, t): sum(1 for s2, t2 in rows if s2 == s and t2 < t) for s, t in rows}
 
 
@@ -274,8 +372,10 @@ def test_validate_request():
 
 
 def test_tier_order(spark):
-    base = {"now_off_high": 5.0, "live_low_dip": 6.0, "live_low": 90.0, "floor_price": 80.0, "band_lo": 4.0, "band_hi": 8.0, "bounce_base": 0.6, "turn_confirmed": True, "recovery": "fast"}
-    cases = [({}, "BUY"), ({"recovery": "slow"}, "PATIENT"), ({"bounce_base": 0.4}, "SPEC"), ({"turn_confirmed": False}, "WAIT"), ({"now_off_high": 1.0}, "WATCH"), ({"live_low": 70.0}, "CAUTION"), ({"live_low_dip": 20.0}, "AVOID")]
+    base = {"now_off_high": 5.0, "live_low_dip": 6.0, "live_low": 90.0, "floor_price": 80.0, "band_lo": 4.0, "band_hi": 8.0, "bounce_base": 0.6, "turn_confirmed": True, "recovery": "fast", "uptrend": True}
+    # a broken trend, and a close that is deeper than the band but not by half
+    cases = [({"uptrend": False}, "CAUTION"), ({"uptrend": False, "turn_confirmed": False}, "CAUTION"), ({"now_off_high": 9.5, "live_low_dip": 9.6}, "SPEC"), ({"now_off_high": 9.5, "live_low_dip": 9.6, "turn_confirmed": False}, "SPEC")]
+    cases += [({"now_off_high": 9.5, "live_low_dip": 7.0}, "BUY"), ({"now_off_high": 4.0}, "BUY"), ({"now_off_high": 8.0, "live_low_dip": 8.5}, "BUY"), ({}, "BUY"), ({"recovery": "slow"}, "PATIENT"), ({"bounce_base": 0.4}, "SPEC"), ({"turn_confirmed": False}, "WAIT"), ({"now_off_high": 1.0}, "WATCH"), ({"live_low": 70.0}, "CAUTION"), ({"live_low_dip": 20.0}, "AVOID")]
     df = spark.createDataFrame([base | c for c, _ in cases])
     assert [r.tier for r in pullback.tier(df).collect()] == [t for _, t in cases]
 
@@ -359,17 +459,32 @@ def test_symbols_stay_text_and_one_bad_price_fails_alone(spark, tmp_path):
 
 def test_refused_indicators_fail_alone(spark, tmp_path):
     raw = spark.createDataFrame([(s, t, o, h, l, c, float(v), i) for s in ("A", "B") for i, (_, t, o, h, l, c, v) in enumerate(history(400))], RAW)
-    asked = spark.createDataFrame([("A", 0), ("B", 1)], "symbol string, ord long")
     prices, indicators = stores(spark, str(tmp_path), "1d")
-
-    def refuse(df):
-        if not df.where("symbol = 'B'").isEmpty():
-            raise ValueError("B is refused")
-
     prices.replace(normalize.normalize(raw, "1d", F.lit(datetime(2026, 6, 8, 16, 30)))[0])
-    indicators.validate = refuse
+    indicators.check = lambda df: df.where("symbol = 'B'").select("symbol", F.lit("B is refused").alias("error")).distinct()
     got = {r.symbol: (r.changed, r.error) for r in refresh_indicators(prices, indicators, ["A", "B"]).collect()}
-    assert got == {"A": (True, None), "B": (None, "B is refused")} and indicators.read(["B"]) is None
+    assert got == {"A": (True, None), "B": (None, "B is refused")} and indicators.read(["B"]) is None and indicators.read(["A"]).count() == 35
+    # what was refused is tried again, what is current is not
+    indicators.check = None
+    assert {r.symbol for r in refresh_indicators(prices, indicators).collect()} == {"B"} and indicators.read().count() == 70
+    with pytest.raises(StoreError, match="separator"):
+        prices.replace(prices.read().withColumn("symbol", F.lit("a/b")))
+
+
+def test_read_back_rows_are_checked(spark, tmp_path):
+    prices = stores(spark, str(tmp_path), "1d")[0]
+    bars = spark.createDataFrame(history(5), SCHEMA)
+    bad = bars.unionByName(bars.withColumns({"symbol": F.lit("D"), "ts": F.lit(datetime(2024, 1, 1))})).unionByName(bars.withColumns({"symbol": F.lit("N"), "close": F.lit(None).cast("double")}))
+    staged = prices.stage(bad)
+    assert {r.symbol: r.error for r in staged.errors.collect()} == {"D": "price data contains duplicate timestamps", "N": "price data contains nulls"}
+    assert [(r.symbol, r.n_rows) for r in staged.result.collect()] == [("TCS.NS", 5)]
+    with pytest.raises(StoreError, match="duplicate timestamps|nulls"):
+        prices.replace(bad)
+    assert prices.read() is None
+    # rows that do not ascend in their file
+    place = str(tmp_path / "back")
+    bars.coalesce(1).orderBy(F.desc("ts")).write.parquet(place)
+    assert [(r.symbol, r.error) for r in validate.price_problems(spark.read.parquet(place)).collect()] == [("TCS.NS", "price data is not sorted by timestamp")]
 
 
 def test_store_with_two_writers(spark, tmp_path):
@@ -386,13 +501,136 @@ def test_store_with_two_writers(spark, tmp_path):
     one._try_publish = late
     one.replace(bars.where("symbol = 'C'"))
     assert sorted(r.symbol for r in other.read().select("symbol").distinct().collect()) == ["A", "B", "C"]
+    one._try_publish = publish
     folder = tmp_path / "prices" / "1d"
-    for k in range(4):  # what nothing points at goes
+    held = one.read()
+    for k in range(3):
         one.replace(bars.withColumn("close", F.col("close") + k + 1))
-    assert len([p for p in folder.iterdir() if p.name.startswith("v=")]) <= 2 and one.read().count() == 15
+    assert held.count() == 15  # a reader keeps its version through any number of publishes within the grace time
+    assert one.vacuum() == 0 and one.vacuum(0) > 0
+    assert len([p for p in folder.iterdir() if p.name.startswith("v=")]) == 1 and one.read().count() == 15
+    assert not one.replace(bars.withColumn("close", F.col("close") + 3)).where("changed").count()
     assert one.remove(["A", "Z"]) == ["A"] and one.read(["A"]) is None
 
 
+def test_prices_and_indicators_become_visible_together(spark, tmp_path, monkeypatch):
+    """A run that stops after either write leaves the old pair; the next run completes it and vacuum takes the rest."""
+    frame = lambda n, k: spark.createDataFrame([("A", t, o, h, l, c + k, float(v), i) for i, (_, t, o, h, l, c, v) in enumerate(history(n))], RAW)
+    asked, now = spark.createDataFrame([("A", 0)], "symbol string, ord long"), datetime(2026, 6, 8, 16, 30, tzinfo=UTC)
+    run = lambda r: [(x.status, x.stored_rows) for x in update(spark, str(tmp_path), "1d", r, asked, now).collect()]
+    assert run(frame(400, 0.0)) == [("success", 400)]
+    pair = stores(spark, str(tmp_path), "1d")
+    at = lambda: sorted(map(tuple, load_prices_with_indicators(*pair).select("ts", "close", "ema_10").collect()))
+    old = at()
+    real = Store.stage
+    for stop in ("indicators", "state"):
+        def dies(self, *args, stop=stop):
+            if self.kind == stop:
+                raise OSError("lost")
+            return real(self, *args)
+
+        monkeypatch.setattr(Store, "stage", dies)
+        with pytest.raises(OSError, match="lost"):
+            update(spark, str(tmp_path), "1d", frame(410, 0.5), asked, now)
+        assert at() == old and pair[0].read().count() == 400
+    monkeypatch.setattr(Store, "stage", real)
+    assert run(frame(410, 0.5)) == [("success", 410)] and len(at()) == len(old) + 10
+    assert pair[0].vacuum(0) > 0 and len(at()) == len(old) + 10
+    # prices whose indicators were refused are not joined with those of older prices
+    pair[0].replace(pair[0].read().withColumn("close", F.col("close") + 1))
+    with pytest.raises(StoreError, match="No indicators"):
+        load_prices_with_indicators(*pair)
+
+
+def test_no_indicators(spark, tmp_path):
+    prices, indicators = stores(spark, str(tmp_path), "1d")
+    for read in (lambda: load_indicators(indicators), lambda: load_prices_with_indicators(prices, indicators)):
+        with pytest.raises(StoreError, match="No indicators"):
+            read()
+
+
+def bars_of(n, symbols="AB"):
+    rng = random.Random(n)
+    rows = []
+    for s in symbols:
+        close = 100.0
+        for i in range(n):
+            close *= 1 + rng.uniform(-0.03, 0.03)
+            rows.append((s, datetime(2015, 1, 1) + timedelta(days=i), close - 0.3, close + rng.uniform(0.5, 2), close - rng.uniform(0.5, 2), close, rng.randint(100, 999)))
+    return rows
+
+
+def test_appended_bars_read_the_tail_only(spark, tmp_path):
+    """Ten bars more: the stored state resumes each series, with the result of a run over all bars."""
+    rows = bars_of(1600)
+    day = lambda r: (r[1] - datetime(2015, 1, 1)).days
+    first = spark.createDataFrame([r for r in rows if day(r) < 1590], SCHEMA)
+    every = spark.createDataFrame(rows, SCHEMA)
+    prices, indicators = stores(spark, str(tmp_path), "1d")
+    prices.replace(first)
+    refresh_indicators(prices, indicators).collect()
+    prices.replace(every)
+    leaves, source = block_digests(prices.read()), prices.other("sources", plan.SOURCES)
+    states = plan.resumable(leaves, source.read().withColumnRenamed("ts", "block"), prices.other("state", plan.STATE).read())
+    assert sorted((r.symbol, r.idx) for r in states.collect()) == [("A", 1535), ("B", 1535)]
+    assert plan.tail(prices.read(), states).count() == 2 * (1600 - 1535 - 1 + 366)  # of 3,200 bars
+    assert {(r.symbol, r.changed) for r in refresh_indicators(prices, indicators).collect()} == {("A", True), ("B", True)}
+    want = {(r.symbol, r.ts): r for r in indicator_table(every).collect()}
+    got = {(r.symbol, r.ts): r for r in indicators.read().collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-9) for k in want for a, b in zip(got[k][2:], want[k][2:]))
+    # a bar of the past that is restated: from the block before it on
+    old = every.withColumn("close", F.when((F.col("symbol") == "A") & (F.col("ts") == datetime(2017, 1, 5)), F.col("close") + 0.1).otherwise(F.col("close")))
+    prices.replace(old)
+    states = plan.resumable(block_digests(prices.read(["A"])), source.read(["A"]).withColumnRenamed("ts", "block"), prices.other("state", plan.STATE).read(["A"]))
+    assert [(r.symbol, r.idx) for r in states.collect()] == [("A", 511)]
+    assert {(r.symbol, r.changed) for r in refresh_indicators(prices, indicators).collect()} == {("A", True)}
+    want = {(r.symbol, r.ts): r for r in indicator_table(old).collect()}
+    assert all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-9) for r in indicators.read().collect() for a, b in zip(r[2:], want[r.symbol, r.ts][2:]))
+
+
+def test_a_flat_series_holds_its_directional_index(spark):
+    """Blocks without any movement repeat the last index, across block borders, as a loop over all bars does."""
+    rows = []
+    for i in range(1300):
+        c = 100.0 + (i if i < 40 else 40)
+        rows.append(("F", datetime(2015, 1, 1) + timedelta(days=i), c, c + (1 if i < 40 else 0), c - (1 if i < 40 else 0), c, 10))
+    got = {r.idx: r for r in with_indicators(spark.createDataFrame(rows, SCHEMA), ("adx_14", "obv")).collect()}
+    tr = pdm = mdm = 0.0
+    dx, adx, seeds = 0.0, None, []
+    for i in range(1, 1300):
+        (_, _, _, h, l, c, _), (_, _, _, h1, l1, c1, _) = rows[i], rows[i - 1]
+        up, down = h - h1, l1 - l
+        t, p, m = max(h - l, abs(h - c1), abs(l - c1)), up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0
+        tr, pdm, mdm = (tr + t, pdm + p, mdm + m) if i <= 13 else (tr * 13 / 14 + t, pdm * 13 / 14 + p, mdm * 13 / 14 + m)
+        if i >= 14:
+            a, b = (100 * pdm / tr, 100 * mdm / tr) if tr else (0.0, 0.0)
+            dx = 100 * abs(a - b) / (a + b) if a + b else dx
+            seeds.append(dx)
+            adx = sum(seeds) / 14 if i == 27 else None if i < 27 else (13 * adx + dx) / 14
+        assert (got[i].adx_14 is None) == (adx is None) and (adx is None or math.isclose(got[i].adx_14, adx, rel_tol=1e-9))
+
+
+def test_no_window_over_rows_spans_a_symbol(spark):
+    """Windows by symbol alone are those over blocks and cells, which order by them."""
+    frame = spark.createDataFrame(bars_of(30), SCHEMA)
+    for df in (indicator_table(frame), with_indicators(frame)):
+        plan_text = df._jdf.queryExecution().optimizedPlan().toString()
+        found = re.findall(r"windowspecdefinition\((symbol#\d+, )([a-z_0-9]+)#", plan_text)
+        assert found and all(order in ("__block", "__cell", "__in") for _, order in found), set(found)
+
+
+def test_merkle_tree(spark):
+    rows = bars_of(400, "AB")
+    df = spark.createDataFrame(rows, SCHEMA)
+    leaves = block_digests(df)
+    assert leaves.count() == 2 * 14 and leaves.agg(F.sum("n_rows")).first()[0] == 800
+    moved = df.withColumn("low", F.when((F.col("symbol") == "B") & (F.col("ts") == datetime(2015, 7, 9)), 1.0).otherwise(F.col("low")))
+    assert [tuple(r) for r in changed_blocks(block_digests(moved), leaves).collect()] == [("B", datetime(2015, 7, 1), "changed")]
+    roots = lambda x: {r.symbol: r.source_fingerprint for r in root_digests(x).collect()}
+    assert roots(leaves) == roots(block_digests(df.orderBy(F.desc("close")))) and roots(leaves)["A"] == roots(block_digests(moved))["A"] and roots(leaves)["B"] != roots(block_digests(moved))["B"]
+
+
 def test_live_turn_by_hand(spark):
     """A dip to 90 under a high of 110; the last bar has a true range of 4, the bar of the dip one of 8."""
     at = lambda i: datetime(2026, 1, 1) + timedelta(hours=i)
