@@ -145,9 +145,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command in ("structure", "similar", "lookup"):
             if args.command == "structure":
                 request = structure.validate_request(args.symbol, args.interval or config.interval, args.start, args.end, args.periods, args.historical)
-                answer = ask_structure(spark, config, request)
+                answer = released(spark, lambda: ask_structure(spark, config, request))
+            elif args.command == "similar":
+                answer = released(spark, lambda: ask_similar(spark, config, args.symbol))
             else:
-                answer = ask_similar(spark, config, args.symbol) if args.command == "similar" else ask_lookup(spark, config, args.symbol, args.rows)
+                answer = ask_lookup(spark, config, args.symbol, args.rows)
             print(json.dumps(answer, ensure_ascii=False))
             return 0
         if args.command == "update-all":

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.blocks import micros, positions, trailing_extremes
+from barloom.functions.blocks import micros, shifted, trailing_extremes
 from barloom.functions.scan import BLOCK, Recurrence, affine_scan, block_of
+from barloom.sources.shared import written
 
 EMA_LENGTHS = (10, 20, 50, 100, 200)
 #: Fixed output columns and their order.
@@ -63,30 +64,34 @@ def _scan(df: DataFrame, series: dict[str, Recurrence], only: tuple[str, ...], s
     return affine_scan(df, read, initial=initial) if read else df
 
 
-def numbered(bars: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """``bars`` with ``idx``, from 0, or so that the bar at the time of ``state`` (``symbol, ts, idx``) has its number."""
-    cell = F.expr(f"(__at - pmod(__at, {DAYS * 86_400_000_000}L)) div {DAYS * 86_400_000_000}L")
-    rows = positions(bars.withColumn("__at", micros("ts")), ["symbol"], cell, ["ts"]).drop("__at")
+def numbered(bars: DataFrame, state: DataFrame | None = None, trailing: bool = True) -> DataFrame:
+    """``bars`` with ``idx``, from 0, or so that the bar at the time of ``state`` (``symbol, ts, idx``) has its number; and the trailing
+    extremes."""
+    if trailing:
+        rows = trailing_extremes(bars, DAYS, {"trailing_365d_high": "high"}, {"trailing_365d_low": "low"}, number=True)
+    else:
+        span = DAYS * 86_400_000_000
+        rows = bars.withColumn("__at", micros("ts")).withColumn("__cell", F.expr(f"(__at - pmod(__at, {span}L)) div {span}L"))
+        rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("symbol", "__cell").orderBy("__at"))).drop("__at")
+        rows = rows.withColumns({c: F.lit(None).cast("double") for c in _TRAILING[:2]})
+    rows = written(rows, "cells")
     if state is None:
-        return rows
+        return shifted(rows, ["symbol"], "idx")
     known = state.select(F.col("symbol").alias("__symbol"), F.col("ts").alias("__ts"), F.col("idx").alias("__idx"))
-    shift = bars.join(known, F.col("symbol") == F.col("__symbol")).groupBy("symbol").agg((F.first("__idx") + 1 - F.count_if(F.col("ts") <= F.col("__ts"))).alias("__shift"))
-    return rows.join(shift, "symbol").withColumn("idx", F.col("idx") + F.col("__shift")).drop("__shift")
+    ahead = rows.join(known, F.col("symbol") == F.col("__symbol")).groupBy("__symbol").agg((F.first("__idx") + 1 - F.count_if(F.col("ts") <= F.col("__ts"))).alias("__ahead"))
+    return shifted(rows, ["symbol"], "idx").join(ahead, F.col("symbol") == F.col("__symbol")).withColumn("idx", F.col("idx") + F.col("__ahead")).drop("__ahead", "__symbol")
 
 
 def with_indicators(bars: DataFrame, only: tuple[str, ...] = INDICATOR_COLUMNS, state: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``bars`` with ``idx`` and the indicator columns ``only``. Windows over rows span a symbol and a block of ``BLOCK`` bars or a
-    year, so a long series is many tasks. Windows of other columns are pruned by the optimizer, recurrences here.
+    year, so a long series is many tasks. Windows of other columns are pruned by the optimizer, recurrences here. Rows that are read
+    twice, for themselves and for what is carried between blocks, are written to the shared folder (``sources.shared``).
 
     ``state`` resumes series: rows of ``STATE_COLUMNS`` with ``symbol, ts, idx``, one a symbol, at the end of a block. Then
     ``bars`` need to reach back ``DAYS`` days and ``HALO`` bars only, and the result begins after that block. ``keep`` are further
     columns of the computation to return."""
     close, high, low = F.col("close"), F.col("high"), F.col("low")
-    df = numbered(bars, state)
-    if set(_TRAILING) & set(only):
-        df = trailing_extremes(df, DAYS, {"trailing_365d_high": "high"}, {"trailing_365d_low": "low"})
-    else:
-        df = df.withColumns({c: F.lit(None).cast("double") for c in _TRAILING[:2]})
+    df = numbered(bars, state, bool(set(_TRAILING) & set(only)))
     if state is not None:
         known = state.select(F.col("symbol").alias("__symbol"), F.col("idx").alias("__from"))
         df = df.join(known, F.col("symbol") == F.col("__symbol")).where(F.col("idx") > F.col("__from") - HALO).drop("__symbol")

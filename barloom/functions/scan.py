@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.shared import written
+
 BLOCK = 512
 #: What a power of ``a`` must exceed to count: far below the last bit of a double.
 _COUNTS = 1e-30
@@ -86,8 +88,9 @@ def affine_scan(df: DataFrame, series: dict[str, Recurrence], key: str = "symbol
     sums |= {f"__t_{n}": F.pow(F.lit(r.a), k) * F.sum(f"__l_{n}").over(inside) for n, r in series.items() if r.hold}
     df = df.withColumns(sums).drop(*given)
     at_end = [c for c in df.columns if c.startswith(("__e_", "__t_", "__x_"))]
-    # all columns, so that this side of the join reads the shuffle of the other one
-    ends = df.groupBy(key, "__block").agg(F.max_by(F.struct(*columns, *at_end), idx).alias("end")).select(key, "__block", *[F.col(f"end.{c}").alias(c) for c in at_end])
+    last = F.lead(idx).over(inside).isNull()
+    df = written(df.withColumn("__last", last), "scan")  # read for its rows and for the ends of its blocks
+    ends = df.where("__last").select(key, "__block", *at_end)
     if initial is not None:
         ends = ends.unionByName(initial.select(key, "__block", *at_end))
     carried = _carries(ends, series, key)

@@ -36,6 +36,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def _own(make):
+    """A query that keeps no table but its result."""
+    return lambda s, d: finished(s, lambda: make(s, d), "result")
+
+
 #: Averages of prices in cents end in exact halves of the last kept digit; both sides round them up.
 HALF = 1e-7
 
@@ -72,12 +77,12 @@ SINGLE = {
 }
 for _name, _columns in SINGLE.items():
     query(_name, sql.chain() + _rounded_sql("ind", _columns, where=f"{_columns[0]} IS NOT NULL"))(
-        lambda s, d, c=_columns: _rounded(with_indicators(bars.daily(s, d), c).where(F.col(c[0]).isNotNull()), c)
+        _own(lambda s, d, c=_columns: _rounded(with_indicators(bars.daily(s, d), c).where(F.col(c[0]).isNotNull()), c))
     )
 _GATE = "ts >= (SELECT min(x.ts) FROM d x WHERE x.symbol = ind.symbol) + INTERVAL 365 DAY AND ema_200 IS NOT NULL"
-query("indicators_full", sql.chain() + _rounded_sql("ind", INDICATOR_COLUMNS, where=_GATE))(lambda s, d: _rounded(indicator_table(bars.daily(s, d)), INDICATOR_COLUMNS))
+query("indicators_full", sql.chain() + _rounded_sql("ind", INDICATOR_COLUMNS, where=_GATE))(_own(lambda s, d: _rounded(indicator_table(bars.daily(s, d)), INDICATOR_COLUMNS)))
 query("prices_with_indicators", sql.chain() + _rounded_sql("ind", INDICATOR_COLUMNS, "symbol, ts, open, high, low, close, volume", _GATE))(
-    lambda s, d: _rounded(indicator_table(bars.daily(s, d), prices=True), INDICATOR_COLUMNS, ("symbol", "ts", "open", "high", "low", "close", "volume"))
+    _own(lambda s, d: _rounded(indicator_table(bars.daily(s, d), prices=True), INDICATOR_COLUMNS, ("symbol", "ts", "open", "high", "low", "close", "volume")))
 )
 
 
@@ -95,9 +100,15 @@ def _resumed_indicators(spark, sf_dir):
     return finished(spark, make, "result")
 
 
-query("load_indicators", sql.chain() + _rounded_sql("ind", ("rsi_14",), where=_GATE + " AND symbol IN ('BUILDING', 'MACHINERY') AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-12-31'"))(
-    lambda s, d: _rounded(indicator_table(bars.daily(s, d)).where(F.col("symbol").isin("BUILDING", "MACHINERY") & F.col("ts").between(F.lit("1998-01-01").cast("timestamp_ntz"), F.lit("1998-12-31").cast("timestamp_ntz"))), ("rsi_14",))
-)
+@query("load_indicators", sql.chain() + _rounded_sql("ind", ("rsi_14",), where=_GATE + " AND symbol IN ('BUILDING', 'MACHINERY') AND ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-12-31'"))
+@_own
+def _load_indicators(spark, sf_dir):
+    """Two symbols and a year of a stored table."""
+    held = update.stores(spark, _shared_root(spark), "1d")[1]
+    held.replace(indicator_table(bars.daily(spark, sf_dir)))
+    return _rounded(store.load_indicators(held, ["BUILDING", "MACHINERY"], datetime(1998, 1, 1), datetime(1998, 12, 31)), ("rsi_14",))
+
+
 query("history_gate", f"SELECT symbol, max(ts) >= min(ts) + INTERVAL 365 DAY AS has_year FROM ({sql.DAILY} UNION ALL {sql.HOURLY}) GROUP BY symbol")(
     lambda s, d: bars.daily(s, d).unionByName(bars.hourly(s, d)).groupBy("symbol").agg((F.max("ts") >= F.min("ts") + F.expr("INTERVAL 365 DAYS")).alias("has_year"))
 )
@@ -341,11 +352,6 @@ def _indicators(spark, sf_dir, only=INDICATOR_COLUMNS):
     return written(with_indicators(bars.daily(spark, sf_dir), only), "indicators")
 
 
-def _own(make):
-    """A query that keeps no table but its result."""
-    return lambda s, d: finished(s, lambda: make(s, d), "result")
-
-
 def _zigzag(spark, sf_dir):
     return pullback.zigzag(pullback.fractal_pivots(_indicators(spark, sf_dir, ())))
 

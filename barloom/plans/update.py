@@ -13,6 +13,7 @@ from barloom.functions.calendar import require_aware
 from barloom.functions.indicators import DAYS, INDICATOR_COLUMNS, STATE, STATE_COLUMNS, block_ends, published, with_indicators
 from barloom.operators.normalize import normalize
 from barloom.operators.validate import PRICE_COLUMNS, indicator_problems, price_problems
+from barloom.sources.shared import released, written
 from barloom.sources.store import Staged, Store, block_digests, changed_blocks
 
 SUCCESS, UNCHANGED, FAILED = "success", "unchanged", "failed"
@@ -67,8 +68,9 @@ def _stage_indicators(prices: Store, indicators: Store, entries: DataFrame) -> t
     leaves = block_digests(bars)
     old = _rows(source, source.entries(), stale).withColumnRenamed("ts", "block")
     held = _rows(state, state.entries(), stale)
-    states = prices.scratch(resumable(leaves, old, held), "resume")
-    every = prices.scratch(compute(bars, states), "computed")
+    leaves = written(leaves, "leaves")
+    states = written(resumable(leaves, old, held), "resume")
+    every = written(compute(bars, states), "computed")
     after = states.select("symbol", F.col("ts").alias("__upto"))
     before = lambda rows: rows.join(after, "symbol").where(F.col("ts") <= F.col("__upto")).drop("__upto")
     table = published(every, stale).select("symbol", "ts", *INDICATOR_COLUMNS)
@@ -92,11 +94,15 @@ def refresh_indicators(prices: Store, indicators: Store, symbols: list[str] | No
     before the first changed one on; symbols without a year of history lose stale output, and those that are refused come
     back with their error and keep what is stored."""
     entries = prices.entries() if symbols is None else prices.entries().where(F.col("symbol").isin(symbols))
-    staged, gone, result = _stage_indicators(prices, indicators, entries)
-    result = prices.scratch(result, "refreshed")
-    if staged:
-        prices.publish(staged, gone)
-    return result
+
+    def refresh():
+        staged, gone, result = _stage_indicators(prices, indicators, entries)
+        result = prices.scratch(result, "refreshed")
+        if staged:
+            prices.publish(staged, gone)
+        return result
+
+    return released(prices.spark, refresh)
 
 
 def update(spark: SparkSession, root: str, interval: str, raw: DataFrame, requested: DataFrame, now: datetime, with_indicators: bool = True) -> DataFrame:
@@ -104,6 +110,10 @@ def update(spark: SparkSession, root: str, interval: str, raw: DataFrame, reques
 
     ``raw`` has ``symbol, ts, OHLCV, seq`` and optionally ``error``. Prices that were written stay even if
     the indicators of a symbol fail."""
+    return released(spark, lambda: _update(spark, root, interval, raw, requested, now, with_indicators))
+
+
+def _update(spark: SparkSession, root: str, interval: str, raw: DataFrame, requested: DataFrame, now: datetime, with_indicators: bool) -> DataFrame:
     local = require_aware(now).replace(tzinfo=None)
     prices, indicators = stores(spark, root, interval)
     errors = raw.where("error IS NOT NULL").groupBy("symbol").agg(F.min("error").alias("error")) if "error" in raw.columns else None
