@@ -13,12 +13,13 @@ import json
 import logging
 import sys
 import time
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.calendar import wall_clock
 from barloom.functions.indicators import EMA_LENGTHS, with_indicators
 from barloom.operators import pullback, screen, similarity, structure
 from barloom.plans.update import report, stores, update
@@ -167,9 +168,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             raw = spark.read.parquet(args.raw).join(wanted.select("symbol"), "symbol", "left_semi")
         else:
             raise ValueError("--raw or --fetch is required")
-        in_window = F.col("ts") >= F.lit(first)
+        in_window = F.col("ts") >= wall_clock(datetime.combine(first, datetime.min.time()))
         if config.end_date:
-            in_window &= F.col("ts") < F.date_add(F.lit(last), 1)
+            in_window &= F.col("ts") < wall_clock(datetime.combine(last + timedelta(days=1), datetime.min.time()))
         raw = raw.where(F.col("ts").isNull() | in_window)  # an error has no time
     except (OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -78,6 +78,11 @@ def latest_completed_date(now: Column) -> Column:
     return F.when(F.hour(now) >= CLOSE_HOUR, F.to_date(now)).otherwise(F.date_sub(F.to_date(now), 1))
 
 
+def wall_clock(at: datetime) -> Column:
+    """A time without zone as a literal, whatever the zones of the session and of the driver's machine."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def require_aware(now: datetime) -> datetime:
     if now.tzinfo is None:
         raise ValueError("a time zone is required")

@@ -27,7 +27,7 @@ SERIES = {
     "momentum": ("f_rsi", "f_roc"), "trend_strength": ("f_adx", "f_plus", "f_minus"), "yearly_position": ("f_year",),
 }
 #: Bars of one piece of a window whose means bound its distance from below.
-PIECE = 5
+PIECE = 2
 
 
 def with_series(bars: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timezone
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def _resumed_indicators(spark, sf_dir):
     """Indicators of the bars up to 2000, then of all: the second time from the last whole block on, where there is one."""
     def make():
         every = written(bars.daily(spark, sf_dir), "bars")
-        early = written(with_indicators(every.where(F.col("ts") < F.lit(datetime(2000, 1, 1))), keep=(*STATE_COLUMNS, "__halo_ts")), "early")
+        early = written(with_indicators(every.where(F.col("ts") < calendar.wall_clock(datetime(2000, 1, 1))), keep=(*STATE_COLUMNS, "__halo_ts")), "early")
         last = block_ends(early).groupBy("symbol").agg(F.max_by(F.struct("ts", "idx", "__halo_ts", *STATE_COLUMNS), "idx").alias("s"))
         states = written(last.select("symbol", "s.*"), "states")
         before = early.join(states.select("symbol", F.col("ts").alias("upto")), "symbol").where("ts <= upto").drop("upto")
@@ -254,7 +255,7 @@ def _update(spark, sf_dir, root):
     raw = _raw(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in normalize.OHLCV})
     names = [r[0] for r in raw.select("symbol").distinct().orderBy("symbol").collect()] + ["absent"]
     asked = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "symbol string, ord long")
-    return update.update(spark, root, "1h", raw, asked, datetime(2024, 1, 20, 12, 30, tzinfo=timezone.utc))
+    return update.update(spark, root, "1h", raw, asked, datetime(2024, 1, 20, 12, 30, tzinfo=ZoneInfo(calendar.ZONE)))
 
 
 _STORED = f"(SELECT symbol, count(*) AS n FROM {_RAW_SQL} GROUP BY symbol)"

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from datetime import datetime
 from functools import reduce
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.calendar import require_aware
+from barloom.functions.calendar import ZONE, require_aware, wall_clock
 from barloom.functions.indicators import DAYS, INDICATOR_COLUMNS, STATE, STATE_COLUMNS, block_ends, published, with_indicators
-from barloom.operators.normalize import normalize
+from barloom.operators.normalize import localize, normalize
 from barloom.operators.validate import PRICE_COLUMNS, indicator_problems, price_problems
 from barloom.sources.shared import released, written
 from barloom.sources.store import Staged, Store, block_digests, changed_blocks
@@ -108,17 +109,18 @@ def refresh_indicators(prices: Store, indicators: Store, symbols: list[str] | No
 def update(spark: SparkSession, root: str, interval: str, raw: DataFrame, requested: DataFrame, now: datetime, with_indicators: bool = True) -> DataFrame:
     """``symbol, status, downloaded_rows, stored_rows, error`` in the order of ``requested`` (symbol, ord).
 
-    ``raw`` has ``symbol, ts, OHLCV, seq`` and optionally ``error``. Prices that were written stay even if
+    ``raw`` has ``symbol, ts, OHLCV, seq`` and optionally ``error``; its times are the exchange's or instants. Prices that were written stay even if
     the indicators of a symbol fail."""
     return released(spark, lambda: _update(spark, root, interval, raw, requested, now, with_indicators))
 
 
 def _update(spark: SparkSession, root: str, interval: str, raw: DataFrame, requested: DataFrame, now: datetime, with_indicators: bool) -> DataFrame:
-    local = require_aware(now).replace(tzinfo=None)
+    local = wall_clock(require_aware(now).astimezone(ZoneInfo(ZONE)).replace(tzinfo=None))
     prices, indicators = stores(spark, root, interval)
     errors = raw.where("error IS NOT NULL").groupBy("symbol").agg(F.min("error").alias("error")) if "error" in raw.columns else None
     rows = raw.where("error IS NULL").drop("error") if errors is not None else raw
-    good, rejected = normalize(rows, interval, F.lit(local))
+    rows = localize(rows)
+    good, rejected = normalize(rows, interval, local)
     written = prices.stage(good)
     rejected = rejected.unionByName(written.errors)
     if errors is not None:

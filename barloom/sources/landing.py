@@ -40,7 +40,8 @@ class Landing:
         finally:
             self.folder.make(f"run={run}")
             for name in self.folder.names(attempt):
-                if re.fullmatch(r"batch=\d+", name) and self.folder.rename_once(f"{attempt}/{name}", f"run={run}/{name}"):
+                whole = re.fullmatch(r"batch=\d+", name) and any(n.endswith(".parquet") for n in self.folder.names(f"{attempt}/{name}"))
+                if whole and self.folder.rename_once(f"{attempt}/{name}", f"run={run}/{name}"):
                     done.append(int(name[6:]))
             self.folder.delete(attempt)
         return sorted(done)

@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.calendar import wall_clock
 from barloom.functions.indicators import INDICATOR_COLUMNS
 from barloom.sources.files import Folder
 
@@ -214,14 +215,14 @@ class Store:
         if wanted.isEmpty():
             return None
         if start is not None:
-            wanted = wanted.where(F.col("last_ts") >= F.lit(start))
+            wanted = wanted.where(F.col("last_ts") >= wall_clock(start))
         if end is not None:
-            wanted = wanted.where(F.col("first_ts") <= F.lit(end))
+            wanted = wanted.where(F.col("first_ts") <= wall_clock(end))
         out = self.rows(wanted, symbols)
         if start is not None:
-            out = out.where(F.col("ts") >= F.lit(start))
+            out = out.where(F.col("ts") >= wall_clock(start))
         if end is not None:
-            out = out.where(F.col("ts") <= F.lit(end))
+            out = out.where(F.col("ts") <= wall_clock(end))
         return out
 
     def _write(self, df: DataFrame, version: str) -> DataFrame:
@@ -294,7 +295,7 @@ def load_prices_with_indicators(prices: Store, indicators: Store, symbols=None,
     current = of(prices.kind).select("symbol", "source_fingerprint").join(of(indicators.kind), ["symbol", "source_fingerprint"])
     if current.isEmpty():
         raise StoreError("No indicators are stored")
-    within = lambda df: reduce(lambda d, c: d.where(c), [c for b, c in ((start, F.col("ts") >= F.lit(start)), (end, F.col("ts") <= F.lit(end))) if b is not None], df)
+    within = lambda df: reduce(lambda d, c: d.where(c()), [c for b, c in ((start, lambda: F.col("ts") >= wall_clock(start)), (end, lambda: F.col("ts") <= wall_clock(end))) if b is not None], df)
     p, i = prices.rows(of(prices.kind).join(current.select("symbol"), "symbol", "left_semi"), symbols), indicators.rows(current, symbols)
     return prices_with_indicators(within(p), within(i))
 
