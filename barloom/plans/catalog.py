@@ -153,12 +153,55 @@ def _raw(spark, sf_dir):
 _RAW_SQL = f"(SELECT * FROM ({sql.HOURLY}) WHERE hour(ts) <> 3 AND ts + INTERVAL 60 MINUTE <= TIMESTAMP '2024-01-20 12:30:00' AND symbol <> 'click')"
 query("drop_empty", f"SELECT symbol, CAST(count(*) AS BIGINT) AS n FROM ({sql.HOURLY}) WHERE hour(ts) <> 3 GROUP BY symbol")(lambda s, d: normalize.drop_empty(_raw(s, d)).groupBy("symbol").agg(F.count("*").alias("n")))
 query("normalized", f"SELECT symbol, ts, open, high, low, close, volume FROM {_RAW_SQL}")(lambda s, d: normalize.normalize(_raw(s, d), "1h", F.lit("2024-01-20 12:30:00").cast("timestamp_ntz"))[0])
-query("rejected", f"SELECT DISTINCT event_type AS symbol, 'candles are partially missing' AS error FROM events WHERE event_type = 'click'")(
-    lambda s, d: normalize.normalize(_raw(s, d), "1h", F.lit("2024-01-20 12:30:00").cast("timestamp_ntz"))[1]
-)
-query("validate_summary", f"SELECT symbol, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE close IS NULL) AS BIGINT) AS n_nulls, CAST(count(DISTINCT ts) AS BIGINT) AS n_keys FROM ({sql.DAILY}) GROUP BY symbol")(
-    lambda s, d: validate.summary(bars.daily(s, d), tuple(validate.PRICE_COLUMNS), "symbol").select("symbol", "n_rows", "n_nulls", "n_keys")
+def _orders_as_rows(spark, sf_dir):
+    """Orders as vendor rows of customers: some without a close, with half a share, or with an infinite high; several a day."""
+    orders, p = bars.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("o_totalprice")
+    of = lambda priority: F.col("o_orderpriority") == priority
+    odd = (F.col("o_orderkey") % 5) == 0
+    return orders.select(
+        F.col("o_custkey").cast("string").alias("symbol"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), p.alias("open"), F.when(of("3-MEDIUM") & odd, float("inf")).otherwise(p).alias("high"), p.alias("low"),
+        F.when(~(of("1-URGENT") & odd), p).alias("close"), F.when(of("5-LOW") & odd, 0.5).otherwise(1.0).alias("volume"), F.col("o_orderkey").alias("seq"),
+    )
+
+
+query(
+    "rejected",
+    f"""SELECT symbol, error FROM (SELECT CAST(o_custkey AS VARCHAR) AS symbol, CASE WHEN bool_or(o_orderpriority = '3-MEDIUM' AND o_orderkey % 5 = 0) THEN 'prices contain non-finite values' WHEN bool_or(o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0) THEN 'candles are partially missing'
+ WHEN bool_or(o_orderpriority = '5-LOW' AND o_orderkey % 5 = 0) THEN 'volume is not integral' WHEN min(CAST(o_orderdate AS DATE)) >= DATE '{NOW[:10]}' THEN 'no completed rows' END AS error FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) WHERE error IS NOT NULL""",
+)(lambda s, d: normalize.normalize(_orders_as_rows(s, d), "1d", F.lit(NOW).cast("timestamp_ntz"))[1])
+query(
+    "validate_summary",
+    """SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0) AS BIGINT) AS n_nulls, CAST(count(DISTINCT o_orderdate) AS BIGINT) AS n_keys,
+ CAST(count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM' AND o_orderkey % 5 = 0) AS BIGINT) AS n_non_finite FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey""",
+)(lambda s, d: validate.summary(_orders_as_rows(s, d), tuple(validate.PRICE_COLUMNS), "symbol").select("symbol", "n_rows", "n_nulls", "n_keys", "n_non_finite"))
+
+
+@query(
+    "stored_problems",
+    """SELECT symbol, CASE WHEN nulls > 0 THEN 'price data contains nulls' WHEN odd > 0 THEN 'price data contains non-finite values' WHEN keys < n THEN 'price data contains duplicate timestamps' END AS error
+ FROM (SELECT CAST(o_custkey AS VARCHAR) AS symbol, count(*) AS n, count(DISTINCT o_orderdate) AS keys, count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0) AS nulls,
+ count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM' AND o_orderkey % 5 = 0) AS odd FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) WHERE nulls > 0 OR odd > 0 OR keys < n""",
 )
+def _stored_problems(spark, sf_dir):
+    """What the check of a price store says of rows that it has staged and read back; nothing of it is published."""
+    rows = _orders_as_rows(spark, sf_dir).drop("seq").withColumn("volume", F.col("volume").cast("bigint"))
+    return update.stores(spark, _shared_root(spark), "1d")[0].stage(rows).errors
+
+
+query(
+    "removed_symbols",
+    f"SELECT symbol, ts, close FROM ({sql.DAILY}) WHERE symbol NOT IN ('BUILDING', 'MACHINERY')",
+)(_own(lambda s, d: _after_removal(s, d)))
+
+
+def _after_removal(spark, sf_dir):
+    """What a store holds after two symbols were forgotten."""
+    held = update.stores(spark, _shared_root(spark), "1d")[0]
+    held.replace(bars.daily(spark, sf_dir))
+    held.remove(["BUILDING", "MACHINERY", "none"])
+    return held.read().select("symbol", "ts", "close")
+
+
 query("anti_missing", "SELECT c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")(
     lambda s, d: vendor.missing_symbols(bars.table(s, d, "customer").select(F.col("c_custkey").alias("symbol")), bars.table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("symbol")))
 )
@@ -275,6 +318,19 @@ def _store_read(spark, sf_dir):
     return found if found is not None else bars.hourly(spark, sf_dir).limit(0)
 
 
+@query("updated_indicators", sql.chain() + _rounded_sql("ind", INDICATOR_COLUMNS, "symbol, ts, open, high, low, close, volume", _GATE))
+def _updated_indicators(spark, sf_dir):
+    """What the stores hold after two update runs, of the daily bars up to 2000 and of all of them: the second run resumes
+    the indicators of the first."""
+    root, day = _shared_root(spark), written(bars.daily(spark, sf_dir), "bars")
+    raw = day.withColumns({"volume": F.col("volume").cast("double"), "seq": F.lit(0)})
+    asked = day.groupBy("symbol").agg(F.min("ts").alias("first")).select("symbol", F.lit(0).alias("ord"))
+    for rows in (raw.where(F.col("ts") < calendar.wall_clock(datetime(2000, 1, 1))), raw):
+        update.update(spark, root, "1d", rows, asked, datetime(2002, 1, 1, tzinfo=ZoneInfo(calendar.ZONE)))
+    found = store.load_prices_with_indicators(*update.stores(spark, root, "1d"))
+    return _rounded(found, INDICATOR_COLUMNS, ("symbol", "ts", "open", "high", "low", "close", "volume"))
+
+
 query("unsorted", "SELECT DISTINCT symbol FROM (SELECT event_type AS symbol, ts < lag(ts) OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS back FROM events) WHERE back")(
     lambda s, d: validate.unsorted_symbols(bars.table(s, d, "events").select(F.col("event_type").alias("symbol"), "ts", F.struct("user_id", "event_id").alias("seq")))
 )
