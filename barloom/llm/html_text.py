@@ -49,22 +49,24 @@ _WORDS = set(
     "pagination pager login search complementary contentinfo".split()
 )
 #: Words that say only what kind of box it is, so that what stands beside them decides.
-_BOX = set("area bar block blocks box button buttons center col column container content form group inner item items left link links list main module outer panel posts right row section site slot stories text top user wrap wrapper".split())
+_BOX = set("area bar block blocks box button buttons card cards center col column container content form group inner item items left link links list main module outer panel posts right row section site slot stories text thread threads top user wrap wrapper".split())
 #: Words of ``_WORDS`` that name a box of their own behind any other word: ``forum-comments``.
 _NOUNS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist cookies footer masthead menu nav navbar navigation newsletter overlay pager pagination popup replies responses sidebar toolbar widget widgets".split())
+#: Words that name reader comments as the name of a box or list; a ``section`` of that name may be part of an article.
+_TALK = set("discussion discussions".split())
 _LAYOUT = set("has is no not with without".split())
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
-def names_unwanted(value: str, strict: bool = False) -> bool:
-    """Whether a class, id or role names what is no main text: a word of ``_WORDS`` alone or among words for boxes and
+def names_unwanted(value: str, strict: bool = False, listed: set[str] = _WORDS) -> bool:
+    """Whether a class, id or role names what is no main text: a ``listed`` word alone or among words for boxes and
     numbers, or as a noun behind any word, but not in ``share-price`` or ``has-sidebar``. ``strict``: the first two only."""
     for token in value.lower().split():
         words = [w for w in re.split(r"[_\-:]+", token) if w]
-        if not words or words[0] in _LAYOUT or not _WORDS & set(words):
+        if not words or words[0] in _LAYOUT or not listed & set(words):
             continue
-        if all(w in _WORDS or w in _BOX or w.isdigit() for w in words) or not strict and words[-1] in _NOUNS:
+        if all(w in listed or w in _BOX or w.isdigit() for w in words) or not strict and words[-1] in _NOUNS:
             return True
     return False
 
@@ -74,11 +76,12 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes or name in ("html", "body"):
         return False
+    listed = _WORDS | _TALK if name in ("div", "ol", "ul") else _WORDS
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
             return True
-        if key in ("class", "id", "role") and names_unwanted(value, name in ("article", "main")):
+        if key in ("class", "id", "role") and names_unwanted(value, name in ("article", "main"), listed):
             return True
     return False
 

@@ -261,9 +261,10 @@ def test_what_is_main_text():
     for gone in (
         "<article class='comment'><p>me too</article>", "<article id='comment-3'>first</article>", "<section class='user-responses'><p>hm</section>", "<p style='display: none'>not seen</p>", "<div hidden>x</div>",
         "<div class='ad-slot'>buy</div>", "<div class='forum-comments'>hm</div>", "<ul class='share-links'><li>tell</ul>", "<div id=cookie-notice>ok</div>", "<aside>beside</aside>", "<form>go</form>", "<div class='sidebar left'>x</div>",
+        "<div id='disqus_thread'>hm</div>", "<div class='discussion'><p>hm</div>", "<ul id='discussions'><li>hm</ul>", "<div class='promo-card'>buy</div>",
     ):
         assert text(f"<main>{body}{gone}</main>") == plain, gone
-    for stays in ("<section class='related-work'><p>earlier</section>", "<p class='share-price'>9</p>", "<div class='content has-sidebar'>all of it</div>"):
+    for stays in ("<section class='related-work'><p>earlier</section>", "<p class='share-price'>9</p>", "<div class='content has-sidebar'>all of it</div>", "<section id='discussion'><p>what it means</section>", "<div class='thread'>a question</div>"):
         assert text(f"<main>{body}{stays}</main>") == plain + "\n" + re.sub("<[^>]*>", "", stays), stays
     assert text(f"<article class='teaser'>a teaser</article><div>{body * 2}</div>") == f"a teaser\n{plain}\n{plain}"
     assert text(f"<article>{body}</article><div>some words that are outside</div>") == plain
