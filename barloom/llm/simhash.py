@@ -144,6 +144,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: Lanes of the parity map of a shingle set, 64 bits each.
 _MAP = 16
+#: Sets of more shingles than this have a second parity map, of one bit a shingle at least: between such sets the first
+#: one is filled with chance differences and tells little.
+WIDE = 800
 SAMPLE_TEXTS, LEAST_HOT, MOST_HOT = 20_000, 4, 300_000
 #: Positional bytes that a pair shares at least in the index over shingle sets.
 SHARED = 4
@@ -198,6 +201,25 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_parity(found: np.ndarray) -> bytes | None:
+    """The second parity map, whose bits are the least power of two that is ``len(found)`` or more; none for few shingles."""
+    if len(found) <= WIDE:
+        return None
+    bits = 1 << (len(found) - 1).bit_length()
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two maps differ. The longer one is folded: the map of half the bits is the exclusive or of its halves."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half]) ^ int.from_bytes(a[half:])).to_bytes(half)
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, t1, t2, text``: rows with an id, and the key of their text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -206,10 +228,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """One row for each document, under a number ``node`` of its own: ``id, t1, t2``, key ``s1, s2``, size ``n``, fingerprint ``fp``, prefix
-    ``keys`` and parity map ``m0..`` of its shingle set. Texts without words are keyed by the text itself."""
+    ``keys`` and parity maps ``m0..`` and ``wide`` of its shingle set. Texts without words are keyed by the text itself."""
     source = _keyed(docs, id_col, text_col)
     longs = ["t1", "t2", "node", "s1", "s2", "n", "fp", *[f"m{i}" for i in range(_MAP)]]
-    schema = T.StructType([source.schema["id"], *[T.StructField(c, T.LongType()) for c in longs], T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([source.schema["id"], *[T.StructField(c, T.LongType()) for c in longs], T.StructField("wide", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         node = TaskContext.get().partitionId() << 33
@@ -226,7 +248,7 @@ def _sets(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, id_col: str, text_
             keys = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
             columns = [np.arange(node, node + len(texts)), s[:, 0], s[:, 1], sizes, fps, *maps.T]
             node += len(texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns), keys], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(map(wide_parity, found), pa.binary()), keys], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -244,12 +266,34 @@ class _Verifier:
 
     def __call__(self, met: DataFrame) -> DataFrame:
         """``u, v``: the pairs of ``met``, a few numbers a row, that have the similarity. Pairs whose parity maps
-        differ in more bits than such sets can differ in shingles go before their texts are read."""
-        share, shingle = self.similarity, self.shingle
+        differ in more bits than such sets can differ in shingles go before their texts are read. Only the result stays."""
+        with scratch(met.sparkSession) as keep:
+            return keep(self._verified(met))
+
+    def _may_reach(self, met: DataFrame) -> DataFrame:
+        """``u, v, u_n, v_n``: the pairs that their sizes and parity maps do not rule out."""
+        slack = (1 - self.similarity) / (1 + self.similarity)
         a, b = (self.nodes.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), *[F.col(f"m{i}").alias(f"{n}{i}") for i in range(_MAP)]) for n in "uv")
         apart = sum(F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(_MAP))
-        most = (F.col("u_n") + F.col("v_n")) * ((1 - share) / (1 + share)) + 1e-6
-        pairs = materialize(met.join(a, "u").join(b, "v").where(apart <= most).select("u", "v", "u_n", "v_n"), "near")
+        sizes = F.least("u_n", "v_n") >= F.greatest("u_n", "v_n") * self.similarity - 1e-6
+        met = met.join(a, "u").join(b, "v").where(sizes & (apart <= (F.col("u_n") + F.col("v_n")) * slack + 1e-6))
+        pairs = materialize(met.select("u", "v", "u_n", "v_n"), "near")
+        both_wide = F.least("u_n", "v_n") > WIDE
+        wide = self.nodes.where(F.col("n") > WIDE)
+        maps = pairs.where(both_wide).join(wide.select(F.col("node").alias("u"), F.col("wide").alias("u_map")), "u")
+        maps = maps.join(wide.select(F.col("node").alias("v"), F.col("wide").alias("v_map")), "v").select("u", "v", "u_n", "v_n", "u_map", "v_map")
+
+        def near(batches):
+            for x in pieces(batches, 4):
+                most = (np.array(x.column(2)) + np.array(x.column(3))) * slack + 1e-6
+                apart = np.array([wide_apart(p, q) for p, q in zip(x.column(4).to_pylist(), x.column(5).to_pylist())])
+                yield x.select(["u", "v", "u_n", "v_n"]).filter(pa.array(apart <= most))
+
+        return materialize(pairs.where(~both_wide).unionByName(maps.mapInArrow(near, pairs.schema)), "near")
+
+    def _verified(self, met: DataFrame) -> DataFrame:
+        share, shingle = self.similarity, self.shingle
+        pairs = self._may_reach(met)
         ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
         ends = materialize(self.nodes.select("node", "id", "t1", "t2").join(small_side(ends), "node"), "near")
         wanted = self.docs.join(small_side(ends), ["id", "t1", "t2"]).select("node", "text")
@@ -308,23 +352,32 @@ def near_duplicate_rows(
         return keep(_near_duplicate_rows(docs, id_col, text_col, shingle, similarity, shared, hub_rounds))
 
 
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows of texts whose shingle set another one has (with its chosen node), the recurring prefix shingles of the other
+    nodes, their number by node, and those nodes. The table of all prefixes goes."""
+    with scratch(docs.sparkSession) as keep:
+        hot, rank = _hot_shingles(docs, id_col, text_col, shingle)
+        rows = materialize(_sets(docs, hot, rank, id_col, text_col, shingle, similarity), "near")
+        document = F.struct("id", "t1", "t2")
+        classes = materialize(rows.groupBy("s1", "s2").agg(F.min(F.struct("id", "t1", "t2", "node")).alias("least"), F.count("*").alias("copies")), "near")
+        same = classes.where("copies > 1").select("s1", "s2", F.struct("least.id", "least.t1", "least.t2").alias("least"), F.col("least.node").alias("chosen"))
+        copies = rows.select("s1", "s2", "node", document.alias("document")).join(same, ["s1", "s2"]).where("node <> chosen").select("node", "document", "least")
+        copies = keep(materialize(copies, "near"))
+
+        nodes = rows.where("n > 0").join(small_side(copies.select("node")), "node", "left_anti")
+        posts = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
+        several = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+        several = materialize(several, "near")  # a table of its own, so that the join can split a frequent key
+        posts = keep(materialize(posts.join(several, "key"), "near"))
+        met = keep(materialize(posts.groupBy("node").agg(F.count("*").alias("met")), "near"))
+        return copies, posts, met, keep(materialize(nodes.drop("keys", "s1", "s2"), "near"))
+
+
 def _near_duplicate_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, shared: int, hub_rounds: int) -> DataFrame:
-    hot, rank = _hot_shingles(docs, id_col, text_col, shingle)
-    rows = materialize(_sets(docs, hot, rank, id_col, text_col, shingle, similarity), "near")
     document = F.struct("id", "t1", "t2")
-    classes = materialize(rows.groupBy("s1", "s2").agg(F.min(F.struct("id", "t1", "t2", "node")).alias("least"), F.count("*").alias("copies")), "near")
-    same = classes.where("copies > 1").select("s1", "s2", F.struct("least.id", "least.t1", "least.t2").alias("least"), F.col("least.node").alias("chosen"))
-    copies = rows.select("s1", "s2", "node", document.alias("document")).join(same, ["s1", "s2"]).where("node <> chosen").select("node", "document", "least")
-    copies = materialize(copies, "near")
+    copies, posts, met, nodes = _prefixes(docs, id_col, text_col, shingle, similarity)
     gone = copies.where("document <> least").select("document.*")
-
-    nodes = rows.where("n > 0").join(small_side(copies.select("node")), "node", "left_anti")
-    posts = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key"))
-    several = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    several = materialize(several, "near")  # a table of its own, so that the join can split a frequent key
-    posts = materialize(posts.join(several, "key"), "near")
-    posts = posts.join(small_side(materialize(posts.groupBy("node").agg(F.count("*").alias("met")), "near")), "node")
-    nodes = materialize(nodes.drop("keys", "s1", "s2"), "near")
+    posts = posts.join(small_side(met), "node")
 
     verified = _Verifier(docs, nodes, id_col, text_col, shingle, similarity)
     links = verified(_by_fingerprint(nodes, shared))

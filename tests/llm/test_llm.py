@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import itertools
 import math
 import os
 import random
@@ -490,6 +491,35 @@ def test_near_duplicates_inside_a_template_family(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(range(1500))
 
 
+def test_long_texts_that_share_a_passage_are_not_read_again(spark):
+    """Pairs of long texts that meet in a passage but are far apart go by their maps; similar ones of any size stay."""
+    rng = random.Random(31)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([2500, 4000, 4700]))] for _ in range(16)]
+    for n, edits in ((700, 9), (820, 15), (820, 40), (1500, 20), (2600, 54), (2600, 60), (4000, 70), (4100, 120)):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        changed = list(base)
+        for k in rng.sample(range(n), edits):
+            changed[k] = f"x{rng.randrange(10**6)}"
+        rows += [base, changed, base[: int(n * 0.83)]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert kept_rows(df) == brute_kept(rows)
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    maps = [simhash.wide_parity(x) for x in sets]
+    assert [m is None for m in maps] == [len(x) <= simhash.WIDE for x in sets]
+    for (a, x), (b, y) in itertools.combinations(zip(maps, sets), 2):
+        assert a is None or b is None or simhash.wide_apart(a, b) <= len(np.setxor1d(x, y))
+    none = np.empty(0, np.int64)
+    nodes = simhash._sets(df, none, none, "doc_id", "text", 5, 0.8).cache()
+    met = nodes.alias("a").join(nodes.alias("b"), F.expr("a.node < b.node")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    near = simhash._Verifier(df, nodes, "doc_id", "text", 5, 0.8)._may_reach(met)
+    of = {r.node: r.id for r in nodes.collect()}
+    near = {tuple(sorted((of[r.u], of[r.v]))) for r in near.collect()}
+    similar = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert similar and similar <= near and not any(i < 16 for i, _ in near)
+
+
 def test_near_duplicates_that_differ_in_repeats(spark):
     rng = random.Random(13)
     rows = []
