@@ -184,6 +184,23 @@ def test_sentence_spans(docs, none):
     assert spans.remove_repeats(none).count() == 0
 
 
+def test_texts_are_parsed_side_by_side():
+    """Texts parsed together give the sentences of each one alone."""
+    rng = random.Random(5)
+    texts = ["", " \n", "a", "\n\na b", "x" * 90 + " y" * 30, "Ünï \x1ccode " * 20, "a.\n b! c? D\n"]
+    texts += ["".join(rng.choice("ab .!?\n\t\x0bA") * rng.randint(1, 3) for _ in range(rng.randint(0, 200))) for _ in range(300)]
+    texts += [" ".join(rng.choice("abcdefgh") * rng.randint(1, 60) for _ in range(rng.randint(0, 80))) for _ in range(100)]
+    parsed = spans._Parsed([t.encode() for t in texts])
+    for t, a, z in zip(texts, parsed.of, parsed.of[1:]):
+        words = [w.encode() for w in re.findall(r"[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*", t)]
+        ends = {i for i, w in enumerate(words) if w.rstrip()[-1:] in b".!?" or b"\n" in w}
+        rank = [zlib.crc32(w.rstrip().lower()) for w in words]
+        windows = [range(i, i + 10) for i in range(len(words) - 9) if not ends & set(range(i, i + 10))]
+        ends |= {min(w, key=lambda j: (rank[j], -j)) for w in windows} | ({len(words) - 1} if words else set())
+        assert (parsed.starts[a : z + 1] - parsed.starts[a]).tolist() == [0, *(e + 1 for e in sorted(ends))]
+        assert spans.sentences(t.encode())[0] == words
+
+
 def test_equal_very_long_texts_lose_their_spans_but_for_the_first(spark):
     rng = random.Random(4)
     text = " ".join(sentence(rng, 12) for _ in range(20_000))
