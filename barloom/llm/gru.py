@@ -17,6 +17,8 @@ import numpy as np
 
 UNKNOWN, END = 0, 1
 _F = np.float32
+#: Rows of one token from which on they are summed by a matrix product of their own.
+_MANY = 32
 
 
 def init(counts: np.ndarray, hidden: int, classes: int, seed: int = 0) -> dict[str, np.ndarray]:
@@ -62,7 +64,8 @@ class _Lanes:
         self.begin = np.cumsum(self.length) - self.length
         self.y = np.concatenate([texts[i] for i in self.order])
         first = (np.cumsum(self.lens) - self.lens)[self.lens > 0]
-        self.x = np.concatenate([[END], self.y[:-1]])
+        self.x = np.empty_like(self.y)
+        self.x[1:] = self.y[:-1]
         self.x[first] = END
         self.fresh = np.zeros(len(self.y), bool)
         self.fresh[first] = True
@@ -80,39 +83,41 @@ class _Lanes:
 
 
 def _gates(m: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Input and state weights, one row a gate unit. A sigmoid is half of 1 + tanh(x / 2), so the rows of
-    the reset and update gates are halved."""
-    half = np.ones(m["b"].shape, m["b"].dtype)
-    half[: 2 * m["U"].shape[0]] = 0.5
-    return np.ascontiguousarray(((m["E"] + m["b"]) * half).T), np.ascontiguousarray((m["U"] * half).T)
+    """Input weights, one row a token, and state weights, one row a gate unit. A sigmoid is 1 / (1 + exp(-x)), so
+    those of the reset and update gates are negated."""
+    sign = np.ones(m["b"].shape, m["b"].dtype)
+    sign[: 2 * m["U"].shape[0]] = -1
+    return (m["E"] + m["b"]) * sign, np.ascontiguousarray((m["U"] * sign).T)
 
 
 def _forward(gates: tuple, h: np.ndarray, lanes: _Lanes, places: list[np.ndarray], tape: list | None = None) -> list[np.ndarray]:
     """The states after each step of a window; with ``tape``, also what backpropagation needs."""
     (xs, us), n = gates, len(h)
+    inputs, end = xs.take(lanes.x[np.concatenate(places)], axis=0), 0
     out = []
-    for at in places:
-        h = h[:, : len(at)]
-        fresh = lanes.fresh[at]
-        if fresh.any():
-            h = h * ~fresh
-        x = xs.take(lanes.x[at], axis=1, mode="clip")
-        u = us @ h
-        rz = x[: 2 * n]
-        rz += u[: 2 * n]
-        np.tanh(rz, out=rz)
-        rz *= _F(0.5)
-        rz += _F(0.5)
-        r, z, un, c = rz[:n], rz[n:], u[2 * n :], x[2 * n :]
-        c += r * un
-        np.tanh(c, out=c)
-        new = h - c
-        if tape is not None:
-            tape.append((h, fresh, r, z, un, c, new.copy()))
-        new *= z
-        new += c
-        h = new
-        out.append(h)
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is the sigmoid's limit
+        for at in places:
+            h = h[:, : len(at)]
+            fresh = lanes.fresh[at]
+            if fresh.any():
+                h = h * ~fresh
+            x, end = inputs[end : end + len(at)].T, end + len(at)
+            u = us @ h
+            rz = x[: 2 * n] + u[: 2 * n]
+            np.exp(rz, out=rz)
+            rz += _F(1)
+            np.reciprocal(rz, out=rz)
+            r, z, un = rz[:n], rz[n:], u[2 * n :]
+            c = r * un
+            c += x[2 * n :]
+            np.tanh(c, out=c)
+            new = h - c
+            if tape is not None:
+                tape.append((h, fresh, r, z, un, c, new.copy()))
+            new *= z
+            new += c
+            h = new
+            out.append(h)
     return out
 
 
@@ -153,7 +158,8 @@ def _output(m: dict, h: np.ndarray, targets: np.ndarray, grad: dict | None = Non
     k, n, per = m["W"].shape
     cls = targets // per
     order = np.argsort(cls.astype(np.uint16), kind="stable")
-    cls, word, h = cls[order], targets[order] % per, h[order]
+    cls, h = cls[order], h.take(order, axis=0)
+    word = targets[order] - cls * per
     cuts = np.searchsorted(cls, np.arange(k + 1))
     spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
     big = np.concatenate([m["C"], m["c"][None]])
@@ -176,9 +182,29 @@ def _output(m: dict, h: np.ndarray, targets: np.ndarray, grad: dict | None = Non
         g = h[a:b].T @ d[a:b]
         grad["W"][i], grad["w"][i] = g[:n], g[n]
         dh[a:b] += d[a:b] @ m["W"][i].T
-    back = np.empty_like(dh)
-    back[order] = dh
-    return out, back
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return out, dh.take(place, axis=0)
+
+
+def _sums(rows: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """For each key below ``size`` the sum of its rows. Those of a frequent key lie together and are one product; of
+    all others the first rows are added at once, then the second ones, and so on."""
+    counts = np.bincount(keys, minlength=size)
+    begin = np.cumsum(counts) - counts
+    rows = rows.take(np.argsort(keys.astype(np.uint16), kind="stable"), axis=0)
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    for k in np.flatnonzero(counts >= _MANY):
+        out[k] = np.ones(counts[k], rows.dtype) @ rows[begin[k] : begin[k] + counts[k]]
+    few = np.flatnonzero((counts > 0) & (counts < _MANY))
+    if len(few):
+        few = few[np.argsort(-counts[few], kind="stable")]
+        first, left = begin[few], np.searchsorted(-counts[few], -np.arange(counts[few[0]]))
+        total = rows.take(first, axis=0)
+        for j, n in enumerate(left[1:], 1):
+            total[:n] += rows.take(first[:n] + j, axis=0)
+        out[few] = total
+    return out
 
 
 def _backward(m: dict, tape: list, dh: np.ndarray, tokens: np.ndarray, grad: dict) -> None:
@@ -214,14 +240,9 @@ def _backward(m: dict, tape: list, dh: np.ndarray, tokens: np.ndarray, grad: dic
         end -= a
     before = _rows([x[0] for x in tape])[:, :n]
     grad["U"] = before.T @ d_rows[:, n:]
-    hot = np.argsort(tokens.astype(np.uint16), kind="stable")
-    counts = np.bincount(tokens, minlength=len(m["E"]))
-    ids = np.flatnonzero(counts)
-    sums = np.add.reduceat(d_rows[hot, : 3 * n], (np.cumsum(counts) - counts)[ids], axis=0)
-    sums = np.concatenate([sums[:, n:], sums[:, :n]], 1)  # as in the model: reset, update, candidate
-    grad["E"] = np.zeros_like(m["E"])
-    grad["E"][ids] = sums
-    grad["b"] = sums.sum(0)
+    sums = _sums(d_rows, tokens, len(m["E"]))
+    grad["E"] = np.concatenate([sums[:, n : 3 * n], sums[:, :n]], 1)  # as in the model: reset, update, candidate
+    grad["b"] = grad["E"].sum(0)
 
 
 def score(m: dict, texts: list[np.ndarray], window: int = 32, batch: int = 300) -> np.ndarray:

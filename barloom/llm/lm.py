@@ -21,11 +21,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,83 +39,117 @@ END = "\n"
 _FINE = 16
 #: Bytes of text that a task holds at a time where texts are read side by side.
 _TRAIN_BYTES = 64 << 20
+#: Bytes of text whose words a task holds at a time.
+_WORD_BYTES = 8 << 20
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, cuts = lists.flatten(), np.array(lists.offsets, np.int64)
+    cuts -= cuts[0]
+    full = pc.not_equal(words, "")  # white space at either end of a text leaves an empty word there
+    if not pc.all(full).as_py():
+        words, cuts = words.filter(full), np.append(0, np.cumsum(np.array(full)))[cuts]
+    return words, np.diff(cuts)
 
 
-def _read(b: pa.RecordBatch):
-    return b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
+def training(b: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of ids and texts that are learned from."""
+    return b.column(1).filter(pa.array([not held_out(i) for i in b.column(0).to_pylist()], pa.bool_()))
 
 
 def count_tokens(docs: DataFrame, id_col: str, text_col: str, flush: int = 400_000) -> DataFrame:
     """``token, c`` of the training documents. Tasks count ahead of the shuffle, in tables of bounded size."""
 
     def run(batches):
-        seen: Counter = Counter()
-
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
-            seen.clear()
-            return out
-
+        held, n = [], 0
         for b in pieces(batches, 1):
-            for i, t in zip(*_read(b)):
-                if not held_out(i):
-                    seen.update(tokens(t))
-                    seen[b"\n"] += 1
-                    if len(seen) > flush:
-                        yield rows()
-        if seen:
-            yield rows()
+            words, lens = words_of(training(b))
+            found = words.value_counts()
+            token, times = found.field(0), found.field(1)
+            held.append(pa.table({"token": pa.concat_arrays([token, pa.array([END] * (len(lens) > 0), token.type)]), "n": pa.concat_arrays([times, pa.array([len(lens)] * (len(lens) > 0), pa.int64())])}))
+            n += len(held[-1])
+            if n > flush:
+                held = [_added(held)]
+                n = len(held[0])
+                if 2 * n > flush:
+                    yield from held[0].to_batches()
+                    held, n = [], 0
+        if n:
+            yield from _added(held).to_batches()
 
     return docs.select(id_col, text_col).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def _added(counts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(counts).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
+
+
 class Head:
     """The most frequent tokens with their counts, and what the model needs of the corpus totals."""
 
     def __init__(self, rows: list[tuple[str, int]], total: int, distinct: int, vocabulary: int):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        self.index = {t.encode(): j for j, (t, _) in enumerate(rows)}
+        self.tokens = pa.array([t for t, _ in rows], pa.string())
         self.counts = np.array([c for _, c in rows], np.int64)
         self.total, self.distinct = total, distinct
         slot = np.zeros(len(rows) + 1, np.int64)  # the last one stands for tokens outside the head
-        end, free = self.index.get(b"\n"), 2
+        free = 2
+        self.end = next((j for j, (t, _) in enumerate(rows) if t == END), -1)
         self.slot_counts = np.zeros(vocabulary, np.int64)
         for j, (_, c) in enumerate(rows):
-            if j == end or free < vocabulary:
-                slot[j] = gru.END if j == end else free
-                free += j != end
+            if j == self.end or free < vocabulary:
+                slot[j] = gru.END if j == self.end else free
+                free += j != self.end
                 self.slot_counts[slot[j]] = c
         self.slot = slot
-        self.vocabulary = {t: int(slot[j]) for t, j in self.index.items() if slot[j]}
+        own = np.flatnonzero(slot[:-1])
+        self.vocabulary, self.own_slots = self.tokens.take(pa.array(own)), np.append(slot[own], gru.UNKNOWN)
         inside, used = int(self.slot_counts.sum()), int((slot > 0).sum())
         self.slot_counts[gru.UNKNOWN] = total - inside
         self.outside = (total - inside) + 0.1 * (distinct - used) + 0.1
         self.all = total + 0.1 * (distinct + 1)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        out[-1] = self.index.get(b"\n", -1)
-        return out
+    def ids(self, words: list[bytes] | pa.Array) -> np.ndarray:
+        """The places in the head of the words of a text and its end, -1 for those outside."""
+        return np.append(_find(words, self.tokens), self.end)
 
     def slots(self, ids: np.ndarray) -> np.ndarray:
         s = self.slot[ids]
         s[-1] = gru.END
         return s
 
-    def read(self, words: list[bytes]) -> np.ndarray:
+    def read(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """The slots of a text by a table of the vocabulary alone."""
-        out = np.full(len(words) + 1, gru.END, np.int64)
-        out[:-1] = np.fromiter(map(self.vocabulary.get, words, repeat(gru.UNKNOWN)), np.int64, len(words))
-        return out
+        return np.append(self.own_slots[_find(words, self.vocabulary)], gru.END)
+
+
+def _find(words: list[bytes] | pa.Array, among: pa.Array) -> np.ndarray:
+    return np.array(pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=among), -1))
+
+
+def with_ends(lens: np.ndarray) -> np.ndarray:
+    """For each token of texts of so many words its place among all words, after which one end stands."""
+    n = int(lens.sum())
+    out = np.full(n + len(lens), n)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(lens + 1) - 1] = False
+    out[word] = np.arange(n)
+    return out
+
+
+def _rare(words: pa.Array, row: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+    """For each of so many rows its distinct words and how often it has each; ``row`` is that of each word."""
+    coded = words.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    key, times = np.unique(row * size + np.array(coded.indices, np.int64), return_counts=True)
+    cuts = pa.array(np.searchsorted(key, np.arange(rows + 1) * size), pa.int32())
+    return pa.ListArray.from_arrays(cuts, coded.dictionary.take(pa.array(key % size))), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32()))
 
 
 def _average(parts: DataFrame) -> DataFrame:
@@ -149,7 +182,12 @@ def _round(source: DataFrame, head: Head, model: dict, rate: float) -> dict:
         m, n = gru.unflat(first, model), 0
         opt = gru.Adam(m, rate)
         for b in pieces(batches, 1, rows=10_000, size=_TRAIN_BYTES):
-            texts = [head.read(tokens(t)) for i, t in zip(*_read(b)) if not held_out(i)]
+            texts = []
+            for part in pieces([b], 1, rows=10_000, size=_WORD_BYTES):
+                words, lens = words_of(training(part))
+                if len(lens):
+                    slots = head.read(words)[with_ends(lens)].astype(np.int32)
+                    texts += np.split(slots, np.cumsum(lens + 1)[:-1])
             if texts:
                 gru.train(m, texts, opt)
                 n += sum(map(len, texts))
@@ -191,28 +229,31 @@ def score(
     logs = np.log10(np.append(head.counts, 0) + 0.1)
     logs[-1] = 0.0  # tokens outside the head are added later
 
+    def read(b):
+        """The slots of each text of a batch, and its columns but for ``uid`` and ``model``."""
+        words, lens = words_of(b.column(1))
+        place = with_ends(lens)
+        first = np.cumsum(lens + 1) - lens - 1
+        by_text = lambda values: np.add.reduceat(values, first)
+        x = head.ids(words)[place]
+        s = head.slot[x].astype(np.int32)
+        s[first + lens] = gru.END
+        found, lone = logs[x], s == gru.UNKNOWN
+        known = by_text((x >= 0).astype(np.int64))
+        outside = np.flatnonzero(x < 0)
+        rare = _rare(pa.concat_arrays([words, pa.array([END], words.type)]).take(pa.array(place[outside])), np.searchsorted(first, outside, side="right") - 1, len(lens))
+        out = pa.array([held_out(i) for i in b.column(0).to_pylist()], pa.bool_())
+        return np.split(s, first[1:]), by_text(found * lone), [b.column(0), out, *map(pa.array, (lens + 1, known, lens + 1 - known, by_text(lone.astype(np.int64)), by_text(found))), *rare]
+
     def run(batches):
         uid = TaskContext.get().partitionId() << 33
         for b in pieces(batches, 1, rows=10_000, size=_TRAIN_BYTES):
-            ids, texts = _read(b)
-            seqs, out = [], []
-            for t in texts:
-                w = tokens(t)
-                x = head.ids(w)
-                s = head.slots(x)
-                w.append(b"\n")
-                rare = Counter(w[j] for j in np.flatnonzero(x < 0))
-                lone = s == gru.UNKNOWN
-                out.append((len(x), int((x >= 0).sum()), sum(rare.values()), int(lone.sum()), float(logs[x].sum()), float(logs[x[lone]].sum()), list(rare), list(rare.values())))
-                seqs.append(s)
-            lp = gru.score(model, seqs) / math.log(10)
-            n, known, rare_n, lone, base, part, rare, times = map(list, zip(*out)) if out else [[]] * 8
-            cols = [
-                pa.array(np.arange(uid, uid + len(ids))), b.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(rare_n, pa.int64()), pa.array(lone, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(lp + np.array(part, float)), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32())),
-            ]
-            uid += len(ids)
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            parts = [read(part) for part in pieces([b], 1, rows=10_000, size=_WORD_BYTES)]
+            lp = gru.score(model, [t for texts, _, _ in parts for t in texts]) / math.log(10)
+            for texts, inside, cols in parts:
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + n)), *cols[:-2], pa.array(lp[:n] + inside), *cols[-2:]], names=schema.names)
+                uid, lp = uid + n, lp[n:]
 
     scored = materialize(source.mapInArrow(run, schema), "lm")
     tail = counts.where(~in_head).select("token", "c")
@@ -223,7 +264,7 @@ def score(
     )
     logs_of = F.coalesce("rare_logs", F.lit(0.0))
     # without training documents the head lacks the end of a text, which the model has nonetheless
-    outside_logs = logs_of - F.lit(0.0 if END.encode() in head.index else math.log10(0.1))
+    outside_logs = logs_of - F.lit(0.0 if head.end >= 0 else math.log10(0.1))
     return scored.drop("rare", "times").join(rare, "uid", "left").select(
         id_col, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + logs_of - F.col("n_tokens") * F.lit(math.log10(head.all))).alias("base_score"),

@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -672,6 +673,27 @@ def test_vocabulary_reads_as_the_head_does():
         assert head.read(words).tolist() == head.slots(head.ids(words)).tolist()
 
 
+def test_words_of_all_texts_at_once():
+    texts = ["  A b\x0b\x0c Éc\x1cd\u2003e \r", "", None, " \t", "B b\nb"]
+    words, lens = lm.words_of(pa.array(["skipped", *texts]).slice(1))
+    split = [(t or "").encode().lower().split() for t in texts]
+    assert lens.tolist() == [len(w) for w in split]
+    assert [w.encode() for w in words.to_pylist()] == [w for ws in split for w in ws]
+    tokens = [w for ws in split for w in [*ws, b"\n"]]
+    assert [[*words.to_pylist(), "\n"][i].encode() for i in lm.with_ends(lens)] == tokens
+    rare, times = lm._rare(pa.array(["b", "a", "b", "a"]), np.array([1, 1, 1, 3]), 4)
+    assert [dict(zip(*x)) for x in zip(rare.to_pylist(), times.to_pylist())] == [{}, {"b": 2, "a": 1}, {}, {"a": 1}]
+
+
+def test_gradient_sums_by_token():
+    rng = np.random.default_rng(0)
+    keys = np.concatenate([np.zeros(500, np.int64), rng.integers(0, 90, 900), np.full(gru._MANY, 95)])
+    rows, want = rng.normal(size=(len(keys), 6)), np.zeros((100, 6))
+    np.add.at(want, keys, rows)
+    np.testing.assert_allclose(gru._sums(rows, keys, 100), want, atol=1e-9)
+    assert not gru._sums(rows[:0], keys[:0], 100).any()
+
+
 @pytest.mark.parametrize("head", [150_000, 20])
 def test_language_model(docs, none, head):
     rows = [(i, (t or "").lower().encode().split() + [b"\n"]) for i, t in corpus()]
