@@ -366,6 +366,20 @@ def test_suffix_query_against_brute_force(spark):
     assert all(r.text.replace("\ufffd", "") == want[r.doc_id][4].replace("\ufffd", "") for r in got)
 
 
+def test_frequent_windows_stay_where_they_lie(spark):
+    """One window in 4,000 rows over 8 partitions, 1,000 pairs and 1,000 single ones: no task gets a digest's rows."""
+    rows = spark.range(0, 7000, 1, 8).select((F.col("id") % 50).alias("k1"), F.lit(1).cast("long").alias("k2"), F.col("id").cast("int").alias("s"), F.when(F.col("id") % 7 < 4, -1).when(F.col("id") % 7 == 6, F.col("id")).otherwise(F.expr("id div 7 + 100000")).alias("d1"), F.lit(0).cast("long").alias("d2"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = suffixes.shared_windows(rows, 100).select("s", "d1", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.s for r in got) == [i for i in range(7000) if i % 7 < 6]
+    tasks = collections.Counter(r.task for r in got if r.d1 == -1)
+    assert len(tasks) == 8 and max(tasks.values()) < 600
+
+
 def test_deep_shallow():
     rng = random.Random(1)
     s = [bytes(rng.choices(b"ab", k=rng.randint(0, 60))) for _ in range(200)]
